@@ -94,6 +94,15 @@ class Graph:
         no_p = self.both(self.without(p), no_q)
         return self.without(self.either(self.eu(no_q, no_p), self.eg(no_q)))
 
+    def within(self, goal: DataFrame, steps: int) -> DataFrame:
+        """States all of whose paths meet the goal in at most so many steps; a dead end before it fails."""
+        goal = materialize(self.both(goal, self.nodes), "goal")
+        alive = self.edges.select(F.col("pre").alias("key")).distinct()
+        s = goal
+        for _ in range(steps):
+            s = materialize(self.either(goal, self.both(self.ax(s), alive)), "within")
+        return s
+
     # -- fairness
     def eg_fair(self, s: DataFrame, fair: list[DataFrame], strict: bool = False) -> DataFrame:
         """EG with every set of fair met over and over. By default the shrinking that counts a state as reaching itself,
