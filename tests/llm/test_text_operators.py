@@ -119,7 +119,7 @@ def test_components_of_a_long_path(spark):
     assert {tuple(r) for r in components.components(links).collect()} == {(i, 0) for i in range(201)} | {(400, 400), (500, 400)}
 
 
-@pytest.mark.parametrize("most_hot", [0, 40, None])
+@pytest.mark.parametrize("most_hot", [0, 40, 1 << 19])
 def test_bpe_equals_the_library(docs, empty, most_hot):
     path = vocabulary("byte_bpe_50k.json")
     tok = bpe.tokenizer(path)
@@ -224,7 +224,7 @@ def test_joined_crcs():
         assert tokenstore.crc_join(zlib.crc32(a), zlib.crc32(b), n) == zlib.crc32(a + b)
 
 
-@pytest.mark.parametrize("most_hot", [0, 50, None])
+@pytest.mark.parametrize("most_hot", [0, 50, 1 << 19])
 def test_lm_counts_and_probabilities(docs, empty, most_hot):
     out = by_id(lm.score(docs.unionByName(docs.where("doc_id = 60")), remainder(F.col("doc_id"), 7) != 2, least=2, most_hot=most_hot))
     toks = {d: WORD.findall((t or "").translate(LOWER)) + ["\n"] for d, t, *_ in rows()}

@@ -21,11 +21,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.wordtable import count_words, hot_from, is_hot
+from tidegraph.llm.wordtable import FLUSH, HOT_WORDS, collect_hot, count_words, dealt, hot_from, in_buckets, is_hot, pack, unpack
 from tidegraph.scratch import materialize
 
-#: A space that has white space (any that Python knows, a superset of the tokenizer's) or an end of the text beside it.
-_UNSAFE, _SAFE = re.compile(r"\A | \Z|\s \s?|(?<=\S) (?=\s)"), re.compile(r"(?<=\S) (?=\S)")
+#: Where a text may be cut: at a single space between two characters that are no white space (for Python, whose white
+#: space includes the tokenizer's).
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: The white space of ASCII but the space, and the first bytes that other white space has in UTF-8.
+_ASCII_SPACE = [bytes([i]) for i in (*range(9, 14), *range(28, 32))]
+_OTHER_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _loaded: dict[str, object] = {}
 
 
@@ -42,31 +46,30 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+def _plain(raw: bytes) -> bool:
+    """Whether every space of a text is a place to cut."""
+    if raw[:1] == b" " or raw[-1:] == b" " or b"  " in raw or any(x in raw for x in _OTHER_SPACE):
+        return False
+    return not any(x in raw and (x + b" " in raw or b" " + x in raw) for x in _ASCII_SPACE)
+
+
 def words_of(raw: bytes) -> list[bytes]:
     """Keys of a text's words. All but the first have lost the space before them; the first gets one to tell it apart."""
     if not raw:
         return []
-    text = raw.decode("utf-8", "replace")
-    parts = _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
-    parts[0] = " " + parts[0]
-    return "\n\0".join(parts).encode().split(b"\n\0") if "\n\0" not in text else [p.encode() for p in parts]
+    parts = raw.split(b" ") if _plain(raw) else [p.encode() for p in _CUT.split(raw.decode("utf-8", "replace"))]
+    parts[0] = b" " + parts[0]
+    return parts
 
 
 def word_text(key: bytes) -> str:
     return (key[1:] if key[:1] == b" " else b" " + key).decode("utf-8", "replace")
 
 
-def encode_table(counts: DataFrame, path: str) -> DataFrame:
-    """(word, n) to (word, n, ids): each distinct word encoded once; ids are little-endian unsigned 32-bit integers."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
-        for b in batches:
-            keys = b.column("word").to_pylist()
-            ids = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast([word_text(k) for k in keys], add_special_tokens=False)]
-            yield pa.record_batch({"word": b.column("word"), "n": b.column("n"), "ids": pa.array(ids, pa.binary())})
-
-    return counts.mapInArrow(encode, "word binary, n long, ids binary")
+def encode_words(words: list[bytes], path: str) -> list[bytes]:
+    """The ids of each word, as little-endian unsigned 32-bit integers."""
+    found = tokenizer(path).encode_batch_fast([word_text(w) for w in words], add_special_tokens=False)
+    return [np.array(e.ids, "<u4").tobytes() for e in found]
 
 
 def _row_key(doc_id, raw: bytes) -> int:
@@ -104,78 +107,135 @@ def pieces(path: str) -> list[bytes]:
     return _loaded["pieces:" + path]
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most_hot: int | None = None) -> DataFrame:
-    """One row for each row of docs: doc_id, ids binary (little-endian unsigned 32-bit integers)."""
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most_hot: int = HOT_WORDS) -> DataFrame:
+    """One row for each row of docs: doc_id, ids binary (little-endian unsigned 32-bit integers).
+
+    1. All words are counted. The frequent ones are encoded, once each, and go to every task.
+    2. Each text becomes the numbers of its words, with holes for words of the tail, and is dealt out by its key.
+    3. Words of the tail go to the bucket of their hash, are encoded once each there, and come back to the key and the
+       position of every occurrence. Numbers and tail meet in one sorted partition and make the ids.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    table = materialize(encode_table(count_words(texts.select("raw"), words_of), path), "words")
-    threshold = hot_from(table, **({"most": most_hot} if most_hot is not None else {}))
-    hot = table.where(is_hot(threshold)).orderBy(F.desc("n"), "word").select("word", "ids").collect()  # most_hot short rows at most
-    shared = spark.sparkContext.broadcast(([bytes(r.word) for r in hot], [bytes(r.ids) for r in hot]))
-    none = len(hot)  # the number that stands for a word of the tail
+    counts = materialize(count_words(texts.select("raw"), words_of), "words")
+    threshold = hot_from(counts, most_hot)
 
-    def index() -> dict[bytes, int]:
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch({"word": b.column("word"), "n": b.column("n"), "ids": pa.array(encode_words(b.column("word").to_pylist(), path), pa.binary())})
+
+    hot = collect_hot(counts.where(is_hot(threshold)).mapInArrow(frequent, "word binary, n long, ids binary"), threshold)
+    shared = spark.sparkContext.broadcast((hot["word"].to_pylist(), hot["ids"].to_pylist()))
+    hole = len(hot)  # the number that stands for a word of the tail
+    del hot
+
+    def numbers() -> dict[bytes, int]:
         if _loaded.get("hot of") is not shared:  # a worker gets the same object in all tasks
             _loaded["hot of"], _loaded["hot"] = shared, {w: i for i, w in enumerate(shared.value[0])}
         return _loaded["hot"]
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, press = numbers().get, zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            key, blob = [], []
+            for d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n = np.array([get(w, hole) for w in words_of(raw)], "<u4").view("u1").reshape(-1, 4)
+                key.append(_row_key(d, raw))
+                blob.append(press(np.ascontiguousarray(n[:, :3].T).tobytes()))
+            yield pa.record_batch({"key": pa.array(key, pa.int64()), "pos": pa.array([-1] * len(key), pa.int32()), "doc_id": b.column(0), "body": pa.array(blob, pa.binary())})
+
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = index()
+        known, places, held = numbers(), {}, 0
+
+        def flush() -> pa.RecordBatch:
+            lots = dealt(places)
+            cols: list[list] = [[], [], [], [], []]
+            for bucket, words in lots.items():
+                at = [p for w in words for p in places[w]]
+                times = np.fromiter((len(places[w]) for w in words), "<u4", len(words))
+                for c, v in zip(cols, (bucket, len(words), pack(words), zstandard.compress(times.tobytes() + np.array([p for _, p in at], "<u4").tobytes(), 3), np.array([k for k, _ in at], "<i8").tobytes()), strict=True):
+                    c.append(v)
+            places.clear()
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "size", "words", "at", "keys"])
+
         for b in batches:
-            key, pos, word = [], [], []
             for d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 k = None
                 for p, w in enumerate(words_of(raw)):
                     if w not in known:
-                        k = k or _row_key(d, raw)
-                        key.append(k)
-                        pos.append(p)
-                        word.append(w)
-            yield pa.record_batch({"key": pa.array(key, pa.int64()), "pos": pa.array(pos, pa.int32()), "word": pa.array(word, pa.binary())})
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, press = index().get, zstandard.ZstdCompressor(level=3).compress
+                        k = _row_key(d, raw) if k is None else k
+                        places.setdefault(w, []).append((k, p))
+                        held += 1
+                if held >= FLUSH:
+                    yield flush()
+                    held = 0
+        if places:
+            yield flush()
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, made = None, {}
         for b in batches:
-            key, blob = [], []
-            for d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n = np.array([get(w, none) for w in words_of(raw)], "<u4").view("u1").reshape(-1, 4)
-                key.append(_row_key(d, raw))
-                blob.append(press(np.ascontiguousarray(n[:, :3].T).tobytes()))
-            yield pa.record_batch({"doc_id": b.column(0), "key": pa.array(key, pa.int64()), "numbers": pa.array(blob, pa.binary())})
+            for bucket, size, words, at, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != now:
+                    now, made = bucket, {}
+                words = unpack(words, size)
+                new = [w for w in words if w not in made]  # a lot has each word once
+                made.update(zip(new, encode_words(new, path), strict=True))
+                raw = np.frombuffer(zstandard.decompress(at), "<u4")
+                ids = [made[w] for w, n in zip(words, raw[:size].tolist(), strict=True) for _ in range(n)]
+                yield pa.record_batch({"key": pa.array(np.frombuffer(keys, "<i8")), "pos": pa.array(raw[size:].astype(np.int32)), "doc_id": pa.nulls(len(ids), pa.int64()), "body": pa.array(ids, pa.binary())})
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _loaded.get("flat of") is not shared:
             _loaded["flat of"], _loaded["flat"] = shared, _Flat(shared.value[1], "<u4")
         hot_ids, expand = _loaded["flat"], zstandard.ZstdDecompressor().decompress
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                b = whole.slice(at, 512)
-                numbers, extra, filled = [], [], 0
-                for blob, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    planes = np.frombuffer(expand(blob), "u1").reshape(3, -1).astype(np.int64)
-                    n = planes[0] | planes[1] << 8 | planes[2] << 16
-                    holes = np.flatnonzero(n == none)
-                    if len(holes):
-                        by_pos = {x["pos"]: x["ids"] for x in found or ()}
-                        n[holes] = none + filled + np.arange(len(holes))
-                        extra.extend(by_pos[p] for p in holes.tolist())
-                        filled += len(holes)
-                    numbers.append(n)
-                more = _Flat(extra, "<u4")
-                flat = np.concatenate([hot_ids.flat, more.flat]) if filled else hot_ids.flat
-                start = np.concatenate([hot_ids.start, more.start + len(hot_ids.flat)])
-                size = np.concatenate([hot_ids.size, more.size])
-                out = []
-                for n in numbers:
-                    out.append(gather(flat, start[n], size[n]).astype("<u4").tobytes())
-                yield pa.record_batch({"doc_id": b.column(0), "ids": pa.array(out, pa.large_binary()).cast(pa.binary())})
-
-    rest = texts.mapInArrow(tail, "key long, pos int, word binary")
-    rest = rest.join(table.where(~is_hot(threshold)).select("word", "ids"), "word")
-    # A repeated row brings its tail again; assemble() takes one of the equal entries of a position.
-    rest = rest.groupBy("key").agg(F.collect_set(F.struct("pos", "ids")).alias("found"))
-    rows = texts.mapInArrow(numbered, "doc_id long, key long, numbers binary").join(rest, "key", "left").select("doc_id", "numbers", "found")
-    return rows.mapInArrow(assemble, "doc_id long, ids binary")
+
+        def ids_of(blob: bytes, found: dict[int, bytes]) -> bytes:
+            planes = np.frombuffer(expand(blob), "u1").reshape(3, -1).astype(np.int64)
+            n = planes[0] | planes[1] << 8 | planes[2] << 16
+            holes, out, last = np.flatnonzero(n == hole).tolist(), [], 0
+            for h in [*holes, len(n)]:
+                part = n[last:h]
+                if len(part):
+                    out.append(gather(hot_ids.flat, hot_ids.start[part], hot_ids.size[part]).tobytes())
+                if h < len(n):
+                    out.append(found[h])
+                last = h + 1
+            return b"".join(out)
+
+        docs, bodies, found, now = [], [], {}, None  # of one key
+        out_docs, out_ids = [], []
+
+        def close() -> None:
+            if bodies:
+                if bodies.count(bodies[0]) < len(bodies):
+                    raise ValueError("two documents share a key of 64 bits")
+                ids = ids_of(bodies[0], found)
+                out_docs.extend(docs)
+                out_ids.extend([ids] * len(docs))
+
+        for b in batches:
+            for key, pos, d, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != now:
+                    close()
+                    docs, bodies, found, now = [], [], {}, key
+                    if len(out_docs) >= 500:
+                        yield pa.record_batch({"doc_id": pa.array(out_docs, pa.int64()), "ids": pa.array(out_ids, pa.binary())})
+                        out_docs, out_ids = [], []
+                if pos < 0:
+                    docs.append(d)
+                    bodies.append(body)
+                else:
+                    found[pos] = body
+        close()
+        yield pa.record_batch({"doc_id": pa.array(out_docs, pa.int64()), "ids": pa.array(out_ids, pa.binary())})
+
+    schema = "key long, pos int, doc_id long, body binary"
+    rest = in_buckets(texts.mapInArrow(tail, "bucket int, size int, words binary, at binary, keys binary")).mapInArrow(back, schema)
+    rows = texts.mapInArrow(numbered, schema).unionByName(rest)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "pos").mapInArrow(assemble, "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

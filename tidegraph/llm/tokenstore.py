@@ -34,21 +34,87 @@ from tidegraph.scratch import materialize
 #: Ids that the rolling hash sees, mean distance of cuts, and bounds of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 512, 64, 4096
 FANOUT = 256
-_memo: dict = {}
-
-
-def encode(raw: bytes, path: str, memo: dict[bytes, bytes]) -> bytes:
-    """Ids (32 bits each) of a text for a tokenizer that drops white space and never joins words: word by word, each
-    distinct word once for each task as long as memory allows."""
-    words = raw.split()
-    new = [w for w in set(words) if w not in memo]
-    if new:
-        if len(memo) > 400_000:
-            memo.clear()
-            new = list(set(words))
-        for w, e in zip(new, tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
-    return b"".join(map(memo.__getitem__, words))
+_caches: dict[str, WordCache] = {}
+
+
+class WordCache:
+    """Ids of words, for a tokenizer that drops white space, never joins words, lower-cases, and ends each run of letters
+    with one id of its own kind. Two generations: the words used lately outlive a full cache."""
+
+    def __init__(self, path: str):
+        self.tokenizer, self.young, self.old = tokenizer(path), {}, {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only: encoded many at a time and cut apart after each ending id."""
+        lots = [words[i : i + 100] for i in range(0, len(words), 100)]
+        out: list[bytes] = []
+        for lot, ids in zip(lots, self._encode([" ".join(x) for x in lots]), strict=True):
+            at = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(at) == len(lot):
+                raw = ids.tobytes()
+                out += [raw[4 * a : 4 * b] for a, b in zip([0, *at], at, strict=False)]
+            else:  # a letter that its lower case takes apart
+                out += [x.tobytes() for x in self._encode(lot)]
+        return out
+
+    def _others(self, words: list[str]) -> list[bytes]:
+        """Ids of any words: encoded many at a time with a word between them that has an id of its own."""
+        between = self._encode(["between"])[0]
+        lots = [words[i : i + 100] for i in range(0, len(words), 100)]
+        out: list[bytes] = []
+        for lot, ids in zip(lots, self._encode([" between ".join(x) for x in lots]), strict=True):
+            at = np.flatnonzero(ids == between[0]).tolist()
+            if len(between) == 1 and len(at) == len(lot) - 1:
+                raw = ids.tobytes()
+                out += [raw[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in at)], [*at, len(ids)], strict=True)]
+            else:  # one of the words holds it
+                out += [x.tobytes() for x in self._encode(lot)]
+        return out
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.young) > 400_000:
+            self.old, self.young = self.young, {}
+        bare: dict[str, None] = {}
+        marked, odd = [], []
+        for w in words:
+            if (x := self.old.get(w)) is not None:
+                self.young[w] = x
+                continue
+            text = w.decode("utf-8", "replace")
+            if text.isalpha():
+                bare[text] = None
+            elif text[-1] in ".,!?;:" and text[:-1].isalpha():
+                bare[text[:-1]] = None
+                marked.append((w, text[:-1].encode(), text[-1].encode()))
+            else:
+                odd.append((w, text))
+        if marked:
+            odd += [(c.encode(), c) for c in ".,!?;:" if c.encode() not in self.young]
+        self.young.update(zip((t.encode() for t in bare), self._letters(list(bare)), strict=True))
+        self.young.update(zip((w for w, _ in odd), self._others([t for _, t in odd]), strict=True))
+        for w, body, mark in marked:
+            self.young[w] = self.young[body] + self.young[mark]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, 32 bits each. Lower-casing A-Z beforehand changes nothing but the names of special
+        tokens, so texts that might hold one are left as they are."""
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        out = [list(map(self.young.get, ws)) for ws in split]
+        gaps = [i for i, ids in enumerate(out) if None in ids]
+        while new := {w for i in gaps for w, x in zip(split[i], out[i], strict=True) if x is None}:
+            self._learn(new)
+            before = out
+            out = out.copy()
+            for i in gaps:
+                out[i] = [x if x is not None else self.young.get(w) for w, x in zip(split[i], before[i], strict=True)]
+            gaps = [i for i in gaps if None in out[i]]
+        return [b"".join(ids) for ids in out]
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -107,27 +173,31 @@ def write_store(docs: DataFrame, path: str, store: str, end_id: int = 1, id_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, sent = _memo.setdefault(path, {}), set()
+        if path not in _caches:
+            _caches[path] = WordCache(path)
+        cache, sent = _caches[path], set()
         piece = pa.struct([("address", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())])
-        for b in batches:
-            n, names, fresh = [], [], []
-            for raw in b.column("raw"):
-                ids = np.append(np.frombuffer(encode(raw.as_py(), path, memo), "<u4"), np.uint32(end_id))
-                small, last, own, new = ids.astype(dtype), 0, [], []
-                for c in cuts(ids):
-                    payload = small[last:c].tobytes()
-                    a = address(payload)
-                    own.append(a)
-                    if a not in sent:  # the shuffle drops what other tasks send too
-                        if len(sent) > 500_000:
-                            sent.clear()
-                        sent.add(a)
-                        new.append({"address": a, "n": c - last, "payload": payload})
-                    last = c
-                n.append(len(ids))
-                names.append(own)
-                fresh.append(new)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.list_(pa.binary())), pa.array(fresh, pa.list_(piece))], ["doc_id", "n_tokens", "addresses", "fresh"])
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                b = whole.slice(at, 256)
+                n, names, fresh = [], [], []
+                for raw in cache.encode(b.column("raw").to_pylist()):
+                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
+                    small, last, own, new = ids.astype(dtype), 0, [], []
+                    for c in cuts(ids):
+                        payload = small[last:c].tobytes()
+                        a = address(payload)
+                        own.append(a)
+                        if a not in sent:  # the shuffle drops what other tasks send too
+                            if len(sent) > 500_000:
+                                sent.clear()
+                            sent.add(a)
+                            new.append({"address": a, "n": c - last, "payload": payload})
+                        last = c
+                    n.append(len(ids))
+                    names.append(own)
+                    fresh.append(new)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.list_(pa.binary())), pa.array(fresh, pa.list_(piece))], ["doc_id", "n_tokens", "addresses", "fresh"])
 
     encoded = materialize(texts.mapInArrow(cut, "doc_id long, n_tokens long, addresses array<binary>, fresh array<struct<address:binary,n:int,payload:binary>>"), "encoded")
     chunks = encoded.select(F.inline("fresh")).groupBy("address").agg(F.first(F.struct("n", "payload")).alias("c")).select("address", "c.n", "c.payload")

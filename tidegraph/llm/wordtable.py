@@ -1,8 +1,8 @@
 """Distinct-word tables: counts of every word of a corpus, and the split into frequent words and the tail.
 
-Every distinct word is counted by a shuffle that gets one row for each word and task. The most frequent words, at most a
-fixed number of them and of bounded length, are small enough for every task to hold; the occurrences of all other words
-are joined by a shuffle. Both ways give the same values, so nothing is lost to the bound.
+Every distinct word is counted by a shuffle that gets each word once from each task. Words travel packed: sorted, by the
+bucket of their hash, compressed. The most frequent words, bounded in number and bytes, are small enough for every task
+to hold; the occurrences of all other words go to their buckets by a shuffle. Which way a word goes changes no result.
 """
 
 from __future__ import annotations
@@ -10,17 +10,44 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words that a task holds before it hands on their counts.
-FLUSH = 400_000
-#: Bounds of the frequent words: how many, and bytes of each.
-HOT_WORDS, HOT_BYTES = 1 << 19, 48
+#: Distinct words, or occurrences, that a task holds before it hands them on; buckets that words are dealt to.
+FLUSH, BUCKETS = 400_000, 1024
+#: Bounds of the frequent words: how many, bytes of each, bytes of all.
+HOT_WORDS, HOT_BYTES, HOT_TOTAL = 1 << 19, 1024, 32 << 20
 STEPS = 8  # count classes in each doubling
 
 
+def bucket_of(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) % BUCKETS
+
+
+def pack(words: list[bytes]) -> bytes:
+    sizes = np.fromiter(map(len, words), "<u4", len(words))
+    return zstandard.compress(sizes.tobytes() + b"".join(words), 3)
+
+
+def unpack(blob: bytes, n: int) -> list[bytes]:
+    raw = zstandard.decompress(blob)
+    ends = 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64)
+    cuts = [4 * n, *ends.tolist()]
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def dealt(words: Iterable[bytes]) -> dict[int, list[bytes]]:
+    """Words by bucket, each bucket's sorted."""
+    out: dict[int, list[bytes]] = {}
+    for w in sorted(words):
+        out.setdefault(bucket_of(w), []).append(w)
+    return out
+
+
 def count_words(texts: DataFrame, split: Callable[[bytes], Iterable[bytes]]) -> DataFrame:
     """texts(text binary) to (word binary, n long) over all rows; split gives a text's words."""
 
@@ -28,7 +55,9 @@ def count_words(texts: DataFrame, split: Callable[[bytes], Iterable[bytes]]) ->
         counts: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.record_batch({"word": pa.array(counts.keys(), pa.binary()), "n": pa.array(counts.values(), pa.int64())})
+            lots = dealt(counts)
+            n = [zstandard.compress(np.fromiter(map(counts.__getitem__, ws), "<u8", len(ws)).tobytes(), 3) for ws in lots.values()]
+            out = pa.record_batch({"bucket": pa.array(lots, pa.int32()), "size": pa.array(map(len, lots.values()), pa.int32()), "words": pa.array(map(pack, lots.values()), pa.binary()), "counts": pa.array(n, pa.binary())})
             counts.clear()
             return out
 
@@ -40,18 +69,43 @@ def count_words(texts: DataFrame, split: Callable[[bytes], Iterable[bytes]]) ->
         if counts:
             yield flush()
 
-    return texts.mapInArrow(partial, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, {}
 
+        def rows() -> pa.RecordBatch:
+            return pa.record_batch({"word": pa.array(total, pa.binary()), "n": pa.array(total.values(), pa.int64())})
 
-def hot_from(counts: DataFrame, most: int = HOT_WORDS, least: int = 1) -> int:
-    """The smallest count such that at most `most` short words have it or more. Reads a few hundred count classes."""
+        for b in batches:
+            for bucket, size, words, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != at:
+                    if total:
+                        yield rows()
+                    at, total = bucket, {}
+                get = total.get
+                for w, n in zip(unpack(words, size), np.frombuffer(zstandard.decompress(counts), "<u8").tolist(), strict=True):
+                    total[w] = get(w, 0) + n
+        if total:
+            yield rows()
+
+    packed = texts.mapInArrow(partial, "bucket int, size int, words binary, counts binary")
+    return in_buckets(packed).mapInArrow(merge, "word binary, n long")
+
+
+def in_buckets(rows: DataFrame) -> DataFrame:
+    """rows(bucket, ...) with each bucket's rows in one task, one after the other."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+
+
+def hot_from(counts: DataFrame, most: int = HOT_WORDS) -> int:
+    """The smallest count such that the words that have it or more keep the bounds. Reads a few hundred count classes."""
     kind = F.floor(F.log2(F.col("n").cast("double")) * STEPS).cast("int")
-    short = counts.where((F.octet_length("word") <= HOT_BYTES) & (F.col("n") >= least))
-    classes = sorted(short.groupBy(kind.alias("k")).agg(F.count("*").alias("c"), F.min("n").alias("n")).collect(), key=lambda r: -r.k)
-    total, out = 0, None
-    for r in classes:
-        total += r.c
-        if total > most:
+    short = counts.where(F.octet_length("word") <= HOT_BYTES)
+    found = short.groupBy(kind.alias("k")).agg(F.count("*").alias("c"), F.sum(F.octet_length("word")).alias("bytes"), F.min("n").alias("n")).collect()
+    total, size, out = 0, 0, None
+    for r in sorted(found, key=lambda r: -r.k):
+        total, size = total + r.c, size + r.bytes
+        if total > most or size > HOT_TOTAL:
             break
         out = r.n
     return out if out is not None else 1 << 62
@@ -59,3 +113,8 @@ def hot_from(counts: DataFrame, most: int = HOT_WORDS, least: int = 1) -> int:
 
 def is_hot(threshold: int):
     return (F.col("n") >= threshold) & (F.octet_length("word") <= HOT_BYTES)
+
+
+def collect_hot(table: DataFrame, threshold: int) -> pa.Table:
+    """The frequent words' rows, most frequent first: a bounded number of bytes, held as Arrow columns."""
+    return table.where(is_hot(threshold)).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
