@@ -16,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.wordtable import FLUSH, HOT_WORDS, collect_hot, count_words, dealt, hot_from, in_buckets, is_hot, pack, unpack
+from tidegraph.llm.wordtable import HOT_WORDS, LEVEL, Words, byte_strings, collect_hot, count_words, dealt, hot_from, in_buckets, is_hot, numbered, pack, slices, unpack
 from tidegraph.scratch import materialize
 
 #: Where a text may be cut: at a single space between two characters that are no white space (for Python, whose white
@@ -29,7 +30,13 @@ from tidegraph.scratch import materialize
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: The white space of ASCII but the space, and the first bytes that other white space has in UTF-8.
 _ASCII_SPACE = [bytes([i]) for i in (*range(9, 14), *range(28, 32))]
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The characters by which a byte-level vocabulary writes bytes: printable ones stand for themselves.
+BYTES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+SPACE = chr(BYTES[32])
 _OTHER_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+#: Occurrences of words of the tail that a task holds before it hands them on, and words that are encoded in one go.
+FLUSH, LOT = 800_000, 100
 _loaded: dict[str, object] = {}
 
 
@@ -53,13 +60,26 @@ def _plain(raw: bytes) -> bool:
     return not any(x in raw and (x + b" " in raw or b" " + x in raw) for x in _ASCII_SPACE)
 
 
-def words_of(raw: bytes) -> list[bytes]:
-    """Keys of a text's words. All but the first have lost the space before them; the first gets one to tell it apart."""
-    if not raw:
-        return []
-    parts = raw.split(b" ") if _plain(raw) else [p.encode() for p in _CUT.split(raw.decode("utf-8", "replace"))]
-    parts[0] = b" " + parts[0]
-    return parts
+def words_of(texts: pa.Array) -> tuple[np.ndarray, Words]:
+    """An order of the texts, and their words in that order. All words but the first of a text have lost the space before
+    them; the first gets one to tell it apart."""
+    odd = [i for i, raw in enumerate(texts.to_pylist()) if not _plain(raw)]
+    plain = np.setdiff1d(np.arange(len(texts)), odd)
+    lists = pc.split_pattern(texts.take(pa.array(plain)).view(pa.string()), " ")
+    more = [[p.encode() for p in _CUT.split(texts[i].as_py().decode("utf-8", "replace"))] for i in odd]
+    words = pa.concat_arrays([lists.flatten().view(pa.binary()), pa.array([p for x in more for p in x], pa.binary())])
+    sizes = np.concatenate([np.asarray(pc.list_value_length(lists)), [len(x) for x in more]]).astype(np.int64)
+    order = np.concatenate([plain, odd]).astype(np.int64)
+    empty = np.asarray(pc.binary_length(texts))[order] == 0
+    if empty.any():  # an empty text is no word; no other word is empty
+        words, sizes = words.filter(pc.greater(pc.binary_length(words), 0)), np.where(empty, 0, sizes)
+    w = numbered(words, sizes)
+    first, codes = w.starts[sizes > 0], w.codes.copy()
+    names: dict[bytes, int] = {}
+    codes[first] = [names.setdefault(b" " + w.table[c], len(w.table) + len(names)) for c in w.codes[first].tolist()]
+    used = np.bincount(codes, minlength=len(w.table) + len(names)) > 0  # some words only come first
+    table = [x for x, u in zip([*w.table, *names], used.tolist(), strict=True) if u]
+    return order, Words(table, (np.cumsum(used) - 1)[codes], sizes)
 
 
 def word_text(key: bytes) -> str:
@@ -67,9 +87,36 @@ def word_text(key: bytes) -> str:
 
 
 def encode_words(words: list[bytes], path: str) -> list[bytes]:
-    """The ids of each word, as little-endian unsigned 32-bit integers."""
-    found = tokenizer(path).encode_batch_fast([word_text(w) for w in words], add_special_tokens=False)
-    return [np.array(e.ids, "<u4").tobytes() for e in found]
+    """The ids of each word, as little-endian unsigned 32-bit integers.
+
+    Words with a space before them are encoded many at a time and cut apart where an id's piece begins with the space,
+    unless the number of such ids says that a word holds more of them."""
+    tok = tokenizer(path)
+    if "begins:" + path not in _loaded:
+        vocab = tok.get_vocab(with_added_tokens=True)
+        begins = np.zeros(max(vocab.values()) + 1, bool)
+        begins[[i for piece, i in vocab.items() if piece.startswith(SPACE)]] = True
+        _loaded["begins:" + path] = begins
+    begins = _loaded["begins:" + path]
+
+    def encoded(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    inner = [i for i, w in enumerate(words) if w[:1] != b" "]
+    alone = [i for i, w in enumerate(words) if w[:1] == b" "]
+    out: list[bytes] = [b""] * len(words)
+    lots = [inner[i : i + LOT] for i in range(0, len(inner), LOT)]
+    for lot, ids in zip(lots, encoded(["".join(word_text(words[i]) for i in x) for x in lots]), strict=True):
+        at = np.flatnonzero(begins[ids]).tolist()
+        if len(at) == len(lot) and at[0] == 0:
+            raw = ids.tobytes()
+            for i, a, b in zip(lot, at, [*at[1:], len(ids)], strict=True):
+                out[i] = raw[4 * a : 4 * b]
+        else:
+            alone += lot
+    for i, ids in zip(alone, encoded([word_text(words[i]) for i in alone]), strict=True):
+        out[i] = ids.tobytes()
+    return out
 
 
 def _row_key(doc_id, raw: bytes) -> int:
@@ -86,23 +133,26 @@ class _Flat:
         self.flat = np.frombuffer(b"".join(parts), dtype)
 
 
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start[i] to start[i] + size[i] end to end."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The stretches flat[start[i] : start[i] + size[i]] end to end."""
-    ends = np.cumsum(size)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(start - (ends - size), size) + np.arange(total)]
+    return flat[spans(start, size)]
 
 
 def pieces(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary, in id order: at most as many as the vocabulary file has."""
     tok = tokenizer(path)
     if "pieces:" + path not in _loaded:
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+        byte = {c: b for b, c in BYTES.items()}
         vocab = tok.get_vocab(with_added_tokens=True)
         out = [b""] * (max(vocab.values()) + 1)
         for piece, i in vocab.items():
-            out[i] = bytes(byte[c] for c in piece) if all(c in byte for c in piece) else piece.encode()
+            out[i] = bytes(byte[ord(c)] for c in piece) if all(ord(c) in byte for c in piece) else piece.encode()
         _loaded["pieces:" + path] = _Flat(out, "u1")
     return _loaded["pieces:" + path]
 
@@ -117,7 +167,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    counts = materialize(count_words(texts.select("raw"), words_of), "words")
+    counts = materialize(count_words(texts.select("raw"), lambda part: words_of(part)[1]), "words")
     threshold = hot_from(counts, most_hot)
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +175,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             yield pa.record_batch({"word": b.column("word"), "n": b.column("n"), "ids": pa.array(encode_words(b.column("word").to_pylist(), path), pa.binary())})
 
     hot = collect_hot(counts.where(is_hot(threshold)).mapInArrow(frequent, "word binary, n long, ids binary"), threshold)
-    shared = spark.sparkContext.broadcast((hot["word"].to_pylist(), hot["ids"].to_pylist()))
+    shared = spark.sparkContext.broadcast((hot["word"].to_pylist(), _Flat(hot["ids"].to_pylist(), "<u4")))
     hole = len(hot)  # the number that stands for a word of the tail
     del hot
 
@@ -134,43 +184,59 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             _loaded["hot of"], _loaded["hot"] = shared, {w: i for i, w in enumerate(shared.value[0])}
         return _loaded["hot"]
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, press = numbers().get, zstandard.ZstdCompressor(level=3).compress
+    def as_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, press = numbers(), zstandard.ZstdCompressor(level=LEVEL).compress
         for b in batches:
-            key, blob = [], []
-            for d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n = np.array([get(w, hole) for w in words_of(raw)], "<u4").view("u1").reshape(-1, 4)
-                key.append(_row_key(d, raw))
-                blob.append(press(np.ascontiguousarray(n[:, :3].T).tobytes()))
-            yield pa.record_batch({"key": pa.array(key, pa.int64()), "pos": pa.array([-1] * len(key), pa.int32()), "doc_id": b.column(0), "body": pa.array(blob, pa.binary())})
+            at = 0
+            for part in slices(b.column(1)):
+                order, w = words_of(part)
+                ids, raws = b.column(0).slice(at, len(part)).take(pa.array(order)), part.take(pa.array(order)).to_pylist()
+                planes = np.ascontiguousarray(w.mapped(known, hole).astype("<u4").view("u1").reshape(-1, 4)[:, :3].T)
+                blob = [press(planes[:, s:e].tobytes()) for s, e in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
+                key = [_row_key(d, raw) for d, raw in zip(ids.to_pylist(), raws, strict=True)]
+                yield pa.record_batch({"key": pa.array(key, pa.int64()), "pos": pa.array([-1] * len(key), pa.int32()), "doc_id": ids, "body": pa.array(blob, pa.binary())})
+                at += len(part)
 
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, places, held = numbers(), {}, 0
+        known = numbers()
+        index: dict[bytes, int] = {}  # of the words held
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # word, key and position of occurrences
 
         def flush() -> pa.RecordBatch:
-            lots = dealt(places)
-            cols: list[list] = [[], [], [], [], []]
-            for bucket, words in lots.items():
-                at = [p for w in words for p in places[w]]
-                times = np.fromiter((len(places[w]) for w in words), "<u4", len(words))
-                for c, v in zip(cols, (bucket, len(words), pack(words), zstandard.compress(times.tobytes() + np.array([p for _, p in at], "<u4").tobytes(), 3), np.array([k for k, _ in at], "<i8").tobytes()), strict=True):
+            lots = dealt(index)
+            words = [w for ws in lots.values() for w in ws]
+            place = np.empty(len(words), np.int64)
+            place[[index[w] for w in words]] = np.arange(len(words))
+            word, key, pos = (np.concatenate(c) for c in zip(*held, strict=True))
+            by = np.argsort(place[word], kind="stable")
+            key, pos, times = key[by], pos[by], np.bincount(place[word], minlength=len(words)).astype("<u4")
+            ends, cols, a = np.cumsum(times).tolist(), [[], [], [], [], []], 0
+            for bucket, own in lots.items():
+                b, s, e = a + len(own), ends[a - 1] if a else 0, ends[a + len(own) - 1]
+                for c, v in zip(cols, (bucket, len(own), pack(own), zstandard.compress(times[a:b].tobytes() + pos[s:e].tobytes(), LEVEL), key[s:e].tobytes()), strict=True):
                     c.append(v)
-            places.clear()
+                a = b
+            index.clear()
+            held.clear()
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "size", "words", "at", "keys"])
 
         for b in batches:
-            for d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                k = None
-                for p, w in enumerate(words_of(raw)):
-                    if w not in known:
-                        k = _row_key(d, raw) if k is None else k
-                        places.setdefault(w, []).append((k, p))
-                        held += 1
-                if held >= FLUSH:
+            at = 0
+            for part in slices(b.column(1)):
+                order, w = words_of(part)
+                rare = [w_ not in known for w_ in w.table]
+                local = np.array([index.setdefault(x, len(index)) if r else -1 for x, r in zip(w.table, rare, strict=True)], np.int64)[w.codes]
+                here = np.flatnonzero(local >= 0)
+                doc = np.searchsorted(w.ends, here, side="right")
+                ids, key = b.column(0).slice(at, len(part)), np.zeros(len(part), "<i8")
+                for i in np.unique(doc).tolist():
+                    key[i] = _row_key(ids[int(order[i])].as_py(), part[int(order[i])].as_py())
+                held.append((local[here], key[doc], (here - w.starts[doc]).astype("<u4")))
+                at += len(part)
+                if sum(len(h[0]) for h in held) >= FLUSH:
                     yield flush()
-                    held = 0
-        if places:
+        if index:
             yield flush()
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,57 +249,57 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 new = [w for w in words if w not in made]  # a lot has each word once
                 made.update(zip(new, encode_words(new, path), strict=True))
                 raw = np.frombuffer(zstandard.decompress(at), "<u4")
-                ids = [made[w] for w, n in zip(words, raw[:size].tolist(), strict=True) for _ in range(n)]
-                yield pa.record_batch({"key": pa.array(np.frombuffer(keys, "<i8")), "pos": pa.array(raw[size:].astype(np.int32)), "doc_id": pa.nulls(len(ids), pa.int64()), "body": pa.array(ids, pa.binary())})
+                ids = pa.array([made[w] for w in words], pa.binary()).take(pa.array(np.repeat(np.arange(size), raw[:size])))
+                yield pa.record_batch({"key": pa.array(np.frombuffer(keys, "<i8")), "pos": pa.array(raw[size:].astype(np.int32)), "doc_id": pa.nulls(len(ids), pa.int64()), "body": ids})
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _loaded.get("flat of") is not shared:
-            _loaded["flat of"], _loaded["flat"] = shared, _Flat(shared.value[1], "<u4")
-        hot_ids, expand = _loaded["flat"], zstandard.ZstdDecompressor().decompress
-
-        def ids_of(blob: bytes, found: dict[int, bytes]) -> bytes:
-            planes = np.frombuffer(expand(blob), "u1").reshape(3, -1).astype(np.int64)
-            n = planes[0] | planes[1] << 8 | planes[2] << 16
-            holes, out, last = np.flatnonzero(n == hole).tolist(), [], 0
-            for h in [*holes, len(n)]:
-                part = n[last:h]
-                if len(part):
-                    out.append(gather(hot_ids.flat, hot_ids.start[part], hot_ids.size[part]).tobytes())
-                if h < len(n):
-                    out.append(found[h])
-                last = h + 1
-            return b"".join(out)
-
-        docs, bodies, found, now = [], [], {}, None  # of one key
-        out_docs, out_ids = [], []
-
-        def close() -> None:
-            if bodies:
-                if bodies.count(bodies[0]) < len(bodies):
+        hot_ids, expand = shared.value[1], zstandard.ZstdDecompressor().decompress
+        sizes = np.append(hot_ids.size, 0)
+
+        def documents(rows: pa.Table) -> pa.RecordBatch:
+            """Whole keys: the rows of each document (several if it is repeated), then its tail by position."""
+            rows = rows.combine_chunks()
+            key, pos = rows["key"].to_numpy(), rows["pos"].to_numpy()
+            again = np.concatenate([[False], (key[1:] == key[:-1]) & (pos[1:] == pos[:-1])])
+            blobs, numbers_, docs = rows.filter(pa.array(pos < 0)), [], np.flatnonzero(pos < 0)
+            body = byte_strings(blobs["body"].combine_chunks() if blobs["body"].num_chunks != 1 else blobs["body"].chunk(0)) if len(docs) else []
+            for i, (raw, repeated) in enumerate(zip(body, again[docs].tolist(), strict=True)):
+                if not repeated:
+                    planes = np.frombuffer(expand(raw), "u1").reshape(3, -1).astype(np.int64)
+                    numbers_.append(planes[0] | planes[1] << 8 | planes[2] << 16)
+                elif raw != body[i - 1]:
                     raise ValueError("two documents share a key of 64 bits")
-                ids = ids_of(bodies[0], found)
-                out_docs.extend(docs)
-                out_ids.extend([ids] * len(docs))
-
+            n = np.concatenate([*numbers_, np.zeros(0, np.int64)])
+            found = rows["body"].filter(pa.array((pos >= 0) & ~again)).combine_chunks()
+            found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
+            own, size, holes = np.frombuffer(b"".join(byte_strings(found)), "<u4"), sizes[n], n == hole
+            if int(holes.sum()) != len(found):
+                raise ValueError("the tail of a document does not fit it")
+            size[holes] = np.asarray(pc.binary_length(found)) // 4
+            ends = np.cumsum(size)
+            out, start = np.empty(int(ends[-1]) if len(ends) else 0, "<u4"), ends - size
+            out[spans(start[~holes], size[~holes])] = gather(hot_ids.flat, hot_ids.start[n[~holes]], size[~holes])
+            out[spans(start[holes], size[holes])] = own
+            cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, numbers_)])] * 4
+            raw = out.tobytes()
+            ids = [raw[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+            of = np.cumsum(~again[docs]) - 1
+            return pa.record_batch({"doc_id": blobs["doc_id"].combine_chunks(), "ids": pa.array([ids[i] for i in of.tolist()], pa.binary())})
+
+        held: list[pa.RecordBatch] = []  # of keys that may go on in the next batch
         for b in batches:
-            for key, pos, d, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if key != now:
-                    close()
-                    docs, bodies, found, now = [], [], {}, key
-                    if len(out_docs) >= 500:
-                        yield pa.record_batch({"doc_id": pa.array(out_docs, pa.int64()), "ids": pa.array(out_ids, pa.binary())})
-                        out_docs, out_ids = [], []
-                if pos < 0:
-                    docs.append(d)
-                    bodies.append(body)
-                else:
-                    found[pos] = body
-        close()
-        yield pa.record_batch({"doc_id": pa.array(out_docs, pa.int64()), "ids": pa.array(out_ids, pa.binary())})
+            key = b.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))  # the keys of a partition are sorted
+            if last or (held and held[-1].column("key")[-1].as_py() != key[0]):
+                yield documents(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield documents(pa.Table.from_batches(held))
 
     schema = "key long, pos int, doc_id long, body binary"
     rest = in_buckets(texts.mapInArrow(tail, "bucket int, size int, words binary, at binary, keys binary")).mapInArrow(back, schema)
-    rows = texts.mapInArrow(numbered, schema).unionByName(rest)
+    rows = texts.mapInArrow(as_numbers, schema).unionByName(rest)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "key").sortWithinPartitions("key", "pos").mapInArrow(assemble, "doc_id long, ids binary")
 

@@ -17,23 +17,31 @@ empty table gives an empty store.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegraph.llm.bpe import tokenizer
+from tidegraph.llm.bpe import BYTES, gather, tokenizer
+from tidegraph.llm.wordtable import slices, split_blanks
 from tidegraph.scratch import materialize
 
 #: Ids that the rolling hash sees, mean distance of cuts, and bounds of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 512, 64, 4096
 FANOUT = 256
+#: Words that a generation of the cache holds.
+MEMORY = 600_000
+#: The punctuation marks of ASCII.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _caches: dict[str, WordCache] = {}
 
 
@@ -51,7 +59,14 @@ class WordCache:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters only: encoded many at a time and cut apart after each ending id."""
+        """Ids of words of letters only. Those that normalizing and splitting leave as they are come straight from the
+        vocabulary's merges; others are encoded many at a time and cut apart after each ending id."""
+        merge = self.tokenizer.model.tokenize
+        plain = [w.isascii() or (w == w.lower() and unicodedata.is_normalized("NFC", w)) for w in words]
+        others = iter(self._joined([w for w, p in zip(words, plain, strict=True) if not p]))
+        return [array("I", [t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(BYTES))]).tobytes() if p else next(others) for w, p in zip(words, plain, strict=True)]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
         lots = [words[i : i + 100] for i in range(0, len(words), 100)]
         out: list[bytes] = []
         for lot, ids in zip(lots, self._encode([" ".join(x) for x in lots]), strict=True):
@@ -78,10 +93,10 @@ class WordCache:
         return out
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.young) > 400_000:
+        if len(self.young) > MEMORY:
             self.old, self.young = self.young, {}
         bare: dict[str, None] = {}
-        marked, odd = [], []
+        marked, odd = [], []  # letters before marks, which the tokenizer takes apart; all else
         for w in words:
             if (x := self.old.get(w)) is not None:
                 self.young[w] = x
@@ -89,32 +104,38 @@ class WordCache:
             text = w.decode("utf-8", "replace")
             if text.isalpha():
                 bare[text] = None
-            elif text[-1] in ".,!?;:" and text[:-1].isalpha():
-                bare[text[:-1]] = None
-                marked.append((w, text[:-1].encode(), text[-1].encode()))
+            elif (body := text.rstrip(MARKS)).isalpha():
+                bare[body] = None
+                marked.append((w, body.encode(), text[len(body) :]))
             else:
                 odd.append((w, text))
-        if marked:
-            odd += [(c.encode(), c) for c in ".,!?;:" if c.encode() not in self.young]
+        odd += [(c.encode(), c) for c in {m for *_, m in marked} if c.encode() not in self.young]
         self.young.update(zip((t.encode() for t in bare), self._letters(list(bare)), strict=True))
         self.young.update(zip((w for w, _ in odd), self._others([t for _, t in odd]), strict=True))
         for w, body, mark in marked:
-            self.young[w] = self.young[body] + self.young[mark]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, 32 bits each. Lower-casing A-Z beforehand changes nothing but the names of special
-        tokens, so texts that might hold one are left as they are."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        out = [list(map(self.young.get, ws)) for ws in split]
-        gaps = [i for i, ids in enumerate(out) if None in ids]
-        while new := {w for i in gaps for w, x in zip(split[i], out[i], strict=True) if x is None}:
-            self._learn(new)
-            before = out
-            out = out.copy()
-            for i in gaps:
-                out[i] = [x if x is not None else self.young.get(w) for w, x in zip(split[i], before[i], strict=True)]
-            gaps = [i for i in gaps if None in out[i]]
-        return [b"".join(ids) for ids in out]
+            self.young[w] = self.young[body] + self.young[mark.encode()]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text. Lower-casing A-Z beforehand changes nothing but the names of special tokens, so texts
+        that might hold one are left as they are."""
+        special = np.asarray(pc.match_substring(texts.view(pa.string()), "<|"))
+        out: list[np.ndarray] = [None] * len(texts)
+        for lower in (True, False):
+            at = np.flatnonzero(special != lower)
+            if not len(at):
+                continue
+            w = split_blanks(texts.take(pa.array(at)), lower)
+            ids = list(map(self.young.get, w.table))
+            while new := {x for x, i in zip(w.table, ids, strict=True) if i is None}:
+                self._learn(new)  # may start a new generation, which need not have the words found before
+                ids = [i if i is not None else self.young.get(x) for x, i in zip(w.table, ids, strict=True)]
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+            sizes = size[w.codes]
+            flat, cut = gather(flat, start[w.codes], sizes), np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], w.ends])].tolist()
+            for i, a, b in zip(at.tolist(), cut, cut[1:], strict=False):
+                out[i] = flat[a:b]
+        return out
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -177,12 +198,12 @@ def write_store(docs: DataFrame, path: str, store: str, end_id: int = 1, id_col:
             _caches[path] = WordCache(path)
         cache, sent = _caches[path], set()
         piece = pa.struct([("address", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())])
-        for whole in batches:
-            for at in range(0, len(whole), 256):
-                b = whole.slice(at, 256)
+        for b in batches:
+            done = 0
+            for part in slices(b.column("raw")):
                 n, names, fresh = [], [], []
-                for raw in cache.encode(b.column("raw").to_pylist()):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
+                for own_ids in cache.encode(part):
+                    ids = np.append(own_ids, np.uint32(end_id))
                     small, last, own, new = ids.astype(dtype), 0, [], []
                     for c in cuts(ids):
                         payload = small[last:c].tobytes()
@@ -197,7 +218,8 @@ def write_store(docs: DataFrame, path: str, store: str, end_id: int = 1, id_col:
                     n.append(len(ids))
                     names.append(own)
                     fresh.append(new)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.list_(pa.binary())), pa.array(fresh, pa.list_(piece))], ["doc_id", "n_tokens", "addresses", "fresh"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(done, len(part)), pa.array(n, pa.int64()), pa.array(names, pa.list_(pa.binary())), pa.array(fresh, pa.list_(piece))], ["doc_id", "n_tokens", "addresses", "fresh"])
+                done += len(part)
 
     encoded = materialize(texts.mapInArrow(cut, "doc_id long, n_tokens long, addresses array<binary>, fresh array<struct<address:binary,n:int,payload:binary>>"), "encoded")
     chunks = encoded.select(F.inline("fresh")).groupBy("address").agg(F.first(F.struct("n", "payload")).alias("c")).select("address", "c.n", "c.payload")

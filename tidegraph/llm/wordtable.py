@@ -1,7 +1,9 @@
 """Distinct-word tables: counts of every word of a corpus, and the split into frequent words and the tail.
 
-Every distinct word is counted by a shuffle that gets each word once from each task. Words travel packed: sorted, by the
-bucket of their hash, compressed. The most frequent words, bounded in number and bytes, are small enough for every task
+Texts are split by Arrow, a bounded stretch of a batch at a time, into the distinct words of the stretch and a number for
+each occurrence, so that a Python object is made and looked up once for each distinct word only. Every distinct word is
+counted by a shuffle that gets each word once from each task. Words travel packed: sorted, by the bucket of their hash,
+compressed. The most frequent words, bounded in number and bytes, are small enough for every task
 to hold; the occurrences of all other words go to their buckets by a shuffle. Which way a word goes changes no result.
 """
 
@@ -9,9 +11,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -22,6 +26,67 @@ FLUSH, BUCKETS = 400_000, 1024
 #: Bounds of the frequent words: how many, bytes of each, bytes of all.
 HOT_WORDS, HOT_BYTES, HOT_TOTAL = 1 << 19, 1024, 32 << 20
 STEPS = 8  # count classes in each doubling
+LEVEL = 9  # of the compression of what is shuffled
+SLICE = 8 << 20  # bytes of text that are split at a time; a longer text is split alone
+
+
+@dataclass
+class Words:
+    """The words of some texts: the distinct ones, the number of each occurrence in order, how many each text has."""
+
+    table: list[bytes]
+    codes: np.ndarray
+    sizes: np.ndarray
+
+    @property
+    def ends(self) -> np.ndarray:
+        return np.cumsum(self.sizes)
+
+    @property
+    def starts(self) -> np.ndarray:
+        return self.ends - self.sizes
+
+    def mapped(self, numbers: dict[bytes, int], other: int) -> np.ndarray:
+        """The number of each occurrence, other for words that have none."""
+        get = numbers.get
+        return np.array([get(w, other) for w in self.table], np.int64)[self.codes]
+
+
+def slices(column: pa.Array) -> Iterator[pa.Array]:
+    """Stretches of about SLICE bytes of a binary column without nulls."""
+    size = np.cumsum(np.asarray(pc.binary_length(column)), dtype=np.int64)
+    cuts = (np.flatnonzero(np.diff(size // SLICE)) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(column)], strict=True):
+        if a < b:
+            yield column.slice(a, b - a)
+
+
+def byte_strings(column: pa.Array) -> list[bytes]:
+    """The values of a string or binary column without nulls."""
+    if not len(column):
+        return []
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, np.int32, len(column) + 1, 4 * column.offset).tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def numbered(words: pa.Array, sizes: np.ndarray) -> Words:
+    coded = words.dictionary_encode()
+    return Words(byte_strings(coded.dictionary), coded.indices.to_numpy(), sizes)
+
+
+def split_blanks(texts: pa.Array, lower: bool = True) -> Words:
+    """Words between the six ASCII white-space characters, with A-Z lower-cased."""
+    plain = texts.view(pa.string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(plain) if lower else plain)
+    words, sizes = lists.flatten(), np.asarray(pc.list_value_length(lists)).astype(np.int64)
+    full = np.asarray(pc.binary_length(words)) > 0  # outer white space leaves empty words
+    if not full.all():
+        before = np.concatenate([[0], np.cumsum(full)])
+        sizes = np.diff(before[np.concatenate([[0], np.cumsum(sizes)])])
+        words = words.filter(pa.array(full))
+    return numbered(words, sizes)
 
 
 def bucket_of(word: bytes) -> int:
@@ -30,7 +95,7 @@ def bucket_of(word: bytes) -> int:
 
 def pack(words: list[bytes]) -> bytes:
     sizes = np.fromiter(map(len, words), "<u4", len(words))
-    return zstandard.compress(sizes.tobytes() + b"".join(words), 3)
+    return zstandard.compress(sizes.tobytes() + b"".join(words), LEVEL)
 
 
 def unpack(blob: bytes, n: int) -> list[bytes]:
@@ -48,8 +113,8 @@ def dealt(words: Iterable[bytes]) -> dict[int, list[bytes]]:
     return out
 
 
-def count_words(texts: DataFrame, split: Callable[[bytes], Iterable[bytes]]) -> DataFrame:
-    """texts(text binary) to (word binary, n long) over all rows; split gives a text's words."""
+def count_words(texts: DataFrame, split: Callable[[pa.Array], Words]) -> DataFrame:
+    """texts(text binary, no nulls) to (word binary, n long) over all rows; split gives the words of some texts."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -62,8 +127,11 @@ def count_words(texts: DataFrame, split: Callable[[bytes], Iterable[bytes]]) ->
             return out
 
         for b in batches:
-            for t in b.column(0):
-                counts.update(split(t.as_py() or b""))
+            for part in slices(b.column(0)):
+                w = split(part)
+                get = counts.get
+                for word, n in zip(w.table, np.bincount(w.codes, minlength=len(w.table)).tolist(), strict=True):
+                    counts[word] = get(word, 0) + n
                 if len(counts) >= FLUSH:
                     yield flush()
         if counts:
