@@ -41,7 +41,7 @@ FANOUT = 256
 #: Words that a generation of the cache holds.
 MEMORY = 600_000
 #: The punctuation marks of ASCII.
-MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _caches: dict[str, WordCache] = {}
 
 
@@ -95,25 +95,32 @@ class WordCache:
     def _learn(self, words: set[bytes]) -> None:
         if len(self.young) > MEMORY:
             self.old, self.young = self.young, {}
-        bare: dict[str, None] = {}
-        marked, odd = [], []  # letters before marks, which the tokenizer takes apart; all else
+        young, old = self.young, self.old
+        bodies: dict[bytes, str] = {}  # of letters; marks behind them are taken apart by the tokenizer too
+        marked, odd = [], {}
         for w in words:
-            if (x := self.old.get(w)) is not None:
-                self.young[w] = x
+            if (x := old.get(w)) is not None:
+                young[w] = x
                 continue
-            text = w.decode("utf-8", "replace")
-            if text.isalpha():
-                bare[text] = None
-            elif (body := text.rstrip(MARKS)).isalpha():
-                bare[body] = None
-                marked.append((w, body.encode(), text[len(body) :]))
-            else:
-                odd.append((w, text))
-        odd += [(c.encode(), c) for c in {m for *_, m in marked} if c.encode() not in self.young]
-        self.young.update(zip((t.encode() for t in bare), self._letters(list(bare)), strict=True))
-        self.young.update(zip((w for w, _ in odd), self._others([t for _, t in odd]), strict=True))
-        for w, body, mark in marked:
-            self.young[w] = self.young[body] + self.young[mark.encode()]
+            body = w.rstrip(MARKS)
+            text = body.decode("utf-8", "replace")
+            if not text.isalpha():
+                odd[w] = None
+                continue
+            if body not in young:
+                if (x := old.get(body)) is not None:
+                    young[body] = x
+                else:
+                    bodies[body] = text
+            if len(body) < len(w):
+                marked.append(w)
+                if (mark := w[len(body) :]) not in young:
+                    odd[mark] = None
+        young.update(zip(bodies, self._letters(list(bodies.values())), strict=True))
+        young.update(zip(odd, self._others([w.decode("utf-8", "replace") for w in odd]), strict=True))
+        for w in marked:
+            body = w.rstrip(MARKS)
+            young[w] = young[body] + young[w[len(body) :]]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text. Lower-casing A-Z beforehand changes nothing but the names of special tokens, so texts
@@ -308,13 +315,17 @@ def read_digests(spark: SparkSession, store: str) -> DataFrame:
     def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for whole, own in zip(b.column("n_tokens").to_pylist(), b.column("own").to_pylist(), strict=True):
-                crc, n = 0, 0
-                for x in own or ():
-                    crc, n = crc_join(crc, x["crc"], 4 * x["n"]), n + x["n"]
+            own = b.column("own")
+            flat, ends = own.flatten(), np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(own), 0)))
+            crcs, sizes, at = flat.field("crc").to_pylist(), flat.field("n").to_pylist(), 0
+            for whole, end in zip(b.column("n_tokens").to_pylist(), ends.tolist(), strict=True):
+                crc, n = (crcs[at], sizes[at]) if end > at else (0, 0)
+                for i in range(at + 1, end):
+                    crc, n = crc_join(crc, crcs[i], 4 * sizes[i]), n + sizes[i]
                 if n != whole:
                     raise ValueError("a document's chunks do not add up")
                 out.append(crc)
+                at = end
             yield pa.record_batch({"doc_id": b.column("doc_id"), "start": b.column("start"), "n_tokens": b.column("n_tokens"), "ids_crc32": pa.array(out, pa.int64())})
 
     found = _references(recipes).join(chunks, "address").groupBy("part", "seq").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc"))).alias("own"))
