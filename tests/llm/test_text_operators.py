@@ -8,10 +8,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidegraph.llm import bpe, components, lm, lzprint, mixing, neardup, secrets, tokenstore
+from tidegraph.llm import bpe, components, lm, lzprint, mixing, neardup, secrets, tokenstore, wordtable
 from tidegraph.llm.queries import remainder, vocabulary
 from tidegraph.scratch import new_path
 
@@ -260,3 +261,19 @@ def test_gathered_stretches():
     flat = np.arange(10)
     assert bpe.gather(flat, np.array([3, 0, 9]), np.array([2, 0, 1])).tolist() == [3, 4, 9]
     assert bpe.gather(flat, np.array([], np.int64), np.array([], np.int64)).tolist() == []
+
+
+def test_words_are_split_alike():
+    rng = random.Random(6)
+    raw = [b"", b" ", b"A", b" a\x0b\x0cB  c\r\n", "É ß x\x1cy".encode()] + [bytes(rng.choice(b"aB \t\n\x0b\x0c\r\x1c") for _ in range(rng.randrange(9))) for _ in range(300)]
+    texts = pa.array(raw, pa.binary())
+    w = wordtable.split_blanks(texts)
+    assert [[w.table[c] for c in w.codes[s:e]] for s, e in zip(w.starts, w.ends, strict=True)] == [x.lower().split() for x in raw]
+    assert sum(map(len, wordtable.slices(texts))) == len(texts) and wordtable.byte_strings(texts.slice(3, 5)) == raw[3:8]
+
+
+def test_store_words_equal_the_library():
+    path = vocabulary("word_bpe_49k.json")
+    hard = ["Éa ǅ ß ẞ İs ﬁ Å é é ñ's can't a'' '' a'b", "²a a² a_b_ foo, foo. foo;! (foo) x…, x,…", "<|endoftext|>x X<|ENDOFTEXT|> <|endoftext|>", "A B c d 你好, 12,3", ""]
+    ids = tokenstore.WordCache(path).encode(pa.array([x.encode() for x in hard], pa.binary()))
+    assert [x.tolist() for x in ids] == [e.ids for e in bpe.tokenizer(path).encode_batch_fast(hard, add_special_tokens=False)]
