@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.wordtable import HOT_WORDS, LEVEL, Words, byte_strings, collect_hot, count_words, dealt, hot_from, in_buckets, is_hot, numbered, pack, slices, unpack
+from tidegraph.llm.wordtable import HOT_WORDS, LEVEL, Words, collect_hot, count_words, dealt, hot_from, in_buckets, is_hot, numbered, pack, slices, unpack
 from tidegraph.scratch import materialize
 
 #: Where a text may be cut: at a single space between two characters that are no white space (for Python, whose white
@@ -35,8 +35,11 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 SPACE = chr(BYTES[32])
 _OTHER_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
-#: Occurrences of words of the tail that a task holds before it hands them on, and words that are encoded in one go.
-FLUSH, LOT = 800_000, 100
+#: Occurrences of words of the tail that a task holds before it hands them on to the words' buckets or to the documents'
+#: partitions, and words that are encoded in one go.
+FLUSH, RETURN, LOT = 800_000, 500_000, 100
+RETURN_BYTES = 32 << 20  # of their ids
+RANGE, DOC_WORDS = 1 << 20, 1 << 20  # occurrences that a range of keys has on average; words of documents that are made at a time
 _loaded: dict[str, object] = {}
 
 
@@ -144,6 +147,68 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[spans(start, size)]
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, ..."""
+    return values.view("u1").reshape(len(values), -1).T.tobytes()
+
+
+def from_planes(raw: bytes, dtype: str) -> np.ndarray:
+    return np.frombuffer(raw, "u1").reshape(np.dtype(dtype).itemsize, -1).T.copy().view(dtype).ravel()
+
+
+def pack_found(key: np.ndarray, pos: np.ndarray, ids: pa.Array) -> bytes:
+    """Sorted keys, positions and ids of some occurrences, as little as zstandard makes of them."""
+    size = np.diff(np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)) // 4
+    flat = np.frombuffer(ids.buffers()[2] or b"", "<u4")
+    return zstandard.compress(planes(key.astype("<i8")) + planes(pos.astype("<u4")) + planes(size.astype("<u4")) + planes(flat), LEVEL)
+
+
+def unpack_found(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """n keys, positions and numbers of ids, and the ids end to end."""
+    raw = zstandard.decompress(blob)
+    return from_planes(raw[: 8 * n], "<i8"), from_planes(raw[8 * n : 12 * n], "<u4"), from_planes(raw[12 * n : 16 * n], "<u4"), from_planes(raw[16 * n :], "<u4")
+
+
+class _Tail:
+    """Occurrences of words of the tail by key and position; those of repeated documents are there once."""
+
+    def __init__(self):
+        self.more: list[tuple[np.ndarray, ...]] = []  # not sorted yet
+        self.held = self.limit = 0
+        self.key, self.pos, self.size = np.zeros(0, np.int64), np.zeros(0, "<u4"), np.zeros(0, "<u4")
+        self.start, self.ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def add(self, blob: bytes, n: int) -> None:
+        self.more.append(unpack_found(blob, n))
+        self.held += n
+        if self.held > max(2 * RANGE, 2 * self.limit):  # copies may be many
+            self._sort()
+            self.limit = len(self.key)
+
+    def _sort(self) -> None:
+        if not self.more:
+            return
+        key, pos, size, ids = (np.concatenate(c) for c in zip((self.key, self.pos, self.size, self.ids), *self.more, strict=True))
+        start = np.cumsum(size, dtype=np.int64) - size
+        by = np.lexsort((pos, key))
+        key, pos = key[by], pos[by]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])])
+        by = by[new]
+        self.key, self.pos, self.size = key[new], pos[new], size[by]
+        self.ids = gather(ids, start[by], self.size.astype(np.int64))
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.more, self.held = [], len(self.key)
+
+    def of(self, keys: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the occurrences of some documents start, and how many each has."""
+        self._sort()
+        a, b = np.searchsorted(self.key, keys), np.searchsorted(self.key, keys, side="right")
+        if not np.array_equal(b - a, need):
+            raise ValueError("the tail of a document does not fit it")
+        at = spans(a, need)
+        return self.start[at], self.size[at].astype(np.int64)
+
+
 def pieces(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary, in id order: at most as many as the vocabulary file has."""
     tok = tokenizer(path)
@@ -163,7 +228,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     1. All words are counted. The frequent ones are encoded, once each, and go to every task.
     2. Each text becomes the numbers of its words, with holes for words of the tail, and is dealt out by its key.
     3. Words of the tail go to the bucket of their hash, are encoded once each there, and come back to the key and the
-       position of every occurrence. Numbers and tail meet in one sorted partition and make the ids.
+       position of every occurrence, packed by ranges of keys. A task holds the tail of one range, sorted, while its
+       documents go by. The number of ranges grows with the tail, so that each is small.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
@@ -177,6 +243,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     hot = collect_hot(counts.where(is_hot(threshold)).mapInArrow(frequent, "word binary, n long, ids binary"), threshold)
     shared = spark.sparkContext.broadcast((hot["word"].to_pylist(), _Flat(hot["ids"].to_pylist(), "<u4")))
     hole = len(hot)  # the number that stands for a word of the tail
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rare = counts.where(~is_hot(threshold)).agg(F.sum("n")).first()[0] or 0
+    ranges = parts * max(1, -(-rare // (parts * RANGE)))  # each lies in one partition
     del hot
 
     def numbers() -> dict[bytes, int]:
@@ -191,10 +260,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             for part in slices(b.column(1)):
                 order, w = words_of(part)
                 ids, raws = b.column(0).slice(at, len(part)).take(pa.array(order)), part.take(pa.array(order)).to_pylist()
-                planes = np.ascontiguousarray(w.mapped(known, hole).astype("<u4").view("u1").reshape(-1, 4)[:, :3].T)
-                blob = [press(planes[:, s:e].tobytes()) for s, e in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
-                key = [_row_key(d, raw) for d, raw in zip(ids.to_pylist(), raws, strict=True)]
-                yield pa.record_batch({"key": pa.array(key, pa.int64()), "pos": pa.array([-1] * len(key), pa.int32()), "doc_id": ids, "body": pa.array(blob, pa.binary())})
+                three = np.ascontiguousarray(w.mapped(known, hole).astype("<u4").view("u1").reshape(-1, 4)[:, :3].T)
+                blob = [press(three[:, s:e].tobytes()) for s, e in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
+                key = np.array([_row_key(d, raw) for d, raw in zip(ids.to_pylist(), raws, strict=True)], np.int64)
+                yield pa.record_batch({"range": pa.array(key % ranges), "n": pa.array([-1] * len(key), pa.int32()), "key": pa.array(key), "doc_id": ids, "body": pa.array(blob, pa.binary())})
                 at += len(part)
 
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +310,19 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, made = None, {}
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []  # key, position and ids of occurrences
+
+        def flush() -> pa.RecordBatch:
+            key, pos = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            of = key % ranges
+            by = np.lexsort((pos, key, of))
+            key, pos, ids = key[by], pos[by], pa.concat_arrays([h[2] for h in held])
+            own, start = np.unique(of[by], return_index=True)
+            ends = [*start[1:].tolist(), len(by)]
+            blobs = [pack_found(key[s:e], pos[s:e], ids.take(pa.array(by[s:e]))) for s, e in zip(start.tolist(), ends, strict=True)]
+            held.clear()
+            return pa.record_batch({"range": pa.array(own), "n": pa.array(np.diff([*start, len(by)]).astype(np.int32)), "key": pa.nulls(len(own), pa.int64()), "doc_id": pa.nulls(len(own), pa.int64()), "body": pa.array(blobs, pa.binary())})
+
         for b in batches:
             for bucket, size, words, at, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket != now:
@@ -250,58 +332,64 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 made.update(zip(new, encode_words(new, path), strict=True))
                 raw = np.frombuffer(zstandard.decompress(at), "<u4")
                 ids = pa.array([made[w] for w in words], pa.binary()).take(pa.array(np.repeat(np.arange(size), raw[:size])))
-                yield pa.record_batch({"key": pa.array(np.frombuffer(keys, "<i8")), "pos": pa.array(raw[size:].astype(np.int32)), "doc_id": pa.nulls(len(ids), pa.int64()), "body": ids})
+                held.append((np.frombuffer(keys, "<i8"), raw[size:], ids))
+                if sum(len(h[0]) for h in held) >= RETURN or sum(h[2].nbytes for h in held) >= RETURN_BYTES:
+                    yield flush()
+        if held:
+            yield flush()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_ids, expand = shared.value[1], zstandard.ZstdDecompressor().decompress
         sizes = np.append(hot_ids.size, 0)
-
-        def documents(rows: pa.Table) -> pa.RecordBatch:
-            """Whole keys: the rows of each document (several if it is repeated), then its tail by position."""
-            rows = rows.combine_chunks()
-            key, pos = rows["key"].to_numpy(), rows["pos"].to_numpy()
-            again = np.concatenate([[False], (key[1:] == key[:-1]) & (pos[1:] == pos[:-1])])
-            blobs, numbers_, docs = rows.filter(pa.array(pos < 0)), [], np.flatnonzero(pos < 0)
-            body = byte_strings(blobs["body"].combine_chunks() if blobs["body"].num_chunks != 1 else blobs["body"].chunk(0)) if len(docs) else []
-            for i, (raw, repeated) in enumerate(zip(body, again[docs].tolist(), strict=True)):
-                if not repeated:
-                    planes = np.frombuffer(expand(raw), "u1").reshape(3, -1).astype(np.int64)
-                    numbers_.append(planes[0] | planes[1] << 8 | planes[2] << 16)
-                elif raw != body[i - 1]:
-                    raise ValueError("two documents share a key of 64 bits")
-            n = np.concatenate([*numbers_, np.zeros(0, np.int64)])
-            found = rows["body"].filter(pa.array((pos >= 0) & ~again)).combine_chunks()
-            found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
-            own, size, holes = np.frombuffer(b"".join(byte_strings(found)), "<u4"), sizes[n], n == hole
-            if int(holes.sum()) != len(found):
-                raise ValueError("the tail of a document does not fit it")
-            size[holes] = np.asarray(pc.binary_length(found)) // 4
+        now, tail = None, _Tail()
+        docs: list[tuple[int, int | None, bytes]] = []  # key, doc_id and the planes of numbers
+        words, before = 0, (None, b"")
+
+        def documents() -> pa.RecordBatch:
+            keys = np.array([d[0] for d in docs], np.int64)
+            numbers_ = [np.frombuffer(d[2], "u1").reshape(3, -1).astype(np.int64) for d in docs]
+            each = np.array([x.shape[1] for x in numbers_], np.int64)
+            three = np.concatenate(numbers_, axis=1)
+            n = three[0] | three[1] << 8 | three[2] << 16
+            holes = n == hole
+            need = np.diff(np.concatenate([[0], np.cumsum(holes)])[np.concatenate([[0], np.cumsum(each)])])
+            size, (own_start, own_size) = sizes[n], tail.of(keys, need)
+            size[holes] = own_size
             ends = np.cumsum(size)
             out, start = np.empty(int(ends[-1]) if len(ends) else 0, "<u4"), ends - size
             out[spans(start[~holes], size[~holes])] = gather(hot_ids.flat, hot_ids.start[n[~holes]], size[~holes])
-            out[spans(start[holes], size[holes])] = own
-            cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, numbers_)])] * 4
+            out[spans(start[holes], own_size)] = gather(tail.ids, own_start, own_size)
+            cuts = (np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(each)])] * 4).tolist()
             raw = out.tobytes()
-            ids = [raw[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
-            of = np.cumsum(~again[docs]) - 1
-            return pa.record_batch({"doc_id": blobs["doc_id"].combine_chunks(), "ids": pa.array([ids[i] for i in of.tolist()], pa.binary())})
+            made = pa.record_batch({"doc_id": pa.array([d[1] for d in docs], pa.int64()), "ids": pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
+            docs.clear()
+            return made
 
-        held: list[pa.RecordBatch] = []  # of keys that may go on in the next batch
         for b in batches:
-            key = b.column("key").to_numpy()
-            last = int(np.searchsorted(key, key[-1]))  # the keys of a partition are sorted
-            if last or (held and held[-1].column("key")[-1].as_py() != key[0]):
-                yield documents(pa.Table.from_batches([*held, b.slice(0, last)]))
-                held = []
-            held.append(b.slice(last))
-        if held:
-            yield documents(pa.Table.from_batches(held))
-
-    schema = "key long, pos int, doc_id long, body binary"
+            for range_, n, key, doc_id, body in zip(*b.columns, strict=True):
+                if range_.as_py() != now:
+                    if docs:
+                        yield documents()
+                    now, tail, words = range_.as_py(), _Tail(), 0
+                if (n := n.as_py()) >= 0:  # a range's tail comes before its documents
+                    tail.add(body.as_py(), n)
+                    continue
+                key, body = key.as_py(), body.as_py()
+                if key == before[0] and body != before[1]:
+                    raise ValueError("two documents share a key of 64 bits")
+                before = key, body
+                docs.append((key, doc_id.as_py(), expand(body)))
+                words += len(docs[-1][2]) // 3
+                if words >= DOC_WORDS:
+                    yield documents()
+                    words = 0
+        if docs:
+            yield documents()
+
+    schema = "range long, n int, key long, doc_id long, body binary"
     rest = in_buckets(texts.mapInArrow(tail, "bucket int, size int, words binary, at binary, keys binary")).mapInArrow(back, schema)
-    rows = texts.mapInArrow(as_numbers, schema).unionByName(rest)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "pos").mapInArrow(assemble, "doc_id long, ids binary")
+    rows = texts.mapInArrow(as_numbers, schema).unionByName(rest).repartitionById(parts, (F.col("range") % parts).cast("int"))
+    return rows.sortWithinPartitions("range", F.col("n").desc(), "key").mapInArrow(assemble, "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
