@@ -315,7 +315,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         def flush() -> pa.RecordBatch:
             key, pos = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             of = key % ranges
-            by = np.lexsort((pos, key, of))
+            by = np.lexsort((key, of))
             key, pos, ids = key[by], pos[by], pa.concat_arrays([h[2] for h in held])
             own, start = np.unique(of[by], return_index=True)
             ends = [*start[1:].tolist(), len(by)]

@@ -26,7 +26,7 @@ FLUSH, BUCKETS = 400_000, 1024
 #: Bounds of the frequent words: how many, bytes of each, bytes of all.
 HOT_WORDS, HOT_BYTES, HOT_TOTAL = 1 << 19, 1024, 32 << 20
 STEPS = 8  # count classes in each doubling
-LEVEL = 9  # of the compression of what is shuffled
+LEVEL = 3  # of the compression of what is shuffled
 SLICE = 8 << 20  # bytes of text that are split at a time; a longer text is split alone
 
 
