@@ -37,8 +37,9 @@ SPACE = chr(BYTES[32])
 _OTHER_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 #: Occurrences of words of the tail that a task holds before it hands them on to the words' buckets or to the documents'
 #: partitions, and words that are encoded in one go.
-FLUSH, RETURN, LOT = 800_000, 500_000, 100
-STRETCH = 64  # texts that are looked at together
+FLUSH, RETURN, LOT = 500_000, 300_000, 100
+TOGETHER = 64  # texts that are looked at together
+STRETCH, DISTINCT = 4 << 20, 200_000  # bytes of text that are split at a time, distinct words that a task counts before it hands them on
 RETURN_BYTES = 32 << 20  # of their ids
 RANGE, DOC_WORDS = 1 << 20, 1 << 20  # occurrences that a range of keys has on average; words of documents that are made at a time
 _loaded: dict[str, object] = {}
@@ -78,7 +79,7 @@ def _odd(texts: pa.Array) -> list[int]:
     _, ends, data = texts.buffers()
     at = np.frombuffer(ends, np.int32, len(texts) + 1, 4 * texts.offset)
     flat, out = memoryview(data or b""), []
-    cuts = [*range(0, len(texts), STRETCH), len(texts)]
+    cuts = [*range(0, len(texts), TOGETHER), len(texts)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         raw = bytes(flat[at[a] : at[b]])
         if not _surely_plain(raw):
@@ -261,7 +262,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    counts = materialize(count_words(texts.select("raw"), lambda part: words_of(part)[1]), "words")
+    counts = materialize(count_words(texts.select("raw"), lambda part: words_of(part)[1], DISTINCT, STRETCH), "words")
     threshold = hot_from(counts, most_hot)
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +286,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         known, press = numbers(), zstandard.ZstdCompressor(level=LEVEL).compress
         for b in batches:
             at = 0
-            for part in slices(b.column(1)):
+            for part in slices(b.column(1), STRETCH):
                 order, w = words_of(part)
                 ids, raws = b.column(0).slice(at, len(part)).take(pa.array(order)), part.take(pa.array(order)).to_pylist()
                 three = np.ascontiguousarray(w.mapped(known, hole).astype("<u4").view("u1").reshape(-1, 4)[:, :3].T)
@@ -315,12 +316,13 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 a = b
             index.clear()
             held.clear()
+            pa.default_memory_pool().release_unused()
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "size", "words", "at", "keys"])
 
         for b in batches:
             at = 0
-            for part in slices(b.column(1)):
+            for part in slices(b.column(1), STRETCH):
                 order, w = words_of(part)
                 rare = [w_ not in known for w_ in w.table]
                 local = np.array([index.setdefault(x, len(index)) if r else -1 for x, r in zip(w.table, rare, strict=True)], np.int64)[w.codes]

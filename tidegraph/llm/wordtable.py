@@ -52,10 +52,10 @@ class Words:
         return np.array([get(w, other) for w in self.table], np.int64)[self.codes]
 
 
-def slices(column: pa.Array) -> Iterator[pa.Array]:
-    """Stretches of about SLICE bytes of a binary column without nulls."""
+def slices(column: pa.Array, stretch: int = SLICE) -> Iterator[pa.Array]:
+    """Stretches of about as many bytes of a binary column without nulls."""
     size = np.cumsum(np.asarray(pc.binary_length(column)), dtype=np.int64)
-    cuts = (np.flatnonzero(np.diff(size // SLICE)) + 1).tolist()
+    cuts = (np.flatnonzero(np.diff(size // stretch)) + 1).tolist()
     for a, b in zip([0, *cuts], [*cuts, len(column)], strict=True):
         if a < b:
             yield column.slice(a, b - a)
@@ -113,8 +113,10 @@ def dealt(words: Iterable[bytes]) -> dict[int, list[bytes]]:
     return out
 
 
-def count_words(texts: DataFrame, split: Callable[[pa.Array], Words]) -> DataFrame:
-    """texts(text binary, no nulls) to (word binary, n long) over all rows; split gives the words of some texts."""
+def count_words(texts: DataFrame, split: Callable[[pa.Array], Words], most: int = FLUSH, stretch: int = SLICE) -> DataFrame:
+    """texts(text binary, no nulls) to (word binary, n long) over all rows; split gives the words of some texts.
+
+    A task holds most distinct words, and those of a stretch of text, at a time."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -127,13 +129,15 @@ def count_words(texts: DataFrame, split: Callable[[pa.Array], Words]) -> DataFra
             return out
 
         for b in batches:
-            for part in slices(b.column(0)):
+            for part in slices(b.column(0), stretch):
                 w = split(part)
                 get = counts.get
                 for word, n in zip(w.table, np.bincount(w.codes, minlength=len(w.table)).tolist(), strict=True):
                     counts[word] = get(word, 0) + n
-                if len(counts) >= FLUSH:
+                del w
+                if len(counts) >= most:
                     yield flush()
+                    pa.default_memory_pool().release_unused()
         if counts:
             yield flush()
 
