@@ -41,7 +41,7 @@ FLUSH, RETURN, LOT = 500_000, 300_000, 100
 TOGETHER = 64  # texts that are looked at together
 STRETCH, DISTINCT = 4 << 20, 200_000  # bytes of text that are split at a time, distinct words that a task counts before it hands them on
 RETURN_BYTES = 32 << 20  # of their ids
-RANGE, DOC_WORDS = 1 << 20, 1 << 20  # occurrences that a range of keys has on average; words of documents that are made at a time
+RANGE, DOC_WORDS = 1 << 18, 1 << 18  # occurrences that a range of keys has on average; words of documents that are made at a time
 _loaded: dict[str, object] = {}
 
 
@@ -270,7 +270,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             yield pa.record_batch({"word": b.column("word"), "n": b.column("n"), "ids": pa.array(encode_words(b.column("word").to_pylist(), path), pa.binary())})
 
     hot = collect_hot(counts.where(is_hot(threshold)).mapInArrow(frequent, "word binary, n long, ids binary"), threshold)
-    shared = spark.sparkContext.broadcast((hot["word"].to_pylist(), _Flat(hot["ids"].to_pylist(), "<u4")))
+    shared = spark.sparkContext.broadcast(hot["word"].to_pylist())
+    shared_ids = spark.sparkContext.broadcast(_Flat(hot["ids"].to_pylist(), "<u4"))  # tasks need one or the other
     hole = len(hot)  # the number that stands for a word of the tail
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rare = counts.where(~is_hot(threshold)).agg(F.sum("n")).first()[0] or 0
@@ -279,7 +280,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def numbers() -> dict[bytes, int]:
         if _loaded.get("hot of") is not shared:  # a worker gets the same object in all tasks
-            _loaded["hot of"], _loaded["hot"] = shared, {w: i for i, w in enumerate(shared.value[0])}
+            _loaded["hot of"], _loaded["hot"] = shared, {w: i for i, w in enumerate(shared.value)}
         return _loaded["hot"]
 
     def as_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +370,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             yield flush()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_ids, expand = shared.value[1], zstandard.ZstdDecompressor().decompress
+        hot_ids, expand = shared_ids.value, zstandard.ZstdDecompressor().decompress
         sizes = np.append(hot_ids.size, 0)
         now, tail = None, _Tail()
         docs: list[tuple[int, int | None, bytes]] = []  # key, doc_id and the planes of numbers
