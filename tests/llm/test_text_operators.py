@@ -277,3 +277,12 @@ def test_store_words_equal_the_library():
     hard = ["Éa ǅ ß ẞ İs ﬁ Å é é ñ's can't a'' '' a'b", "²a a² a_b_ foo, foo. foo;! (foo) x…, x,…", "<|endoftext|>x X<|ENDOFTEXT|> <|endoftext|>", "A B c d 你好, 12,3", ""]
     ids = tokenstore.WordCache(path).encode(pa.array([x.encode() for x in hard], pa.binary()))
     assert [x.tolist() for x in ids] == [e.ids for e in bpe.tokenizer(path).encode_batch_fast(hard, add_special_tokens=False)]
+
+
+def test_store_words_with_capitals_beside_special_marks():
+    path = vocabulary("word_bpe_49k.json")
+    texts = ["Hello THE <|note World. <|endoftext|> Foo,", "hello the world. foo,", "Hello THE World. Foo,"]
+    cache = tokenstore.WordCache(path)
+    for _ in range(2):  # the second time from the cache
+        ids = cache.encode(pa.array([x.encode() for x in texts], pa.binary()))
+        assert [x.tolist() for x in ids] == [e.ids for e in bpe.tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]

@@ -62,7 +62,7 @@ class WordCache:
         """Ids of words of letters only. Those that normalizing and splitting leave as they are come straight from the
         vocabulary's merges; others are encoded many at a time and cut apart after each ending id."""
         merge = self.tokenizer.model.tokenize
-        plain = [w.isascii() or (w == w.lower() and unicodedata.is_normalized("NFC", w)) for w in words]
+        plain = [w.islower() if w.isascii() else w == w.lower() and unicodedata.is_normalized("NFC", w) for w in words]
         others = iter(self._joined([w for w, p in zip(words, plain, strict=True) if not p]))
         return [array("I", [t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(BYTES))]).tobytes() if p else next(others) for w, p in zip(words, plain, strict=True)]
 
