@@ -286,3 +286,31 @@ def test_store_words_with_capitals_beside_special_marks():
     for _ in range(2):  # the second time from the cache
         ids = cache.encode(pa.array([x.encode() for x in texts], pa.binary()))
         assert [x.tolist() for x in ids] == [e.ids for e in bpe.tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize(("most_hot", "most_held", "filter_bits"), [(1 << 19, 1 << 19, 27), (50, 20, 8), (0, 0, 6)])
+def test_lm_has_all_pairs_and_triples(docs, most_hot, most_held, filter_bits):
+    out = by_id(lm.score(docs.unionByName(docs.where("doc_id = 60")), remainder(F.col("doc_id"), 7) != 2, least=2, most_hot=most_hot, most_held=most_held, filter_bits=filter_bits))
+    toks = {d: WORD.findall((t or "").translate(LOWER)) + ["\n"] for d, t, *_ in rows()}
+    number = {w: i for i, w in enumerate(sorted({w for t in toks.values() for w in t}))}
+    uni, pairs, triples, n_docs = (collections.Counter(), collections.Counter(), collections.Counter(), 0)
+    for d, t in toks.items():
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            for _ in range(2 if d == 60 else 1):
+                x, n_docs = [number[w] for w in t], n_docs + 1
+                uni.update(x)
+                x = [lm.BOS, *x]
+                pairs.update(a << lm.BITS | b for a, b in zip(x, x[1:], strict=False))
+                triples.update((a << lm.BITS | b) << lm.BITS | c for a, b, c in zip(x, x[1:], x[2:], strict=False))
+    root = {w: math.log10((uni[w] + 1) / (sum(uni.values()) + len(uni) + 1)) for w in number.values()}
+    enough = lambda c: {k: n for k, n in c.items() if n >= 2}
+    auto = lm.build(uni, root, enough(pairs), enough(triples), n_docs)
+    assert len(enough(pairs)) > 500 and len(enough(triples)) > 100
+    for d, t in toks.items():
+        total, state = 0.0, auto.start
+        for w in t:
+            weight, state = auto.step(state, number[w])
+            total += weight
+            if state < 0:
+                total, state = total + root[number[w]], auto.after.get(number[w], 0)
+        assert out[d].score == pytest.approx(total)

@@ -1,11 +1,16 @@
 """Language-model scores from a weighted backoff automaton.
 
-All words and the ends of texts are counted over the whole training corpus. Word pairs and triples are counted over the
-whole corpus among the most frequent words; those that occur often enough become states and arcs with absolutely
-discounted probabilities, and what they give up is the weight of a failure arc to the state of the shorter history. The
-root has an arc for every word, with add-one probabilities over all distinct words. One pass over a text from left to
-right carries the state. Words beyond the frequent ones fail to the root, and their root arcs' weights, which no task can
-hold all of, are joined by a shuffle and added: a sum doesn't ask for order.
+All words, word pairs and triples and the ends of texts are counted over the whole training corpus. The pairs and triples
+that occur often enough, of any words, become states and arcs with absolutely discounted probabilities, and what they give
+up is the weight of a failure arc to the state of the shorter history. The root has an arc for every word, with add-one
+probabilities over all distinct words.
+
+The state behind a word is the longest history of two words or one that has arcs, so a text's weight is a sum: for each
+word its root arc and, as a history, its failure; for each pair what its arc adds to that and its failure; for each triple
+what its arc adds. Nothing but these tables is needed, which grow with the corpus and which no task holds: tasks add the
+most frequent words, pairs and triples themselves and send the others to the tables by a shuffle. A filter of a bounded
+number of bits, which may only say yes too often, keeps most pairs and triples without arcs from travelling. Words beyond
+the frequent ones stand in pairs and triples by 62 bits of their hash.
 
 Nulls: a null text is empty and has one token, its end. Null ids train. Repeated rows count each time. An empty table
 gives no rows; without training rows every token is unknown (N = V = 0) and weighs log10(1 / 1).
@@ -23,13 +28,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.wordtable import HOT_WORDS, STEPS, Words, collect_hot, count_words, hot_from, is_hot, slices, split_blanks
+from tidegraph.llm.wordtable import HOT_BYTES, HOT_WORDS, STEPS, Words, collect_hot, count_words, hot_from, is_hot, slices, split_blanks
 from tidegraph.scratch import materialize
 
 #: The token at the end of every text; no word holds a line break.
 EOS = b"\n"
-#: Words that take part in states, the largest number of arcs beside the root's, and the discount.
-STATE_WORDS, MOST_ARCS, DISCOUNT = 1 << 13, 1 << 18, 0.75
+#: Pairs, and triples, that tasks hold; the largest filter (log2 of its bits); the discount.
+MOST_HELD, FILTER_BITS, DISCOUNT = 1 << 19, 27, 0.75
+STRETCH = 4 << 20  # bytes of text whose pairs and triples are looked at together
 BITS = 20  # of a word's number in a key
 BOS = (1 << BITS) - 1
 _cache: dict = {}
@@ -43,7 +49,8 @@ def tokens_of(texts: pa.Array) -> Words:
 
 @dataclass
 class Automaton:
-    """Arcs (state, word) to (weight, next state); failure weight and state of each state; state of a single word."""
+    """The model in one process: arcs (state, word) to (weight, next state); failure weight and state of each state; state
+    of a single word. score() gives the same sums from tables."""
 
     arcs: dict[int, tuple[float, int]] = field(default_factory=dict)  # key: state << BITS | word
     fail: list[tuple[float, int]] = field(default_factory=lambda: [(0.0, 0)])  # by state; 0 is the root
@@ -97,22 +104,70 @@ def build(unigram: dict[int, int], log_root: dict[int, float], pairs: dict[int,
     return a
 
 
-def _frequent(keys: DataFrame, most: int, least: int) -> DataFrame:
-    """Rows (key, n) with n of at least `least`, and more where over `most` rows would remain."""
-    sums = materialize(keys.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "ngrams")
-    classes = sums.groupBy(F.floor(F.log2(F.col("n").cast("double")) * STEPS).alias("k")).agg(F.count("*").alias("c"), F.min("n").alias("n")).collect()
+def word_id(word: bytes) -> int:
+    """Of a word beyond the frequent ones, whose ids are 0 and above; -1 stands for words that are in no arc."""
+    return -2 - (xxhash.xxh3_64_intdigest(word) >> 2)
+
+
+def spots(x: np.ndarray, y: np.ndarray, z: np.ndarray, bits: int) -> np.ndarray:
+    """Places of pairs and triples in a filter."""
+    h = np.zeros(len(x), np.uint64)
+    for part in (x, y, z):
+        h = (h + part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def make_filter(arcs: DataFrame, most: int) -> tuple[int, np.ndarray]:
+    """log2 of the number of bits, and the bits, of a filter that has all arcs(x, y, z)."""
+    bits = min(most, max(12, (16 * arcs.count()).bit_length()))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(spots(*(c.to_numpy() for c in b.columns), bits))
+            if len(at):
+                slot, first = np.unique(at >> 6, return_index=True)
+                yield pa.record_batch({"slot": pa.array(slot), "word": pa.array(np.bitwise_or.reduceat(np.left_shift(np.int64(1), at & 63), first))})
+
+    found = arcs.select("x", "y", "z").mapInArrow(part, "slot long, word long").groupBy("slot").agg(F.bit_or("word").alias("word")).toArrow()
+    out = np.zeros(1 << bits - 6, np.int64)  # at most 1 << most bits
+    out[found["slot"].to_numpy()] = found["word"].to_numpy()
+    return bits, out
+
+
+def passes(made: tuple[int, np.ndarray], x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    at = spots(x, y, z, made[0])
+    return made[1][at >> 6] >> (at & 63) & 1 == 1
+
+
+def held_arcs(arcs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, sorted, and values of the most frequent arcs(x, y, z, n, v) of frequent words: most at most."""
+    known = arcs.where("x >= 0 and y >= 0 and z >= 0")
+    kind = F.floor(F.log2(F.col("n").cast("double")) * STEPS)
     total, cut = 0, 1 << 62
-    for r in sorted(classes, key=lambda r: -r.k):
+    for r in sorted(known.groupBy(kind.alias("k")).agg(F.count("*").alias("c"), F.min("n").alias("n")).collect(), key=lambda r: -r.k):
         if (total := total + r.c) > most:
             break
         cut = r.n
-    return sums.where(F.col("n") >= cut)
+    found = known.where(F.col("n") >= cut).select("x", "y", "z", "v").toArrow()
+    x, y, z, v = (c.to_numpy() for c in found.columns)
+    key = x << 2 * BITS | y << BITS | z
+    order = np.argsort(key)
+    return key[order], v[order]
+
 
+def discounted(sums: Column, arcs: Column, total: Column) -> Column:
+    """Failure weight of a history whose arcs have so many occurrences."""
+    return F.log10(F.greatest(1 - (sums - DISCOUNT * arcs) / total, F.lit(1e-12)))
 
-def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", state_words: int = STATE_WORDS, most_arcs: int = MOST_ARCS, least: int = 4, most_hot: int = HOT_WORDS) -> DataFrame:
+
+def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", least: int = 4, most_hot: int = HOT_WORDS, most_held: int = MOST_HELD, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row for each row of docs: doc_id, trains, n_tokens, n_known, train_tokens, base_score, score.
 
-    trains: which rows the model learns from. least: the count from which a pair or triple is an arc.
+    trains: which rows the model learns from. least: the count from which a pair or triple is an arc. The others bound what
+    tasks hold and change no result.
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"), F.coalesce(trains, F.lit(True)).alias("trains"))
@@ -137,97 +192,160 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     def held_words() -> dict[bytes, int]:
         return load("words", shared_words, lambda words: {w: i for i, w in enumerate(words)})
 
-    def counted(make):
+    frequent = int((uni >= least).sum())  # hot words are numbered from the most frequent one
+    none = np.zeros(0, np.int64)
+
+    def ids_of(w: Words) -> np.ndarray:
+        """The texts one after another, each behind its BOS. A word that is too rare for an arc is -1."""
+        known = held_words()
+        rare = threshold <= least
+        ids = [-1 if i is not None and i >= frequent else i if i is not None else -1 if rare and len(t) <= HOT_BYTES else word_id(t) for t, i in zip(w.table, map(known.get, w.table), strict=True)]
+        return np.insert(np.array(ids, np.int64)[w.codes], w.starts, BOS)
+
+    def pairs_of(x: np.ndarray) -> np.ndarray:
+        """Places of the first words."""
+        return np.flatnonzero((x[:-1] != -1) & (x[1:] != -1) & (x[1:] != BOS))
+
+    def triples_of(x: np.ndarray, made) -> np.ndarray:
+        """Both pairs of a triple that is an arc are arcs."""
+        at = pairs_of(x)
+        y = x[at + 1]
+        at = at[passes(made, x[at], y, np.full(len(at), BOS))]
+        return at[:-1][np.diff(at) == 1] if len(at) else none
+
+    def counted(shared_filter=None) -> DataFrame:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = held_words()
             held, size = [], 0
 
+            def rows_of(x, y, z, n):
+                return pa.record_batch({c: pa.array(v, pa.int64()) for c, v in zip("xyzn", (x, y, z, n), strict=True)})
+
             def flush():
                 keys, n = np.unique(np.concatenate(held), return_counts=True)
-                return pa.record_batch({"key": pa.array(keys, pa.int64()), "n": pa.array(n.astype(np.int64))})
+                return rows_of(keys >> 2 * BITS, keys >> BITS & BOS, keys & BOS, n)
 
             for b in batches:
-                for part in slices(b.column(0)):
-                    w = tokens_of(part)
-                    held.append(make(np.insert(w.mapped(known, -1), w.starts, BOS)))
+                for part in slices(b.column(0), STRETCH):
+                    ids = ids_of(tokens_of(part))
+                    at = pairs_of(ids) if shared_filter is None else triples_of(ids, load("filter", shared_filter))
+                    x, y = ids[at], ids[at + 1]
+                    z = np.full(len(at), BOS) if shared_filter is None else ids[at + 2]
+                    hot_only = (x >= 0) & (y >= 0) & (z >= 0)
+                    held.append((x << 2 * BITS | y << BITS | z)[hot_only])
                     size += len(held[-1])
+                    if not hot_only.all():
+                        x, y, z = x[~hot_only], y[~hot_only], z[~hot_only]
+                        yield rows_of(x, y, z, np.ones(len(x), np.int64))
                     if size > 4_000_000:
                         yield flush()
                         held, size = [], 0
             if held:
                 yield flush()
 
-        return training.mapInArrow(partial, "key long, n long")
+        sums = training.mapInArrow(partial, "x long, y long, z long, n long").groupBy("x", "y", "z").agg(F.sum("n").alias("n"))
+        return materialize(sums.where(F.col("n") >= least), "ngrams")
 
-    def fits(x: np.ndarray) -> np.ndarray:
-        return (x >= 0) & ((x < state_words) | (x == BOS))
-
-    def pair_keys(x: np.ndarray) -> np.ndarray:
-        a, b = x[:-1], x[1:]  # the texts one after another, each behind its BOS
-        return (a << BITS | b)[fits(a) & fits(b) & (b != BOS)]
-
-    def collected(keys: DataFrame) -> tuple[list[int], list[int]]:
-        found = _frequent(keys, most_arcs // 2, least).toArrow()  # most_arcs / 2 rows of two numbers at most
-        return found["key"].to_pylist(), found["n"].to_pylist()
-
-    pairs = dict(zip(*collected(counted(pair_keys)), strict=True))
-    by_place = sorted(pairs)
-    shared_pairs = sc.broadcast(np.array(by_place, np.int64))
-
-    def triple_keys(x: np.ndarray) -> np.ndarray:
-        # A triple that is frequent enough has pairs that are; the pair's place stands for it, so a key fits 64 bits.
-        known = load("pairs", shared_pairs)
-        if len(x) < 3 or not len(known):
-            return np.zeros(0, np.int64)
-        k = np.where(fits(x[:-1]) & fits(x[1:]) & (x[1:] != BOS), x[:-1] << BITS | x[1:], -1)
-        at = np.minimum(np.searchsorted(known, k), len(known) - 1)
-        is_pair = known[at] == k
-        return (at[:-1] << BITS | x[2:])[is_pair[:-1] & is_pair[1:]]
-
-    triples = {by_place[k >> BITS] << BITS | k & BOS: n for k, n in zip(*collected(counted(triple_keys)), strict=True)} if pairs else {}
-    shared_model = sc.broadcast((build(dict(enumerate(uni[:state_words].tolist())), dict(enumerate(log_root[:state_words].tolist())), pairs, triples, ends), log_root))
+    def with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch({"id": pa.array(map(word_id, b.column(0).to_pylist()), pa.int64()), "word": b.column(0), "n": b.column(1)})
+
+    root_of = F.log10((F.col("n") + 1) / F.lit(float(N + V + 1)))
+    cold = counts.where(~is_hot(threshold))
+    tail_words = cold.where(F.col("n") >= least).select("word", "n").mapInArrow(with_ids, "id long, word binary, n long")
+    pairs = counted()
+
+    # Failure weights of single words: an array for the frequent ones and BOS, a table for the others.
+    by_word = pairs.groupBy(F.col("x").alias("id")).agg(F.sum("n").alias("sums"), F.count("*").alias("arcs"))
+    got = by_word.where("id >= 0").toArrow()  # a row for each frequent word at most
+    total = np.append(uni, ends).astype(np.float64)
+    at = got["id"].to_numpy()
+    at = np.where(at == BOS, len(uni), at)
+    fail = np.zeros(len(uni) + 1)
+    fail[at] = np.log10(np.maximum(1 - (got["sums"].to_numpy() - DISCOUNT * got["arcs"].to_numpy()) / total[at], 1e-12))
+    shared_words_of = sc.broadcast((total, fail, np.append(log_root, 0.0)))
+    tail_fail = materialize(by_word.where("id < 0").join(tail_words, "id").select("id", "word", F.col("n").cast("double").alias("total"), discounted(F.col("sums"), F.col("arcs"), F.col("n")).alias("fail")), "failures")
+
+    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, fail, root = shared_words_of.value
+        for b in batches:
+            x, y = b.column(0).to_numpy(), b.column(1).to_numpy()
+            first, second = np.where((x == BOS) | (x < 0), len(total) - 1, x), np.where(y < 0, len(total) - 1, y)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total[first]), pa.array(fail[first]), pa.array(root[second])], ["x", "y", "n", "total", "fail", "root"])
+
+    def filled(rows: DataFrame, key: str, words: DataFrame) -> DataFrame:
+        """rows with the values of words(id, ...) where their key is a word beyond the frequent ones."""
+        names = [c for c in words.columns if c != "id"]
+        found = rows.where(F.col(key) < 0).drop(*names).join(words.withColumnRenamed("id", key), key)
+        return rows.where(F.col(key) >= 0).unionByName(found)
+
+    weighed = pairs.select("x", "y", "n").mapInArrow(attach, "x long, y long, n long, total double, fail double, root double")
+    weighed = filled(filled(weighed, "x", tail_fail.drop("word")), "y", tail_words.select("id", root_of.alias("root")))
+    low = F.log10((F.col("n") - DISCOUNT) / F.col("total") + F.pow(F.lit(10.0), F.col("fail") + F.col("root")))
+    weighed = materialize(weighed.select("x", "y", "n", low.alias("low"), (low - F.col("fail") - F.col("root")).alias("v")), "pairs")
+
+    triples = counted(sc.broadcast(make_filter(pairs, filter_bits)))
+    by_pair = triples.groupBy("x", "y").agg(F.sum("n").alias("sums"), F.count("*").alias("arcs"))
+    second = weighed.join(by_pair, ["x", "y"], "left").select("x", "y", "n", "low", "v", F.when(F.col("sums").isNull(), 0.0).otherwise(discounted(F.col("sums"), F.col("arcs"), F.col("n"))).alias("fail"))
+    second = materialize(second, "pairs")
+    third = triples.join(second.select("x", "y", F.col("n").alias("total"), "fail"), ["x", "y"]).join(weighed.select(F.col("x").alias("y"), F.col("y").alias("z"), "low"), ["y", "z"])
+    high = F.log10((F.col("n") - DISCOUNT) / F.col("total") + F.pow(F.lit(10.0), F.col("fail") + F.col("low")))
+    third = third.select("x", "y", "z", "n", (high - F.col("fail") - F.col("low")).alias("v"))
+    arcs = materialize(second.select("x", "y", F.lit(BOS).cast("long").alias("z"), "n", (F.col("v") + F.col("fail")).alias("v")).unionByName(third), "arcs")
+    shared_arcs = sc.broadcast((held_arcs(arcs.where(F.col("z") == BOS), most_held), held_arcs(arcs.where(F.col("z") != BOS), most_held), make_filter(arcs, filter_bits)))
+
+    def looked_up(ids: np.ndarray):
+        """For the pairs, then the triples: place of the first word, third word, value where it is held, whether it is."""
+        *tables, made = load("arcs", shared_arcs)
+        at = pairs_of(ids)
+        for k, (keys, values) in enumerate(tables):
+            if k:
+                at = at[:-1][np.diff(at) == 1]
+            x, y, z = ids[at], ids[at + 1], ids[at + 2] if k else np.full(len(at), BOS)
+            key = np.where((x >= 0) & (y >= 0) & (z >= 0), x << 2 * BITS | y << BITS | z, -1)
+            place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            hit = keys[place] == key if len(keys) else np.zeros(len(at), bool)
+            rest = np.flatnonzero(~hit)
+            rest = rest[passes(made, x[rest], y[rest], z[rest])]
+            yield at[hit], values[place[hit]], at[rest], (x[rest], y[rest], z[rest])
 
     def key_of(d, raw: bytes) -> int:
         return xxhash.xxh3_64_intdigest(raw, seed=0 if d is None else d & (1 << 64) - 1) - (1 << 63)
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held_words()
-        auto, root = load("model", shared_model, lambda m: (m[0], m[1].tolist()))
-        weights = np.append(shared_model.value[1], 0.0)  # the last stands for words of the tail
-        arcs, fail, after = auto.arcs.get, auto.fail, auto.after.get
-
-        def path(words: list[int]) -> float:
-            total, state = 0.0, auto.start
-            for w in words:
-                if w < 0:  # of the tail: no state knows it
-                    while state:
-                        weight, state = fail[state]
-                        total += weight
-                    continue
-                while state:
-                    if found := arcs(state << BITS | w):
-                        weight, state = found
-                        total += weight
-                        break
-                    weight, state = fail[state]
-                    total += weight
-                else:
-                    total += root[w]
-                    state = after(w, 0)
-            return total
-
+        _, fail, root = shared_words_of.value  # the last root weight stands for words of the tail
         for b in batches:
             at = 0
-            for part in slices(b.column("raw")):
+            for part in slices(b.column("raw"), STRETCH):
                 w = tokens_of(part)
                 x, starts = w.mapped(known, -1), w.starts
-                numbers, ids = x.tolist(), b.column("doc_id").slice(at, len(part))
+                ids = b.column("doc_id").slice(at, len(part))
                 key = [key_of(d, raw) for d, raw in zip(ids.to_pylist(), part.to_pylist(), strict=True)]
-                total = [path(numbers[s:e]) for s, e in zip(starts.tolist(), w.ends.tolist(), strict=True)]
-                cols = (ids, pa.array(key, pa.int64()), b.column("trains").slice(at, len(part)), pa.array(w.sizes, pa.int64()), pa.array(np.add.reduceat((x >= 0).astype(np.int64), starts)), pa.array(np.add.reduceat(weights[x], starts)), pa.array(total, pa.float64()))
+                base = np.add.reduceat(root[x], starts)
+                extra = fail[-1] + np.add.reduceat(np.append(fail[:-1], 0.0)[x], starts)
+                begins = starts + np.arange(len(part))  # each text behind its BOS
+                for hit, values, *_ in looked_up(ids_of(w)):
+                    extra += np.bincount(np.searchsorted(begins, hit, side="right") - 1, values, len(part))
+                cols = (ids, pa.array(key, pa.int64()), b.column("trains").slice(at, len(part)), pa.array(w.sizes, pa.int64()), pa.array(np.add.reduceat((x >= 0).astype(np.int64), starts)), pa.array(base), pa.array(base + extra))
                 yield pa.RecordBatch.from_arrays(list(cols), ["doc_id", "key", "trains", "n_tokens", "known", "base", "total"])
                 at += len(part)
 
+    def missed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs and triples that may be arcs and aren't held. A row of docs marks one of its own as its first."""
+        for b in batches:
+            at = 0
+            for part in slices(b.column("raw"), STRETCH):
+                w = tokens_of(part)
+                begins = w.starts + np.arange(len(part))
+                found = [(rest, *words) for _, _, rest, words in looked_up(ids_of(w))]
+                place, x, y, z = (np.concatenate(c) for c in zip(*found, strict=True))
+                doc = np.searchsorted(begins, place, side="right") - 1
+                first = np.zeros(len(doc), np.int64)
+                first[np.unique(doc, return_index=True)[1]] = 1
+                key = np.array([key_of(d, raw) for d, raw in zip(b.column("doc_id").slice(at, len(part)).to_pylist(), part.to_pylist(), strict=True)], np.int64)
+                yield pa.record_batch({"key": pa.array(key[doc]), "x": pa.array(x), "y": pa.array(y), "z": pa.array(z), "first": pa.array(first)})
+                at += len(part)
+
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = held_words()
         for b in batches:
@@ -243,13 +361,16 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     # Repeated rows share a key, so their tails are counted once for each and divided by the number of rows.
     heads = rows.mapInArrow(traverse, "doc_id long, key long, trains boolean, n_tokens long, known long, base double, total double")
     found = rows.select("doc_id", "raw").mapInArrow(tail, "key long, word binary")
-    found = found.join(counts.where(~is_hot(threshold)), "word", "left")
+    found = found.join(cold.join(tail_fail.select("word", "fail"), "word", "left"), "word", "left")
     rest = found.groupBy("key").agg(
         F.count("*").alias("rest"),
         F.count("n").alias("rest_known"),
         F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(N + V + 1)))).alias("rest_log"),
+        F.sum("fail").alias("rest_fail"),
     )
-    out = heads.join(rest, "key", "left")
+    sent = rows.select("doc_id", "raw").mapInArrow(missed, "key long, x long, y long, z long, first long")
+    more = sent.join(arcs.select("x", "y", "z", "v"), ["x", "y", "z"], "left").groupBy("key").agg((F.sum("v") / F.sum("first")).alias("more"))
+    out = heads.join(rest, "key", "left").join(more, "key", "left")
     # n_tokens - known tokens of the tail belong to each row of a key; repeated rows have equal ones.
     part = F.coalesce((F.col("n_tokens") - F.col("known")) / F.col("rest"), F.lit(0.0))
     log_rest = F.coalesce(F.col("rest_log") * part, F.lit(0.0))
@@ -258,5 +379,5 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
         (F.col("known") + F.coalesce(F.round(F.col("rest_known") * part), F.lit(0)).cast("long")).alias("n_known"),
         F.lit(N).cast("long").alias("train_tokens"),
         (F.col("base") + log_rest).alias("base_score"),
-        (F.col("total") + log_rest).alias("score"),
+        (F.col("total") + log_rest + F.coalesce(F.col("rest_fail") * part, F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
