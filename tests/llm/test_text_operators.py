@@ -120,11 +120,16 @@ def test_components_of_a_long_path(spark):
     assert {tuple(r) for r in components.components(links).collect()} == {(i, 0) for i in range(201)} | {(400, 400), (500, 400)}
 
 
-@pytest.mark.parametrize("most_hot", [0, 40, 1 << 19])
-def test_bpe_equals_the_library(docs, empty, most_hot):
+@pytest.mark.parametrize(("chunk", "share", "together"), [(16 << 20, 16 << 20, 1 << 19), (1500, 4000, 100)])
+def test_bpe_equals_the_library(docs, empty, monkeypatch, chunk, share, together):
+    monkeypatch.setattr(wordtable, "CHUNK", chunk)
+    monkeypatch.setattr(wordtable, "SHARE", share)
+    monkeypatch.setattr(bpe, "TOGETHER_WORDS", together)
     path = vocabulary("byte_bpe_50k.json")
     tok = bpe.tokenizer(path)
-    out = by_id(bpe.decode_documents(bpe.encode_documents(docs.unionByName(docs.limit(20)), path, most_hot=most_hot), path))
+    encoded = bpe.encode_documents(docs.unionByName(docs.limit(20)), path)
+    assert encoded.count() == docs.count() + 20
+    out = by_id(bpe.decode_documents(encoded, path))
     for d, t, *_ in rows():
         ids = tok.encode(t or "", add_special_tokens=False).ids
         assert np.frombuffer(out[d].ids, "<u4").tolist() == ids
@@ -225,42 +230,63 @@ def test_joined_crcs():
         assert tokenstore.crc_join(zlib.crc32(a), zlib.crc32(b), n) == zlib.crc32(a + b)
 
 
-@pytest.mark.parametrize("most_hot", [0, 50, 1 << 19])
-def test_lm_counts_and_probabilities(docs, empty, most_hot):
-    out = by_id(lm.score(docs.unionByName(docs.where("doc_id = 60")), remainder(F.col("doc_id"), 7) != 2, least=2, most_hot=most_hot))
-    toks = {d: WORD.findall((t or "").translate(LOWER)) + ["\n"] for d, t, *_ in rows()}
-    count = collections.Counter()
+class BackOff:
+    """A back-off model of words, pairs and triples by dictionaries."""
+
+    def __init__(self, texts, strength):
+        self.strength, self.texts = strength, len(texts)
+        self.n = collections.Counter(tuple(x[i - k : i]) for t in texts for x in [["", *t]] for k in (1, 2, 3) for i in range(max(2, k), len(x) + 1))
+        self.total = sum(len(t) for t in texts)
+        self.words = sum(len(k) == 1 for k in self.n)
+
+    def prob(self, *gram):
+        if len(gram) == 1:
+            return (self.n[gram] + 1) / (self.total + self.words + 1)
+        seen = self.texts if gram[:-1] == ("",) else self.n[gram[:-1]]
+        return (self.n[gram] + self.strength * self.prob(*gram[1:])) / (seen + self.strength)
+
+    def score(self, text):
+        x = ["", *text]
+        return sum(math.log10(self.prob(*x[max(0, i - 2) : i + 1])) for i in range(1, len(x)))
+
+
+@pytest.mark.parametrize(("chunk", "share"), [(16 << 20, 16 << 20), (1500, 4000)])
+def test_lm_equals_dictionaries(docs, empty, spark, monkeypatch, chunk, share):
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(wordtable, "SHARE", share)
+    more = docs.unionByName(docs.where("doc_id = 60")).unionByName(spark.createDataFrame([(None, "one two two", "", "", 0)] * 2, SCHEMA))
+    out = by_id(lm.score(more, remainder(F.col("doc_id"), 7) != 2))
+    toks = {d: WORD.findall((t or "").translate(LOWER)) + ["\n"] for d, t, *_ in [*rows(), (None, "one two two")]}
+    trained = [t for d, t in toks.items() for _ in range(2 if d in (60, None) else 1) if zlib.crc32(str(d or ("" if d is None else d)).encode()) % 7 != 2]
+    model = BackOff(trained, lm.STRENGTH)
+    assert len(out) == len(toks)
     for d, t in toks.items():
-        if zlib.crc32(str(d).encode()) % 7 != 2:
-            count.update(t * (2 if d == 60 else 1))
-    n, v = sum(count.values()), len(count)
-    for d, t in toks.items():
-        base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t)
         r = out[d]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(count[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(base) and r.score < 0
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(model.n[(w,)] > 0 for w in t), model.total)
+        assert r.base_score == pytest.approx(sum(math.log10(model.prob(w)) for w in t), rel=1e-9)
+        assert r.score == pytest.approx(model.score(t), rel=1e-9)
+    assert more.count() == lm.score(more, F.lit(True)).count()
     assert lm.score(empty, F.lit(True)).count() == 0
+    none = lm.score(docs, F.lit(False)).first()
+    assert (none.n_known, none.train_tokens, none.base_score, none.score) == (0, 0, 0.0, 0.0)
 
 
-def test_automaton_is_a_distribution():
-    uni, words = {0: 50, 1: 30, 2: 20}, range(3)
-    root = {w: math.log10((uni[w] + 1) / (100 + 3)) for w in words}
-    pair = lambda a, b: a << lm.BITS | b
-    pairs = {pair(0, 1): 20, pair(1, 0): 12, pair(lm.BOS, 0): 5, pair(0, 0): 6}
-    auto = lm.build(uni, root, pairs, {pair(0, 1) << lm.BITS | 0: 8, pair(lm.BOS, 0) << lm.BITS | 1: 3}, 10)
-    for state in range(len(auto.fail)):
-        total = 0.0
-        for w in words:
-            weight, to = auto.step(state, w)
-            total += 10 ** (weight + (root[w] if to < 0 else 0))
-        assert total == pytest.approx(1.0, abs=1e-9)
-    assert auto.step(auto.start, 0)[1] > 0
+def test_lm_probabilities_add_up():
+    model = BackOff([["a", "b", "\n"], ["a", "c", "a", "b", "\n"]], lm.STRENGTH)
+    words = [k[0] for k in model.n if len(k) == 1]
+    unknown = 1 / (model.total + model.words + 1)  # of every word that the root does not have
+    for history in ([""], ["a"], ["", "a"], ["a", "b"], ["b", "a"]):
+        left = unknown
+        for k in range(len(history), 0, -1):
+            seen = model.texts if history[-k:] == [""] else model.n[tuple(history[-k:])]
+            left *= model.strength / (seen + model.strength)
+        assert sum(model.prob(*history, w) for w in words) + left == pytest.approx(1.0)
 
 
 def test_gathered_stretches():
     flat = np.arange(10)
-    assert bpe.gather(flat, np.array([3, 0, 9]), np.array([2, 0, 1])).tolist() == [3, 4, 9]
-    assert bpe.gather(flat, np.array([], np.int64), np.array([], np.int64)).tolist() == []
+    assert wordtable.gather(flat, np.array([3, 0, 9]), np.array([2, 0, 1])).tolist() == [3, 4, 9]
+    assert wordtable.gather(flat, np.array([], np.int64), np.array([], np.int64)).tolist() == []
 
 
 def test_words_are_split_alike():
@@ -286,31 +312,3 @@ def test_store_words_with_capitals_beside_special_marks():
     for _ in range(2):  # the second time from the cache
         ids = cache.encode(pa.array([x.encode() for x in texts], pa.binary()))
         assert [x.tolist() for x in ids] == [e.ids for e in bpe.tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
-
-
-@pytest.mark.parametrize(("most_hot", "most_held", "filter_bits"), [(1 << 19, 1 << 19, 27), (50, 20, 8), (0, 0, 6)])
-def test_lm_has_all_pairs_and_triples(docs, most_hot, most_held, filter_bits):
-    out = by_id(lm.score(docs.unionByName(docs.where("doc_id = 60")), remainder(F.col("doc_id"), 7) != 2, least=2, most_hot=most_hot, most_held=most_held, filter_bits=filter_bits))
-    toks = {d: WORD.findall((t or "").translate(LOWER)) + ["\n"] for d, t, *_ in rows()}
-    number = {w: i for i, w in enumerate(sorted({w for t in toks.values() for w in t}))}
-    uni, pairs, triples, n_docs = (collections.Counter(), collections.Counter(), collections.Counter(), 0)
-    for d, t in toks.items():
-        if zlib.crc32(str(d).encode()) % 7 != 2:
-            for _ in range(2 if d == 60 else 1):
-                x, n_docs = [number[w] for w in t], n_docs + 1
-                uni.update(x)
-                x = [lm.BOS, *x]
-                pairs.update(a << lm.BITS | b for a, b in zip(x, x[1:], strict=False))
-                triples.update((a << lm.BITS | b) << lm.BITS | c for a, b, c in zip(x, x[1:], x[2:], strict=False))
-    root = {w: math.log10((uni[w] + 1) / (sum(uni.values()) + len(uni) + 1)) for w in number.values()}
-    enough = lambda c: {k: n for k, n in c.items() if n >= 2}
-    auto = lm.build(uni, root, enough(pairs), enough(triples), n_docs)
-    assert len(enough(pairs)) > 500 and len(enough(triples)) > 100
-    for d, t in toks.items():
-        total, state = 0.0, auto.start
-        for w in t:
-            weight, state = auto.step(state, number[w])
-            total += weight
-            if state < 0:
-                total, state = total + root[number[w]], auto.after.get(number[w], 0)
-        assert out[d].score == pytest.approx(total)

@@ -1,9 +1,9 @@
 """BPE encoding and decoding through a table of distinct words.
 
 A text is cut at every single space between two characters that are no white space; there the tokenizer's own splitting
-starts a new piece, so the ids of a text are the ids of its words, one after the other. All distinct words are counted
-and each is encoded once. Frequent words (bounded in number and length) go to every task; occurrences of the others are
-joined to the table by a shuffle and come back by (document, position). Decoding joins ids with the vocabulary's pieces.
+starts a new piece, so the ids of a text are the ids of its words, one after the other. Each distinct word of the corpus
+is encoded once, in the bucket of its hash, and its ids are joined back to the positions where it stands, by chunks of
+texts (see wordtable). Decoding joins ids with the vocabulary's pieces.
 
 Nulls: a null text is empty; null ids and repeated rows keep their rows. An empty table gives no rows.
 """
@@ -17,13 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.wordtable import HOT_WORDS, LEVEL, Words, collect_hot, count_words, dealt, hot_from, in_buckets, is_hot, numbered, pack, slices, unpack
-from tidegraph.scratch import materialize
+from tidegraph.llm.wordtable import Words, asked_words, bucket_count, chunk_table, from_planes, gather, in_buckets, numbered, planes, runs, with_answers
 
 #: Where a text may be cut: at a single space between two characters that are no white space (for Python, whose white
 #: space includes the tokenizer's).
@@ -35,13 +32,8 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 SPACE = chr(BYTES[32])
 _OTHER_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
-#: Occurrences of words of the tail that a task holds before it hands them on to the words' buckets or to the documents'
-#: partitions, and words that are encoded in one go.
-FLUSH, RETURN, LOT = 500_000, 300_000, 100
-TOGETHER = 64  # texts that are looked at together
-STRETCH, DISTINCT = 4 << 20, 200_000  # bytes of text that are split at a time, distinct words that a task counts before it hands them on
-RETURN_BYTES = 32 << 20  # of their ids
-RANGE, DOC_WORDS = 1 << 18, 1 << 18  # occurrences that a range of keys has on average; words of documents that are made at a time
+#: Words that are encoded in one go, texts that are looked at together, words of documents that are made at a time.
+LOT, TOGETHER, TOGETHER_WORDS = 100, 64, 1 << 19
 _loaded: dict[str, object] = {}
 
 
@@ -151,10 +143,6 @@ def encode_words(words: list[bytes], path: str) -> list[bytes]:
     return out
 
 
-def _row_key(doc_id, raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw, seed=0 if doc_id is None else doc_id & (1 << 64) - 1) - (1 << 63)
-
-
 class _Flat:
     """Byte or id strings end to end, to be gathered by number."""
 
@@ -165,79 +153,6 @@ class _Flat:
         self.flat = np.frombuffer(b"".join(parts), dtype)
 
 
-def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places start[i] to start[i] + size[i] end to end."""
-    ends = np.cumsum(size)
-    return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
-def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The stretches flat[start[i] : start[i] + size[i]] end to end."""
-    return flat[spans(start, size)]
-
-
-def planes(values: np.ndarray) -> bytes:
-    """The first bytes of all values, then the second ones, ..."""
-    return values.view("u1").reshape(len(values), -1).T.tobytes()
-
-
-def from_planes(raw: bytes, dtype: str) -> np.ndarray:
-    return np.frombuffer(raw, "u1").reshape(np.dtype(dtype).itemsize, -1).T.copy().view(dtype).ravel()
-
-
-def pack_found(key: np.ndarray, pos: np.ndarray, ids: pa.Array) -> bytes:
-    """Sorted keys, positions and ids of some occurrences, as little as zstandard makes of them."""
-    size = np.diff(np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)) // 4
-    flat = np.frombuffer(ids.buffers()[2] or b"", "<u4")
-    return zstandard.compress(planes(key.astype("<i8")) + planes(pos.astype("<u4")) + planes(size.astype("<u4")) + planes(flat), LEVEL)
-
-
-def unpack_found(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """n keys, positions and numbers of ids, and the ids end to end."""
-    raw = zstandard.decompress(blob)
-    return from_planes(raw[: 8 * n], "<i8"), from_planes(raw[8 * n : 12 * n], "<u4"), from_planes(raw[12 * n : 16 * n], "<u4"), from_planes(raw[16 * n :], "<u4")
-
-
-class _Tail:
-    """Occurrences of words of the tail by key and position; those of repeated documents are there once."""
-
-    def __init__(self):
-        self.more: list[tuple[np.ndarray, ...]] = []  # not sorted yet
-        self.held = self.limit = 0
-        self.key, self.pos, self.size = np.zeros(0, np.int64), np.zeros(0, "<u4"), np.zeros(0, "<u4")
-        self.start, self.ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
-
-    def add(self, blob: bytes, n: int) -> None:
-        self.more.append(unpack_found(blob, n))
-        self.held += n
-        if self.held > max(2 * RANGE, 2 * self.limit):  # copies may be many
-            self._sort()
-            self.limit = len(self.key)
-
-    def _sort(self) -> None:
-        if not self.more:
-            return
-        key, pos, size, ids = (np.concatenate(c) for c in zip((self.key, self.pos, self.size, self.ids), *self.more, strict=True))
-        start = np.cumsum(size, dtype=np.int64) - size
-        by = np.lexsort((pos, key))
-        key, pos = key[by], pos[by]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])])
-        by = by[new]
-        self.key, self.pos, self.size = key[new], pos[new], size[by]
-        self.ids = gather(ids, start[by], self.size.astype(np.int64))
-        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
-        self.more, self.held = [], len(self.key)
-
-    def of(self, keys: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of the occurrences of some documents start, and how many each has."""
-        self._sort()
-        a, b = np.searchsorted(self.key, keys), np.searchsorted(self.key, keys, side="right")
-        if not np.array_equal(b - a, need):
-            raise ValueError("the tail of a document does not fit it")
-        at = spans(a, need)
-        return self.start[at], self.size[at].astype(np.int64)
-
-
 def pieces(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary, in id order: at most as many as the vocabulary file has."""
     tok = tokenizer(path)
@@ -251,176 +166,54 @@ def pieces(path: str) -> list[bytes]:
     return _loaded["pieces:" + path]
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most_hot: int = HOT_WORDS) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, ids binary (little-endian unsigned 32-bit integers).
 
-    1. All words are counted. The frequent ones are encoded, once each, and go to every task.
-    2. Each text becomes the numbers of its words, with holes for words of the tail, and is dealt out by its key.
-    3. Words of the tail go to the bucket of their hash, are encoded once each there, and come back to the key and the
-       position of every occurrence, packed by ranges of keys. A task holds the tail of one range, sorted, while its
-       documents go by. The number of ranges grows with the tail, so that each is small.
+    1. Each chunk of texts is split once and asks for the ids of its distinct words.
+    2. Each bucket encodes its distinct words, once each, and answers.
+    3. The ids come back to the chunk and are put at the position of every occurrence.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    counts = materialize(count_words(texts.select("raw"), lambda part: words_of(part)[1], DISTINCT, STRETCH), "words")
-    threshold = hot_from(counts, most_hot)
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch({"word": b.column("word"), "n": b.column("n"), "ids": pa.array(encode_words(b.column("word").to_pylist(), path), pa.binary())})
-
-    hot = collect_hot(counts.where(is_hot(threshold)).mapInArrow(frequent, "word binary, n long, ids binary"), threshold)
-    shared = spark.sparkContext.broadcast(hot["word"].to_pylist())
-    shared_ids = spark.sparkContext.broadcast(_Flat(hot["ids"].to_pylist(), "<u4"))  # tasks need one or the other
-    hole = len(hot)  # the number that stands for a word of the tail
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rare = counts.where(~is_hot(threshold)).agg(F.sum("n")).first()[0] or 0
-    ranges = parts * max(1, -(-rare // (parts * RANGE)))  # each lies in one partition
-    del hot
-
-    def numbers() -> dict[bytes, int]:
-        if _loaded.get("hot of") is not shared:  # a worker gets the same object in all tasks
-            _loaded["hot of"], _loaded["hot"] = shared, {w: i for i, w in enumerate(shared.value)}
-        return _loaded["hot"]
-
-    def as_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, press = numbers(), zstandard.ZstdCompressor(level=LEVEL).compress
-        for b in batches:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
+    buckets = bucket_count(rows)
+    table = chunk_table(rows, words_of, buckets)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket,), asked in runs(batches, "bucket"):
+            distinct, number, ends = asked_words(asked)
+            made = _Flat(encode_words(distinct.to_pylist(), path), "<u4")
+            for r, a, b in zip(asked, [0, *ends], ends, strict=False):
+                own = number[a:b]
+                size = made.size[own]
+                body = planes(np.concatenate([[b - a], size, gather(made.flat, made.start[own], size)]).astype("<u4"))
+                yield pa.record_batch({"chunk": [r["chunk"]], "kind": pa.array([1], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "body": pa.array([body], pa.binary())})
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in runs(batches, "chunk"):
+            head, sizes = held[0], np.array(held[0]["sizes"], np.int64)
+            codes, places = from_planes(head["codes"], "<u4"), from_planes(head["places"], "<u4")
+            size, flat = np.zeros(len(places), np.int64), []
             at = 0
-            for part in slices(b.column(1), STRETCH):
-                order, w = words_of(part)
-                ids, raws = b.column(0).slice(at, len(part)).take(pa.array(order)), part.take(pa.array(order)).to_pylist()
-                three = np.ascontiguousarray(w.mapped(known, hole).astype("<u4").view("u1").reshape(-1, 4)[:, :3].T)
-                blob = [press(three[:, s:e].tobytes()) for s, e in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
-                key = np.array([_row_key(d, raw) for d, raw in zip(ids.to_pylist(), raws, strict=True)], np.int64)
-                yield pa.record_batch({"range": pa.array(key % ranges), "n": pa.array([-1] * len(key), pa.int32()), "key": pa.array(key), "doc_id": ids, "body": pa.array(blob, pa.binary())})
-                at += len(part)
-
-    def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = numbers()
-        index: dict[bytes, int] = {}  # of the words held
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # word, key and position of occurrences
-
-        def flush() -> pa.RecordBatch:
-            lots = dealt(index)
-            words = [w for ws in lots.values() for w in ws]
-            place = np.empty(len(words), np.int64)
-            place[[index[w] for w in words]] = np.arange(len(words))
-            word, key, pos = (np.concatenate(c) for c in zip(*held, strict=True))
-            by = np.argsort(place[word], kind="stable")
-            key, pos, times = key[by], pos[by], np.bincount(place[word], minlength=len(words)).astype("<u4")
-            ends, cols, a = np.cumsum(times).tolist(), [[], [], [], [], []], 0
-            for bucket, own in lots.items():
-                b, s, e = a + len(own), ends[a - 1] if a else 0, ends[a + len(own) - 1]
-                for c, v in zip(cols, (bucket, len(own), pack(own), zstandard.compress(times[a:b].tobytes() + pos[s:e].tobytes(), LEVEL), key[s:e].tobytes()), strict=True):
-                    c.append(v)
-                a = b
-            index.clear()
+            for r in held[1:]:
+                body = from_planes(r["body"], "<u4")
+                n = int(body[0])
+                size[places[at : at + n]] = body[1 : n + 1]
+                flat.append(body[n + 1 :])
+                at += n
             held.clear()
-            pa.default_memory_pool().release_unused()
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "size", "words", "at", "keys"])
-
-        for b in batches:
-            at = 0
-            for part in slices(b.column(1), STRETCH):
-                order, w = words_of(part)
-                rare = [w_ not in known for w_ in w.table]
-                local = np.array([index.setdefault(x, len(index)) if r else -1 for x, r in zip(w.table, rare, strict=True)], np.int64)[w.codes]
-                here = np.flatnonzero(local >= 0)
-                doc = np.searchsorted(w.ends, here, side="right")
-                ids, key = b.column(0).slice(at, len(part)), np.zeros(len(part), "<i8")
-                for i in np.unique(doc).tolist():
-                    key[i] = _row_key(ids[int(order[i])].as_py(), part[int(order[i])].as_py())
-                held.append((local[here], key[doc], (here - w.starts[doc]).astype("<u4")))
-                at += len(part)
-                if sum(len(h[0]) for h in held) >= FLUSH:
-                    yield flush()
-        if index:
-            yield flush()
-
-    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, made = None, {}
-        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []  # key, position and ids of occurrences
-
-        def flush() -> pa.RecordBatch:
-            key, pos = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            of = key % ranges
-            by = np.lexsort((key, of))
-            key, pos, ids = key[by], pos[by], pa.concat_arrays([h[2] for h in held])
-            own, start = np.unique(of[by], return_index=True)
-            ends = [*start[1:].tolist(), len(by)]
-            blobs = [pack_found(key[s:e], pos[s:e], ids.take(pa.array(by[s:e]))) for s, e in zip(start.tolist(), ends, strict=True)]
-            held.clear()
-            return pa.record_batch({"range": pa.array(own), "n": pa.array(np.diff([*start, len(by)]).astype(np.int32)), "key": pa.nulls(len(own), pa.int64()), "doc_id": pa.nulls(len(own), pa.int64()), "body": pa.array(blobs, pa.binary())})
-
-        for b in batches:
-            for bucket, size, words, at, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if bucket != now:
-                    now, made = bucket, {}
-                words = unpack(words, size)
-                new = [w for w in words if w not in made]  # a lot has each word once
-                made.update(zip(new, encode_words(new, path), strict=True))
-                raw = np.frombuffer(zstandard.decompress(at), "<u4")
-                ids = pa.array([made[w] for w in words], pa.binary()).take(pa.array(np.repeat(np.arange(size), raw[:size])))
-                held.append((np.frombuffer(keys, "<i8"), raw[size:], ids))
-                if sum(len(h[0]) for h in held) >= RETURN or sum(h[2].nbytes for h in held) >= RETURN_BYTES:
-                    yield flush()
-        if held:
-            yield flush()
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_ids, expand = shared_ids.value, zstandard.ZstdDecompressor().decompress
-        sizes = np.append(hot_ids.size, 0)
-        now, tail = None, _Tail()
-        docs: list[tuple[int, int | None, bytes]] = []  # key, doc_id and the planes of numbers
-        words, before = 0, (None, b"")
-
-        def documents() -> pa.RecordBatch:
-            keys = np.array([d[0] for d in docs], np.int64)
-            numbers_ = [np.frombuffer(d[2], "u1").reshape(3, -1).astype(np.int64) for d in docs]
-            each = np.array([x.shape[1] for x in numbers_], np.int64)
-            three = np.concatenate(numbers_, axis=1)
-            n = three[0] | three[1] << 8 | three[2] << 16
-            holes = n == hole
-            need = np.diff(np.concatenate([[0], np.cumsum(holes)])[np.concatenate([[0], np.cumsum(each)])])
-            size, (own_start, own_size) = sizes[n], tail.of(keys, need)
-            size[holes] = own_size
-            ends = np.cumsum(size)
-            out, start = np.empty(int(ends[-1]) if len(ends) else 0, "<u4"), ends - size
-            out[spans(start[~holes], size[~holes])] = gather(hot_ids.flat, hot_ids.start[n[~holes]], size[~holes])
-            out[spans(start[holes], own_size)] = gather(tail.ids, own_start, own_size)
-            cuts = (np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(each)])] * 4).tolist()
-            raw = out.tobytes()
-            made = pa.record_batch({"doc_id": pa.array([d[1] for d in docs], pa.int64()), "ids": pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
-            docs.clear()
-            return made
-
-        for b in batches:
-            for range_, n, key, doc_id, body in zip(*b.columns, strict=True):
-                if range_.as_py() != now:
-                    if docs:
-                        yield documents()
-                    now, tail, words = range_.as_py(), _Tail(), 0
-                if (n := n.as_py()) >= 0:  # a range's tail comes before its documents
-                    tail.add(body.as_py(), n)
-                    continue
-                key, body = key.as_py(), body.as_py()
-                if key == before[0] and body != before[1]:
-                    raise ValueError("two documents share a key of 64 bits")
-                before = key, body
-                docs.append((key, doc_id.as_py(), expand(body)))
-                words += len(docs[-1][2]) // 3
-                if words >= DOC_WORDS:
-                    yield documents()
-                    words = 0
-        if docs:
-            yield documents()
-
-    schema = "range long, n int, key long, doc_id long, body binary"
-    rest = in_buckets(texts.mapInArrow(tail, "bucket int, size int, words binary, at binary, keys binary")).mapInArrow(back, schema)
-    rows = texts.mapInArrow(as_numbers, schema).unionByName(rest).repartitionById(parts, (F.col("range") % parts).cast("int"))
-    return rows.sortWithinPartitions("range", F.col("n").desc(), "key").mapInArrow(assemble, "doc_id long, ids binary")
+            flat, start = np.concatenate([np.zeros(0, "<u4"), *flat]), np.empty(len(places), np.int64)
+            start[places] = np.cumsum(size[places]) - size[places]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            cuts = np.unique([0, *np.searchsorted(ends, np.arange(TOGETHER_WORDS, ends[-1], TOGETHER_WORDS)).tolist(), len(sizes)]).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                own = codes[ends[a] : ends[b]]
+                raw = gather(flat, start[own], size[own]).tobytes()
+                words = np.concatenate([[0], np.cumsum(size[own])])[ends[a : b + 1] - ends[a]]
+                ids = [raw[4 * s : 4 * e] for s, e in zip(words.tolist(), words[1:].tolist(), strict=False)]
+                yield pa.record_batch({"doc_id": pa.array(head["doc_id"][a:b], pa.int64()), "ids": pa.array(ids, pa.binary())})
+
+    asked = in_buckets(table.select("chunk", F.inline("requests")), buckets, "chunk")
+    answers = asked.mapInArrow(encode, "chunk long, kind int, bucket int, body binary")
+    return with_answers(table, answers).mapInArrow(put, "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

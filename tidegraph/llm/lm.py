@@ -1,383 +1,199 @@
-"""Language-model scores from a weighted backoff automaton.
-
-All words, word pairs and triples and the ends of texts are counted over the whole training corpus. The pairs and triples
-that occur often enough, of any words, become states and arcs with absolutely discounted probabilities, and what they give
-up is the weight of a failure arc to the state of the shorter history. The root has an arc for every word, with add-one
-probabilities over all distinct words.
-
-The state behind a word is the longest history of two words or one that has arcs, so a text's weight is a sum: for each
-word its root arc and, as a history, its failure; for each pair what its arc adds to that and its failure; for each triple
-what its arc adds. Nothing but these tables is needed, which grow with the corpus and which no task holds: tasks add the
-most frequent words, pairs and triples themselves and send the others to the tables by a shuffle. A filter of a bounded
-number of bits, which may only say yes too often, keeps most pairs and triples without arcs from travelling. Words beyond
-the frequent ones stand in pairs and triples by 62 bits of their hash.
-
-Nulls: a null text is empty and has one token, its end. Null ids train. Repeated rows count each time. An empty table
-gives no rows; without training rows every token is unknown (N = V = 0) and weighs log10(1 / 1).
+"""Language-model scores from a weighted backoff automaton over words, pairs and triples.
+
+The states are the histories that occur in the training rows: none (the root), a word, a pair of words. From a state there
+is an arc for every word that follows it there, and a failure arc to the state of the shorter history. With c occurrences
+of the history, n of them before the word, and p the word's probability after the shorter history, the arc weighs
+log10((n + STRENGTH * p) / (c + STRENGTH)) and the failure arc log10(STRENGTH / (c + STRENGTH)): a Dirichlet prior, so the
+words' probabilities after each history add up to 1. The root has an arc for every word, log10((n + 1) / (N + V + 1)).
+Every pair and triple of the training rows is an arc, however rare; there is no cut-off and no limit.
+
+A text is traversed once from left to right, all texts of a chunk side by side. What a chunk needs of the automaton, the
+counts of its own words, pairs and triples, it gets by two exchanges: it asks for each once at the bucket of its hash,
+where all chunks' counts are added up. Nothing is broadcast, and a pair that is everywhere is asked for once a chunk.
+
+Words are told apart by their bytes. Pairs and triples are known by hashes of SPARE bits more than number all tokens (64
+at most), so about one in 2 ** SPARE shares the counts of another.
+
+Nulls: a null text is empty and has one token, its end; a null in trains trains. Null ids and repeated rows keep their
+rows, and repeated rows count each time. An empty table gives no rows; without training rows every token is unknown
+(N = V = 0) and weighs log10(1 / 1).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.wordtable import HOT_BYTES, HOT_WORDS, STEPS, Words, collect_hot, count_words, hot_from, is_hot, slices, split_blanks
+from tidegraph.llm.wordtable import Words, asked_words, bucket_count, chunk_table, from_planes, in_buckets, planes, runs, split_blanks, with_answers
 from tidegraph.scratch import materialize
 
 #: The token at the end of every text; no word holds a line break.
 EOS = b"\n"
-#: Pairs, and triples, that tasks hold; the largest filter (log2 of its bits); the discount.
-MOST_HELD, FILTER_BITS, DISCOUNT = 1 << 19, 27, 0.75
-STRETCH = 4 << 20  # bytes of text whose pairs and triples are looked at together
-BITS = 20  # of a word's number in a key
-BOS = (1 << BITS) - 1
-_cache: dict = {}
+STRENGTH, SPARE = 4.0, 24
+CHUNK = 28 << 20  # bytes of text in a chunk: the larger, the fewer pairs are asked for again
+PAIR, TRIPLE = 2, 3
+OUT = "doc_id long, trains boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def tokens_of(texts: pa.Array) -> Words:
+def tokens_of(texts: pa.Array) -> tuple[None, Words]:
     """Words of each text with A-Z lower-cased, cut at the six ASCII white-space characters, and the end."""
     w = split_blanks(texts)
-    return Words([*w.table, EOS], np.insert(w.codes, w.ends, len(w.table)), w.sizes + 1)
+    return None, Words([*w.table, EOS], np.insert(w.codes, w.ends, len(w.table)), w.sizes + 1)
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each pair of 64-bit numbers."""
+    h = a * np.uint64(0x9E3779B97F4A7C15) + b
+    for shift, by in ((29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(by)
+    return h ^ (h >> np.uint64(31))
 
 
 @dataclass
-class Automaton:
-    """The model in one process: arcs (state, word) to (weight, next state); failure weight and state of each state; state
-    of a single word. score() gives the same sums from tables."""
-
-    arcs: dict[int, tuple[float, int]] = field(default_factory=dict)  # key: state << BITS | word
-    fail: list[tuple[float, int]] = field(default_factory=lambda: [(0.0, 0)])  # by state; 0 is the root
-    after: dict[int, int] = field(default_factory=dict)  # word to state, 0 where it has none
-    start: int = 0
-
-    def step(self, state: int, word: int) -> tuple[float, int]:
-        """Weight without the root's arc, and the next state."""
-        total, arcs, fail = 0.0, self.arcs, self.fail
-        while state:
-            if found := arcs.get(state << BITS | word):
-                return total + found[0], found[1]
-            weight, state = fail[state]
-            total += weight
-        return total, -1
-
-
-def build(unigram: dict[int, int], log_root: dict[int, float], pairs: dict[int, int], triples: dict[int, int], docs: int) -> Automaton:
-    """pairs: first << BITS | second to count; triples: pair key << BITS | third to count. unigram counts the histories."""
-    a = Automaton()
-    mass: dict[int, float] = {}  # discounted probability that the arcs of a history hold
-    for k, n in pairs.items():
-        h = k >> BITS
-        mass[h] = mass.get(h, 0.0) + (n - DISCOUNT) / (docs if h == BOS else unigram[h])
-    for h, used in mass.items():
-        a.after[h] = len(a.fail)
-        a.fail.append((math.log10(max(1 - used, 1e-12)), 0))
-    held: dict[int, float] = {}
-    for k, n in triples.items():
-        held[k >> BITS] = held.get(k >> BITS, 0.0) + (n - DISCOUNT) / pairs[k >> BITS]
-    pair_state = {}
-    for p, used in held.items():
-        pair_state[p] = len(a.fail)
-        a.fail.append((math.log10(max(1 - used, 1e-12)), a.after.get(p & BOS, 0)))
-    prob: dict[int, float] = {}
-    for k, n in pairs.items():
-        h, w = k >> BITS, k & BOS
-        total = docs if h == BOS else unigram[h]
-        prob[k] = (n - DISCOUNT) / total + 10 ** (a.fail[a.after[h]][0] + log_root[w])
-        a.arcs[a.after[h] << BITS | w] = (math.log10(prob[k]), pair_state.get(k, a.after.get(w, 0)))
-    for k, n in triples.items():
-        p, w = k >> BITS, k & BOS
-        lower = (p & BOS) << BITS | w
-        if lower in prob:
-            short = math.log10(prob[lower])
-        else:
-            short = (a.fail[a.after[p & BOS]][0] if p & BOS in a.after else 0.0) + log_root[w]
-        full = (n - DISCOUNT) / pairs[p] + 10 ** (a.fail[pair_state[p]][0] + short)
-        a.arcs[pair_state[p] << BITS | w] = (math.log10(full), pair_state.get(lower, a.after.get(w, 0)))
-    a.start = a.after.get(BOS, 0)
-    return a
-
-
-def word_id(word: bytes) -> int:
-    """Of a word beyond the frequent ones, whose ids are 0 and above; -1 stands for words that are in no arc."""
-    return -2 - (xxhash.xxh3_64_intdigest(word) >> 2)
-
-
-def spots(x: np.ndarray, y: np.ndarray, z: np.ndarray, bits: int) -> np.ndarray:
-    """Places of pairs and triples in a filter."""
-    h = np.zeros(len(x), np.uint64)
-    for part in (x, y, z):
-        h = (h + part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def make_filter(arcs: DataFrame, most: int) -> tuple[int, np.ndarray]:
-    """log2 of the number of bits, and the bits, of a filter that has all arcs(x, y, z)."""
-    bits = min(most, max(12, (16 * arcs.count()).bit_length()))
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(spots(*(c.to_numpy() for c in b.columns), bits))
-            if len(at):
-                slot, first = np.unique(at >> 6, return_index=True)
-                yield pa.record_batch({"slot": pa.array(slot), "word": pa.array(np.bitwise_or.reduceat(np.left_shift(np.int64(1), at & 63), first))})
-
-    found = arcs.select("x", "y", "z").mapInArrow(part, "slot long, word long").groupBy("slot").agg(F.bit_or("word").alias("word")).toArrow()
-    out = np.zeros(1 << bits - 6, np.int64)  # at most 1 << most bits
-    out[found["slot"].to_numpy()] = found["word"].to_numpy()
-    return bits, out
-
-
-def passes(made: tuple[int, np.ndarray], x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
-    at = spots(x, y, z, made[0])
-    return made[1][at >> 6] >> (at & 63) & 1 == 1
-
-
-def held_arcs(arcs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, sorted, and values of the most frequent arcs(x, y, z, n, v) of frequent words: most at most."""
-    known = arcs.where("x >= 0 and y >= 0 and z >= 0")
-    kind = F.floor(F.log2(F.col("n").cast("double")) * STEPS)
-    total, cut = 0, 1 << 62
-    for r in sorted(known.groupBy(kind.alias("k")).agg(F.count("*").alias("c"), F.min("n").alias("n")).collect(), key=lambda r: -r.k):
-        if (total := total + r.c) > most:
-            break
-        cut = r.n
-    found = known.where(F.col("n") >= cut).select("x", "y", "z", "v").toArrow()
-    x, y, z, v = (c.to_numpy() for c in found.columns)
-    key = x << 2 * BITS | y << BITS | z
-    order = np.argsort(key)
-    return key[order], v[order]
-
-
-def discounted(sums: Column, arcs: Column, total: Column) -> Column:
-    """Failure weight of a history whose arcs have so many occurrences."""
-    return F.log10(F.greatest(1 - (sums - DISCOUNT * arcs) / total, F.lit(1e-12)))
-
-
-def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", least: int = 4, most_hot: int = HOT_WORDS, most_held: int = MOST_HELD, filter_bits: int = FILTER_BITS) -> DataFrame:
+class Chunk:
+    """The texts of a chunk as tokens: word numbers (0 is before the first), training counts, and where texts start."""
+
+    ids: np.ndarray
+    count: np.ndarray
+    sizes: np.ndarray
+    rows: list[dict]
+
+    @classmethod
+    def of(cls, rows: list[dict]) -> Chunk:
+        head, sizes = rows[0], np.array(rows[0]["sizes"], np.int64)
+        codes, places = from_planes(head["codes"], "<u4"), from_planes(head["places"], "<u4")
+        word, count, at = np.empty(len(places), np.uint64), np.empty(len(places), np.int64), 0
+        for r in rows:
+            if r["kind"] == 1:
+                got = from_planes(r["body"], "<u8").reshape(2, -1)
+                here = places[at : at + got.shape[1]]
+                word[here], count[here], at = got[0] + np.uint64(1 + (r["bucket"] << 32)), got[1], at + len(here)
+        return cls(word[codes], count[codes], sizes, rows)
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+    def keys(self, kind: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of tokens that end a pair or triple, and the keys of those."""
+        before = np.empty_like(self.ids)
+        before[1:] = self.ids[:-1]
+        before[self.starts] = 0
+        pairs = joined(before, self.ids)
+        inner = np.ones(len(pairs), bool)
+        if kind == TRIPLE:
+            inner[self.starts] = False
+        at = np.flatnonzero(inner)
+        return at, (pairs if kind == PAIR else joined(pairs[at - 1], self.ids[at])) >> np.uint64(64 - bits)
+
+    def counts(self, kind: int, bits: int) -> np.ndarray:
+        """The training count of the pair or triple that each token ends."""
+        at, key = self.keys(kind, bits)
+        out = np.zeros(len(self.ids), np.int64)
+        if len(at):
+            by, _, group = grouped(key)
+            found = np.concatenate([from_planes(r["body"], "<u8") for r in self.rows if r["kind"] == kind])
+            out[at[by]] = found[group]
+        return out
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which keys ascend, the places in it where another one begins, and the number of each one's key."""
+    by = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = np.diff(keys[by]) != 0
+    return by, np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def traverse(chunk: Chunk, tokens: int, words: int, texts: int, bits: int, strength: float) -> tuple[np.ndarray, np.ndarray]:
+    """The root's weight of each token, and the weight along the arcs taken, for a model of so many training tokens,
+    distinct words and texts."""
+    pairs, triples = chunk.counts(PAIR, bits), chunk.counts(TRIPLE, bits)
+    first = np.zeros(len(chunk.ids), bool)
+    first[chunk.starts] = True
+    word_seen, pair_seen = np.empty(len(first), np.int64), np.empty(len(first), np.int64)  # occurrences of the histories
+    word_seen[1:], pair_seen[1:] = chunk.count[:-1], pairs[:-1]
+    word_seen[first], pair_seen[first] = texts, 0
+    p = (chunk.count + 1) / (tokens + words + 1)
+    root = np.log10(p)
+    weight = root
+    for n, seen in ((pairs, word_seen), (triples, pair_seen)):  # the states of a word, then those of a pair
+        p = (n + strength * p) / (seen + strength)
+        fails = np.log10(strength / (seen + strength)) + weight
+        weight = np.where(seen == 0, weight, np.where(n > 0, np.log10(p), fails))
+    return root, weight
+
+
+def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", strength: float = STRENGTH) -> DataFrame:
     """One row for each row of docs: doc_id, trains, n_tokens, n_known, train_tokens, base_score, score.
 
-    trains: which rows the model learns from. least: the count from which a pair or triple is an arc. The others bound what
-    tasks hold and change no result.
-    """
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"), F.coalesce(trains, F.lit(True)).alias("trains"))
-    training = rows.where("trains").select("raw")
-    counts = materialize(count_words(training, tokens_of), "unigrams")
-    seen = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
-    N, V = seen.N, seen.V
-    threshold = hot_from(counts, most_hot)
-    hot = collect_hot(counts, threshold)
-    uni = hot["n"].to_numpy()
-    log_root = np.log10((uni + 1) / (N + V + 1))
-    shared_words = sc.broadcast(hot["word"].to_pylist())
-    ends = training.count()
-    del hot
-
-    def load(name: str, b, make=lambda value: value):
-        """What a task makes of a broadcast value, once for each worker, which gets the same object in all tasks."""
-        if _cache.get(name + "@") is not b:
-            _cache[name + "@"], _cache[name] = b, make(b.value)
-        return _cache[name]
-
-    def held_words() -> dict[bytes, int]:
-        return load("words", shared_words, lambda words: {w: i for i, w in enumerate(words)})
-
-    frequent = int((uni >= least).sum())  # hot words are numbered from the most frequent one
-    none = np.zeros(0, np.int64)
-
-    def ids_of(w: Words) -> np.ndarray:
-        """The texts one after another, each behind its BOS. A word that is too rare for an arc is -1."""
-        known = held_words()
-        rare = threshold <= least
-        ids = [-1 if i is not None and i >= frequent else i if i is not None else -1 if rare and len(t) <= HOT_BYTES else word_id(t) for t, i in zip(w.table, map(known.get, w.table), strict=True)]
-        return np.insert(np.array(ids, np.int64)[w.codes], w.starts, BOS)
-
-    def pairs_of(x: np.ndarray) -> np.ndarray:
-        """Places of the first words."""
-        return np.flatnonzero((x[:-1] != -1) & (x[1:] != -1) & (x[1:] != BOS))
-
-    def triples_of(x: np.ndarray, made) -> np.ndarray:
-        """Both pairs of a triple that is an arc are arcs."""
-        at = pairs_of(x)
-        y = x[at + 1]
-        at = at[passes(made, x[at], y, np.full(len(at), BOS))]
-        return at[:-1][np.diff(at) == 1] if len(at) else none
-
-    def counted(shared_filter=None) -> DataFrame:
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, size = [], 0
-
-            def rows_of(x, y, z, n):
-                return pa.record_batch({c: pa.array(v, pa.int64()) for c, v in zip("xyzn", (x, y, z, n), strict=True)})
-
-            def flush():
-                keys, n = np.unique(np.concatenate(held), return_counts=True)
-                return rows_of(keys >> 2 * BITS, keys >> BITS & BOS, keys & BOS, n)
-
-            for b in batches:
-                for part in slices(b.column(0), STRETCH):
-                    ids = ids_of(tokens_of(part))
-                    at = pairs_of(ids) if shared_filter is None else triples_of(ids, load("filter", shared_filter))
-                    x, y = ids[at], ids[at + 1]
-                    z = np.full(len(at), BOS) if shared_filter is None else ids[at + 2]
-                    hot_only = (x >= 0) & (y >= 0) & (z >= 0)
-                    held.append((x << 2 * BITS | y << BITS | z)[hot_only])
-                    size += len(held[-1])
-                    if not hot_only.all():
-                        x, y, z = x[~hot_only], y[~hot_only], z[~hot_only]
-                        yield rows_of(x, y, z, np.ones(len(x), np.int64))
-                    if size > 4_000_000:
-                        yield flush()
-                        held, size = [], 0
-            if held:
-                yield flush()
-
-        sums = training.mapInArrow(partial, "x long, y long, z long, n long").groupBy("x", "y", "z").agg(F.sum("n").alias("n"))
-        return materialize(sums.where(F.col("n") >= least), "ngrams")
-
-    def with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch({"id": pa.array(map(word_id, b.column(0).to_pylist()), pa.int64()), "word": b.column(0), "n": b.column(1)})
-
-    root_of = F.log10((F.col("n") + 1) / F.lit(float(N + V + 1)))
-    cold = counts.where(~is_hot(threshold))
-    tail_words = cold.where(F.col("n") >= least).select("word", "n").mapInArrow(with_ids, "id long, word binary, n long")
-    pairs = counted()
-
-    # Failure weights of single words: an array for the frequent ones and BOS, a table for the others.
-    by_word = pairs.groupBy(F.col("x").alias("id")).agg(F.sum("n").alias("sums"), F.count("*").alias("arcs"))
-    got = by_word.where("id >= 0").toArrow()  # a row for each frequent word at most
-    total = np.append(uni, ends).astype(np.float64)
-    at = got["id"].to_numpy()
-    at = np.where(at == BOS, len(uni), at)
-    fail = np.zeros(len(uni) + 1)
-    fail[at] = np.log10(np.maximum(1 - (got["sums"].to_numpy() - DISCOUNT * got["arcs"].to_numpy()) / total[at], 1e-12))
-    shared_words_of = sc.broadcast((total, fail, np.append(log_root, 0.0)))
-    tail_fail = materialize(by_word.where("id < 0").join(tail_words, "id").select("id", "word", F.col("n").cast("double").alias("total"), discounted(F.col("sums"), F.col("arcs"), F.col("n")).alias("fail")), "failures")
-
-    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, fail, root = shared_words_of.value
-        for b in batches:
-            x, y = b.column(0).to_numpy(), b.column(1).to_numpy()
-            first, second = np.where((x == BOS) | (x < 0), len(total) - 1, x), np.where(y < 0, len(total) - 1, y)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total[first]), pa.array(fail[first]), pa.array(root[second])], ["x", "y", "n", "total", "fail", "root"])
-
-    def filled(rows: DataFrame, key: str, words: DataFrame) -> DataFrame:
-        """rows with the values of words(id, ...) where their key is a word beyond the frequent ones."""
-        names = [c for c in words.columns if c != "id"]
-        found = rows.where(F.col(key) < 0).drop(*names).join(words.withColumnRenamed("id", key), key)
-        return rows.where(F.col(key) >= 0).unionByName(found)
-
-    weighed = pairs.select("x", "y", "n").mapInArrow(attach, "x long, y long, n long, total double, fail double, root double")
-    weighed = filled(filled(weighed, "x", tail_fail.drop("word")), "y", tail_words.select("id", root_of.alias("root")))
-    low = F.log10((F.col("n") - DISCOUNT) / F.col("total") + F.pow(F.lit(10.0), F.col("fail") + F.col("root")))
-    weighed = materialize(weighed.select("x", "y", "n", low.alias("low"), (low - F.col("fail") - F.col("root")).alias("v")), "pairs")
-
-    triples = counted(sc.broadcast(make_filter(pairs, filter_bits)))
-    by_pair = triples.groupBy("x", "y").agg(F.sum("n").alias("sums"), F.count("*").alias("arcs"))
-    second = weighed.join(by_pair, ["x", "y"], "left").select("x", "y", "n", "low", "v", F.when(F.col("sums").isNull(), 0.0).otherwise(discounted(F.col("sums"), F.col("arcs"), F.col("n"))).alias("fail"))
-    second = materialize(second, "pairs")
-    third = triples.join(second.select("x", "y", F.col("n").alias("total"), "fail"), ["x", "y"]).join(weighed.select(F.col("x").alias("y"), F.col("y").alias("z"), "low"), ["y", "z"])
-    high = F.log10((F.col("n") - DISCOUNT) / F.col("total") + F.pow(F.lit(10.0), F.col("fail") + F.col("low")))
-    third = third.select("x", "y", "z", "n", (high - F.col("fail") - F.col("low")).alias("v"))
-    arcs = materialize(second.select("x", "y", F.lit(BOS).cast("long").alias("z"), "n", (F.col("v") + F.col("fail")).alias("v")).unionByName(third), "arcs")
-    shared_arcs = sc.broadcast((held_arcs(arcs.where(F.col("z") == BOS), most_held), held_arcs(arcs.where(F.col("z") != BOS), most_held), make_filter(arcs, filter_bits)))
-
-    def looked_up(ids: np.ndarray):
-        """For the pairs, then the triples: place of the first word, third word, value where it is held, whether it is."""
-        *tables, made = load("arcs", shared_arcs)
-        at = pairs_of(ids)
-        for k, (keys, values) in enumerate(tables):
-            if k:
-                at = at[:-1][np.diff(at) == 1]
-            x, y, z = ids[at], ids[at + 1], ids[at + 2] if k else np.full(len(at), BOS)
-            key = np.where((x >= 0) & (y >= 0) & (z >= 0), x << 2 * BITS | y << BITS | z, -1)
-            place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-            hit = keys[place] == key if len(keys) else np.zeros(len(at), bool)
-            rest = np.flatnonzero(~hit)
-            rest = rest[passes(made, x[rest], y[rest], z[rest])]
-            yield at[hit], values[place[hit]], at[rest], (x[rest], y[rest], z[rest])
-
-    def key_of(d, raw: bytes) -> int:
-        return xxhash.xxh3_64_intdigest(raw, seed=0 if d is None else d & (1 << 64) - 1) - (1 << 63)
-
-    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held_words()
-        _, fail, root = shared_words_of.value  # the last root weight stands for words of the tail
-        for b in batches:
-            at = 0
-            for part in slices(b.column("raw"), STRETCH):
-                w = tokens_of(part)
-                x, starts = w.mapped(known, -1), w.starts
-                ids = b.column("doc_id").slice(at, len(part))
-                key = [key_of(d, raw) for d, raw in zip(ids.to_pylist(), part.to_pylist(), strict=True)]
-                base = np.add.reduceat(root[x], starts)
-                extra = fail[-1] + np.add.reduceat(np.append(fail[:-1], 0.0)[x], starts)
-                begins = starts + np.arange(len(part))  # each text behind its BOS
-                for hit, values, *_ in looked_up(ids_of(w)):
-                    extra += np.bincount(np.searchsorted(begins, hit, side="right") - 1, values, len(part))
-                cols = (ids, pa.array(key, pa.int64()), b.column("trains").slice(at, len(part)), pa.array(w.sizes, pa.int64()), pa.array(np.add.reduceat((x >= 0).astype(np.int64), starts)), pa.array(base), pa.array(base + extra))
-                yield pa.RecordBatch.from_arrays(list(cols), ["doc_id", "key", "trains", "n_tokens", "known", "base", "total"])
-                at += len(part)
-
-    def missed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The pairs and triples that may be arcs and aren't held. A row of docs marks one of its own as its first."""
-        for b in batches:
-            at = 0
-            for part in slices(b.column("raw"), STRETCH):
-                w = tokens_of(part)
-                begins = w.starts + np.arange(len(part))
-                found = [(rest, *words) for _, _, rest, words in looked_up(ids_of(w))]
-                place, x, y, z = (np.concatenate(c) for c in zip(*found, strict=True))
-                doc = np.searchsorted(begins, place, side="right") - 1
-                first = np.zeros(len(doc), np.int64)
-                first[np.unique(doc, return_index=True)[1]] = 1
-                key = np.array([key_of(d, raw) for d, raw in zip(b.column("doc_id").slice(at, len(part)).to_pylist(), part.to_pylist(), strict=True)], np.int64)
-                yield pa.record_batch({"key": pa.array(key[doc]), "x": pa.array(x), "y": pa.array(y), "z": pa.array(z), "first": pa.array(first)})
-                at += len(part)
-
-    def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = held_words()
-        for b in batches:
-            at = 0
-            for part in slices(b.column("raw")):
-                w = tokens_of(part)
-                rare = np.flatnonzero(~np.fromiter(map(held.__contains__, w.table), bool, len(w.table))[w.codes])
-                doc = np.searchsorted(w.ends, rare, side="right")
-                key = np.array([key_of(d, raw) for d, raw in zip(b.column("doc_id").slice(at, len(part)).to_pylist(), part.to_pylist(), strict=True)], np.int64)
-                yield pa.record_batch({"key": pa.array(key[doc]), "word": pa.array(w.table, pa.binary()).take(pa.array(w.codes[rare]))})
-                at += len(part)
-
-    # Repeated rows share a key, so their tails are counted once for each and divided by the number of rows.
-    heads = rows.mapInArrow(traverse, "doc_id long, key long, trains boolean, n_tokens long, known long, base double, total double")
-    found = rows.select("doc_id", "raw").mapInArrow(tail, "key long, word binary")
-    found = found.join(cold.join(tail_fail.select("word", "fail"), "word", "left"), "word", "left")
-    rest = found.groupBy("key").agg(
-        F.count("*").alias("rest"),
-        F.count("n").alias("rest_known"),
-        F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(N + V + 1)))).alias("rest_log"),
-        F.sum("fail").alias("rest_fail"),
-    )
-    sent = rows.select("doc_id", "raw").mapInArrow(missed, "key long, x long, y long, z long, first long")
-    more = sent.join(arcs.select("x", "y", "z", "v"), ["x", "y", "z"], "left").groupBy("key").agg((F.sum("v") / F.sum("first")).alias("more"))
-    out = heads.join(rest, "key", "left").join(more, "key", "left")
-    # n_tokens - known tokens of the tail belong to each row of a key; repeated rows have equal ones.
-    part = F.coalesce((F.col("n_tokens") - F.col("known")) / F.col("rest"), F.lit(0.0))
-    log_rest = F.coalesce(F.col("rest_log") * part, F.lit(0.0))
-    return out.select(
-        "doc_id", "trains", "n_tokens",
-        (F.col("known") + F.coalesce(F.round(F.col("rest_known") * part), F.lit(0)).cast("long")).alias("n_known"),
-        F.lit(N).cast("long").alias("train_tokens"),
-        (F.col("base") + log_rest).alias("base_score"),
-        (F.col("total") + log_rest + F.coalesce(F.col("rest_fail") * part, F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("score"),
-    )
+    trains: which rows the model learns from. strength: of the prior, in occurrences."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(trains, F.lit(True)).alias("trains"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
+    buckets = bucket_count(rows)
+    table = chunk_table(rows, tokens_of, buckets, "trains", CHUNK)
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket,), asked in runs(batches, "bucket"):
+            distinct, number, ends = asked_words(asked)
+            total = np.zeros(len(distinct), np.int64)
+            np.add.at(total, number, np.concatenate([from_planes(r["counts"], "<u8") for r in asked]).astype(np.int64))
+            whole = (int(total.sum()), int((total > 0).sum()))
+            for r, a, b in zip(asked, [0, *ends], ends, strict=False):
+                own = number[a:b]
+                body = planes(np.concatenate([own, total[own]]).astype("<u8"))
+                yield pa.record_batch({"chunk": [r["chunk"]], "kind": pa.array([1], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "body": pa.array([body], pa.binary()), "tokens": [whole[0]], "words": [whole[1]]})
+                whole = (0, 0)
+
+    asked = in_buckets(table.select("chunk", F.inline("requests")), buckets, "chunk")
+    words = materialize(asked.mapInArrow(count_words, "chunk long, kind int, bucket int, body binary, tokens long, words long"), "words")
+    seen = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    size = table.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)), F.sum(F.size(F.filter("trains", lambda x: x)))).first()
+    tokens, distinct, texts = seen[0], seen[1], size[1] or 0
+    bits = min(64, (size[0] or 0).bit_length() + SPARE)
+    edges = np.array([(i << bits) // buckets for i in range(1, buckets)], np.uint64)  # of the buckets of keys
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (number,), held in runs(batches, "chunk"):
+            chunk = Chunk.of(held)
+            learnt = np.repeat(np.array(held[0]["trains"], bool), chunk.sizes).astype(np.int64)
+            held.clear()
+            for kind in (PAIR, TRIPLE):
+                at, key = chunk.keys(kind, bits)
+                if not len(at):
+                    continue
+                by, first, _ = grouped(key)
+                key, n = key[by[first]], np.add.reduceat(learnt[at[by]], first).astype("<u4")
+                cuts = [0, *np.searchsorted(key, edges).tolist(), len(key)]
+                some = [(b, s, e) for b, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if s < e]
+                cols = ([b for b, *_ in some], [e - s for _, s, e in some], [planes(np.diff(key[s:e], prepend=np.uint64(0))) for _, s, e in some], [planes(n[s:e]) for _, s, e in some])
+                k = len(some)
+                yield pa.record_batch({"bucket": pa.array(cols[0], pa.int32()), "kind": pa.array([kind] * k, pa.int32()), "chunk": pa.array([number] * k, pa.int64()), "n": pa.array(cols[1], pa.int32()), "keys": pa.array(cols[2], pa.binary()), "counts": pa.array(cols[3], pa.binary())})
+
+    def count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, kind), held in runs(batches, "bucket", "kind"):
+            ends, of = np.cumsum([r["n"] for r in held]).tolist(), [r["chunk"] for r in held]
+            key = np.concatenate([np.cumsum(from_planes(r["keys"], "<u8")) for r in held])
+            n = np.concatenate([from_planes(r["counts"], "<u4") for r in held]).astype(np.int64)
+            held.clear()
+            by, first, group = grouped(key)
+            total = np.empty(len(key), "<u8")
+            total[by] = np.add.reduceat(n[by], first)[group]
+            bodies = [planes(total[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+            yield pa.record_batch({"chunk": pa.array(of, pa.int64()), "kind": pa.array([kind] * len(of), pa.int32()), "bucket": pa.array([bucket] * len(of), pa.int32()), "body": pa.array(bodies, pa.binary())})
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in runs(batches, "chunk"):
+            chunk = Chunk.of(held)
+            root, weight = traverse(chunk, tokens, distinct, texts, bits, strength)
+            sums = [np.add.reduceat(v, chunk.starts) for v in ((chunk.count > 0).astype(np.int64), root, weight)]
+            yield pa.record_batch({"doc_id": pa.array(held[0]["doc_id"], pa.int64()), "trains": pa.array(held[0]["trains"], pa.bool_()), "n_tokens": pa.array(chunk.sizes), "n_known": pa.array(sums[0]), "train_tokens": pa.array(np.full(len(chunk.sizes), tokens)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
+
+    asked = with_answers(table, words).mapInArrow(ask, "bucket int, kind int, chunk long, n int, keys binary, counts binary")
+    counted = in_buckets(asked, buckets, "kind", "chunk").mapInArrow(count_keys, "chunk long, kind int, bucket int, body binary")
+    return with_answers(table, words, materialize(counted, "ngrams")).mapInArrow(weigh, OUT)

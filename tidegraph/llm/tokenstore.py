@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegraph.llm.bpe import BYTES, gather, tokenizer
-from tidegraph.llm.wordtable import slices, split_blanks
+from tidegraph.llm.bpe import BYTES, tokenizer
+from tidegraph.llm.wordtable import gather, slices, split_blanks
 from tidegraph.scratch import materialize
 
 #: Ids that the rolling hash sees, mean distance of cuts, and bounds of a chunk.

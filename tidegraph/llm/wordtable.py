@@ -1,16 +1,15 @@
-"""Distinct-word tables: counts of every word of a corpus, and the split into frequent words and the tail.
+"""Distinct-word tables of a corpus, by chunks of texts and buckets of words.
 
-Texts are split by Arrow, a bounded stretch of a batch at a time, into the distinct words of the stretch and a number for
-each occurrence, so that a Python object is made and looked up once for each distinct word only. Every distinct word is
-counted by a shuffle that gets each word once from each task. Words travel packed: sorted, by the bucket of their hash,
-compressed. The most frequent words, bounded in number and bytes, are small enough for every task
-to hold; the occurrences of all other words go to their buckets by a shuffle. Which way a word goes changes no result.
+Each task cuts its rows into chunks of bounded size and splits the texts of a chunk once: into the distinct words and a
+number for each occurrence. A chunk asks for each of its distinct words at the bucket of the word's hash. A bucket meets
+every distinct word once, however many chunks ask for it, works out what is wanted and answers each chunk in the order of
+its questions; the answers go back to the chunk. So a word is never hot: a chunk asks for it once. Nothing goes to the
+driver or to all tasks, a task holds one chunk or one bucket, and the number of buckets follows the size of the corpus.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,14 +17,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words, or occurrences, that a task holds before it hands them on; buckets that words are dealt to.
-FLUSH, BUCKETS = 400_000, 1024
-#: Bounds of the frequent words: how many, bytes of each, bytes of all.
-HOT_WORDS, HOT_BYTES, HOT_TOTAL = 1 << 19, 1024, 32 << 20
-STEPS = 8  # count classes in each doubling
+from tidegraph.scratch import materialize
+
+#: Bytes of text in a chunk, and for each bucket.
+CHUNK, SHARE = 16 << 20, 16 << 20
 LEVEL = 3  # of the compression of what is shuffled
 SLICE = 8 << 20  # bytes of text that are split at a time; a longer text is split alone
 
@@ -46,11 +45,6 @@ class Words:
     def starts(self) -> np.ndarray:
         return self.ends - self.sizes
 
-    def mapped(self, numbers: dict[bytes, int], other: int) -> np.ndarray:
-        """The number of each occurrence, other for words that have none."""
-        get = numbers.get
-        return np.array([get(w, other) for w in self.table], np.int64)[self.codes]
-
 
 def slices(column: pa.Array, stretch: int = SLICE) -> Iterator[pa.Array]:
     """Stretches of about as many bytes of a binary column without nulls."""
@@ -89,104 +83,144 @@ def split_blanks(texts: pa.Array, lower: bool = True) -> Words:
     return numbered(words, sizes)
 
 
-def bucket_of(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) % BUCKETS
+# -- numbers and words as bytes
 
 
-def pack(words: list[bytes]) -> bytes:
-    sizes = np.fromiter(map(len, words), "<u4", len(words))
-    return zstandard.compress(sizes.tobytes() + b"".join(words), LEVEL)
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start[i] to start[i] + size[i] end to end."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def unpack(blob: bytes, n: int) -> list[bytes]:
-    raw = zstandard.decompress(blob)
-    ends = 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64)
-    cuts = [4 * n, *ends.tolist()]
-    return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches flat[start[i] : start[i] + size[i]] end to end."""
+    return flat[spans(start, size)]
 
-def dealt(words: Iterable[bytes]) -> dict[int, list[bytes]]:
-    """Words by bucket, each bucket's sorted."""
-    out: dict[int, list[bytes]] = {}
-    for w in sorted(words):
-        out.setdefault(bucket_of(w), []).append(w)
-    return out
 
+def planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, ..., compressed."""
+    return zstandard.compress(values.view("u1").reshape(len(values), values.itemsize).T.tobytes(), LEVEL)
 
-def count_words(texts: DataFrame, split: Callable[[pa.Array], Words], most: int = FLUSH, stretch: int = SLICE) -> DataFrame:
-    """texts(text binary, no nulls) to (word binary, n long) over all rows; split gives the words of some texts.
 
-    A task holds most distinct words, and those of a stretch of text, at a time."""
+def from_planes(blob: bytes, dtype: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(blob), "u1")
+    return raw.reshape(np.dtype(dtype).itemsize, -1).T.copy().view(dtype).ravel()
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
-            lots = dealt(counts)
-            n = [zstandard.compress(np.fromiter(map(counts.__getitem__, ws), "<u8", len(ws)).tobytes(), 3) for ws in lots.values()]
-            out = pa.record_batch({"bucket": pa.array(lots, pa.int32()), "size": pa.array(map(len, lots.values()), pa.int32()), "words": pa.array(map(pack, lots.values()), pa.binary()), "counts": pa.array(n, pa.binary())})
-            counts.clear()
-            return out
-
-        for b in batches:
-            for part in slices(b.column(0), stretch):
-                w = split(part)
-                get = counts.get
-                for word, n in zip(w.table, np.bincount(w.codes, minlength=len(w.table)).tolist(), strict=True):
-                    counts[word] = get(word, 0) + n
-                del w
-                if len(counts) >= most:
-                    yield flush()
-                    pa.default_memory_pool().release_unused()
-        if counts:
-            yield flush()
+def pack(words: list[bytes]) -> bytes:
+    sizes = np.fromiter(map(len, words), "<u4", len(words))
+    return zstandard.compress(sizes.tobytes() + b"".join(words), LEVEL)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, {}
 
-        def rows() -> pa.RecordBatch:
-            return pa.record_batch({"word": pa.array(total, pa.binary()), "n": pa.array(total.values(), pa.int64())})
+def unpack(blob: bytes, n: int) -> pa.Array:
+    raw = zstandard.decompress(blob)
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[4 * n :])])
+
+
+# -- chunks and buckets
+
+
+def bucket_count(rows: DataFrame, column: str = "raw") -> int:
+    """Buckets for a corpus: one for every SHARE bytes, and at least as many as shuffles have partitions."""
+    size = rows.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
+
+
+def chunk_table(rows: DataFrame, split: Callable[[pa.Array], tuple[np.ndarray | None, Words]], buckets: int, weigh: str | None = None, most: int | None = None) -> DataFrame:
+    """rows(..., raw binary without nulls) to one written row for each chunk of texts:
+
+    chunk, an array of each other column of rows, sizes (words of each text), codes (number of each word), places (number
+    of each word asked for, in the order of the questions), requests(bucket, n, words, counts).
+
+    split gives the words of some texts, and the order in which it has put the texts if it isn't theirs. counts has how
+    often each word occurs in the chunk, in the rows where the boolean column weigh is true if one is given. most: bytes
+    of text in a chunk; a longer text is a chunk of its own."""
+    most = most or CHUNK
+    keep = [c for c in rows.columns if c != "raw"]
+    types = {c: rows.schema[c].dataType.simpleString() for c in keep}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            cols = {c: pa.concat_arrays([h.column(c) for h in held]) for c in [*keep, "raw"]}
+            held.clear()
+            order, w = split(cols.pop("raw"))
+            if order is not None:
+                cols = {c: v.take(pa.array(order)) for c, v in cols.items()}
+            n = len(w.table)
+            weight = np.repeat(cols[weigh].to_numpy(zero_copy_only=False), w.sizes) if weigh else None
+            counts = np.bincount(w.codes if weight is None else w.codes[weight], minlength=n).astype("<u8")
+            by = np.argsort(-np.bincount(w.codes, minlength=n), kind="stable")  # small numbers for frequent words
+            rank = np.empty(n, np.int64)
+            rank[by] = np.arange(n)
+            bucket = (np.fromiter(map(xxhash.xxh3_64_intdigest, w.table), np.uint64, n) % np.uint64(buckets)).astype(np.int32)
+            asked = pc.sort_indices(pa.table({"b": bucket, "w": pa.array(w.table, pa.binary())}), sort_keys=[("b", "ascending"), ("w", "ascending")]).to_numpy().astype(np.int64)
+            own, first = np.unique(bucket[asked], return_index=True)
+            requests = [{"bucket": b, "n": e - a, "words": pack([w.table[i] for i in asked[a:e].tolist()]), "counts": planes(counts[asked[a:e]])} for b, a, e in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), n], strict=True)]
+            out = {"chunk": pa.array([part << 32 | seq], pa.int64())}
+            out |= {c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for c, v in cols.items()}
+            out["sizes"] = pa.array([w.sizes], pa.list_(pa.int64()))
+            out["codes"] = pa.array([planes(rank[w.codes].astype("<u4"))], pa.binary())
+            out["places"] = pa.array([planes(rank[asked].astype("<u4"))], pa.binary())
+            out["requests"] = pa.array([requests], pa.list_(pa.struct([("bucket", pa.int32()), ("n", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])))
+            return pa.record_batch(out)
 
         for b in batches:
-            for bucket, size, words, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if bucket != at:
-                    if total:
-                        yield rows()
-                    at, total = bucket, {}
-                get = total.get
-                for w, n in zip(unpack(words, size), np.frombuffer(zstandard.decompress(counts), "<u8").tolist(), strict=True):
-                    total[w] = get(w, 0) + n
-        if total:
-            yield rows()
-
-    packed = texts.mapInArrow(partial, "bucket int, size int, words binary, counts binary")
-    return in_buckets(packed).mapInArrow(merge, "word binary, n long")
-
-
-def in_buckets(rows: DataFrame) -> DataFrame:
-    """rows(bucket, ...) with each bucket's rows in one task, one after the other."""
+            sizes, at = np.asarray(pc.binary_length(b.column("raw"))).astype(np.int64) + 16, 0
+            while at < len(b):
+                sums = np.cumsum(sizes[at:])
+                n = min(int(np.searchsorted(sums, most - size)) + 1, len(b) - at)
+                held.append(b.slice(at, n))
+                size, at = size + int(sums[n - 1]), at + n
+                if size >= most:
+                    yield made()
+                    size, seq = 0, seq + 1
+                    pa.default_memory_pool().release_unused()
+        if held:
+            yield made()
+
+    schema = "chunk long, " + "".join(f"`{c}` array<{types[c]}>, " for c in keep) + "sizes array<long>, codes binary, places binary, requests array<struct<bucket:int,n:int,words:binary,counts:binary>>"
+    return materialize(rows.select(*keep, "raw").mapInArrow(cut, schema), "chunks")
+
+
+def runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, list[dict]]]:
+    """The rows of sorted batches in runs of equal values of the columns names."""
+    key, held = None, []
+    for b in batches:
+        for i in range(len(b)):
+            r = {c: v[i].as_py() for c, v in zip(b.schema.names, b.columns, strict=True)}
+            k = tuple(r[n] for n in names)
+            if held and k != key:
+                yield key, held
+                held = []
+            key = k
+            held.append(r)
+    if held:
+        yield key, held
+
+
+def in_buckets(rows: DataFrame, buckets: int, *order: str) -> DataFrame:
+    """rows(bucket, ...) with each bucket's rows in one task, one after the other, sorted by the columns order."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
-
-
-def hot_from(counts: DataFrame, most: int = HOT_WORDS) -> int:
-    """The smallest count such that the words that have it or more keep the bounds. Reads a few hundred count classes."""
-    kind = F.floor(F.log2(F.col("n").cast("double")) * STEPS).cast("int")
-    short = counts.where(F.octet_length("word") <= HOT_BYTES)
-    found = short.groupBy(kind.alias("k")).agg(F.count("*").alias("c"), F.sum(F.octet_length("word")).alias("bytes"), F.min("n").alias("n")).collect()
-    total, size, out = 0, 0, None
-    for r in sorted(found, key=lambda r: -r.k):
-        total, size = total + r.c, size + r.bytes
-        if total > most or size > HOT_TOTAL:
-            break
-        out = r.n
-    return out if out is not None else 1 << 62
+    parts = min(buckets, max(parts, buckets // 4))
+    return rows.repartitionById(parts, (F.col("bucket") % parts).cast("int")).sortWithinPartitions("bucket", *order)
 
 
-def is_hot(threshold: int):
-    return (F.col("n") >= threshold) & (F.octet_length("word") <= HOT_BYTES)
+def asked_words(rows: list[dict]) -> tuple[pa.Array, np.ndarray, list[int]]:
+    """Of the requests of one bucket: the distinct words, the number of each word asked for, where each request ends."""
+    words = pa.concat_arrays([unpack(r["words"], r["n"]) for r in rows]).dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(), np.cumsum([r["n"] for r in rows]).tolist()
 
 
-def collect_hot(table: DataFrame, threshold: int) -> pa.Table:
-    """The frequent words' rows, most frequent first: a bounded number of bytes, held as Arrow columns."""
-    return table.where(is_hot(threshold)).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+def with_answers(table: DataFrame, *answers: DataFrame) -> DataFrame:
+    """The rows of chunk_table() without their requests, each followed by the rows of answers(chunk, kind, bucket, body),
+    by kind and bucket."""
+    chunks = table.drop("requests").withColumns({"kind": F.lit(-1), "bucket": F.lit(-1)})
+    for a in answers:
+        chunks = chunks.unionByName(a.select("chunk", "kind", "bucket", "body"), allowMissingColumns=True)
+    parts = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), table.count())
+    return chunks.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
