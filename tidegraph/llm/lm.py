@@ -35,7 +35,7 @@ from tidegraph.scratch import materialize
 #: The token at the end of every text; no word holds a line break.
 EOS = b"\n"
 STRENGTH, SPARE = 4.0, 24
-CHUNK = 28 << 20  # bytes of text in a chunk: the larger, the fewer pairs are asked for again
+CHUNK = 18 << 20  # bytes of text in a chunk: the larger, the fewer pairs are asked for again
 PAIR, TRIPLE = 2, 3
 OUT = "doc_id long, trains boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
