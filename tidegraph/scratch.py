@@ -9,11 +9,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,14 +45,43 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_buckets(df: DataFrame, column: str, buckets: int, name: str = "table") -> DataFrame:
+    """As materialize(), but dealt to buckets by a column: joins on it leave the table where it lies. Spark allows no more
+    than 100,000 buckets by default; beyond that each just holds more rows."""
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"tidegraph_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(min(buckets, 100_000), column).saveAsTable(table)
+    _tables.append((spark, table))
+    return spark.table(table)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def settled(make: Callable[[], DataFrame], name: str = "table") -> DataFrame:
+    """materialize(make()); the tables that make() wrote on the way are deleted once the result is there."""
+    written, tables = len(_written), len(_tables)
+    out = materialize(make(), name)
+    gone = _written[written:-1]
+    del _written[written:-1]
+    for spark, table in _tables[tables:]:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    del _tables[tables:]
+    for spark, path in gone:
+        delete(spark, path)
+    return out
+
+
 @atexit.register
 def _clean() -> None:
+    for spark, table in _tables:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # the session has ended, and its catalog with it
+            break
     for spark, path in _written:
         try:
             delete(spark, path)
