@@ -253,6 +253,7 @@ class BackOff:
 @pytest.mark.parametrize(("chunk", "share"), [(16 << 20, 16 << 20), (1500, 4000)])
 def test_lm_equals_dictionaries(docs, empty, spark, monkeypatch, chunk, share):
     monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(lm, "TOGETHER", chunk // 20)
     monkeypatch.setattr(wordtable, "SHARE", share)
     more = docs.unionByName(docs.where("doc_id = 60")).unionByName(spark.createDataFrame([(None, "one two two", "", "", 0)] * 2, SCHEMA))
     out = by_id(lm.score(more, remainder(F.col("doc_id"), 7) != 2))

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.wordtable import Words, asked_words, bucket_count, chunk_table, from_planes, gather, in_buckets, numbered, planes, runs, with_answers
+from tidegraph.llm.wordtable import Words, asked_words, bucket_count, chunk_table, from_planes, gather, numbered, planes, rows_of, runs, slices, to_buckets, with_answers
 
 #: Where a text may be cut: at a single space between two characters that are no white space (for Python, whose white
 #: space includes the tokenizer's).
@@ -34,6 +34,7 @@ SPACE = chr(BYTES[32])
 _OTHER_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 #: Words that are encoded in one go, texts that are looked at together, words of documents that are made at a time.
 LOT, TOGETHER, TOGETHER_WORDS = 100, 64, 1 << 19
+TOGETHER_BYTES = 4 << 20  # of ids that are decoded at a time
 _loaded: dict[str, object] = {}
 
 
@@ -188,18 +189,17 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 yield pa.record_batch({"chunk": [r["chunk"]], "kind": pa.array([1], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "body": pa.array([body], pa.binary())})
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in runs(batches, "chunk"):
-            head, sizes = held[0], np.array(held[0]["sizes"], np.int64)
+        for head in rows_of(batches):
+            sizes = np.array(head["sizes"], np.int64)
             codes, places = from_planes(head["codes"], "<u4"), from_planes(head["places"], "<u4")
             size, flat = np.zeros(len(places), np.int64), []
             at = 0
-            for r in held[1:]:
+            for r in head.pop("answers") or ():
                 body = from_planes(r["body"], "<u4")
                 n = int(body[0])
                 size[places[at : at + n]] = body[1 : n + 1]
                 flat.append(body[n + 1 :])
                 at += n
-            held.clear()
             flat, start = np.concatenate([np.zeros(0, "<u4"), *flat]), np.empty(len(places), np.int64)
             start[places] = np.cumsum(size[places]) - size[places]
             ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -211,7 +211,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 ids = [raw[4 * s : 4 * e] for s, e in zip(words.tolist(), words[1:].tolist(), strict=False)]
                 yield pa.record_batch({"doc_id": pa.array(head["doc_id"][a:b], pa.int64()), "ids": pa.array(ids, pa.binary())})
 
-    asked = in_buckets(table.select("chunk", F.inline("requests")), buckets, "chunk")
+    asked = to_buckets(table.select("chunk", F.inline("requests")), buckets, "chunk")
     answers = asked.mapInArrow(encode, "chunk long, kind int, bucket int, body binary")
     return with_answers(table, answers).mapInArrow(put, "doc_id long, ids binary")
 
@@ -222,10 +222,13 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(path)
         for b in batches:
-            out = []
-            for raw in b.column("ids"):
-                ids = np.frombuffer(raw.as_py(), "<u4")
-                out.append(gather(table.flat, table.start[ids], table.size[ids]).tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "text"])
+            at = 0
+            for part in slices(b.column("ids"), TOGETHER_BYTES):
+                out = []
+                for raw in part:
+                    ids = np.frombuffer(raw.as_py(), "<u4")
+                    out.append(gather(table.flat, table.start[ids], table.size[ids]).tobytes().decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([*b.slice(at, len(part)).columns, pa.array(out, pa.string())], [*b.schema.names, "text"])
+                at += len(part)
 
     return encoded.mapInArrow(join, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", text string")

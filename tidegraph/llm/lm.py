@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.wordtable import Words, asked_words, bucket_count, chunk_table, from_planes, in_buckets, planes, runs, split_blanks, with_answers
+from tidegraph.llm.wordtable import Words, asked_words, bucket_count, chunk_table, from_planes, planes, rows_of, runs, split_blanks, to_buckets, with_answers
 from tidegraph.scratch import materialize
 
 #: The token at the end of every text; no word holds a line break.
 EOS = b"\n"
 STRENGTH, SPARE = 4.0, 24
+TOGETHER = 1 << 18  # tokens that are weighed at a time
 CHUNK = 18 << 20  # bytes of text in a chunk: the larger, the fewer pairs are asked for again
 PAIR, TRIPLE = 2, 3
 OUT = "doc_id long, trains boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -62,19 +63,19 @@ class Chunk:
     ids: np.ndarray
     count: np.ndarray
     sizes: np.ndarray
-    rows: list[dict]
+    answers: list[dict]
 
     @classmethod
-    def of(cls, rows: list[dict]) -> Chunk:
-        head, sizes = rows[0], np.array(rows[0]["sizes"], np.int64)
-        codes, places = from_planes(head["codes"], "<u4"), from_planes(head["places"], "<u4")
+    def of(cls, row: dict) -> Chunk:
+        answers = row.pop("answers")
+        codes, places = from_planes(row.pop("codes"), "<u4"), from_planes(row.pop("places"), "<u4")
         word, count, at = np.empty(len(places), np.uint64), np.empty(len(places), np.int64), 0
-        for r in rows:
+        for r in answers:
             if r["kind"] == 1:
                 got = from_planes(r["body"], "<u8").reshape(2, -1)
                 here = places[at : at + got.shape[1]]
                 word[here], count[here], at = got[0] + np.uint64(1 + (r["bucket"] << 32)), got[1], at + len(here)
-        return cls(word[codes], count[codes], sizes, rows)
+        return cls(word[codes], count[codes], np.array(row["sizes"], np.int64), [r for r in answers if r["kind"] != 1])
 
     @property
     def starts(self) -> np.ndarray:
@@ -97,30 +98,28 @@ class Chunk:
         at, key = self.keys(kind, bits)
         out = np.zeros(len(self.ids), np.int64)
         if len(at):
-            by, _, group = grouped(key)
-            found = np.concatenate([from_planes(r["body"], "<u8") for r in self.rows if r["kind"] == kind])
-            out[at[by]] = found[group]
+            by, new = ordered(key)
+            del key
+            found = np.concatenate([from_planes(r["body"], "<u8") for r in self.answers if r["kind"] == kind])
+            out[at[by]] = found[np.cumsum(new) - 1]
         return out
 
 
-def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order in which keys ascend, the places in it where another one begins, and the number of each one's key."""
+def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which keys ascend, and whether a place in it has another key than the one before."""
     by = np.argsort(keys)
     new = np.ones(len(keys), bool)
     new[1:] = np.diff(keys[by]) != 0
-    return by, np.flatnonzero(new), np.cumsum(new) - 1
-
-
-def traverse(chunk: Chunk, tokens: int, words: int, texts: int, bits: int, strength: float) -> tuple[np.ndarray, np.ndarray]:
-    """The root's weight of each token, and the weight along the arcs taken, for a model of so many training tokens,
-    distinct words and texts."""
-    pairs, triples = chunk.counts(PAIR, bits), chunk.counts(TRIPLE, bits)
-    first = np.zeros(len(chunk.ids), bool)
-    first[chunk.starts] = True
-    word_seen, pair_seen = np.empty(len(first), np.int64), np.empty(len(first), np.int64)  # occurrences of the histories
-    word_seen[1:], pair_seen[1:] = chunk.count[:-1], pairs[:-1]
-    word_seen[first], pair_seen[first] = texts, 0
-    p = (chunk.count + 1) / (tokens + words + 1)
+    return by, new
+
+
+def traverse(count: np.ndarray, pairs: np.ndarray, triples: np.ndarray, starts: np.ndarray, tokens: int, words: int, texts: int, strength: float) -> tuple[np.ndarray, np.ndarray]:
+    """The root's weight of each token of some whole texts, and the weight along the arcs taken. count, pairs, triples: of
+    the word, the pair and the triple that each token ends, in a model of so many training tokens, distinct words, texts."""
+    word_seen, pair_seen = np.empty(len(count), np.int64), np.empty(len(count), np.int64)  # occurrences of the histories
+    word_seen[1:], pair_seen[1:] = count[:-1], pairs[:-1]
+    word_seen[starts], pair_seen[starts] = texts, 0
+    p = (count + 1) / (tokens + words + 1)
     root = np.log10(p)
     weight = root
     for n, seen in ((pairs, word_seen), (triples, pair_seen)):  # the states of a word, then those of a pair
@@ -150,7 +149,7 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
                 yield pa.record_batch({"chunk": [r["chunk"]], "kind": pa.array([1], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "body": pa.array([body], pa.binary()), "tokens": [whole[0]], "words": [whole[1]]})
                 whole = (0, 0)
 
-    asked = in_buckets(table.select("chunk", F.inline("requests")), buckets, "chunk")
+    asked = to_buckets(table.select("chunk", F.inline("requests")), buckets, "chunk")
     words = materialize(asked.mapInArrow(count_words, "chunk long, kind int, bucket int, body binary, tokens long, words long"), "words")
     seen = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     size = table.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)), F.sum(F.size(F.filter("trains", lambda x: x)))).first()
@@ -159,15 +158,15 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     edges = np.array([(i << bits) // buckets for i in range(1, buckets)], np.uint64)  # of the buckets of keys
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (number,), held in runs(batches, "chunk"):
-            chunk = Chunk.of(held)
-            learnt = np.repeat(np.array(held[0]["trains"], bool), chunk.sizes).astype(np.int64)
-            held.clear()
+        for row in rows_of(batches):
+            number, chunk = row["chunk"], Chunk.of(row)
+            learnt = np.repeat(np.array(row["trains"], bool), chunk.sizes).astype(np.int64)
             for kind in (PAIR, TRIPLE):
                 at, key = chunk.keys(kind, bits)
                 if not len(at):
                     continue
-                by, first, _ = grouped(key)
+                by, new = ordered(key)
+                first = np.flatnonzero(new)
                 key, n = key[by[first]], np.add.reduceat(learnt[at[by]], first).astype("<u4")
                 cuts = [0, *np.searchsorted(key, edges).tolist(), len(key)]
                 some = [(b, s, e) for b, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if s < e]
@@ -181,19 +180,25 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
             key = np.concatenate([np.cumsum(from_planes(r["keys"], "<u8")) for r in held])
             n = np.concatenate([from_planes(r["counts"], "<u4") for r in held]).astype(np.int64)
             held.clear()
-            by, first, group = grouped(key)
+            by, new = ordered(key)
             total = np.empty(len(key), "<u8")
-            total[by] = np.add.reduceat(n[by], first)[group]
+            total[by] = np.add.reduceat(n[by], np.flatnonzero(new))[np.cumsum(new) - 1]
             bodies = [planes(total[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
             yield pa.record_batch({"chunk": pa.array(of, pa.int64()), "kind": pa.array([kind] * len(of), pa.int32()), "bucket": pa.array([bucket] * len(of), pa.int32()), "body": pa.array(bodies, pa.binary())})
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in runs(batches, "chunk"):
-            chunk = Chunk.of(held)
-            root, weight = traverse(chunk, tokens, distinct, texts, bits, strength)
-            sums = [np.add.reduceat(v, chunk.starts) for v in ((chunk.count > 0).astype(np.int64), root, weight)]
-            yield pa.record_batch({"doc_id": pa.array(held[0]["doc_id"], pa.int64()), "trains": pa.array(held[0]["trains"], pa.bool_()), "n_tokens": pa.array(chunk.sizes), "n_known": pa.array(sums[0]), "train_tokens": pa.array(np.full(len(chunk.sizes), tokens)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
+        for row in rows_of(batches):
+            chunk = Chunk.of(row)
+            pairs, triples = chunk.counts(PAIR, bits), chunk.counts(TRIPLE, bits)
+            ends = np.cumsum(chunk.sizes)
+            cuts = np.unique([0, *np.searchsorted(ends, np.arange(TOGETHER, ends[-1], TOGETHER)).tolist(), len(ends)]).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                sizes = chunk.sizes[a:b]
+                own, starts = slice(ends[a] - sizes[0], ends[b - 1]), np.cumsum(sizes) - sizes
+                root, weight = traverse(chunk.count[own], pairs[own], triples[own], starts, tokens, distinct, texts, strength)
+                sums = [np.add.reduceat(v, starts) for v in ((chunk.count[own] > 0).astype(np.int64), root, weight)]
+                yield pa.record_batch({"doc_id": pa.array(row["doc_id"][a:b], pa.int64()), "trains": pa.array(row["trains"][a:b], pa.bool_()), "n_tokens": pa.array(sizes), "n_known": pa.array(sums[0]), "train_tokens": pa.array(np.full(len(sizes), tokens)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
 
     asked = with_answers(table, words).mapInArrow(ask, "bucket int, kind int, chunk long, n int, keys binary, counts binary")
-    counted = in_buckets(asked, buckets, "kind", "chunk").mapInArrow(count_keys, "chunk long, kind int, bucket int, body binary")
-    return with_answers(table, words, materialize(counted, "ngrams")).mapInArrow(weigh, OUT)
+    counted = to_buckets(asked, buckets, "kind", "chunk").mapInArrow(count_keys, "chunk long, kind int, bucket int, body binary")
+    return with_answers(table, words.drop("tokens", "words").unionByName(materialize(counted, "ngrams"))).mapInArrow(weigh, OUT)

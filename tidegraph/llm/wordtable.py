@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.scratch import materialize
+from tidegraph.scratch import in_buckets
 
 #: Bytes of text in a chunk, and for each bucket.
 CHUNK, SHARE = 16 << 20, 16 << 20
@@ -184,26 +184,24 @@ def chunk_table(rows: DataFrame, split: Callable[[pa.Array], tuple[np.ndarray |
             yield made()
 
     schema = "chunk long, " + "".join(f"`{c}` array<{types[c]}>, " for c in keep) + "sizes array<long>, codes binary, places binary, requests array<struct<bucket:int,n:int,words:binary,counts:binary>>"
-    return materialize(rows.select(*keep, "raw").mapInArrow(cut, schema), "chunks")
+    return in_buckets(rows.select(*keep, "raw").mapInArrow(cut, schema), "chunk", buckets, "chunks")
 
 
 def runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, list[dict]]]:
     """The rows of sorted batches in runs of equal values of the columns names."""
     key, held = None, []
-    for b in batches:
-        for i in range(len(b)):
-            r = {c: v[i].as_py() for c, v in zip(b.schema.names, b.columns, strict=True)}
-            k = tuple(r[n] for n in names)
-            if held and k != key:
-                yield key, held
-                held = []
-            key = k
-            held.append(r)
+    for r in rows_of(batches):
+        k = tuple(r[n] for n in names)
+        if held and k != key:
+            yield key, held
+            held = []
+        key = k
+        held.append(r)
     if held:
         yield key, held
 
 
-def in_buckets(rows: DataFrame, buckets: int, *order: str) -> DataFrame:
+def to_buckets(rows: DataFrame, buckets: int, *order: str) -> DataFrame:
     """rows(bucket, ...) with each bucket's rows in one task, one after the other, sorted by the columns order."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = min(buckets, max(parts, buckets // 4))
@@ -216,11 +214,15 @@ def asked_words(rows: list[dict]) -> tuple[pa.Array, np.ndarray, list[int]]:
     return words.dictionary, words.indices.to_numpy(), np.cumsum([r["n"] for r in rows]).tolist()
 
 
-def with_answers(table: DataFrame, *answers: DataFrame) -> DataFrame:
-    """The rows of chunk_table() without their requests, each followed by the rows of answers(chunk, kind, bucket, body),
-    by kind and bucket."""
-    chunks = table.drop("requests").withColumns({"kind": F.lit(-1), "bucket": F.lit(-1)})
-    for a in answers:
-        chunks = chunks.unionByName(a.select("chunk", "kind", "bucket", "body"), allowMissingColumns=True)
-    parts = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), table.count())
-    return chunks.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
+def with_answers(table: DataFrame, answers: DataFrame) -> DataFrame:
+    """The rows of chunk_table() without their requests, each with answers: an array of the (kind, bucket, body) that
+    answers(chunk, kind, bucket, body) has for it, by kind and bucket. Only the answers travel."""
+    per_chunk = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("kind", "bucket", "body"))).alias("answers"))
+    return table.drop("requests").join(per_chunk.hint("shuffle_hash"), "chunk", "left")
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches, one at a time."""
+    for b in batches:
+        for i in range(len(b)):
+            yield {c: v[i].as_py() for c, v in zip(b.schema.names, b.columns, strict=True)}
