@@ -13,6 +13,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's default for the most buckets of a table.
+MOST_BUCKETS = 100_000
 _own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 _tables: list[tuple[SparkSession, str]] = []
@@ -46,11 +48,11 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def in_buckets(df: DataFrame, column: str, buckets: int, name: str = "table") -> DataFrame:
-    """As materialize(), but dealt to buckets by a column: joins on it leave the table where it lies. Spark allows no more
-    than 100,000 buckets by default; beyond that each just holds more rows."""
+    """As materialize(), but dealt to buckets by a column: joins on it leave the table where it lies. With more
+    buckets than Spark allows, each just holds more rows."""
     spark = df.sparkSession
     path, table = new_path(spark, name), f"tidegraph_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(min(buckets, 100_000), column).saveAsTable(table)
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(min(buckets, MOST_BUCKETS), column).saveAsTable(table)
     _tables.append((spark, table))
     return spark.table(table)
 
