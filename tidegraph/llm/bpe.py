@@ -213,7 +213,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     asked = to_buckets(table.select("chunk", F.inline("requests")), buckets, "chunk")
     answers = asked.mapInArrow(encode, "chunk long, kind int, bucket int, body binary")
-    return with_answers(table, answers).mapInArrow(put, "doc_id long, ids binary")
+    return with_answers(table, answers, buckets).mapInArrow(put, "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -199,6 +199,6 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
                 sums = [np.add.reduceat(v, starts) for v in ((chunk.count[own] > 0).astype(np.int64), root, weight)]
                 yield pa.record_batch({"doc_id": pa.array(row["doc_id"][a:b], pa.int64()), "trains": pa.array(row["trains"][a:b], pa.bool_()), "n_tokens": pa.array(sizes), "n_known": pa.array(sums[0]), "train_tokens": pa.array(np.full(len(sizes), tokens)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
 
-    asked = with_answers(table, words).mapInArrow(ask, "bucket int, kind int, chunk long, n int, keys binary, counts binary")
+    asked = with_answers(table, words, buckets).mapInArrow(ask, "bucket int, kind int, chunk long, n int, keys binary, counts binary")
     counted = to_buckets(asked, buckets, "kind", "chunk").mapInArrow(count_keys, "chunk long, kind int, bucket int, body binary")
-    return with_answers(table, words.drop("tokens", "words").unionByName(materialize(counted, "ngrams"))).mapInArrow(weigh, OUT)
+    return with_answers(table, words.drop("tokens", "words").unionByName(materialize(counted, "ngrams")), buckets).mapInArrow(weigh, OUT)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.scratch import in_buckets
+from tidegraph.scratch import MOST_BUCKETS, in_buckets
 
 #: Bytes of text in a chunk, and for each bucket.
 CHUNK, SHARE = 16 << 20, 16 << 20
@@ -133,9 +133,9 @@ def chunk_table(rows: DataFrame, split: Callable[[pa.Array], tuple[np.ndarray |
     chunk, an array of each other column of rows, sizes (words of each text), codes (number of each word), places (number
     of each word asked for, in the order of the questions), requests(bucket, n, words, counts).
 
-    split gives the words of some texts, and the order in which it has put the texts if it isn't theirs. counts has how
-    often each word occurs in the chunk, in the rows where the boolean column weigh is true if one is given. most: bytes
-    of text in a chunk; a longer text is a chunk of its own."""
+    split gives the words of some texts, and the order in which it has put the texts if it isn't theirs. weigh: a boolean
+    column; counts then has how often each word occurs in the chunk's rows where it is true. most: bytes of text in a
+    chunk; a longer text is a chunk of its own."""
     most = most or CHUNK
     keep = [c for c in rows.columns if c != "raw"]
     types = {c: rows.schema[c].dataType.simpleString() for c in keep}
@@ -153,14 +153,14 @@ def chunk_table(rows: DataFrame, split: Callable[[pa.Array], tuple[np.ndarray |
                 cols = {c: v.take(pa.array(order)) for c, v in cols.items()}
             n = len(w.table)
             weight = np.repeat(cols[weigh].to_numpy(zero_copy_only=False), w.sizes) if weigh else None
-            counts = np.bincount(w.codes if weight is None else w.codes[weight], minlength=n).astype("<u8")
+            counts = np.bincount(w.codes[weight], minlength=n).astype("<u8") if weigh else None
             by = np.argsort(-np.bincount(w.codes, minlength=n), kind="stable")  # small numbers for frequent words
             rank = np.empty(n, np.int64)
             rank[by] = np.arange(n)
             bucket = (np.fromiter(map(xxhash.xxh3_64_intdigest, w.table), np.uint64, n) % np.uint64(buckets)).astype(np.int32)
             asked = pc.sort_indices(pa.table({"b": bucket, "w": pa.array(w.table, pa.binary())}), sort_keys=[("b", "ascending"), ("w", "ascending")]).to_numpy().astype(np.int64)
             own, first = np.unique(bucket[asked], return_index=True)
-            requests = [{"bucket": b, "n": e - a, "words": pack([w.table[i] for i in asked[a:e].tolist()]), "counts": planes(counts[asked[a:e]])} for b, a, e in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), n], strict=True)]
+            requests = [{"bucket": b, "n": e - a, "words": pack([w.table[i] for i in asked[a:e].tolist()]), "counts": planes(counts[asked[a:e]]) if weigh else b""} for b, a, e in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), n], strict=True)]
             out = {"chunk": pa.array([part << 32 | seq], pa.int64())}
             out |= {c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for c, v in cols.items()}
             out["sizes"] = pa.array([w.sizes], pa.list_(pa.int64()))
@@ -214,10 +214,10 @@ def asked_words(rows: list[dict]) -> tuple[pa.Array, np.ndarray, list[int]]:
     return words.dictionary, words.indices.to_numpy(), np.cumsum([r["n"] for r in rows]).tolist()
 
 
-def with_answers(table: DataFrame, answers: DataFrame) -> DataFrame:
+def with_answers(table: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
     """The rows of chunk_table() without their requests, each with answers: an array of the (kind, bucket, body) that
-    answers(chunk, kind, bucket, body) has for it, by kind and bucket. Only the answers travel."""
-    per_chunk = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("kind", "bucket", "body"))).alias("answers"))
+    answers(chunk, kind, bucket, body) has for it, by kind and bucket. Only the answers travel, once, to the buckets in which the table lies."""
+    per_chunk = answers.repartition(min(buckets, MOST_BUCKETS), "chunk").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("kind", "bucket", "body"))).alias("answers"))
     return table.drop("requests").join(per_chunk.hint("shuffle_hash"), "chunk", "left")
 
 
