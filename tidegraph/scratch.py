@@ -63,6 +63,11 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def settled(make: Callable[[], DataFrame], name: str = "table") -> DataFrame:
     """materialize(make()); the tables that make() wrote on the way are deleted once the result is there."""
     written, tables = len(_written), len(_tables)
