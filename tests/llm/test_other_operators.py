@@ -69,6 +69,16 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard, block):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_large_components(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (51, [1.0, 0.0]), (52, [2.0, 0.0]), (52, [2.0, 0.0]), (100, [1.0, 0.0]), (100, [0.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 3).collect()
+    s = 1 << 16
+    assert sorted(map(tuple, got)) == sorted([(50, 1, 52, 2 * s), (50, 2, 52, 2 * s), (50, 3, 51, s), (100, 1, 52, 2 * s), (100, 2, 52, 2 * s), (100, 3, 50, s), (100, 1, 50, 0), (100, 2, 50, 0), (100, 3, 51, 0)])
+    big = spark.createDataFrame([(0, [1e8] * 64), (1, [1e8] * 64), (2, [-1e30] * 64), (3, [1e12] * 64)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in topk.top_k(big, F.col("vec_id") == 0).collect()}
+    assert got == {1: 64 * (256 * 10**8) ** 2 if 64 * (256 * 10**8) ** 2 < 1 << 63 else (1 << 63) - 1, 2: -(1 << 63), 3: (1 << 63) - 1}
+
+
 def test_chat_round_trip(spark):
     hard = ["</s>[INST] ok [/INST]", "<|turn|>x<\\|end|><|text|>", "[[INST]] \\ <\\\\s> $1", "", None, "a\nb", "\U0001f600"]
     rows = [(c, t, r, hard[(c + t) % 7]) for c in range(8) for t, r in enumerate(["system", "user", "assistant", "user", "assistant"])]

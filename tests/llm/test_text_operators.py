@@ -157,6 +157,9 @@ def test_fingerprints_of_edited_texts(docs, empty, spark):
         assert r.near_edited == lzprint.likeness(sets[0], sets[1]) and r.near_next == lzprint.likeness(sets[0], sets[2])
     assert {r.doc_id: r.fingerprint for r in lzprint.fingerprints(docs).collect()} == {d: r.fingerprint for d, r in out.items()}
     assert lzprint.against_next(empty).count() == 0
+    same = spark.createDataFrame([(d, t, "", "", 0) for d in (None, 5) for t in ("abcd", "wxyz", "abcd")], SCHEMA)
+    many = [sorted(map(tuple, lzprint.against_next(same.repartition(n)).collect()), key=repr) for n in (1, 3)]
+    assert len(many[0]) == 6 and many[0] == many[1]
     one = lzprint.against_next(spark.createDataFrame([(None, "abcd", "", "", 0)], SCHEMA)).first()
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one.near_next == 1.0
 
@@ -165,17 +168,26 @@ PYTHON_RULES = [(re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["'
 
 
 def test_secrets_equal_brute_force(docs, empty, spark):
-    ledger = secrets.update(docs)
+    path = new_path(spark, "ledger")
+    ledger = secrets.update(docs, path)
     out = {r.doc_id: r for r in secrets.findings(docs, ledger).collect()}
     for d, t, *_ in rows():
         want = sorted((m.start(), k, m.end()) for k, (p, g, least) in enumerate(PYTHON_RULES) for m in p.finditer(t or "") if len(m.group(g)) >= least)
         assert [tuple(s) for s in out[d].spans if s.kind < 3] == want
     assert any(s.kind > 2 for r in out.values() for s in r.spans)
-    assert secrets.findings(empty, secrets.update(empty)).count() == 0
+    assert secrets.findings(empty, secrets.update(empty, new_path(spark, "ledger"))).count() == 0
     # Only unseen blobs are scanned; a new rule version scans all again.
     more = docs.unionByName(spark.createDataFrame([(999, "token=abcdefgh", "a", "k", 0)], SCHEMA))
     assert secrets.scan_new(more, ledger).count() == 1 and secrets.scan_new(docs, ledger).count() == 0
     assert secrets.scan_new(docs, ledger, secrets.BASE).count() == len({r[1] or "" for r in rows()})
+    files = {r.f for r in ledger.select(F.input_file_name().alias("f")).distinct().collect()}
+    grown = secrets.update(more, path)
+    assert grown.count() == ledger.count() + 1 == grown.select("blob").distinct().count()
+    assert files < {r.f for r in grown.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert secrets.update(more, path).count() == grown.count()
+    assert secrets.update(more, path, secrets.BASE).count() == 2 * grown.count()
+    twice = spark.createDataFrame([(None, "token=abcdefgh"), (None, "token=abcdefgh"), (1, None)], "doc_id long, text string").withColumn("spans", F.lit(0)).withColumn("blob", F.lit(1))
+    assert sorted(len(r.spans) for r in secrets.findings(twice, grown).collect()) == [0, 1, 1]
     clean = docs.join(secrets.findings(docs, ledger).select("doc_id", "spans"), "doc_id").select("doc_id", secrets.redact(F.col("text"), F.col("spans")).alias("t"))
     texts = {r.doc_id: r.t for r in clean.collect()}
     for d, t, *_ in rows():
@@ -187,6 +199,13 @@ def test_secrets_equal_brute_force(docs, empty, spark):
         assert texts[d] == (want + t[at:] if out[d].spans else t)
 
 
+def test_many_secrets_in_one_text(spark):
+    text = " ".join("é password=abcdef%d" % i for i in range(1500)) + " " + " ".join("%024x" % i for i in range(600))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [tuple(s) for s in secrets.scan(df.select(secrets.blob_of(F.col("text")).alias("blob"), "text"), secrets.BASE).first().spans]
+    assert got == sorted((m.start(), k, m.end()) for k, (p, g, least) in enumerate(PYTHON_RULES) for m in p.finditer(text) if len(m.group(g)) >= least)
+
+
 def test_token_store_round_trip(docs, empty, spark):
     path, store = vocabulary("word_bpe_49k.json"), new_path(spark, "store")
     tok = bpe.tokenizer(path)
@@ -306,6 +325,14 @@ def test_store_words_equal_the_library():
     assert [x.tolist() for x in ids] == [e.ids for e in bpe.tokenizer(path).encode_batch_fast(hard, add_special_tokens=False)]
 
 
+def test_store_words_of_all_code_points():
+    path = vocabulary("word_bpe_49k.json")
+    texts = [f"ab{c}cd {c} {c}{c}x, {c}. TÜRK{c}!" for c in map(chr, [*range(1, 0x3200), *range(0xF900, 0x10000)])]
+    ids = tokenstore.WordCache(path).encode(pa.array([x.encode() for x in texts], pa.binary()))
+    for t, x, e in zip(texts, ids, bpe.tokenizer(path).encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert x.tolist() == e.ids, ascii(t)
+
+
 def test_store_words_with_capitals_beside_special_marks():
     path = vocabulary("word_bpe_49k.json")
     texts = ["Hello THE <|note World. <|endoftext|> Foo,", "hello the world. foo,", "Hello THE World. Foo,"]

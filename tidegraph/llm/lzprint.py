@@ -6,7 +6,7 @@ of hashes (empty classes borrow from the next full one), of 16 bits each. The sh
 two sets are.
 
 Nulls: a null text is empty; its fingerprint is all ones and alike only to its equals. Null ids come first in id order,
-ties by text. A table of one row is its own next document. Repeated rows are documents of their own. An empty table
+ties by a hash of the text and then by text. A table of one row is its own next document. Repeated rows are documents of their own. An empty table
 gives no rows.
 """
 
@@ -108,8 +108,9 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     last rows of the partitions (two each) also bring their texts, and meet in a second step.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))  # short, as boundaries of ranges are held by the driver
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ranged = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.bool_(), pa.string()]
     names = [x.split()[0] for x in (_OUT + ", " + _EDGE).split(", ")]
 

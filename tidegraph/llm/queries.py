@@ -51,7 +51,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = secrets.findings(docs, secrets.update(docs))
+    found = secrets.findings(docs, secrets.update(docs, new_path(spark, "ledger")))
     base = F.filter("spans", lambda x: x.kind < len(secrets.BASE))
     count = lambda k: F.size(F.filter("spans", lambda x: x.kind == k)).cast("long")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))

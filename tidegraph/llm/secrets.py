@@ -1,6 +1,6 @@
 """Secret scans over an incremental blob ledger, with DataFrame functions only.
 
-Every text is addressed by its SHA-256. The ledger holds, for each (blob, rule version) that was ever scanned, the spans
+Every text is addressed by its SHA-256. The ledger, a folder that outlives the program, holds, for each (blob, rule version) that was ever scanned, the spans
 found. A run scans the blobs whose pair is not in the ledger, each once however many paths hold it, and joins the
 findings of old and new pairs back to all paths.
 
@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.scratch import materialize
+from tidegraph.scratch import exists
 
 
 class Rule(NamedTuple):
@@ -38,7 +38,9 @@ MORE = (
     Rule("bot", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
 RULES = BASE + MORE
-LEDGER = "blob binary, rule_version string, spans array<struct<start:int,kind:int,end:int>>"
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+LEDGER = f"blob binary, spans {SPANS}, rule_version string"
+BLOCK = 256  # matches that are folded together
 
 
 def rule_version(rules: tuple[Rule, ...] = RULES) -> str:
@@ -58,30 +60,42 @@ def _long_enough(rule: Rule) -> str:
     return rule.pattern
 
 
-def spans_of(text: Column, rule: Rule, kind: int) -> Column:
-    """Leftmost non-overlapping matches whose group is long enough, as array of (start, kind, end) in code points.
+def with_spans(rows: DataFrame, rule: Rule, kind: int, text: str = "text") -> DataFrame:
+    """Adds spans<kind>: the leftmost non-overlapping matches whose group is long enough, as array of (start, kind, end)
+    in code points.
 
-    The gaps between matches and the matches themselves alternate, so running sums of their lengths give the places.
+    The gaps between matches and the matches themselves alternate, so running sums of their lengths give the places. They
+    are taken over blocks of BLOCK matches, so that the work grows with the number of matches. Each step is a projection
+    of its own: the matches are looked for once.
     """
-    gaps, whole = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    group = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    each = F.arrays_zip(gaps.alias("gap"), whole.alias("hit"), group.alias("part"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    name, column = f"spans{kind}", F.col(text)
+    gaps, whole = F.split(column, rule.pattern, -1), F.regexp_extract_all(column, F.lit(rule.pattern), F.lit(0))
+    group = F.regexp_extract_all(column, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
+    each = F.zip_with(F.zip_with(whole, F.slice(gaps, F.lit(1), F.size(whole)), lambda hit, gap: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit"))), group, lambda x, part: F.struct(x.gap.alias("gap"), x.hit.alias("hit"), F.length(part).alias("part")))
+    none = F.array().cast(SPANS)
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+    block = lambda xs, n: F.slice(xs, n * BLOCK + 1, F.lit(BLOCK))
 
     def step(at: Column, x: Column) -> Column:
-        start = at.pos + F.length(x.gap)
-        end = start + F.length(x.hit)
+        start = at.pos + x.gap
+        end = start + x.hit
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("pos"), F.when(F.length(x.part) >= rule.least, F.array_append(at.out, span)).otherwise(at.out).alias("out"))
+        return F.struct(end.alias("pos"), F.when(x.part >= rule.least, F.array_append(at.out, span)).otherwise(at.out).alias("out"))
 
-    found = F.aggregate(F.filter(each, lambda x: x.hit.isNotNull()), F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda at: at.out)
-    return F.when(text.rlike(_long_enough(rule)), found).otherwise(none)
+    found = rows.withColumn("_each", F.when(column.rlike(_long_enough(rule)), each).otherwise(F.array().cast("array<struct<gap:int,hit:int,part:int>>")))
+    found = found.withColumn("_blocks", F.when(F.size("_each") > 0, F.sequence(F.lit(0), F.floor((F.size("_each") - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>")))
+    found = found.withColumn("_sums", F.transform("_blocks", lambda n: total(F.transform(block(F.col("_each"), n), lambda x: x.gap + x.hit))))
+    spans = F.transform("_blocks", lambda n: F.aggregate(block(F.col("_each"), n), F.struct(total(F.slice(F.col("_sums"), F.lit(1), n)).alias("pos"), none.alias("out")), step, lambda at: at.out))
+    return found.withColumn(name, F.flatten(spans)).drop("_each", "_blocks", "_sums")
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """blobs(blob, text) to ledger rows: spans by start, then by the order of the rules."""
-    found = F.array_sort(F.concat(*(spans_of(F.col("text"), r, k) for k, r in enumerate(rules))))
-    return blobs.select("blob", F.lit(rule_version(rules)).alias("rule_version"), found.alias("spans"))
+    rows = blobs.select("blob", "text")
+    for k, r in enumerate(rules):
+        rows = with_spans(rows, r, k)
+    found = F.array_sort(F.concat(*(F.col(f"spans{k}") for k in range(len(rules)))))
+    return rows.select("blob", F.lit(rule_version(rules)).alias("rule_version"), found.alias("spans"))
 
 
 def scan_new(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
@@ -93,10 +107,14 @@ def scan_new(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     return scan(blobs, rules)
 
 
-def update(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The ledger after scanning what is new in docs, as a table in the shared folder."""
-    new = scan_new(docs, ledger, rules, text_col)
-    return materialize(new if ledger is None else ledger.unionByName(new), "ledger")
+def update(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The ledger at path after scanning what is new in docs: a Parquet folder by rule version that outlives the program.
+    Only the new pairs are written; what is there stays as it is. Runs that share a ledger take turns."""
+    spark = docs.sparkSession
+    read = lambda: spark.read.schema(LEDGER).parquet(path)
+    new = scan_new(docs, read() if exists(spark, path) else None, rules, text_col)
+    new.write.mode("append").option("compression", "zstd").partitionBy("rule_version").parquet(path)
+    return read()
 
 
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -106,7 +124,7 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES
     """
     paths = docs.select(*keep, blob_of(F.col(text_col)).alias("blob"))
     hits = ledger.where((F.col("rule_version") == rule_version(rules)) & (F.size("spans") > 0)).select("blob", "spans")
-    return paths.join(hits, "blob", "left").select(*keep, "blob", F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("spans"))
+    return paths.join(hits, "blob", "left").select(*keep, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:

@@ -104,8 +104,8 @@ class WordCache:
                 continue
             body = w.rstrip(MARKS)
             text = body.decode("utf-8", "replace")
-            if not text.isalpha():
-                odd[w] = None
+            if not text.isalpha() or not (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha()):
+                odd[w] = None  # the tokenizer may see other marks in it, and keep those behind it together with them
                 continue
             if body not in young:
                 if (x := old.get(body)) is not None:
