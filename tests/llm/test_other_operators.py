@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,10 +45,61 @@ def test_toxicity_without_labels(spark):
     assert [r.score for r in toxicity.fit(docs, none, F.lit(True))(docs).collect()] == [0.0]
 
 
-def test_lookalikes_and_second_person():
-    x = dict(zip(toxicity.FEATURES, toxicity.features("you 1d10t !!! STOP", frozenset(), {}), strict=True))
-    assert x["obfuscated_hits"] == 0.25 and x["near_you"] == 0.25 and x["capital_words"] == 0.25
-    assert toxicity.features("", frozenset(), {}) == [0.0] * len(toxicity.FEATURES)
+def feature_by_feature(text, lexicon):
+    """The features of one text, word by word."""
+    T, words = toxicity, text.split()
+    n = len(words)
+    if not n:
+        return [0.0] * len(T.FEATURES)
+    kind, cores = [], [w.strip(T.STRIP).lower() for w in words]
+    terms = lambda c: ["w:" + c] + ["p:" + c[:k] for k in (4, 5, 6) if len(c) > k]
+    for c in cores:
+        plain = "".join(x for x in c.translate(T.LOOKALIKE) if x.isalpha())
+        if c in T.INSULTS or "w:" + c in lexicon:
+            kind.append("word")
+        elif any(t in lexicon for t in terms(c)[1:]):
+            kind.append("stem")
+        elif plain != c and len(plain) > 2 and (plain in T.INSULTS or any(t in lexicon for t in terms(plain))):
+            kind.append("hidden")
+        else:
+            kind.append("")
+    hits, you = [i for i in range(n) if kind[i]], [i for i in range(n) if cores[i] in T.YOU]
+    share = lambda xs: sum(map(bool, xs)) / n
+    letters = [sum(x.isalpha() for x in w) for w in words]
+    caps, digits = [sum(x.isupper() for x in w) for w in words], [sum(x.isdigit() for x in w) for w in words]
+    inner = [len(c) > 2 and 1 < k < len(c) and c[0].isalnum() and "@" not in c[1:-1] and "." not in c for c, k in zip(cores, letters, strict=True)]
+    triple = [any(c[i].isalpha() and c[i : i + 3] == c[i] * 3 for i in range(len(c) - 2)) for c in cores]
+    densest = max(sum(bool(kind[j]) for j in range(i, min(i + T.STRETCH, n))) for i in range(n))
+    return [
+        math.log1p(n), share(k == "word" for k in kind), share(k == "stem" for k in kind), share(k == "hidden" for k in kind), math.log1p(len(hits)), len({cores[i] for i in hits}),
+        share(any(abs(i - j) <= T.NEAR for j in you) for i in hits), len(you) / n, densest / min(n, T.STRETCH), share(c > 2 and c == k for c, k in zip(caps, letters, strict=True)),
+        sum(caps) / len(text), (sum(map(len, words)) - sum(letters) - sum(digits)) / len(text), share("!" in w for w in words), share(inner), share(triple), sum(digits) / len(text),
+    ]
+
+
+def test_every_feature_equals_a_plain_count():
+    rng = random.Random(4)
+    words = ["you", "DU", "1d10t", "!!!", "STOP", "zork", "zorks", "z0rks", "ünïcödé", "soooo", "s.o.p", "a@b", "(idiot)", "w0rd5", "42", "ß", "stupid!", "clean", "words", "here", "and", "more"]
+    lexicon = frozenset(["w:zork", "p:zork", "p:clea"])
+    texts = ["", "  ", "you 1d10t !!! STOP", "A" * 1000, "!" * 700 + " idiot", "9" * 300, " lead and trail\n", " ".join(["idiot"] * 250)]
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 400))) for _ in range(40)]
+    got, memo = toxicity.features(pa.array(texts), lexicon, {}), {}
+    for i, t in enumerate(texts):
+        assert got[i].tolist() == pytest.approx(feature_by_feature(t, lexicon)), t[:50]
+        assert toxicity.features(pa.array([t]), lexicon, memo)[0].tolist() == pytest.approx(got[i].tolist())
+    x = dict(zip(toxicity.FEATURES, got[3], strict=True))
+    assert x["capitals"] == 1.0
+
+
+def test_repeated_rows_and_labels_of_one_kind(spark):
+    rows, labels = toxic_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double").select("doc_id", "text")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = {}
+    for r in toxicity.fit(docs, marks, F.lit(True), sample=300)(docs.unionByName(docs)).collect():
+        assert seen.setdefault(r.doc_id, r.score) == r.score  # repeated rows score alike
+    one_kind = marks.where("toxic = 1")
+    assert {r.score for r in toxicity.fit(docs, one_kind, F.lit(True))(docs).collect()} == {0.0}
 
 
 @pytest.mark.parametrize("shard, block", [(4096, 1024), (7, 3)])

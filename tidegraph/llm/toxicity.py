@@ -5,29 +5,36 @@ their nearness to second-person words and their densest stretch, capitals, punct
 lexicon has a short fixed part and a part learnt from labelled rows: words and word beginnings that toxic texts have
 much oftener. Trees and calibration are fitted on rows that the lexicon was not learnt from.
 
-The only bound: at most SAMPLE labelled rows are fitted on, those with the smallest hashes of their ids. Every document
-is scored. Nulls: a null text is empty, and empty texts get a score like any other; labels other than 0 and 1 are left
-out. Repeated rows are scored each. An empty table gives no rows. Without labels of both kinds the score is the share of
-toxic labels, 0 where there are none.
+The only bound: at most SAMPLE labelled rows are fitted on, those with the smallest hashes of their ids; that bounds the
+lexicon too. Every document is scored. The lexicon, the trees and the curve are fitted on rows of their own, dealt out
+alike at every size.
+
+Nulls: a null text is empty, and empty texts get a score like any other; labels other than 0 and 1 are left out. Of
+repeated labels the highest counts; repeated documents are scored each. An empty table gives no rows. With fewer than
+three labelled documents of either kind nothing is learnt and every score is 0.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tidegraph.llm.wordtable import slices
 from tidegraph.scratch import materialize
 
-#: Labelled rows to fit on, and the most terms that the learnt lexicon may have.
-SAMPLE, TERMS = 20_000, 2_000
+#: Labelled rows to fit on; words that a worker remembers its look at.
+SAMPLE, MEMORY = 20_000, 500_000
+#: The labelled rows of each kind are dealt to PARTS parts by the hash of their ids; what each part is fitted on.
+PARTS, ROLES = 5, {"lexicon": (0, 3), "trees": (1, 4), "curve": (2,)}
 #: Insults, second-person words, look-alike characters.
 INSULTS = frozenset("bastard clown creep cretin degenerate disgusting dumb failure filth fool garbage idiot idiotic imbecile jerk loser lunatic moron moronic pathetic pig psycho rat scum stupid trash vermin worthless".split())
 YOU = frozenset("you your yours yourself yourselves youre u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos ti tuyo usted ustedes vosotros os vuestro".split())
@@ -55,63 +62,90 @@ def _look(word: str, lexicon: frozenset[str]) -> tuple[int, int, int, int]:
     inner = len(core) > 2 and letters > 1 and letters < len(core) and core[0].isalnum() and "@" not in core[1:-1] and "." not in core
     flags = hit | stem << 1 | hidden << 2 | (core in YOU) << 3 | (caps > 2 and caps == letters) << 4 | ("!" in word) << 5 | inner << 6
     flags |= any(a == b == c and a.isalpha() for a, b, c in zip(core, core[1:], core[2:], strict=False)) << 7
-    return flags, min(caps, 255), min(len(word) - letters - digits, 255), min(digits, 255)
-
-
-def features(text: str, lexicon: frozenset[str], memo: dict[str, tuple]) -> list[float]:
-    words = text.split()
-    n = len(words)
-    if not n:
-        return [0.0] * len(FEATURES)
-    if len(memo) > 500_000:
+    return flags, caps, len(word) - letters - digits, digits
+
+
+def features(texts: pa.Array, lexicon: frozenset[str], memo: dict[str, tuple]) -> np.ndarray:
+    """FEATURES of each text, a row of zeros for one without words. Each distinct word is looked at once."""
+    lists = pc.utf8_split_whitespace(texts)
+    words, sizes = lists.flatten(), np.asarray(pc.list_value_length(lists)).astype(np.int64)
+    full = np.asarray(pc.binary_length(words)) > 0  # outer white space leaves empty words
+    sizes = np.diff(np.concatenate([[0], np.cumsum(full)])[np.concatenate([[0], np.cumsum(sizes)])])
+    coded = words.filter(pa.array(full)).dictionary_encode()
+    table, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    if len(memo) > MEMORY:
         memo.clear()
-    seen = []
-    for w in words:
+    looks = np.zeros((len(table), 4), np.int64)
+    for i, w in enumerate(table):
         if (x := memo.get(w)) is None:
             x = memo[w] = _look(w, lexicon)
-        seen.append(x)
-    x = np.array(seen, np.int64)
-    flags, caps, punctuation, digits = x[:, 0], x[:, 1].sum(), x[:, 2].sum(), x[:, 3].sum()
-    hit = (flags & 7) != 0
-    at, you = np.flatnonzero(hit), np.flatnonzero(flags & 8)
-    near = 0
-    if len(at) and len(you):
-        i = np.searchsorted(you, at)
-        gap = np.minimum(np.abs(you[np.minimum(i, len(you) - 1)] - at), np.abs(you[np.maximum(i - 1, 0)] - at))
-        near = int((gap <= NEAR).sum())
-    run = np.concatenate([[0], np.cumsum(hit)])
-    stretch = int((run[STRETCH:] - run[:-STRETCH]).max()) if n >= STRETCH else int(run[-1])
-    rate = lambda bit: float((flags >> bit & 1).sum()) / n
-    chars = max(1, len(text))
-    distinct = len({words[i].strip(STRIP).lower() for i in at.tolist()})
-    return [math.log1p(n), rate(0), rate(1), rate(2), math.log1p(len(at)), float(distinct), near / n, rate(3), stretch / min(n, STRETCH), rate(4), float(caps) / chars, float(punctuation) / chars, rate(5), rate(6), rate(7), float(digits) / chars]
+        looks[i] = x
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+
+    def sums(column: np.ndarray) -> np.ndarray:
+        run = np.concatenate([[0], np.cumsum(column[codes])])
+        return (run[ends] - run[starts]).astype(float)
+
+    flags = looks[:, 0]
+    rate = [sums(flags >> bit & 1) / np.maximum(sizes, 1) for bit in range(8)]
+    caps, marks, digits = (sums(looks[:, k]) / np.maximum(np.asarray(pc.utf8_length(texts)), 1) for k in (1, 2, 3))
+    all_flags = flags[codes]
+    at, you = np.flatnonzero(all_flags & 7), np.flatnonzero(all_flags & 8)
+    doc = np.searchsorted(ends, at, side="right")
+    hits, near, distinct, stretch = (np.zeros(len(sizes)) for _ in range(4))
+    if len(at):
+        hits = np.bincount(doc, minlength=len(sizes)).astype(float)
+        close = np.zeros(len(at), bool)
+        if len(you):
+            i = np.searchsorted(you, at)
+            for other in (you[np.minimum(i, len(you) - 1)], you[np.maximum(i - 1, 0)]):
+                close |= (np.abs(other - at) <= NEAR) & (other >= starts[doc]) & (other < ends[doc])
+        near = np.bincount(doc[close], minlength=len(sizes)) / np.maximum(sizes, 1)
+        cores: dict[str, int] = {}
+        core = np.zeros(len(table), np.int64)
+        for c in np.unique(codes[at]).tolist():
+            core[c] = cores.setdefault(table[c].strip(STRIP).lower(), len(cores))
+        distinct = np.bincount(np.unique(doc * len(cores) + core[codes[at]]) // len(cores), minlength=len(sizes)).astype(float)
+        # The densest stretch can begin at a hit.
+        dense = np.searchsorted(at, np.minimum(at + STRETCH, ends[doc])) - np.arange(len(at))
+        np.maximum.at(stretch, doc, dense)
+        stretch /= np.maximum(np.minimum(sizes, STRETCH), 1)
+    out = np.stack([np.log1p(sizes), *rate[:3], np.log1p(hits), distinct, near, rate[3], stretch, rate[4], caps, marks, *rate[5:8], digits], axis=1)
+    out[sizes == 0] = 0
+    return out
 
 
 def with_features(rows: DataFrame, lexicon: frozenset[str]) -> DataFrame:
     """rows(..., text): adds x, the array of FEATURES, and drops the text."""
     keep = [c for c in rows.columns if c != "text"]
-    held = rows.sparkSession.sparkContext.broadcast(lexicon)  # TERMS terms at most
+    held = rows.sparkSession.sparkContext.broadcast(lexicon)  # of at most SAMPLE texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _memo.get("of") is not held:
             _memo["of"], _memo["words"] = held, {}
         for b in batches:
-            x = [features(t.as_py() or "", held.value, _memo["words"]) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])
+            at = 0
+            for part in slices(pc.fill_null(b.column("text"), "")):
+                x = features(part, held.value, _memo["words"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, len(part)) for c in keep), lists], [*keep, "x"])
+                at += len(part)
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(run, schema + ", x array<double>")
 
 
-def learn_lexicon(rows: DataFrame, toxic: int, clean: int, odds: float = 12.0) -> frozenset[str]:
-    """Terms of rows(text, label) whose document frequency among toxic rows is `odds` times that among clean ones."""
+def learn_lexicon(rows: DataFrame, toxic: int, clean: int, odds: float = 12.0, least: int = 3) -> frozenset[str]:
+    """Terms of rows(text, label) that least toxic rows have, and whose document frequency among toxic rows is `odds` times
+    that among clean ones."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: dict[str, list[int]] = {}
         for b in batches:
             for t, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
                 cores = {w.strip(STRIP).lower() for w in (t or "").split()}
-                for term in {x for c in cores if 1 < len(c) <= 40 for x in terms_of(c)}:
+                for term in {x for c in cores if len(c) > 1 for x in terms_of(c)}:
                     count.setdefault(term, [0, 0])[int(y)] += 1
             if len(count) > 500_000:
                 yield pa.record_batch({"term": pa.array(count), "c": pa.array([v[0] for v in count.values()], pa.int64()), "t": pa.array([v[1] for v in count.values()], pa.int64())})
@@ -119,35 +153,32 @@ def learn_lexicon(rows: DataFrame, toxic: int, clean: int, odds: float = 12.0) -
         if count:
             yield pa.record_batch({"term": pa.array(count), "c": pa.array([v[0] for v in count.values()], pa.int64()), "t": pa.array([v[1] for v in count.values()], pa.int64())})
 
-    least = max(3, math.ceil(0.012 * toxic))
     found = rows.mapInArrow(partial, "term string, c long, t long").groupBy("term").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
     ratio = (F.col("t") + 0.5) / F.lit(toxic + 1.0) / ((F.col("c") + 0.5) / F.lit(clean + 1.0))
-    kept = found.where((F.col("t") >= least) & (ratio >= odds)).orderBy(F.desc("t"), "term").limit(TERMS)
-    return frozenset(r.term for r in kept.select("term").collect())
+    return frozenset(r.term for r in found.where((F.col("t") >= least) & (ratio >= odds)).select("term").collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = SAMPLE):
     """A function from rows(..., text) to rows(..., score). learns: which labelled rows, by doc_id, may be learnt from."""
     picked = labels.where(learns & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # `sample` rows of 16 bytes at most
-    rows = materialize(rows.withColumn("part", F.pmod(F.hash("doc_id", F.lit(5)), F.lit(10))), "labelled")
+    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "labelled")  # `sample` rows of 16 bytes at most
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    parts = rows.select("doc_id", "label").distinct().withColumn("part", F.row_number().over(order) % PARTS)
+    rows = materialize(rows.join(F.broadcast(parts), ["doc_id", "label"]), "labelled")  # as many rows at most
     counts = {(r.part, r.label): r["count"] for r in rows.groupBy("part", "label").count().collect()}
-    count = lambda y, parts=range(10): sum(counts.get((p, y), 0) for p in parts)
-    if not count(0.0) or not count(1.0):
-        share = count(1.0) / max(1, count(0.0) + count(1.0))
-        return lambda texts: texts.drop("text").withColumn("score", F.lit(float(share)))
-    apart = min(count(1.0), count(0.0)) >= 100  # few labels serve all three fits
-    parts = {k: v if apart else tuple(range(10)) for k, v in {"lexicon": (0, 1, 2, 3), "trees": (4, 5, 6, 7), "curve": (8, 9)}.items()}
-    of = lambda k: rows.where(F.col("part").isin(*parts[k]))
-    lexicon = learn_lexicon(of("lexicon").select("text", "label"), count(1.0, parts["lexicon"]), count(0.0, parts["lexicon"]))
+    count = lambda role, y: sum(counts.get((p, y), 0) for p in ROLES[role])
+    if not all(count(role, y) for role in ROLES for y in (0.0, 1.0)):
+        return lambda texts: texts.drop("text").withColumn("score", F.lit(0.0))
+    of = lambda df, role: df.where(F.col("part").isin(*ROLES[role]))
+    lexicon = learn_lexicon(of(rows, "lexicon").select("text", "label"), count("lexicon", 1.0), count("lexicon", 0.0))
     data = materialize(with_features(rows.select("part", "label", "text"), lexicon).coalesce(4), "features").withColumn("features", array_to_vector("x"))
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=16, maxDepth=4, stepSize=0.2, seed=7, cacheNodeIds=False).fit(data.where(F.col("part").isin(*parts["trees"])).coalesce(4))
+    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=16, maxDepth=4, stepSize=0.2, seed=7, cacheNodeIds=False).fit(of(data, "trees").coalesce(4))
 
     def raw_score(x: DataFrame) -> DataFrame:
         return trees.transform(x).withColumn("p", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
-    curve = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="score").fit(raw_score(data.where(F.col("part").isin(*parts["curve"]))).select("label", "p").coalesce(1))
+    curve = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="score").fit(raw_score(of(data, "curve")).select("label", "p").coalesce(1))
 
     def apply(texts: DataFrame) -> DataFrame:
         x = with_features(texts, lexicon).withColumn("features", array_to_vector("x"))
