@@ -11,7 +11,7 @@ import json
 import math
 from typing import Any
 
-UNMOUNTED = "__modality_unmounted__"  # fixed value: what a variable that is not mounted reads as
+UNMOUNTED = "__unmounted__"  # fixed value: what a variable that is not mounted reads as
 LARGEST = 2**53 - 1
 Domain = dict[str, Any]
 Shape = tuple

@@ -59,6 +59,7 @@ class Explorer:
     def __init__(self, spark: SparkSession, model: Model):
         self.spark, self.model, self.effects = spark, model, Effects(model)
         self.rules = list(enumerate(model.sorted_transitions))
+        self.bound_hits: set[str] = set()
         self.internal = [(i, t) for i, t in self.rules if t["cls"] == "internal"]
 
     # -- successors of one state, before internal transitions
@@ -75,25 +76,26 @@ class Explorer:
 
     # -- internal transitions to rest
     def stabilize(self, rows: DataFrame) -> DataFrame:
-        """rows(..., s, changed): s replaced by the states at rest, with stab numbering them; rows that do not come to
-        rest within the bound have none. Each round is one projection of those rows that still move."""
+        """rows(..., s, changed): s replaced by the states at rest, with the branches taken on the way as stab; rows that do
+        not come to rest within the bound have none, which counts as a bound hit. Each round is one projection of those rows that still move."""
         if not self.internal:
-            return rows.drop("changed").withColumn("stab", F.lit(0).cast("bigint"))
+            return rows.drop("changed").withColumn("stab", F.array().cast("array<int>"))
         keep = [c for c in rows.columns if c not in ("s", "changed")]
-        done, rows = None, rows.withColumn("stab", F.lit(0).cast("bigint"))
+        done, rows = None, rows.withColumn("stab", F.array().cast("array<int>"))
         for _ in range(self.model.max_internal_steps):
             active = rows.withColumn("go", self._ready(F.col("s"), F.col("changed")))
             rest = active.where(F.size("go") == 0).select(*keep, "s", "stab")
             done = rest if done is None else done.unionByName(rest)
             moved = active.where(F.size("go") > 0).withColumn("next", self._sequences(F.col("s"), F.col("go")))
             moved = moved.select(*keep, F.posexplode("next").alias("k", "n"), F.col("stab").alias("was"))
-            moved = moved.select(*keep, F.col("n.s").alias("s"), F.col("n.changed").alias("changed"), (F.col("was") * 1024 + F.col("k")).alias("stab"))
+            moved = moved.select(*keep, F.col("n.s").alias("s"), F.col("n.changed").alias("changed"), F.concat("was", F.array("k")).alias("stab"))
             by = [*keep, state_key(self.model, F.col("s")).alias("k")]
             rows = moved.groupBy(*by).agg(F.min_by(F.struct("s", "changed", "stab"), "stab").alias("m")).select(*keep, "m.s", "m.changed", "m.stab")
             rows = materialize(rows, "moving")
             if rows.isEmpty():
                 return done
-        return done.unionByName(rows.where("false").select(done.columns))
+        self.bound_hits.add("maxInternalSteps reached")  # as rows are left
+        return done
 
     def _ready(self, s: Column, changed: Column) -> Column:
         scope, each = Scope(self.model, s), []
@@ -148,7 +150,7 @@ class Explorer:
         state_paths, edge_paths = [new_path(spark, "layer")], []
         self.initial().write.option("compression", "zstd").parquet(state_paths[0])
         read_states = lambda paths: spark.read.schema(f"key binary, depth int, parent binary, tid int, s {kind}").parquet(*paths)
-        edge_schema = f"pre binary, tid int, raw int, stab bigint, post binary, pre_s {kind}, post_s {kind}"
+        edge_schema = f"pre binary, tid int, raw int, stab array<int>, post binary, pre_s {kind}, post_s {kind}"
         read_edges = lambda paths: spark.read.schema(edge_schema).parquet(*paths) if paths else spark.createDataFrame([], edge_schema)
         frontier = read_states(state_paths)
         n_states, n_edges, depth, width, stopped = frontier.count(), 0, 0, None, None
@@ -170,7 +172,7 @@ class Explorer:
             frontier = read_states([path])
             width = frontier.count()
             n_states, depth = n_states + width, depth + 1
-        return Graph(self.model, read_states(state_paths), read_edges(edge_paths), n_states, n_edges, depth, not width, frontier, stopped)
+        return Graph(self.model, read_states(state_paths), read_edges(edge_paths), n_states, n_edges, depth, not width, frontier, stopped, sorted(self.bound_hits))
 
 
 def explore(spark: SparkSession, model: Model, limits: Limits | None = None, max_depth: int | None = None) -> Graph:

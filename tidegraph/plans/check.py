@@ -60,7 +60,7 @@ def temporal_verdict(graph: Graph, g: ctl.Graph, prop: dict, trace_mode: str = "
     if first is None:
         return {"property": name, "status": "verified" if graph.exhausted else "verified-within-bounds", "boundedness": "exhaustive" if graph.exhausted else "bounded"}
     if kind in ("EF", "EX", "EG", "EU"):
-        said = {"EF": "No reachable witness within bounds", "EX": "No satisfying successor found within bounds", "EG": "No infinite path satisfying the formula found within bounds", "EU": "No path satisfying the until condition found within bounds"}
+        said = {"EF": "nothing that was explored satisfies it", "EX": "no next state satisfies it", "EG": "no explored path keeps to it for ever", "EU": "no explored path gets there that way"}
         return {"property": name, "status": "vacuous-warning", "message": said[kind]}
     out = {"property": name, "status": "violated", "trace": [], "replayable": kind not in ("AX", "AF", "AU")}
     if kind == "AG":
@@ -84,7 +84,7 @@ def step_verdict(graph: Graph, prop: dict) -> dict:
 def response_verdict(explorer: Explorer, graph: Graph, prop: dict) -> dict:
     fired, budget = triggers(graph, prop), prop.get("budget") or {}
     if fired.isEmpty():
-        return {"property": prop["name"], "status": "vacuous-warning", "message": "Trigger never fired within bounds"}
+        return {"property": prop["name"], "status": "vacuous-warning", "message": "no explored step is a trigger"}
     steps = budget.get("steps", budget.get("environment", 0)) or 0
     missed = leads_to(explorer, fired.select(F.col("post").alias("key"), F.col("post_s").alias("s")), prop["goal"], steps, bool(prop.get("allowUserEvents")))
     found = fired.join(graph.states.select(F.col("key").alias("pre"), "depth"), "pre").join(missed.withColumnRenamed("key", "post"), "post")
@@ -154,7 +154,7 @@ def check(spark: SparkSession, model: Model, props: list[dict], limits: Limits |
             else:
                 verdicts[p["name"]] = response_verdict(explorer, graph, p)
         warned += vacuity(graph)
-        hits += bound_hits(graph)
+        hits += bound_hits(graph) + graph.bound_hits
     total = tuple(map(sum, zip(*((s, e, 0) for s, e, _ in totals), strict=True))) if totals else (0, 0, 0)
     depth = max((d for *_, d in totals), default=0)
     return CheckResult([verdicts[p["name"]] for p in props], (total[0], total[1], depth), sorted(set(warned)), sorted(set(hits)))

@@ -340,22 +340,6 @@ def explore_edges(spark, sf_dir):
 
 # -- diagnostics, abstraction, monitors, replay
 
-@query("SELECT 'user_id' AS var, count(DISTINCT user_id) AS n, round(log2(count(DISTINCT user_id)), 2) AS bits FROM events UNION ALL SELECT 'event_type', count(DISTINCT event_type), round(log2(count(DISTINCT event_type)), 2) FROM events UNION ALL SELECT 'props', count(DISTINCT props), round(log2(count(DISTINCT props)), 2) FROM events")
-def diag_dominant(spark, sf_dir):
-    """Distinct values and bits of the variables."""
-    names = ("user_id", "event_type", "props")
-    one = table(spark, sf_dir, "events").agg(*(F.count_distinct(c).alias(c) for c in names))
-    rows = one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("var"), F.col(c).alias("n")) for c in names))).alias("r")).select("r.*")
-    return rows.select("var", "n", F.round(F.log2(F.col("n").cast("double")), 2).alias("bits"))
-
-
-@query("SELECT t.v AS event_type FROM (VALUES ('click'), ('view'), ('purchase'), ('error'), ('refund')) t(v) WHERE t.v NOT IN (SELECT event_type FROM events WHERE event_type IS NOT NULL)")
-def diag_vacuity(spark, sf_dir):
-    """Declared values that no row has."""
-    declared = spark.range(1).select(F.explode(F.array(*map(F.lit, ("click", "view", "purchase", "error", "refund")))).alias("event_type"))
-    return declared.join(table(spark, sf_dir, "events").select("event_type").distinct(), "event_type", "left_anti")
-
-
 @query(f"SELECT CASE WHEN {QTY} >= 40 THEN 3 WHEN {QTY} >= 25 THEN 2 WHEN {QTY} >= 10 THEN 1 ELSE 0 END AS band, {FLAG} AS flag, count(*) AS n FROM lineitem GROUP BY ALL")
 def abstract_interval(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
