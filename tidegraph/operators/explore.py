@@ -11,7 +11,7 @@ import itertools
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.functions.exprs import Scope
@@ -60,8 +60,15 @@ class Explorer:
         self.spark, self.model, self.effects = spark, model, Effects(model)
         self.rules = list(enumerate(model.sorted_transitions))
         self.bound_hits: set[str] = set()
+        self._columns: dict[str, Column] = {}
         self.internal = [(i, t) for i, t in self.rules if t["cls"] == "internal"]
 
+    def _once(self, name: str, make) -> Column:
+        """A compiled expression, built once for all layers."""
+        if name not in self._columns:
+            self._columns[name] = make()
+        return self._columns[name]
+
     # -- successors of one state, before internal transitions
     def raw_successors(self, s: Column) -> Column:
         """Array of (tid, raw, post): branches of each enabled transition that is not internal."""
@@ -83,13 +90,13 @@ class Explorer:
         keep = [c for c in rows.columns if c not in ("s", "changed")]
         done, rows = None, rows.withColumn("stab", F.array().cast("array<int>"))
         for _ in range(self.model.max_internal_steps):
-            active = rows.withColumn("go", self._ready(F.col("s"), F.col("changed")))
+            active = rows.withColumn("go", self._once("ready", lambda: self._ready(F.col("s"), F.col("changed"))))
             rest = active.where(F.size("go") == 0).select(*keep, "s", "stab")
             done = rest if done is None else done.unionByName(rest)
-            moved = active.where(F.size("go") > 0).withColumn("next", self._sequences(F.col("s"), F.col("go")))
+            moved = active.where(F.size("go") > 0).withColumn("next", self._once("sequences", lambda: self._sequences(F.col("s"), F.col("go"))))
             moved = moved.select(*keep, F.posexplode("next").alias("k", "n"), F.col("stab").alias("was"))
             moved = moved.select(*keep, F.col("n.s").alias("s"), F.col("n.changed").alias("changed"), F.concat("was", F.array("k")).alias("stab"))
-            by = [*keep, state_key(self.model, F.col("s")).alias("k")]
+            by = [*keep, self._once("key", lambda: state_key(self.model, F.col("s"))).alias("k")]
             rows = moved.groupBy(*by).agg(F.min_by(F.struct("s", "changed", "stab"), "stab").alias("m")).select(*keep, "m.s", "m.changed", "m.stab")
             rows = materialize(rows, "moving")
             if rows.isEmpty():
@@ -138,10 +145,17 @@ class Explorer:
 
     def expand(self, states: DataFrame) -> DataFrame:
         """All steps from states(key, s): edges(pre, tid, raw, stab, post, pre_s, post_s)."""
-        out = states.select(F.col("key").alias("pre"), F.col("s").alias("pre_s"), F.explode(self.raw_successors(F.col("s"))).alias("n"))
+        out = states.select(F.col("key").alias("pre"), F.col("s").alias("pre_s"), F.explode(self._once("next", lambda: self.raw_successors(F.col("s")))).alias("n"))
         out = out.select("pre", "pre_s", "n.tid", "n.raw", F.col("n.post").alias("s"))
-        out = self.stabilize(out.withColumn("changed", self.effects.changed(F.col("pre_s"), F.col("s"))))
-        return out.select("pre", "tid", "raw", "stab", state_key(self.model, F.col("s")).alias("post"), "pre_s", F.col("s").alias("post_s"))
+        out = self.stabilize(out.withColumn("changed", self._once("changed", lambda: self.effects.changed(F.col("pre_s"), F.col("s")))) if self.internal else out)
+        return out.select("pre", "tid", "raw", "stab", self._once("key", lambda: state_key(self.model, F.col("s"))).alias("post"), "pre_s", F.col("s").alias("post_s"))
+
+    @staticmethod
+    def _write(rows: DataFrame, path: str) -> int:
+        """Writes rows and returns how many, counted on the way."""
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
+        return seen.get["n"]
 
     def run(self, limits: Limits | None = None, max_depth: int | None = None) -> Graph:
         limits, spark = limits or Limits(), self.spark
@@ -160,17 +174,15 @@ class Explorer:
                 stopped = "maxStates" if n_states >= limits.states else "maxEdges" if n_edges >= limits.edges else "maxFrontier"
                 break
             path = new_path(spark, "edges")
-            self.expand(frontier.select("key", "s")).write.option("compression", "zstd").parquet(path)
+            n_edges += self._write(self.expand(frontier.select("key", "s")), path)
             layer = read_edges([path])
             edge_paths.append(path)
-            n_edges += layer.count()
             best = layer.groupBy(F.col("post").alias("key")).agg(F.min_by(F.struct("pre", "tid", "post_s"), F.struct("pre", "tid", "raw", "stab")).alias("m"))
             new = best.join(read_states(state_paths).select("key"), "key", "left_anti").select("key", F.lit(depth + 1).alias("depth"), F.col("m.pre").alias("parent"), F.col("m.tid").alias("tid"), F.col("m.post_s").alias("s"))
             path = new_path(spark, "layer")
-            new.write.option("compression", "zstd").parquet(path)
+            width = self._write(new, path)
             state_paths.append(path)
             frontier = read_states([path])
-            width = frontier.count()
             n_states, depth = n_states + width, depth + 1
         return Graph(self.model, read_states(state_paths), read_edges(edge_paths), n_states, n_edges, depth, not width, frontier, stopped, sorted(self.bound_hits))
 
