@@ -99,8 +99,31 @@ def test_near_duplicates_equal_brute_force(docs, empty, spark, monkeypatch):
     got = by_id(neardup.near_duplicates(docs, spec))
     assert {d: (r.n_shingles, r.component_id, r.kept) for d, r in got.items()} == {d: (len(s), find(d), find(d) == d) for d, s in sets.items()}
     assert neardup.near_duplicates(empty, spec).count() == 0
-    odd = spark.createDataFrame([(None, "a b c d", "", "", 0), (None, "a b c d", "", "", 0), (4, "a b c d", "", "", 0), (4, "a b c d", "", "", 0)], SCHEMA)
-    assert sorted(map(tuple, neardup.near_duplicates(odd, spec).collect()), key=repr) == sorted([(None, 2, None, True)] * 2 + [(4, 2, 4, True)] * 2, key=repr)
+    texts = [(None, "a b c d"), (None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (4, "x y z"), (9, "X y  z"), (None, "only here"), (None, None), (7, "")]
+    odd = spark.createDataFrame([(d, t, "", "", 0) for d, t in texts], SCHEMA)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept, r.first) for r in neardup.near_duplicates(odd, spec).collect()), key=repr)
+    assert got == sorted([(None, 2, 4, False, False)] * 2 + [(4, 2, 4, True, True)] * 2 + [(4, 1, 4, True, True), (9, 1, 4, False, False), (None, 1, None, True, True), (None, 0, None, True, True), (7, 0, 7, True, True)], key=repr)
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT", 10)
+    hub = spark.range(1, 400).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(spark.createDataFrame([(500, 399), (501, 502)], "a long, b long"))
+    assert {tuple(r) for r in components.components(hub).collect()} == {(i, 0) for i in [*range(400), 500]} | {(501, 501), (502, 501)}
+    big = spark.createDataFrame([(1, i) for i in range(300)] + [(2, 300), (None, 301), (3, 302)], "k long, v long")
+    small = spark.createDataFrame([(1, "a"), (2, "b")], "k long, w string")
+    for how in ("inner", "left"):
+        got = components.join_spread(big, small, "k", "v", [1], how)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, big.join(small, "k", how).collect()), key=repr)
+
+
+@pytest.mark.parametrize("words, percent", [(3, 85), (5, 80)])
+def test_no_link_of_the_fixture_is_missed(spark, words, percent):
+    """All pairs at and above the threshold, found by brute force, are in one component each."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: set(neardup.shingle_set((r.text or "").encode(), words).tolist()) for r in docs.collect()}
+    where = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, neardup.Spec(words, percent)).collect()}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    assert links and all(where[a] == where[b] for a, b in links)
 
 
 def test_odd_sketch_measures_high_similarity():

@@ -12,9 +12,12 @@
    plausible pairs that are not connected yet. So no pair that shares a bucket and passes the threshold stays apart,
    and no task sees a whole group.
 
-Nulls: a null text is empty; an empty set has no links. A row with a null id stands alone (null component, kept).
-Repeated rows share an id and a component. Rows with one id and different texts count as one document, of which one
-version is compared. An empty table gives no rows.
+A class is known by its smallest id and its set together, so texts of one id are classes of their own. The rows of a node
+with very many links, and of a set with very many copies, are spread over all tasks.
+
+Nulls: a null text is empty; an empty set has no links. Rows with a null id take part and come last in the order of ids: a
+component without any id has none, and the row with the smallest set is kept. Repeated rows share an id and a component.
+Rows with one id and different texts are compared each. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,14 +30,14 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.components import components
+from tidegraph.llm.components import components, hot_keys, join_spread
 from tidegraph.scratch import materialize
 
 SKETCH_BITS = 512
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 27  # at most
 TILE = 256
 _words: dict[bytes, int] = {}
 
@@ -118,8 +121,28 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(a) + len(b) - inter)
 
 
+def set_name(s: np.ndarray) -> bytes:
+    return blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def rep_of(doc_id: int | None, name: bytes) -> bytes:
+    """A class's key, in the order of ids: whether there is none, the id, the set."""
+    return (b"\1" + bytes(8) if doc_id is None else b"\0" + (doc_id + (1 << 63)).to_bytes(8, "big")) + name
+
+
+def rep_column(doc_id: Column, name: Column) -> Column:
+    shifted = F.unhex(F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    return F.concat(F.when(doc_id.isNull(), F.lit(b"\1" + bytes(8))).otherwise(F.concat(F.lit(b"\0"), shifted)), name)
+
+
+def id_of(rep: Column) -> Column:
+    digits = F.conv(F.hex(F.substring(rep, 2, 8)), 16, 10).cast("decimal(20,0)")
+    return F.when(F.substring(rep, 1, 1) == F.lit(b"\0"), (digits - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long"))
+
+
 def signatures(docs: DataFrame, spec: Spec) -> DataFrame:
-    """docs(doc_id, raw binary) to (doc_id, n_shingles, set_id, bands, sketch)."""
+    """docs(doc_id, ..., raw binary) to (doc_id, ..., n_shingles, set_id, bands, sketch)."""
+    keep = [c for c in docs.columns if c != "raw"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = _coefficients(spec.samples)
@@ -137,20 +160,21 @@ def signatures(docs: DataFrame, spec: Spec) -> DataFrame:
                 key = np.arange(spec.bands, dtype=np.uint64)
                 for r in m.reshape(spec.bands, spec.rows).T:
                     key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + r)
-                ids.append(blake2b(s.tobytes(), digest_size=16).digest())
+                ids.append(set_name(s))
                 bands.append(key.view(np.int64))
                 sketches.append(odd_sketch(m).view(np.int64))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)], ["doc_id", "n_shingles", "set_id", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)], [*keep, "n_shingles", "set_id", "bands", "sketch"])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>")
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*keep, "raw").mapInArrow(sign, schema + "n_shingles long, set_id binary, bands array<long>, sketch array<long>")
 
 
-def _bitmap(ids: DataFrame) -> bytes:
-    """FILTER_BITS bits, those of the hashes of ids set: a filter of fixed size that lets nothing wanted be dropped."""
-    h = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
+def _bitmap(ids: DataFrame, bits: int) -> bytes:
+    """The bits of the hashes of ids(rep): a filter of bounded size that lets nothing wanted be dropped."""
+    h = F.pmod(F.xxhash64(id_of(F.col("rep"))), F.lit(bits))
     rows = ids.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
-    out = bytearray(FILTER_BITS // 8 + 8192)
+    out = bytearray(bits // 8 + 8192)
     for r in rows:  # 32768 bits each; the first bucket number stands for h = 0 alone in some versions
         at = max(0, r.k) * 4096
         out[at : at + 4096] = bytes(x | y for x, y in zip(out[at : at + 4096], bytes(r.bits), strict=False))
@@ -158,10 +182,11 @@ def _bitmap(ids: DataFrame) -> bytes:
 
 
 def candidate_sets(docs: DataFrame, ids: DataFrame, spec: Spec) -> DataFrame:
-    """(rep, shingles binary) of the documents whose id is in ids(rep), computed anew from their texts."""
-    numbered = docs.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    """(rep, shingles binary) of the classes in ids(rep), computed anew from the texts of the documents they are named for."""
+    size = min(FILTER_BITS, 1 << max(18, (16 * ids.count()).bit_length()))
+    numbered = docs.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
     numbered = numbered.withColumns({"k": F.bitmap_bucket_number("h"), "p": F.bitmap_bit_position("h")})
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(ids, size))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bits.value
@@ -170,11 +195,12 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, spec: Spec) -> DataFrame:
             for d, raw, k, p in zip(*(b.column(c) for c in ("doc_id", "raw", "k", "p")), strict=True):
                 k, p = max(0, k.as_py()), p.as_py()
                 if held[k * 4096 + (p >> 3)] >> (p & 7) & 1:
-                    rep.append(d.as_py())
-                    out.append(shingle_set(raw.as_py(), spec.words).tobytes())
-            yield pa.record_batch({"rep": pa.array(rep, pa.int64()), "shingles": pa.array(out, pa.binary())})
+                    s = shingle_set(raw.as_py(), spec.words)
+                    rep.append(rep_of(d.as_py(), set_name(s)))
+                    out.append(s.tobytes())
+            yield pa.record_batch({"rep": pa.array(rep, pa.binary()), "shingles": pa.array(out, pa.binary())})
 
-    found = numbered.where("doc_id is not null").mapInArrow(sets, "rep long, shingles binary")
+    found = numbered.mapInArrow(sets, "rep binary, shingles binary")
     return found.join(ids, "rep", "left_semi")
 
 
@@ -187,20 +213,25 @@ def _checked(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
             ok = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), spec.percent) for p, q in zip(x, y, strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    x, y = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
+    pairs = materialize(pairs, "candidates")
+    hot = hot_keys(pairs.groupBy("b").agg(F.count("*").alias("n")), "b", pairs.count())  # a leader of very many
+    full = join_spread(pairs.join(x, "a"), y, "b", "a", hot)
+    return full.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
 def _tiles(rows: DataFrame, spec: Spec, parts: int) -> DataFrame:
     """rows(slot, cluster, mb, rb, rest, rep, comp, sketch, shingles) to links(a, b) between components, tile by tile."""
     most, percent = spec.most_flips, spec.percent
 
-    def links(tile: list[dict]) -> tuple[list[int], list[int]]:
+    def links(tile: list[dict]) -> tuple[list[bytes], list[bytes]]:
         rest, all_ = [r for r in tile if r["rest"]], [r for r in tile if not r["rest"]]
         if not rest or not all_:
             return [], []
         sketch = np.array([r["sketch"] for r in all_], np.int64).view(np.uint64)
-        comp, rep = np.array([r["comp"] for r in all_]), np.array([r["rep"] for r in all_])
+        number: dict[bytes, int] = {}
+        of = lambda key: number.setdefault(key, len(number))
+        comp, rep = np.array([of(r["comp"]) for r in all_]), np.array([of(r["rep"]) for r in all_])
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -211,14 +242,14 @@ def _tiles(rows: DataFrame, spec: Spec, parts: int) -> DataFrame:
         a, b = [], []
         for r in rest:
             flips = np.bitwise_count(sketch ^ np.array(r["sketch"], np.int64).view(np.uint64)[None, :]).sum(axis=1)
-            near = np.flatnonzero((flips <= most) & (comp != r["comp"]) & (rep != r["rep"]))
+            near = np.flatnonzero((flips <= most) & (comp != of(r["comp"])) & (rep != of(r["rep"])))
             own = np.frombuffer(r["shingles"], np.uint64)
             for i in near[np.argsort(flips[near], kind="stable")].tolist():
-                u, v = find(r["comp"]), find(int(comp[i]))
+                u, v = find(of(r["comp"])), find(int(comp[i]))
                 if u != v and similar(own, np.frombuffer(all_[i]["shingles"], np.uint64), percent):
                     root[u] = v
                     a.append(r["rep"])
-                    b.append(int(rep[i]))
+                    b.append(all_[i]["rep"])
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,23 +258,26 @@ def _tiles(rows: DataFrame, spec: Spec, parts: int) -> DataFrame:
             for r in batch.to_pylist():
                 if (here := (r["cluster"], r["mb"], r["rb"])) != at:
                     a, b = links(tile)
-                    yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
                     at, tile = here, []
                 tile.append(r)
         a, b = links(tile)
-        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return rows.repartition(parts, "cluster", "mb", "rb").sortWithinPartitions("cluster", "mb", "rb").mapInArrow(run, "a long, b long")
+    return rows.repartition(parts, "cluster", "mb", "rb").sortWithinPartitions("cluster", "mb", "rb").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id (the smallest id reachable), kept."""
+def near_duplicates(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: doc_id, the columns carry, n_shingles, component_id (the smallest id reachable), kept
+    (whether its id is that one), component (the key of the class that names the component), first (whether its class is
+    that one; both null and true for an empty set)."""
     spark = docs.sparkSession
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
+    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carry, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
     signed = materialize(signatures(raw, spec), "signatures")
-    able = signed.where("set_id is not null and doc_id is not null")
-    classes = able.groupBy("set_id").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("m"))
-    classes = materialize(classes.select("set_id", F.col("m.doc_id").alias("rep"), "m.bands", "m.sketch"), "classes")
+    raw = raw.select("doc_id", "raw")
+    able = signed.where("set_id is not null")
+    classes = able.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("bands", "sketch")).alias("m"))
+    classes = materialize(classes.select("set_id", rep_column(F.col("doc_id"), F.col("set_id")).alias("rep"), "m.bands", "m.sketch"), "classes")
 
     buckets = classes.select("rep", F.explode("bands").alias("key"))
     leaders = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last")
@@ -251,8 +285,9 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id"
     sets = materialize(candidate_sets(raw, stars.select("rep").distinct(), spec).groupBy("rep").agg(F.first("shingles").alias("shingles")), "sets")
 
     sketches = classes.select("rep", "sketch")
-    pairs = stars.where("rep <> leader").select("rep", "leader").distinct()
-    pairs = pairs.join(sketches, "rep").join(sketches.select(F.col("rep").alias("leader"), F.col("sketch").alias("other")), "leader")
+    pairs = materialize(stars.where("rep <> leader").select("rep", "leader").distinct(), "pairs")
+    hot = hot_keys(pairs.groupBy("leader").agg(F.count("*").alias("n")), "leader", pairs.count())
+    pairs = join_spread(pairs.join(sketches, "rep"), sketches.select(F.col("rep").alias("leader"), F.col("sketch").alias("other")), "leader", "rep", hot)
     flips = F.aggregate(F.zip_with("sketch", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     best = pairs.withColumn("flips", flips).where(F.col("flips") <= spec.most_flips)
     best = best.groupBy("rep").agg(F.min_by("leader", F.struct("flips", "leader")).alias("leader"))
@@ -279,9 +314,13 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id"
 
     final = components(first.unionByName(second)).select(F.col("node").alias("rep"), "component")
     of_class = classes.select("set_id", "rep").join(final, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_id").join(of_class, "set_id", "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    copies = signed.groupBy("set_id").agg(F.count("*").alias("n"))
+    out = signed.select("doc_id", *carry, "n_shingles", "set_id")
+    out = join_spread(out.withColumn("spread", F.monotonically_increasing_id()), of_class, "set_id", "spread", hot_keys(copies, "set_id", signed.count()), "left")
+    own = F.when(F.col("set_id").isNotNull(), rep_column(F.col("doc_id"), F.col("set_id")))
+    component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(id_of(F.col("component")))
+    first = F.coalesce(own == F.col("component"), F.lit(True))
+    return out.select("doc_id", *carry, "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, first).alias("kept"), "component", first.alias("first"))
 
 
 #: DuckDB SQL for near_duplicates() over documents with 3 words and 85 percent.

@@ -32,7 +32,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Spec(words=3, percent=85))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Spec(words=3, percent=85)).drop("component", "first")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
