@@ -3,13 +3,15 @@
 import hashlib
 import math
 import random
+import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidegraph.llm import chat, secrets, topk, toxicity
-from tidegraph.llm.queries import chat_digest
+from tidegraph.llm import bpe, chat, topk, toxicity
+from tidegraph.llm.queries import chat_digest, vocabulary
 
 
 def toxic_rows(n=400):
@@ -155,28 +157,88 @@ def test_chat_folds_deltas_edits_and_regenerations(spark):
     assert [r.formatted[s.start : s.end] for s in r.loss] == ["good"]
 
 
-def test_pipeline_stages(spark, tmp_path):
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_near_duplicates(rows):
+    """The rows that stay: (doc_id, text, ...) of each group, by comparing all pairs."""
+    def shingles(t):
+        w = WORD.findall((t or "").lower())
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [shingles(r[1]) for r in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                up[find(i)] = find(j)
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(("group", find(i)) if sets[i] else ("empty", r[0]), []).append(r)
+    return [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+
+
+def plain_mix(rows):
+    """(row, times), one source at a time, whole epochs first and then by the hash of ids."""
+    size = lambda r: len(WORD.findall(r[1] or ""))
+    sources = sorted({r[3] for r in rows}, key=lambda x: (x is None, x or ""))
+    weight, held = {x: (3, 1, 2)[i % 3] for i, x in enumerate(sources)}, {x: sum(size(r) for r in rows if r[3] == x) for x in sources}
+    capped = set()
+    while True:
+        level = (1.5 * sum(held.values()) - sum(2 * held[x] for x in capped)) / max(1, sum(weight[x] for x in sources if x not in capped))
+        if not (over := {x for x in sources if x not in capped and level * weight[x] > 2 * held[x]}):
+            break
+        capped |= over
+    out = []
+    for x in sources:
+        budget = math.floor(2.0 * held[x] if x in capped else level * weight[x])
+        epochs = budget // held[x] if held[x] else 0
+        left = budget - epochs * held[x]
+        for r in sorted((r for r in rows if r[3] == x), key=lambda r: (hashlib.md5(str("" if r[0] is None else r[0]).encode()).hexdigest(), r[0] is not None, r[0] or 0, size(r))):
+            n = size(r)
+            taken = epochs * n + min(n, max(0, left))
+            left -= n
+            out.append((r, (2 * taken + n) // (2 * n) if n else 1))
+    return [(r, t) for r, t in out if t]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
     import corpus_pipeline as p
 
     rows, labels = toxic_rows(300)
     text = " ".join(f"w{i}" for i in range(60))
-    more = [(1000, text), (1001, text), (1002, text.replace("w30", "v30")), (1003, "password=abcdefgh1 é"), (1004, None), (1005, "")]
-    docs = spark.createDataFrame([(d, t, "en", f"s{d % 3}", len(t)) for d, t, _ in rows] + [(d, t, "en", "s1", len(t or "")) for d, t in more], "doc_id long, text string, lang string, source string, n_chars long")
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    more = [(1000, text), (1001, text), (1002, text.replace("w30", "v30")), (1003, "password=abcdefgh1 é"), (1004, None), (1005, ""), (1006, "one"), (1006, "two words here"), (1006, "one"), (None, text), (None, "no id here"), (None, "no id here")]
+    docs = [(d, t, "en", [f"s{d % 3}", None][d % 7 == 0], len(t), d, "x") for d, t, _ in rows] + [(d, t, "en", "s1", len(t or ""), 7, "y") for d, t in more]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, spans long, blob string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     sf, docs = str(tmp_path), spark.read.parquet(str(tmp_path / "documents.parquet"))
+    plain = lambda df: sorted(map(tuple, df.collect()), key=repr)
     calm = p.drop_toxic(spark, docs, sf)
     assert calm.schema == docs.schema
     left, toxic = {r.doc_id for r in calm.collect()}, {d for d, _, y in labels if y}
     assert len(left & toxic) <= 3 and len({r[0] for r in rows} - toxic - left) <= 3 and {r[0] for r in more} <= left
+    scores = toxicity.fit(docs, spark.read.parquet(sf + "/labels.parquet"), p.remainder(F.col("doc_id"), 5) != 0)(docs)
+    assert sorted(left, key=repr) == sorted({r.doc_id for r in scores.where("score < 0.5").collect()}, key=repr)
     single = p.drop_near_duplicates(spark, docs, sf)
-    ids = {r.doc_id for r in single.collect()}
-    assert {1000, 1003, 1004, 1005} <= ids and not {1001, 1002} & ids
-    safe = {r.doc_id: r for r in p.redact_secrets(spark, docs, sf).collect()}
-    assert safe[1003].text == "[REDACTED] é" and safe[1003].n_chars == 12 and safe[1000].text == text
+    kept = plain_near_duplicates([tuple(r) for r in docs.collect()])
+    assert single.schema == docs.schema and sorted((r[0:2] for r in plain(single)), key=repr) == sorted((r[0:2] for r in kept), key=repr)
+    safe = p.redact_secrets(spark, docs, sf)
+    want = [(*r[:1], "[REDACTED] é", *r[2:4], 12, *r[5:]) if r[0] == 1003 else r for r in plain(docs)]
+    assert safe.schema.simpleString() == docs.schema.simpleString() and plain(safe) == sorted(want, key=repr)
     mixed = p.mix_sources(spark, docs, sf)
-    words = mixed.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()
-    assert mixed.columns == docs.columns and len(words) == 3
-    done = p.run(spark, sf)
-    assert done.columns == ["doc_id", "n_tokens", "ids"] and done.count() > 100
-    assert secrets.rule_version() != secrets.rule_version(secrets.BASE)
+    assert mixed.columns == docs.columns and plain(mixed) == sorted((r for r, n in plain_mix(plain(docs)) for _ in range(n)), key=repr)
+    encode = bpe.tokenizer(vocabulary("byte_bpe_50k.json")).encode
+    done = sorted(((r.doc_id, r.n_tokens, bytes(r.ids)) for r in p.run(spark, sf).collect()), key=repr)
+    rest = plain_near_duplicates(plain(calm))
+    rest = [(*r[:1], "[REDACTED] é", *r[2:]) if r[0] == 1003 else r for r in rest]
+    want = [(r[0], ids) for r, n in plain_mix(rest) for ids in [encode(r[1] or "", add_special_tokens=False).ids] for _ in range(n)]
+    assert done == sorted(((d, len(ids), np.array(ids, "<u4").tobytes()) for d, ids in want), key=repr)
+    none = docs.where("false")
+    for _, stage in p.STAGES:
+        assert stage(spark, none, sf).count() == 0
