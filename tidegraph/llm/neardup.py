@@ -303,8 +303,10 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id"
     member = materialize(member, "members")
     sizes = member.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("cluster").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("main"))
-    sizes = sizes.select("cluster", F.ceil(F.col("all") / TILE).cast("int").alias("mbs"), F.ceil((F.col("all") - F.col("main.n")) / TILE).cast("int").alias("rbs"), F.col("main.comp").alias("main"))
-    rows = member.join(sizes, "cluster").join(sketches, "rep").join(sets, "rep")
+    sizes = sizes.select("cluster", "all", F.ceil(F.col("all") / TILE).cast("int").alias("mbs"), F.ceil((F.col("all") - F.col("main.n")) / TILE).cast("int").alias("rbs"), F.col("main.comp").alias("main"))
+    sizes = materialize(sizes, "sizes")
+    hot = hot_keys(sizes.select("cluster", F.col("all").alias("n")), "cluster", member.count())
+    rows = join_spread(member, sizes.drop("all"), "cluster", "rep", hot).join(sketches, "rep").join(sets, "rep")
     spread = F.xxhash64("rep")
     as_member = rows.withColumns({"mb": F.pmod(spread, F.col("mbs")).cast("int"), "rb": F.explode(F.sequence(F.lit(0), F.col("rbs") - 1)), "rest": F.lit(False)})
     as_rest = rows.where("comp <> main").withColumns({"rb": F.pmod(spread, F.col("rbs")).cast("int"), "mb": F.explode(F.sequence(F.lit(0), F.col("mbs") - 1)), "rest": F.lit(True)})
