@@ -34,12 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.components import components, hot_keys, join_spread
+from tidegraph.llm.wordtable import slices, split_blanks
 from tidegraph.scratch import materialize
 
 SKETCH_BITS = 512
 FILTER_BITS = 1 << 27  # at most
 TILE = 256
-_words: dict[bytes, int] = {}
 
 
 @dataclass(frozen=True)
@@ -74,24 +74,32 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(raw: bytes, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text; fewer words make one shingle, none an empty set."""
-    toks = raw.lower().split()
-    if not toks:
+def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """Of each text in a binary column without nulls the sorted distinct 64-bit hashes of its word shingles; fewer words
+    make one shingle, none an empty set. Each distinct word of a stretch of texts is hashed once."""
+    for some in slices(texts):
+        w = split_blanks(some)
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, w.table), np.uint64, len(w.table))[w.codes]
+        whole = _rolled(h, words)
+        for start, size in zip(w.starts.tolist(), w.sizes.tolist(), strict=True):
+            s = whole[start : start + size - words + 1] if size >= words else _rolled(h[start : start + size], size)
+            s = np.sort(s)
+            yield s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """shingle_sets() of one text."""
+    return next(shingle_sets(pa.array([text], pa.binary()), words))
+
+
+def _rolled(h: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of each n successive words of one or more."""
+    if not n or len(h) < n:
         return np.zeros(0, np.uint64)
-    if len(_words) > 1_000_000:
-        _words.clear()
-    h = []
-    for t in toks:
-        if (x := _words.get(t)) is None:
-            x = _words[t] = xxhash.xxh3_64_intdigest(t)
-        h.append(x)
-    h = np.array(h, np.uint64)
-    n = min(words, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i]
-    return np.unique(_mix(out))
+    return _mix(out)
 
 
 def _coefficients(n: int) -> np.ndarray:
@@ -101,15 +109,30 @@ def _coefficients(n: int) -> np.ndarray:
 def minhash(s: np.ndarray, a: np.ndarray) -> np.ndarray:
     out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(s), 1024):
-        np.minimum(out, (s[at : at + 1024, None] * a[None, :]).min(axis=0), out=out)
+        np.minimum(out, (a[:, None] * s[None, at : at + 1024]).min(axis=1), out=out)
     return out
 
 
+def odd_sketches(samples: np.ndarray) -> np.ndarray:
+    """Of each row of samples SKETCH_BITS bits as 64-bit words: the parity of how many (place, sample) fall on each."""
+    n = len(samples)
+    bit = _mix(samples + np.arange(samples.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SKETCH_BITS)
+    at = bit.astype(np.int64) + SKETCH_BITS * np.arange(n)[:, None]
+    odd = (np.bincount(at.ravel(), minlength=n * SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64).reshape(n, -1)
+
+
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS bits as 64-bit words: the parity of how many (place, sample) fall on each."""
-    bit = _mix(samples + np.arange(len(samples), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SKETCH_BITS)
-    odd = (np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.uint64)
+    """odd_sketches() of one row."""
+    return odd_sketches(samples[None, :])[0]
+
+
+def band_keys(samples: np.ndarray, spec: Spec) -> np.ndarray:
+    """Of each row of samples the key of each band."""
+    key = np.tile(np.arange(spec.bands, dtype=np.uint64), (len(samples), 1))
+    for i in range(spec.rows):
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + samples[:, i :: spec.rows])
+    return key
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -144,27 +167,24 @@ def signatures(docs: DataFrame, spec: Spec) -> DataFrame:
     """docs(doc_id, ..., raw binary) to (doc_id, ..., n_shingles, set_id, bands, sketch)."""
     keep = [c for c in docs.columns if c != "raw"]
 
+    def longs(rows: np.ndarray, full: np.ndarray) -> pa.Array:
+        """A list for each place of full, null where it is false."""
+        size = np.where(full, rows.shape[1], 0)
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.view(np.int64).ravel()), mask=pa.array(~full))
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = _coefficients(spec.samples)
         for b in batches:
-            size, ids, bands, sketches = [], [], [], []
-            for raw in b.column("raw"):
-                s = shingle_set(raw.as_py(), spec.words)
+            size, ids, m = [], [], []
+            for s in shingle_sets(b.column("raw"), spec.words):
                 size.append(len(s))
-                if not len(s):
-                    ids.append(None)
-                    bands.append(None)
-                    sketches.append(None)
-                    continue
-                m = minhash(s, a)
-                key = np.arange(spec.bands, dtype=np.uint64)
-                for r in m.reshape(spec.bands, spec.rows).T:
-                    key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + r)
-                ids.append(set_name(s))
-                bands.append(key.view(np.int64))
-                sketches.append(odd_sketch(m).view(np.int64))
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)], [*keep, "n_shingles", "set_id", "bands", "sketch"])
+                ids.append(set_name(s) if len(s) else None)
+                if len(s):
+                    m.append(minhash(s, a))
+            m = np.array(m, np.uint64).reshape(-1, spec.samples)
+            full = np.array(size, np.int64) > 0
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), longs(band_keys(m, spec), full), longs(odd_sketches(m), full)], [*keep, "n_shingles", "set_id", "bands", "sketch"])
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     return docs.select(*keep, "raw").mapInArrow(sign, schema + "n_shingles long, set_id binary, bands array<long>, sketch array<long>")
@@ -191,13 +211,12 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, spec: Spec) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bits.value
         for b in batches:
+            k, p = (b.column(c).to_pylist() for c in ("k", "p"))
+            some = b.filter(pa.array([held[max(0, i) * 4096 + (j >> 3)] >> (j & 7) & 1 == 1 for i, j in zip(k, p, strict=True)], pa.bool_()))
             rep, out = [], []
-            for d, raw, k, p in zip(*(b.column(c) for c in ("doc_id", "raw", "k", "p")), strict=True):
-                k, p = max(0, k.as_py()), p.as_py()
-                if held[k * 4096 + (p >> 3)] >> (p & 7) & 1:
-                    s = shingle_set(raw.as_py(), spec.words)
-                    rep.append(rep_of(d.as_py(), set_name(s)))
-                    out.append(s.tobytes())
+            for d, s in zip(some.column("doc_id").to_pylist(), shingle_sets(some.column("raw"), spec.words), strict=True):
+                rep.append(rep_of(d, set_name(s)))
+                out.append(s.tobytes())
             yield pa.record_batch({"rep": pa.array(rep, pa.binary()), "shingles": pa.array(out, pa.binary())})
 
     found = numbered.mapInArrow(sets, "rep binary, shingles binary")
