@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import bpe, chat, lm, lzprint, mixing, neardup, secrets, tokenstore, topk, toxicity
+from tidegraph.llm import bpe, chat, lm, lzprint, mixing, neardup, periodic, secrets, spelling, substrings, tokenstore, topk, toxicity
 from tidegraph.scratch import new_path
 
 
@@ -105,9 +105,42 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def cyclic(docs: DataFrame) -> DataFrame:
+    """docs with text changed in the rows whose id's checksum ends in 0: from a place on, the words repeat the first ones
+    after it. Place and period follow from the checksum."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split(F.when(h % 10 == 0, F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words")).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.pmod("g", F.col("n"))))
+    rows = rows.withColumn("rest", F.col("n") - F.col("a")).withColumn("p", (1 + F.floor(F.col("rest") / (3 + F.col("g") % 8))).cast("int"))
+    cycle = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(cycle, F.ceil(F.col("rest") / F.col("p")).cast("int"))), F.lit(1), F.col("rest").cast("int"))
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), tail), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(cyclic(table(spark, sf_dir, "documents")))
+    best = periodic.longest(F.col("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long")
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), 7, spelling.drop_letters).where("n > 1")
+    return spelling.forms(words)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op3_mix_sources, op4_bpe, op5_fingerprints, op6_secrets, op7_token_store, op8_top_k, op9_chat, op10_lm)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op3_mix_sources, op4_bpe, op5_fingerprints, op6_secrets, op7_token_store, op8_top_k, op9_chat, op10_lm, op11_substring_dedup, op12_periodic_runs, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": neardup.SQL, "op3_mix_sources": mixing.SQL, "op8_top_k": topk.SQL, "op9_chat": CHAT_SQL}
+    return {"op2_near_duplicates": neardup.SQL, "op3_mix_sources": mixing.SQL, "op8_top_k": topk.SQL, "op9_chat": CHAT_SQL, "op11_substring_dedup": substrings.SQL}
