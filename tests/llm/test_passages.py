@@ -49,14 +49,15 @@ def passages(n=120, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("limit", [1000, 3])
-def test_substrings_equal_brute_force(spark, monkeypatch, limit):
-    """With the low limit most anchors, and many windows, count as very frequent ones."""
+@pytest.mark.parametrize(("busy", "few"), [(1000, 64), (3, 64), (3, 0), (3, 5)])
+def test_substrings_equal_brute_force(spark, monkeypatch, busy, few):
+    """With low limits most anchors, and many windows, count as very frequent ones, spread or split."""
     rows = passages()
     rng = random.Random(1)
     rng.shuffle(rows)
-    if limit < 1000:
-        monkeypatch.setattr(substrings, "BUSY", limit)
+    monkeypatch.setattr(substrings, "BUSY", busy)
+    monkeypatch.setattr(substrings, "FEW", few)
+    monkeypatch.setattr(substrings, "SHARES", 1 << 40)
     docs = spark.createDataFrame([(i, t, 1, "d") for i, t in rows], "doc_id long, text string, n long, anchor string").repartition(5)
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(docs).collect())
     assert got == sorted((i if i is not None else -1, *rest) for i, *rest in brute_repeats(rows))

@@ -12,9 +12,10 @@ document with a smaller id, or in the same one before. Steps:
    the automaton finds is equal word for word; hashes only choose what it looks for.
 5. Each document drops the words of the windows found in it.
 
-An anchor that very many stretches share is dealt by whole windows instead, and the stretches of a window that very many
-share are spread over all tasks, each of which has that window in its automaton. Both kinds number 4096 at most, whatever
-the size of the corpus. So no anchor or passage is a large group of one task, and none is skipped.
+The stretches of an anchor that very many share are spread over all tasks, each of which has the anchor's windows in its
+automaton. If those are many, too, the anchor is dealt by whole windows instead, and only a window that very many share is
+spread. Such anchors and windows number 4096 each at most, whatever the size of the corpus. So no anchor or passage is a
+large group of one task, and none is skipped.
 
 Nulls: a null text has no words; null ids come last. Texts under one id are documents of their own, in the order of their
 hashes; rows with one id and one text are one document and are judged alike. Fewer words than a window lose nothing. A
@@ -41,6 +42,8 @@ from tidegraph.scratch import materialize
 #: An anchor or window is very frequent if it has more than one of SHARES of all that recur (so at most as many are), and
 #: more than BUSY.
 SHARES, BUSY = 4096, 1000
+#: Recurring windows of a very frequent anchor up to which all tasks get them.
+FEW = 64
 #: Recurring windows of a shard on average.
 SHARD = 8192
 ROWS = 1 << 15  # rows of a batch that a task gives back
@@ -155,9 +158,10 @@ def _windows(marked: DataFrame, spec: Spec) -> DataFrame:
     return marked.select("z", "doc_id", "d", "raw", "anchors").mapInArrow(find, f"anchor long, hash long, {PLACE}, start int")
 
 
-def _stretches(docs: DataFrame, spec: Spec, shards: int, parts: int, busy_anchors: np.ndarray, busy_windows: np.ndarray) -> DataFrame:
+def _stretches(docs: DataFrame, spec: Spec, shards: int, parts: int, spread: np.ndarray, split: np.ndarray, busy: frozenset[int]) -> DataFrame:
     """docs(z, doc_id, d, raw, anchors, firsts) to (shard, kind, z, doc_id, d, lo, body, firsts). Kind 0: words of a document
-    from lo on, and the places in them where windows start first. Kind 1: words in which other windows start."""
+    from lo on, and the places in them where windows start first. Kind 1: words in which other windows start. Anchors of spread go to all tasks, those of split
+    by windows, of which the ones in busy go to all tasks."""
     n = spec.window
     schema = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("z", pa.bool_()), ("doc_id", pa.int64()), ("d", pa.int64()), ("lo", pa.int32()), ("body", pa.binary()), ("firsts", pa.list_(pa.int32()))])
 
@@ -184,7 +188,7 @@ def _stretches(docs: DataFrame, spec: Spec, shards: int, parts: int, busy_anchor
                     first[starts[i] + f] = True
                 start, place, doc = w.start[ok], w.at[ok], w.doc[ok]
                 anchor = w.phrases[place].view(np.int64)
-                alone = np.isin(anchor, busy_anchors)
+                alone, wide = np.isin(anchor, split), np.isin(anchor, spread)
                 new = np.concatenate([[True], (place[1:] != place[:-1]) | alone[1:]])[: len(place)]
                 lo = np.flatnonzero(new)
                 hi = np.concatenate([lo[1:], [len(place)]])[: len(lo)]
@@ -193,18 +197,15 @@ def _stretches(docs: DataFrame, spec: Spec, shards: int, parts: int, busy_anchor
                 for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
                     a, e, i = int(start[x]), int(start[y - 1]), int(doc[x])
                     own = first[a : e + 1]
-                    key, salts = int(anchor[x]), [0]
-                    if alone[x]:
-                        key = int(whole[a])
-                        if np.searchsorted(busy_windows, key) < len(busy_windows) and busy_windows[np.searchsorted(busy_windows, key)] == key:
-                            salts = range(parts) if own.any() else [d[at + i] % parts]
+                    key = int(whole[a]) if alone[x] else int(anchor[x])
+                    everywhere = wide[x] or (alone[x] and key in busy)
                     body = b" ".join([table[c] for c in codes[a : e + n].tolist()])
                     row = (z[at + i], ids[at + i], d[at + i], a - int(starts[i]), body)
                     if own.any():
                         rel = np.flatnonzero(own).tolist()
-                        rows.extend((shard_of(key, s), 0, *row, rel) for s in salts)
+                        rows.extend((shard_of(key, s), 0, *row, rel) for s in range(parts if everywhere else 1))
                     if not own.all():
-                        rows.append((shard_of(key, salts[0]), 1, *row, []))
+                        rows.append((shard_of(key, d[at + i] % parts if everywhere else 0), 1, *row, []))
                     if len(rows) >= ROWS:
                         yield sent()
                 at += len(some)
@@ -319,18 +320,19 @@ def remove_repeats(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     anchors = materialize(_anchors(reps, spec).withColumn("all", every).where("all > 1"), "anchors")
     total = anchors.agg(F.sum("n")).first()[0] or 0
     limit = max(BUSY, total // SHARES)
-    busy_anchors = np.array(sorted(r[0] for r in anchors.where(F.col("all") > limit).select("anchor").distinct().collect()), np.int64)
 
     given = anchors.groupBy("d").agg(F.collect_list("anchor").alias("anchors"))
     marked = materialize(reps.select("z", "doc_id", "d", "raw").join(given, "d").select("z", "doc_id", "d", "raw", "anchors"), "marked")
     place = F.struct("z", "doc_id", "d", "start")
     known = _windows(marked, spec).groupBy("anchor", "hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    known = materialize(known.select("hash", "first", "n"), "windows")
-    busy_windows = np.array(sorted({r[0] for r in known.where(F.col("n") > limit).select("hash").collect()}), np.int64)
+    known = materialize(known, "windows")
+    counts = anchors.where(F.col("all") > limit).select("anchor").distinct().join(known.select("anchor", "hash"), "anchor", "left").groupBy("anchor").agg(F.count("hash").alias("k")).collect()
+    spread, split = (np.array([r.anchor for r in counts if (r.k <= FEW) == few], np.int64) for few in (True, False))
+    busy = frozenset(r[0] for r in known.where(F.col("n") > limit).select("hash").collect())
     shards = max(parts, known.count() // SHARD)
 
     firsts = known.groupBy("first.z", "first.doc_id", "first.d").agg(F.collect_list("first.start").alias("firsts"))
-    found = _located(_stretches(marked.join(firsts, ["z", "doc_id", "d"], "left"), spec, shards, parts, busy_anchors, busy_windows), spec, parts)
+    found = _located(_stretches(marked.join(firsts, ["z", "doc_id", "d"], "left"), spec, shards, parts, spread, split, busy), spec, parts)
     ranges = found.groupBy("z", "doc_id", "d").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
     of_text = reps.select("t", "d", "z", "doc_id").join(ranges, ["z", "doc_id", "d"], "left").select("t", F.col("z").alias("own_z"), F.col("doc_id").alias("own_id"), "ranges")
