@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions.exprs import Scope, Val, literal, same, true
 from tidegraph.model import QUEUE_ROLE, Model, effects_in
+from tidegraph.operators.ctl import Graph as Observed
 from tidegraph.operators.explore import Explorer, Graph
+from tidegraph.operators.response import missed
 from tidegraph.scratch import materialize
 
 
@@ -123,33 +125,39 @@ def triggers(graph: Graph, prop: dict) -> DataFrame:
 
 
 def leads_to(explorer: Explorer, starts: DataFrame, goal: dict, steps: int, user_events: bool = False) -> DataFrame:
-    """The starts(key, s) from which some path of scheduler steps misses the goal within the bound, with the missing path.
+    """The starts(key, s) from which some path of scheduler steps misses the goal within the bound, with a missing path.
 
-    Rows (key, path): path is an array of (tid, post_s). One layer a step: states that meet the goal drop out; a state
-    without steps, or at the bound, has missed. Each layer keeps the least path to each (start, state).
-    """
+    Rows (key, path): path is an array of (tid, post_s), at each state the first failing step by transition. Forward, each
+    state that starts reach within the bound without meeting the goal is expanded once; backward, one labelling serves all
+    starts (see response); forward again, pointers are followed from those that fail."""
     m = explorer.model
     allowed = [i for i, t in enumerate(m.sorted_transitions) if t["cls"] in ("env", "library", "internal") or (user_events and t["cls"] in ("user", "nav"))]
-    at = starts.select("key", F.col("key").alias("here"), "s", F.array().cast(f"array<struct<tid:int,post_s:{starts.schema['s'].dataType.simpleString()}>>").alias("path")).dropDuplicates(["key"])
-    missed = None
-    for n in range(steps + 1):
-        at = materialize(at.where(~true(Scope(m, F.col("s")).eval(goal))), "waiting")
-        if n == steps:
-            stuck = at.select("key", "path")
-        else:
-            out = explorer.expand(at.select(F.col("here").alias("key"), "s").dropDuplicates(["key"])).where(F.col("tid").isin(*allowed)) if allowed else None
-            out = None if out is None else materialize(out.select("pre", "tid", "post", "post_s"), "steps")
-            stuck = at.select("key", "path") if out is None else at.join(out.select(F.col("pre").alias("here")), "here", "left_anti").select("key", "path")
-        stuck = materialize(stuck, "missed")
-        missed = stuck if missed is None else missed.unionByName(stuck)
-        if n == steps or out is None:
-            break
-        moved = at.join(out.withColumnRenamed("pre", "here"), "here").select("key", F.col("post").alias("to"), F.struct(F.transform("path", lambda x: x.tid).alias("tids"), "tid", "post").alias("order"), F.col("post_s").alias("s"), F.concat("path", F.array(F.struct("tid", "post_s"))).alias("path"))
-        at = moved.groupBy("key", F.col("to").alias("here")).agg(F.min_by(F.struct("s", "path"), "order").alias("m")).select("key", "here", "m.s", "m.path")
+    waits = ~true(Scope(m, F.col("s")).eval(goal))
+    at = materialize(starts.select("key", "s").dropDuplicates(["key"]).where(waits), "waiting")
+    first, seen, taken = at, [at], []
+    for _ in range(steps if allowed else 0):
+        out = explorer.expand(at).where(F.col("tid").isin(*allowed)).select("pre", "tid", "post", "post_s")
+        taken.append(materialize(out, "steps"))
+        new = taken[-1].select(F.col("post").alias("key"), F.col("post_s").alias("s")).dropDuplicates(["key"]).where(waits)
+        at = materialize(new.join(reduce(DataFrame.unionByName, seen).select("key"), "key", "left_anti"), "waiting")
         if at.isEmpty():
             break
-    order = F.struct(F.size("path"), F.transform("path", lambda x: x.tid))
-    return missed.groupBy("key").agg(F.min_by("path", order).alias("path"))
+        seen.append(at)
+    nodes = reduce(DataFrame.unionByName, seen).select("key")
+    key = starts.schema["key"].dataType
+    if taken:
+        all_ = reduce(DataFrame.unionByName, taken)
+        edges = materialize(all_.groupBy("pre", "post").agg(F.min("tid").alias("tid"), F.min_by("post_s", "tid").alias("post_s")), "edges")
+    else:
+        edges = nodes.select(F.col("key").alias("pre"), F.col("key").alias("post"), F.lit(0).alias("tid"), F.lit(None).cast(starts.schema["s"].dataType).alias("post_s")).where("false")
+    # A step into a state that meets the goal keeps its own state from being a dead end.
+    met = edges.select(F.col("post").alias("key")).join(nodes, "key", "left_anti")
+    g = Observed(nodes.unionByName(met), edges)
+    g.edges = edges.withColumn("order", F.struct("tid", "post"))
+    found = missed(g, first.select(F.col("key").alias("pre"), F.col("key").alias("post")), met, steps, "order").where("step > 0")
+    way = found.select(F.col("pre").alias("key"), "step", F.col("at").alias("pre"), F.col("next").cast(key).alias("post")).join(edges, ["pre", "post"], "left")
+    path = F.array_sort(F.collect_list(F.when(F.col("tid").isNotNull(), F.struct("step", "tid", "post_s"))))
+    return way.groupBy("key").agg(F.transform(path, lambda x: F.struct(x.tid.alias("tid"), x.post_s.alias("post_s"))).alias("path"))
 
 
 # Builders.

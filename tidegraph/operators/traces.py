@@ -14,19 +14,49 @@ from tidegraph.operators.explore import Explorer, Graph
 from tidegraph.scratch import materialize
 
 
-def trace_to(graph: Graph, targets: DataFrame) -> DataFrame:
-    """Steps (target, step, tid, pre, post) of the parent chains of targets(key). One join a layer, deepest first."""
-    states = graph.states.select("key", "parent", "tid", "depth")
-    at = targets.select(F.col("key").alias("target"), "key").join(states, "key")
-    out = []
-    while True:
-        at = materialize(at, "chain")
-        if at.where("depth > 0").isEmpty():
+def root_paths(parents: DataFrame, targets: DataFrame) -> DataFrame:
+    """parents(key, parent, ...), parent null at a root, to (target, back, key, parent, ...) of targets(key): each state on
+    the way to the root, back steps before the target, with its row of parents.
+
+    By pointer doubling: round k knows each state's ancestor 2**k steps up, and doubles the stretch of way that each
+    target knows. So rounds follow the logarithm of the depth, for all targets at once, and every step of a way is found
+    by one join. Parents that form a cycle are refused."""
+    most = parents.count()
+    up = materialize(parents.where("parent is not null").select("key", F.col("parent").alias("up")), "ancestors")
+    ways = targets.select("key").distinct().join(parents.select("key"), "key", "left_semi")
+    ways, far = materialize(ways.select(F.col("key").alias("target"), F.lit(0).cast("long").alias("back"), "key"), "ways"), 1
+    held = [ways]
+    while not up.isEmpty():
+        if far > most:
+            raise ValueError("parents form a cycle")
+        known = reduce(DataFrame.unionByName, held)
+        more = known.join(up, "key").select("target", (F.col("back") + far).alias("back"), F.col("up").alias("key"))
+        more, far = materialize(more, "ways"), 2 * far
+        if more.isEmpty():
             break
-        out.append(at.where("depth > 0").select("target", F.col("depth").alias("step"), "tid", F.col("parent").alias("pre"), F.col("key").alias("post")))
-        at = at.where("depth > 0").select("target", F.col("parent").alias("key")).join(states, "key")
-    empty = at.select("target", F.col("depth").alias("step"), "tid", F.col("parent").alias("pre"), F.col("key").alias("post")).where("false")
-    return reduce(DataFrame.unionByName, out, empty)
+        held.append(more)
+        up = materialize(up.join(up.select(F.col("key").alias("up"), F.col("up").alias("upper")), "up").select("key", F.col("upper").alias("up")), "ancestors")
+    return reduce(DataFrame.unionByName, held).join(parents, "key").select("target", "back", *parents.columns)
+
+
+def forest(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(key, depth, parent) of all states that start(key) reaches over edges(pre, post): fewest steps, and of the states one
+    step nearer the least. One round a layer, each written to the shared folder."""
+    kind = edges.schema["pre"].dataType
+    held = [materialize(start.select("key").distinct().select("key", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")), "layer")]
+    while True:
+        last, seen = held[-1], reduce(DataFrame.unionByName, held)
+        new = edges.join(last.select(F.col("key").alias("pre")), "pre").groupBy(F.col("post").alias("key")).agg(F.min("pre").alias("parent"))
+        new = materialize(new.join(seen.select("key"), "key", "left_anti").select("key", F.lit(len(held)).alias("depth"), "parent"), "layer")
+        if new.isEmpty():
+            return seen
+        held.append(new)
+
+
+def trace_to(graph: Graph, targets: DataFrame) -> DataFrame:
+    """Steps (target, step, tid, pre, post) of the parent chains of targets(key), for all of them at once."""
+    way = root_paths(graph.states.select("key", "parent", "depth", "tid"), targets)
+    return way.where("parent is not null").select("target", F.col("depth").alias("step"), "tid", F.col("parent").alias("pre"), F.col("key").alias("post"))
 
 
 def named(graph: Graph, steps: DataFrame) -> DataFrame:

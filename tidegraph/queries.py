@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tidegraph.functions import abstraction
 from tidegraph.functions.keys import state_key
 from tidegraph.model import parse_model
-from tidegraph.operators import ctl
+from tidegraph.operators import ctl, response, scc, steps, traces
 from tidegraph.operators.explore import explore
+from tidegraph.operators.steps import Steps
 from tidegraph.operators.traces import compare_steps, walk_metrics
-from tidegraph.scratch import new_path
+from tidegraph.scratch import materialize, new_path
 from tidegraph.sources import observed
 from tidegraph.sources.rows import outcomes, row_model, value, with_state
 from tidegraph.streaming import monitor
@@ -153,17 +154,59 @@ def ctl_reachable_from(spark, sf_dir):
     return g.label(ctl.AG(ctl.implies(is_("view"), ctl.EF(is_("purchase")))), lambda p: kind_is(g, p["type"]))
 
 
-@query(f"""WITH {GRAPH}, alive AS (SELECT DISTINCT pre AS key FROM edges),
-s1 AS (SELECT key FROM p UNION SELECT key FROM alive WHERE key NOT IN (SELECT pre FROM edges WHERE post NOT IN (SELECT key FROM p))),
-s2 AS (SELECT key FROM p UNION SELECT key FROM alive WHERE key NOT IN (SELECT pre FROM edges WHERE post NOT IN (SELECT key FROM s1))),
-s3 AS (SELECT key FROM p UNION SELECT key FROM alive WHERE key NOT IN (SELECT pre FROM edges WHERE post NOT IN (SELECT key FROM s2)))
-SELECT e.pre, e.post, e.post IN (SELECT key FROM s3) AS met FROM edges e WHERE e.pre LIKE '%|view'""")
+#: f0 to f3: states that can miss a purchase with so many steps left, and the least successor that can with one less.
+MISSES = f"""{GRAPH}, f0 AS (SELECT key, CAST(NULL AS VARCHAR) AS nx FROM nodes WHERE key NOT IN (SELECT key FROM p)), dead AS (SELECT key, nx FROM f0 WHERE key NOT IN (SELECT pre FROM edges)),
+""" + ",\n".join(f"f{n + 1} AS (SELECT key, nx FROM dead UNION ALL SELECT e.pre, min(e.post) FROM edges e WHERE e.pre IN (SELECT key FROM f0) AND e.post IN (SELECT key FROM f{n}) GROUP BY e.pre)" for n in range(3))
+
+
+@query(f"WITH {MISSES} SELECT e.pre, e.post, e.post NOT IN (SELECT key FROM f3) AS met FROM edges e WHERE e.pre LIKE '%|view'")
 def leads_to_within(spark, sf_dir):
     """Steps out of a view: whether a purchase follows within three steps on every path."""
     g = event_graph(spark, sf_dir)
-    met = g.within(kind_is(g, "purchase"), 3).select(F.col("key").alias("post"), F.lit(True).alias("ok"))
-    fired = g.edges.where(observed.event_type(F.col("pre")) == "view")
-    return fired.join(met, "post", "left").select("pre", "post", F.coalesce("ok", F.lit(False)).alias("met"))
+    return response.met(g, g.edges.where(observed.event_type(F.col("pre")) == "view"), kind_is(g, "purchase"), 3)
+
+
+@query(f"""WITH {MISSES} SELECT e.pre, e.post, concat_ws(' > ', e.pre, e.post, a.nx, b.nx, c.nx) AS path FROM edges e
+JOIN f3 a ON e.post = a.key LEFT JOIN f2 b ON a.nx = b.key LEFT JOIN f1 c ON b.nx = c.key WHERE e.pre LIKE '%|view'""")
+def response_missed(spark, sf_dir):
+    """Steps out of a view after which a purchase can stay out for three steps, each with such a path."""
+    g = event_graph(spark, sf_dir)
+    out = response.missed(g, g.edges.where(observed.event_type(F.col("pre")) == "view"), kind_is(g, "purchase"), 3)
+    path = F.array_sort(F.collect_list(F.struct("step", "at")))
+    return out.groupBy("pre", "post").agg(F.array_join(F.transform(path, lambda x: x["at"]), " > ").alias("path"))
+
+
+#: Mutual reachability over edges and nodes.
+MUTUAL = """reach(a, b) AS (SELECT pre, post FROM edges UNION SELECT r.a, e.post FROM reach r JOIN edges e ON r.b = e.pre),
+m AS (SELECT key AS k, key AS o FROM nodes UNION SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a),
+c AS (SELECT k AS key, min(o) AS scc FROM m GROUP BY k)"""
+
+
+@query(f"WITH RECURSIVE {GRAPH}, {MUTUAL} SELECT key, scc, count(*) OVER (PARTITION BY scc) AS size FROM c")
+def scc_members(spark, sf_dir):
+    return scc.components(event_graph(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE ok AS (SELECT o_custkey, strftime(o_orderdate, '%Y') AS y, o_orderdate, o_orderkey, o_custkey || '|' || strftime(o_orderdate, '%Y') || '|' || o_orderstatus || '|' || o_orderpriority AS post FROM orders),
+os AS (SELECT lag(post) OVER (PARTITION BY o_custkey, y ORDER BY o_orderdate, o_orderkey, post) AS pre, post FROM ok),
+edges AS (SELECT DISTINCT pre, post FROM os WHERE pre IS NOT NULL AND pre <> post), nodes AS (SELECT pre AS key FROM edges UNION SELECT post FROM edges), {MUTUAL}
+SELECT key, scc, size FROM (SELECT key, scc, count(*) OVER (PARTITION BY scc) AS size FROM c) WHERE size > 1""")
+def scc_cyclic(spark, sf_dir):
+    """Order states that a customer can come back to within a year."""
+    return scc.non_trivial(ctl.Graph.stored(*observed.status_graph(table(spark, sf_dir, "orders"))))
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, d(key, distance) AS (SELECT key, 0 FROM nodes WHERE key LIKE '%|view' UNION SELECT e.post, d.distance + 1 FROM d JOIN edges e ON e.pre = d.key WHERE d.distance < 10),
+h AS (SELECT key, min(distance) AS depth FROM d GROUP BY key),
+up AS (SELECT e.post AS key, min(e.pre) AS parent FROM edges e JOIN h a ON e.pre = a.key JOIN h b ON e.post = b.key WHERE b.depth = a.depth + 1 GROUP BY e.post),
+w(target, key, step) AS (SELECT key, key, depth FROM h WHERE key LIKE '%|error' AND depth > 0 UNION ALL SELECT w.target, up.parent, w.step - 1 FROM w JOIN up ON w.key = up.key WHERE w.step > 1)
+SELECT w.target, w.step, up.parent AS pre, w.key AS post FROM w JOIN up ON w.key = up.key""")
+def error_traces(spark, sf_dir):
+    """The way from the nearest view to every error state that one reaches."""
+    g = event_graph(spark, sf_dir)
+    tree = materialize(traces.forest(g.edges, kind_is(g, "view")), "forest")
+    way = traces.root_paths(tree, kind_is(g, "error")).where("parent is not null")
+    return way.select("target", F.col("depth").alias("step"), F.col("parent").alias("pre"), F.col("key").alias("post"))
 
 
 @query(f"WITH RECURSIVE {GRAPH}, d(key, distance) AS (SELECT key, 0 FROM nodes WHERE key LIKE '%|view' UNION SELECT e.post, d.distance + 1 FROM d JOIN edges e ON e.pre = d.key WHERE d.distance < 10) SELECT key, min(distance) AS distance FROM d GROUP BY key")
@@ -173,18 +216,36 @@ def trace_distance(spark, sf_dir):
     return g.distances(kind_is(g, "view"))
 
 
+#: Events as the steps of a model: what a step is called is the later event's type.
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+EVENTS = row_model("events", {"type": {"kind": "enum", "values": EVENT_TYPES}}, transitions={t: "env" if t == "error" else "user" for t in EVENT_TYPES})
+
+
+def event_steps(spark, sf_dir) -> DataFrame:
+    rows, kind = observed.user_days(table(spark, sf_dir, "events")), F.col("event_type")
+    return observed.recorded(rows, ["user_id", "day"], ["ts", "event_id"], EVENTS, {"type": kind}, kind)
+
+
 @query(f"WITH {GRAPH} SELECT string_split(pre, '|')[3] AS before, string_split(post, '|')[3] AS after, count(*) AS steps, count(DISTINCT user_id) AS users FROM st WHERE pre IS NOT NULL AND pre <> post GROUP BY ALL")
 def step_changed(spark, sf_dir):
-    s = observed.steps(observed.user_days(table(spark, sf_dir, "events")), ["user_id", "day"], ["ts", "event_id"], observed.key_of(F.col("user_id"), F.col("day"), F.col("event_type")))
-    return s.groupBy(observed.event_type(F.col("pre")).alias("before"), observed.event_type(F.col("post")).alias("after")).agg(F.count("*").alias("steps"), F.count_distinct("user_id").alias("users"))
+    s = event_steps(spark, sf_dir).where(Steps(EVENTS).matches(steps.step_changed("type")))
+    return s.groupBy(F.col("pre_s.v0").alias("before"), F.col("post_s.v0").alias("after")).agg(F.count("*").alias("steps"), F.count_distinct("user_id").alias("users"))
 
 
 @query(f"WITH {GRAPH} SELECT user_id, day, pre, post FROM st WHERE pre IS NOT NULL AND pre LIKE '%|error' AND post LIKE '%|purchase'")
 def step_violations(spark, sf_dir):
     """AG over steps: no purchase right after an error."""
-    s = observed.steps(observed.user_days(table(spark, sf_dir, "events")), ["user_id", "day"], ["ts", "event_id"], observed.key_of(F.col("user_id"), F.col("day"), F.col("event_type")), differing=False)
-    bad = (observed.event_type(F.col("pre")) == "error") & (observed.event_type(F.col("post")) == "purchase")
-    return monitor.step_monitor(s, bad).select("user_id", "day", "pre", "post")
+    never = {"negate": True, "pre": op("eq", read("type"), "error"), "step": steps.step_transition("purchase")}
+    key = lambda s: observed.key_of(F.col("user_id"), F.col("day"), F.col(f"{s}.v0"))
+    return event_steps(spark, sf_dir).where(~Steps(EVENTS).matches(never)).select("user_id", "day", key("pre_s").alias("pre"), key("post_s").alias("post"))
+
+
+@query(f"WITH {GRAPH} SELECT string_split(post, '|')[3] AS type, CASE WHEN post LIKE '%|error' THEN 'env' ELSE 'user' END AS class, count(*) AS steps FROM st WHERE pre IS NOT NULL AND (post LIKE '%|error' OR (pre <> post AND post LIKE '%|purchase')) GROUP BY ALL")
+def step_classes(spark, sf_dir):
+    """Steps of the environment, and those that changed the type to a purchase."""
+    s, by = event_steps(spark, sf_dir), Steps(EVENTS)
+    found = s.where(by.matches({"transitionClass": "env"}) | by.matches(steps.step_changed_to("type", "purchase")))
+    return found.groupBy(F.col("post_s.v0").alias("type"), F.when(by.matches({"transitionClass": "env"}), "env").otherwise("user").alias("class")).agg(F.count("*").alias("steps"))
 
 
 # -- expressions
@@ -391,9 +452,9 @@ m AS (SELECT conv_id, turn, pre, role, CASE WHEN pre IS NULL OR pre <> 'assistan
 SELECT conv_id, CASE WHEN min(CASE WHEN role <> want THEN turn END) IS NULL THEN 'reproduced' ELSE 'not-reproduced' END AS status, min(CASE WHEN role <> want THEN turn END) AS at_step FROM m WHERE pre IS NOT NULL GROUP BY conv_id""")
 def replay_conversations(spark, sf_dir):
     """Every conversation against the alternation of user and assistant after its first turn."""
-    steps = observed.steps(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn", "role"], F.col("role"), differing=False).select("conv_id", F.col("tick").alias("step"), "pre", "post")
-    want = steps.withColumn("post", F.when(F.col("pre") == "assistant", "user").otherwise("assistant"))
-    return compare_steps(want, steps, ("conv_id",))
+    seen = observed.steps(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn", "role"], F.col("role"), differing=False).select("conv_id", F.col("tick").alias("step"), "pre", "post")
+    want = seen.withColumn("post", F.when(F.col("pre") == "assistant", "user").otherwise("assistant"))
+    return compare_steps(want, seen, ("conv_id",))
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegraph.model import Model
+from tidegraph.sources.rows import with_state
+
 SEPARATOR = "|"
 
 
@@ -52,3 +55,15 @@ def status_graph(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
     """States (customer, year, status, priority), steps between a customer's differing consecutive orders of a year."""
     rows = orders.withColumn("year", F.date_format("o_orderdate", "yyyy"))
     return graph(rows, ["o_custkey", "year"], ["o_orderdate", "o_orderkey"], key_of(F.col("o_custkey"), F.col("year"), F.col("o_orderstatus"), F.col("o_orderpriority")))
+
+
+def recorded(rows: DataFrame, entity: Sequence[str], order: Sequence[str], model: Model, columns: dict[str, Column], transition: Column) -> DataFrame:
+    """edges(entity..., tick, tid, pre_s, post_s) as step predicates read them: consecutive rows of each entity as states of
+    a row_model(), and the number of the transition that the later row names (null if the model has none of that id).
+    Ties in order are broken by the state."""
+    w = Window.partitionBy(*entity).orderBy(*order, F.to_json("post_s"))
+    ids = F.create_map(*(x for i, t in enumerate(model.sorted_transitions) for x in (F.lit(t["id"]), F.lit(i)))) if model.transitions else None
+    tid = F.lit(None).cast("int") if ids is None else F.element_at(ids, F.col("_transition"))
+    r = with_state(rows.withColumn("_transition", transition), model, columns).withColumnRenamed("s", "post_s")
+    r = r.select(*dict.fromkeys([*entity, *order]), tid.alias("tid"), "post_s").withColumn("pre_s", F.lag("post_s").over(w))
+    return r.where("pre_s is not null").select(*entity, F.col(order[0]).alias("tick"), "tid", "pre_s", "post_s")

@@ -10,10 +10,12 @@ from tidegraph.model import Model
 from tidegraph.operators.effects import Effects, state_ddl
 
 
-def row_model(name: str, columns: dict[str, dict], max_pending: int = 2) -> Model:
-    """Variables with the given domains. Values outside them are kept as they are."""
+def row_model(name: str, columns: dict[str, dict], max_pending: int = 2, transitions: dict[str, str] | None = None) -> Model:
+    """Variables with the given domains. Values outside them are kept as they are. transitions: the class of each name that
+    an observed step can have; what such a step does is in the rows, not in the model."""
     variables = tuple({"id": k, "domain": d, "origin": "table", "scope": {"kind": "global"}, "initial": [], **({"role": {"kind": "pending-queue"}} if k == "queue" else {})} for k, d in columns.items())
-    return Model(name, variables, (), 0, max_pending)
+    seen = tuple({"id": k, "cls": c, "label": {"kind": "observed"}, "source": [], "guard": {"kind": "lit", "value": True}, "effect": {"kind": "seq", "effects": []}, "reads": [], "writes": []} for k, c in (transitions or {}).items())
+    return Model(name, variables, seen, 0, max_pending)
 
 
 def with_state(df: DataFrame, model: Model, columns: dict[str, Column]) -> DataFrame:
