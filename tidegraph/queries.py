@@ -17,7 +17,7 @@ from tidegraph.operators.traces import compare_steps, walk_metrics
 from tidegraph.scratch import materialize, new_path
 from tidegraph.sources import observed
 from tidegraph.sources.rows import outcomes, row_model, value, with_state
-from tidegraph.streaming import monitor
+from tidegraph.streaming import monitor, stateful
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -441,6 +441,46 @@ def monitor_stream(spark, sf_dir):
     return spark.read.schema("event_id long, invariant string, status string").parquet(out)
 
 
+#: How long after an error a purchase may come, and how late rows of the stream may be, in milliseconds.
+WITHIN, LATE = 2 * 86_400_000, 7_200_000
+ANSWERED = f"""e AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS entity, epoch_us(ts) // 1000 AS "at", event_type FROM events), mark AS (SELECT max("at") - {LATE} AS mark FROM e),
+r AS (SELECT t.entity, t.id, t."at", (SELECT min(g."at") FROM e g WHERE g.entity = t.entity AND g.event_type = 'purchase' AND g."at" > t."at" AND g."at" <= t."at" + {WITHIN}) AS met_at FROM e t WHERE t.event_type = 'error')"""
+
+
+def event_rows(events: DataFrame) -> DataFrame:
+    kind = F.col("event_type")
+    return events.select(F.col("user_id").alias("entity"), "ts", F.col("event_id").alias("id"), kind.alias("state"), (kind == "error").alias("trigger"), (kind == "purchase").alias("goal"))
+
+
+def streamed(spark, sf_dir, make, schema: str) -> DataFrame:
+    """make(stream of event_rows) run over the table as a stream to a table, until nothing is left."""
+    rows = event_rows(spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*"))
+    out, mark = new_path(spark, "stream"), new_path(spark, "progress")
+    with stateful.state_store(spark):
+        query = make(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(out)
+
+
+@query(f"""WITH {ANSWERED} SELECT entity, id, "at", CASE WHEN met_at IS NULL THEN 'missed' ELSE 'met' END AS status, met_at FROM r""")
+def response_batch(spark, sf_dir):
+    """Whether a purchase of the same user follows each error in time."""
+    return stateful.responses(event_rows(table(spark, sf_dir, "events")), WITHIN)
+
+
+@query(f"""WITH {ANSWERED} SELECT entity, id, "at", CASE WHEN met_at IS NULL THEN 'missed' ELSE 'met' END AS status, met_at FROM r, mark WHERE "at" + {WITHIN} <= mark""")
+def response_stream(spark, sf_dir):
+    """The same over a stream: errors whose deadline the watermark has passed."""
+    return streamed(spark, sf_dir, lambda rows: stateful.response_stream(rows, WITHIN, f"{LATE} milliseconds"), stateful.RESPONSE)
+
+
+@query(f"""WITH {ANSWERED}, s AS (SELECT *, lag(event_type) OVER (PARTITION BY entity ORDER BY "at", id, event_type) AS pre FROM e, mark WHERE "at" <= mark) SELECT entity, "at", id, pre, event_type AS post FROM s WHERE pre = 'error' AND event_type = 'purchase'""")
+def step_stream(spark, sf_dir):
+    """Purchases right after an error, over a stream."""
+    bad = (F.col("pre") == "error") & (F.col("post") == "purchase")
+    return streamed(spark, sf_dir, lambda rows: monitor.step_monitor(stateful.step_stream(rows, f"{LATE} milliseconds"), bad), stateful.STEP)
+
+
 @query("SELECT event_type, count(*) AS attempts, CAST(sum(CASE WHEN value >= 50 THEN 1 ELSE 0 END) AS BIGINT) AS passes, round(avg(CASE WHEN value >= 50 THEN 1.0 ELSE 0.0 END), 4) AS pass_rate FROM events GROUP BY ALL")
 def conform_metrics(spark, sf_dir):
     r = table(spark, sf_dir, "events").select(F.col("event_type").alias("tid"), (F.coalesce(F.col("value"), F.lit(0.0)) >= 50).alias("passed"))
