@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.functions import abstraction
+from tidegraph.functions import abstraction, inference, validation
 from tidegraph.functions.keys import state_key
 from tidegraph.model import parse_model
-from tidegraph.operators import ctl, response, scc, steps, traces
+from tidegraph.operators import bisimulation, ctl, response, scc, steps, traces
 from tidegraph.operators.explore import explore
 from tidegraph.operators.steps import Steps
 from tidegraph.operators.traces import compare_steps, walk_metrics
@@ -196,6 +196,21 @@ def scc_cyclic(spark, sf_dir):
     return scc.non_trivial(ctl.Graph.stored(*observed.status_graph(table(spark, sf_dir, "orders"))))
 
 
+ORDER_GRAPH = """ok AS (SELECT o_custkey, strftime(o_orderdate, '%Y') AS y, o_orderdate, o_orderkey, o_custkey || '|' || strftime(o_orderdate, '%Y') || '|' || o_orderstatus || '|' || o_orderpriority AS post FROM orders),
+os AS (SELECT lag(post) OVER (PARTITION BY o_custkey, y ORDER BY o_orderdate, o_orderkey, post) AS pre, post FROM ok),
+edges AS (SELECT DISTINCT pre, post, string_split(post, '|')[4] AS label FROM os WHERE pre IS NOT NULL AND pre <> post), nodes AS (SELECT pre AS key FROM edges UNION SELECT post FROM edges)"""
+#: Refinement of order states, round by round, for more rounds than they need.
+ROUNDS = "r0 AS (SELECT key, string_split(key, '|')[3] AS c FROM nodes), " + ", ".join(f"r{n + 1} AS (SELECT r.key, md5(r.c || '>' || coalesce(string_agg(DISTINCT e.label || ':' || t.c, ',' ORDER BY e.label || ':' || t.c), '')) AS c FROM r{n} r LEFT JOIN edges e ON r.key = e.pre LEFT JOIN r{n} t ON e.post = t.key GROUP BY r.key, r.c)" for n in range(16))
+
+
+@query(f"WITH {ORDER_GRAPH}, {ROUNDS} SELECT key, min(key) OVER (PARTITION BY c) AS class, count(*) OVER (PARTITION BY c) AS size FROM r16")
+def bisimulation_classes(spark, sf_dir):
+    """Order states of one status that can match each other's steps, told apart by priority, for ever."""
+    nodes, edges = observed.status_graph(table(spark, sf_dir, "orders"))
+    part = lambda c, n: F.element_at(F.split(c, r"\|"), n)
+    return bisimulation.classes(nodes.withColumn("label", part("key", 3)), edges.withColumn("label", part("post", 4)))
+
+
 @query(f"""WITH RECURSIVE {GRAPH}, d(key, distance) AS (SELECT key, 0 FROM nodes WHERE key LIKE '%|view' UNION SELECT e.post, d.distance + 1 FROM d JOIN edges e ON e.pre = d.key WHERE d.distance < 10),
 h AS (SELECT key, min(distance) AS depth FROM d GROUP BY key),
 up AS (SELECT e.post AS key, min(e.pre) AS parent FROM edges e JOIN h a ON e.pre = a.key JOIN h b ON e.post = b.key WHERE b.depth = a.depth + 1 GROUP BY e.post),
@@ -301,6 +316,54 @@ def expr_records(spark, sf_dir):
     return s.select("o_orderkey", value(m, is_p).alias("is_tag"), F.when(value(m, is_p), value(m, new).getField("n")).cast("int").alias("bumped"), F.concat(value(m, read("o", "kind")), F.lit("!")).alias("mark"))
 
 
+# -- validation and inference
+
+PLACED = {"kind": "record", "fields": {"status": {"kind": "enum", "values": ["F", "O"]}, "priority": {"kind": "enum", "values": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]}, "customer": {"kind": "boundedInt", "min": 10, "max": 1000}, "tags": {"kind": "boundedList", "inner": {"kind": "enum", "values": ["1", "2", "3"]}, "maxLen": 2}}}
+
+
+@query("""SELECT o_orderkey, '$.status' AS path, 'not one of the values' AS reason FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
+UNION ALL SELECT o_orderkey, '$.priority', 'not one of the values' FROM orders WHERE o_orderpriority = '5-LOW'
+UNION ALL SELECT o_orderkey, '$.customer', CASE WHEN o_custkey < 10 THEN 'below 10' ELSE 'above 1000' END FROM orders WHERE o_custkey NOT BETWEEN 10 AND 1000
+UNION ALL SELECT o_orderkey, '$.tags[0]', 'not one of the values' FROM orders WHERE o_orderpriority[1] NOT IN ('1', '2', '3')
+UNION ALL SELECT o_orderkey, '$.tags[1]', 'not one of the values' FROM orders""")
+def validate_orders(spark, sf_dir):
+    """Every value of a typed row that its declared domain does not hold, by path."""
+    tags = F.array(F.substring("o_orderpriority", 1, 1), F.col("o_orderstatus"))
+    row = F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer"), tags.alias("tags"))
+    found = validation.violations(PLACED, validation.variant(row, "struct"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(found).alias("p")).select("o_orderkey", "p.path", "p.reason")
+
+
+@query("""WITH k AS (SELECT event_id, props, TRY_CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS BIGINT) AS k FROM events)
+SELECT event_id, '$.k' AS path, CASE WHEN k < 10 THEN 'below 10' ELSE 'above 90' END AS reason FROM k WHERE k NOT BETWEEN 10 AND 90
+UNION ALL SELECT event_id, '$.note', 'missing' FROM k WHERE props IS NOT NULL UNION ALL SELECT event_id, '$', 'missing' FROM k WHERE props IS NULL""")
+def validate_props(spark, sf_dir):
+    """The same for JSON text."""
+    d = {"kind": "record", "fields": {"k": {"kind": "boundedInt", "min": 10, "max": 90}, "note": {"kind": "option", "inner": {"kind": "bool"}}}}
+    found = validation.violations(d, validation.json_variant(F.col("props")))
+    return table(spark, sf_dir, "events").select("event_id", F.explode(found).alias("p")).select("event_id", "p.path", "p.reason")
+
+
+def inferred() -> dict[str, dict]:
+    """Expressions over lines: remainders that are tried value by value, and ranges."""
+    q, part = read("qty"), read("part")
+    return {"rest": op("mod", q, 7), "twice": op("add", q, q), "apart": op("sub", op("mod", q, 3), op("mod", part, 2)), "down": op("sub", q, 100), "big": op("mod", part, 1000), "either": op("cond", op("gt", q, 25), op("mod", q, 2), op("sub", 0, op("mod", part, 2)))}
+
+
+INFERRED = {"rest": (f"{QTY} % 7", 0, 6, True), "twice": (f"{QTY} + {QTY}", 0, 100, False), "apart": (f"{QTY} % 3 - {PART} % 2", -1, 2, False), "down": (f"{QTY} - 100", -100, -50, True), "big": (f"{PART} % 1000", 0, 999, False), "either": (f"CASE WHEN {QTY} > 25 THEN {QTY} % 2 ELSE -({PART} % 2) END", -1, 1, False)}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS name, {low} AS low, {high} AS high, {str(exact).lower()} AS exact, min({e}) AS least, max({e}) AS most, count(*) FILTER ({e} NOT BETWEEN {low} AND {high}) AS outside FROM lineitem" for k, (e, low, high, exact) in INFERRED.items()))
+def infer_ranges(spark, sf_dir):
+    """Inferred ranges of expressions beside what their values are."""
+    rows, each = lines(spark, sf_dir), []
+    for name, e in inferred().items():
+        low, high = inference.range_of(inference.infer(LINES, e))
+        v = value(LINES, e)
+        each.append(F.struct(F.lit(name).alias("name"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(inference.is_exact(LINES, e)).alias("exact"), F.min(v).alias("least"), F.max(v).alias("most"), F.count_if(~v.between(low, high)).alias("outside")))
+    return rows.agg(F.array(*each).alias("all")).select(F.explode("all").alias("r")).select("r.*")
+
+
 # -- effects
 
 def effect(name: str, sql: str, e: dict, column: str = "qty", domain: dict | None = None) -> None:
