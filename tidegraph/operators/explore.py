@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidegraph.functions.domains import ddl, shape_of
 from tidegraph.functions.exprs import Scope
 from tidegraph.functions.keys import state_key
 from tidegraph.model import Model, ModelError
@@ -56,8 +57,10 @@ class Graph:
 
 
 class Explorer:
-    def __init__(self, spark: SparkSession, model: Model):
-        self.spark, self.model, self.effects = spark, model, Effects(model)
+    def __init__(self, spark: SparkSession, model: Model, starts: DataFrame | None = None):
+        """starts: a table of start states, a column for each variable by id; a variable without one, and every variable
+        where there is no table, starts as the model says. Rows may repeat; other columns are not looked at."""
+        self.spark, self.model, self.effects, self.starts = spark, model, Effects(model), starts
         self.rules = list(enumerate(model.sorted_transitions))
         self.bound_hits: set[str] = set()
         self._columns: dict[str, Column] = {}
@@ -136,6 +139,14 @@ class Explorer:
     # -- the recursive query
     def initial(self) -> DataFrame:
         rows = self.spark.range(1).select(F.explode(F.array(*(state_row(self.model, v) for v in self.model.initial_states()))).alias("s0"))
+        if self.starts is not None:
+            given = {v["id"]: i for i, v in enumerate(self.model.vars) if v["id"] in self.starts.columns}
+            table = self.starts.select(*(F.col(f"`{k}`").alias(f"v{i}") for k, i in given.items())).distinct()
+            s0 = F.array(*(state_row(self.model, v) for v in self.model.initial_states()))
+            s = F.col("s0")
+            for k, i in given.items():
+                s = s.withField(f"v{i}", F.col(f"v{i}").cast(ddl(shape_of(self.model.var(k)["domain"]))))
+            rows = table.withColumn("s0", F.explode(s0)).select(s.alias("s0"))
         rows = rows.select(F.explode(self.effects.reset(F.array("s0"), None)).alias("s"))
         # Right after the start every variable counts as changed.
         every = F.array(*(F.lit(i) for i in range(len(self.model.vars))))
@@ -187,8 +198,8 @@ class Explorer:
         return Graph(self.model, read_states(state_paths), read_edges(edge_paths), n_states, n_edges, depth, not width, frontier, stopped, sorted(self.bound_hits))
 
 
-def explore(spark: SparkSession, model: Model, limits: Limits | None = None, max_depth: int | None = None) -> Graph:
-    return Explorer(spark, model).run(limits, max_depth)
+def explore(spark: SparkSession, model: Model, limits: Limits | None = None, max_depth: int | None = None, starts: DataFrame | None = None) -> Graph:
+    return Explorer(spark, model, starts).run(limits, max_depth)
 
 
 def initial_states(spark: SparkSession, model: Model) -> DataFrame:

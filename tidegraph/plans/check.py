@@ -134,10 +134,10 @@ def dominant_vars(graph: Graph, top: int = 5) -> DataFrame:
     return row.select(pairs.alias("p")).select("p.*").orderBy(F.desc("values"), "var").limit(top)
 
 
-def check(spark: SparkSession, model: Model, props: list[dict], limits: Limits | None = None, slicing: bool = False, trace_mode: str = "nearest", fairness: str = "reference") -> CheckResult:
+def check(spark: SparkSession, model: Model, props: list[dict], limits: Limits | None = None, slicing: bool = False, trace_mode: str = "nearest", fairness: str = "reference", starts: DataFrame | None = None) -> CheckResult:
     verdicts, totals, warned, hits = {}, [], [], []
     for part, own in groups(model, props) if slicing else [(model, props)]:
-        explorer = Explorer(spark, part)
+        explorer = Explorer(spark, part, starts)
         graph = explorer.run(limits)
         totals.append(graph.stats)
         if graph.stopped:

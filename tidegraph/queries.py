@@ -11,7 +11,7 @@ from tidegraph.functions import abstraction, inference, validation
 from tidegraph.functions.keys import state_key
 from tidegraph.model import parse_model
 from tidegraph.operators import bisimulation, ctl, response, scc, steps, traces
-from tidegraph.operators.explore import explore
+from tidegraph.operators.explore import Limits, explore
 from tidegraph.operators.steps import Steps
 from tidegraph.operators.traces import compare_steps, walk_metrics
 from tidegraph.scratch import materialize, new_path
@@ -450,18 +450,43 @@ def counters():
 STEPS = "(SELECT r.x AS px, r.y AS py, CASE WHEN r.x + 3 <= 9 THEN r.x + 3 ELSE (r.x + 3) % 10 END AS x, r.y AS y UNION ALL SELECT r.x, r.y, r.x, r.y + 1 WHERE r.y < r.x AND r.y + 1 <= 6 UNION ALL SELECT r.x, r.y, r.x, v FROM (VALUES (0), (1)) t(v) WHERE r.y > 3)"
 
 
-@query(f"WITH RECURSIVE d(x, y, depth) AS (SELECT 0, 0, 0 UNION SELECT n.x, n.y, r.depth + 1 FROM d r, LATERAL {STEPS} n WHERE r.depth < 30) SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, min(depth) AS depth FROM d GROUP BY x, y")
+def counter_starts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("x"))
+
+
+@query(f"WITH RECURSIVE d(x, y, depth) AS (SELECT DISTINCT o_custkey % 5, 0, 0 FROM orders UNION SELECT n.x, n.y, r.depth + 1 FROM d r, LATERAL {STEPS} n WHERE r.depth < 30) SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, min(depth) AS depth FROM d GROUP BY x, y")
 def explore_states(spark, sf_dir):
-    g = explore(spark, counters())
+    g = explore(spark, counters(), starts=counter_starts(spark, sf_dir))
     return g.states.select(F.col("s.v0").alias("x"), F.col("s.v1").alias("y"), "depth")
 
 
-@query(f"WITH RECURSIVE s(x, y) AS (SELECT 0, 0 UNION SELECT n.x, n.y FROM s r, LATERAL {STEPS} n) SELECT CAST(n.px AS BIGINT) AS px, CAST(n.py AS BIGINT) AS py, CAST(n.x AS BIGINT) AS x, CAST(n.y AS BIGINT) AS y FROM s r, LATERAL {STEPS} n")
+@query(f"WITH RECURSIVE s(x, y) AS (SELECT DISTINCT o_custkey % 5, 0 FROM orders UNION SELECT n.x, n.y FROM s r, LATERAL {STEPS} n) SELECT CAST(n.px AS BIGINT) AS px, CAST(n.py AS BIGINT) AS py, CAST(n.x AS BIGINT) AS x, CAST(n.y AS BIGINT) AS y FROM s r, LATERAL {STEPS} n")
 def explore_edges(spark, sf_dir):
-    e = explore(spark, counters()).edges
+    e = explore(spark, counters(), starts=counter_starts(spark, sf_dir)).edges
     return e.select(F.col("pre_s.v0").alias("px"), F.col("pre_s.v1").alias("py"), F.col("post_s.v0").alias("x"), F.col("post_s.v1").alias("y"))
 
 
+def fulfilment():
+    """Each order on its way: its priority can be raised, an open order can be split off or closed, a closed one is final."""
+    v = lambda name, d: {"id": name, "domain": d, "origin": "table", "scope": {"kind": "global"}, "initial": []}
+    t = lambda name, g, e: {"id": name, "cls": "user", "label": {"kind": "click"}, "source": [], "guard": g, "effect": e, "reads": [], "writes": [], "confidence": "exact"}
+    variables = [v("order", {"kind": "boundedInt", "min": 0, "max": 1 << 50}), v("status", {"kind": "enum", "values": ["F", "O", "P"]}), v("priority", {"kind": "boundedInt", "min": 1, "max": 5})]
+    variables[0]["initial"], variables[1]["initial"], variables[2]["initial"] = 0, "O", 5
+    rules = [t("raise", op("neq", read("status"), "F"), put("priority", op("sub", read("priority"), 1))), t("split", op("eq", read("status"), "O"), put("status", "P")), t("close", op("lte", read("priority"), 2), put("status", "F"))]
+    return parse_model({"schemaVersion": 1, "id": "fulfilment", "vars": variables, "transitions": rules, "bounds": {"maxDepth": 12}})
+
+
+@query("""WITH RECURSIVE d(o, st, pr, depth) AS (SELECT o_orderkey, o_orderstatus, CAST(o_orderpriority[1] AS INTEGER), 0 FROM orders
+UNION SELECT r.o, n.st, n.pr, r.depth + 1 FROM d r, LATERAL (SELECT r.st AS st, r.pr - 1 AS pr WHERE r.st <> 'F' AND r.pr > 1 UNION ALL SELECT 'P', r.pr WHERE r.st = 'O' UNION ALL SELECT 'F', r.pr WHERE r.pr <= 2 AND r.st <> 'F') n)
+SELECT o AS order_key, st AS status, CAST(pr AS BIGINT) AS priority, min(depth) AS depth FROM d GROUP BY ALL""")
+def explore_orders(spark, sf_dir):
+    """Every order's own state space at once: layers as wide as the table."""
+    o = table(spark, sf_dir, "orders")
+    starts = o.select(F.col("o_orderkey").alias("order"), F.col("o_orderstatus").alias("status"), F.substring("o_orderpriority", 1, 1).cast("long").alias("priority"))
+    g = explore(spark, fulfilment(), Limits(states=1 << 60, edges=1 << 60, frontier=1 << 60), starts=starts)
+    return g.states.select(F.col("s.v0").alias("order_key"), F.col("s.v1").alias("status"), F.col("s.v2").alias("priority"), "depth")
+
+
 # -- diagnostics, abstraction, monitors, replay
 
 @query(f"SELECT CASE WHEN {QTY} >= 40 THEN 3 WHEN {QTY} >= 25 THEN 2 WHEN {QTY} >= 10 THEN 1 ELSE 0 END AS band, {FLAG} AS flag, count(*) AS n FROM lineitem GROUP BY ALL")
