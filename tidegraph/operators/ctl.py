@@ -1,8 +1,9 @@
 """Temporal (CTL) operators as relational fixpoints over any table of states and any table of edges.
 
 A graph is nodes(key) and edges(pre, post), keys of any scalar type; a state set is a table of keys. Fixpoints are
-semi-naive: each round joins only what the last round added, and is written to the shared folder. Dead ends satisfy AX
-and AF of anything they must (no successor refutes it) and never EG.
+semi-naive: each round joins only what the last round added, and is written to the shared folder. Edges are laid out in
+buckets of their later state, or of their earlier one for searches forward, once for all rounds: a round shuffles what it
+found, not the edges. Dead ends satisfy AX and AF of anything they must (no successor refutes it) and never EG.
 """
 
 from __future__ import annotations
@@ -13,13 +14,26 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.scratch import materialize
+from tidegraph.scratch import in_buckets, materialize
+
+
+def laid(edges: DataFrame, column: str) -> DataFrame:
+    """edges written in as many buckets of a column as shuffles have partitions, a file each."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return in_buckets(edges.repartition(parts, column), column, parts, "edges")
 
 
 class Graph:
     def __init__(self, nodes: DataFrame, edges: DataFrame):
         self.nodes = nodes.select("key").distinct()
         self.edges = edges.select("pre", "post").distinct()
+        self._laid: dict[str, DataFrame] = {}
+
+    def laid_by(self, column: str) -> DataFrame:
+        """The edges in buckets of a column, written once: joins on that column leave them where they lie."""
+        if column not in self._laid:
+            self._laid[column] = laid(self.edges, column)
+        return self._laid[column]
 
     @classmethod
     def stored(cls, nodes: DataFrame, edges: DataFrame) -> Graph:
@@ -43,12 +57,12 @@ class Graph:
     # -- one step
     def before(self, s: DataFrame) -> DataFrame:
         """States with a successor in s."""
-        return self.edges.join(s.withColumnRenamed("key", "post"), "post", "left_semi").select(F.col("pre").alias("key")).distinct()
+        return self.laid_by("post").join(s.withColumnRenamed("key", "post"), "post", "left_semi").select(F.col("pre").alias("key")).distinct()
 
     EX = ex = before
 
     def ax(self, s: DataFrame) -> DataFrame:
-        bad = self.edges.join(s.withColumnRenamed("key", "post"), "post", "left_anti").select(F.col("pre").alias("key")).distinct()
+        bad = self.laid_by("post").join(s.withColumnRenamed("key", "post"), "post", "left_anti").select(F.col("pre").alias("key")).distinct()
         return self.without(bad)
 
     # -- fixpoints
@@ -74,17 +88,28 @@ class Graph:
 
     def eg(self, s: DataFrame) -> DataFrame:
         """Greatest fixpoint: states of s lose their place when their last successor in s has lost it. What remains has
-        an infinite path in s, that is, reaches a cycle. Each round counts only edges into the states just lost."""
+        an infinite path in s, that is, reaches a cycle. A round counts the edges into the states just lost, and writes
+        those counts only; a state is lost once its counts reach its degree."""
         s = materialize(s.select("key").distinct(), "within")
         inside = self.edges.join(s.withColumnRenamed("key", "pre"), "pre", "left_semi").join(s.withColumnRenamed("key", "post"), "post", "left_semi")
-        inside = materialize(inside, "inside")
-        left = materialize(s.join(inside.groupBy(F.col("pre").alias("key")).agg(F.count("*").alias("n")), "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n")), "degrees")
+        inside = laid(inside.select("pre", "post"), "post")
+        degrees = materialize(inside.groupBy(F.col("pre").alias("key")).agg(F.count("*").alias("n")), "degrees")
+        dead, cuts = s.join(degrees, "key", "left_anti"), []
+        lost = dead
         while True:
-            lost = left.where("n = 0").select(F.col("key").alias("post"))
-            if lost.isEmpty():
-                return left.select("key")
-            fewer = inside.join(lost, "post", "left_semi").groupBy(F.col("pre").alias("key")).agg(F.count("*").alias("m"))
-            left = materialize(left.where("n > 0").join(fewer, "key", "left").select("key", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n")), "degrees")
+            cut = inside.join(lost.select(F.col("key").alias("post")), "post", "left_semi").groupBy(F.col("pre").alias("key")).agg(F.count("*").alias("m"))
+            cut = materialize(cut, "cut")
+            if cut.isEmpty():
+                break
+            cuts.append(cut)
+            lost = self._used_up(reduce(DataFrame.unionByName, cuts).join(cut.select("key"), "key", "left_semi"), degrees)
+        if cuts:
+            dead = dead.unionByName(self._used_up(reduce(DataFrame.unionByName, cuts), degrees))
+        return s.join(materialize(dead, "lost"), "key", "left_anti")
+
+    @staticmethod
+    def _used_up(cuts: DataFrame, degrees: DataFrame) -> DataFrame:
+        return cuts.groupBy("key").agg(F.sum("m").alias("m")).join(degrees, "key").where("m = n").select("key")
 
     def af(self, s: DataFrame) -> DataFrame:
         return self.without(self.eg(self.without(s)))
@@ -164,7 +189,7 @@ class Graph:
             last, seen = held[-1], reduce(DataFrame.unionByName, held)
             if goal is not None and not self.both(last, goal).isEmpty():
                 return seen
-            new = self.edges.join(last.withColumnRenamed("key", "pre"), "pre").groupBy(F.col("post").alias("key")).agg((F.min("distance") + 1).alias("distance"))
+            new = self.laid_by("pre").join(last.withColumnRenamed("key", "pre"), "pre").groupBy(F.col("post").alias("key")).agg((F.min("distance") + 1).alias("distance"))
             new = materialize(new.join(seen, "key", "left_anti"), "reached")
             if new.isEmpty():
                 return seen

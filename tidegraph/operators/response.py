@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.operators.ctl import Graph
+from tidegraph.operators.ctl import Graph, laid
 from tidegraph.scratch import materialize
 
 
@@ -23,11 +23,12 @@ def failing(g: Graph, goal: DataFrame, steps: int, order: str = "post") -> DataF
     steps fail with fewer, so once no state is lost between two steps the last one stands for all further ones."""
     misses = materialize(g.without(goal), "misses")
     stuck = misses.join(g.edges.select(F.col("pre").alias("key")), "key", "left_anti")
+    edges = g.laid_by("post") if order in ("pre", "post") else laid(g.edges, "post")
     nothing = F.lit(None).cast(g.edges.schema["post"].dataType)
     last = misses.select("key", nothing.alias("next"))
     out, n = [last.withColumn("left", F.lit(0))], misses.count()
     for left in range(1, steps + 1):
-        moves = g.edges.join(last.select(F.col("key").alias("post")), "post", "left_semi").groupBy(F.col("pre").alias("key")).agg(F.min_by("post", order).alias("next"))
+        moves = edges.join(last.select(F.col("key").alias("post")), "post", "left_semi").groupBy(F.col("pre").alias("key")).agg(F.min_by("post", order).alias("next"))
         last = materialize(moves.join(misses, "key", "left_semi").unionByName(stuck.select("key", nothing.alias("next"))), "failing")
         out.append(last.withColumn("left", F.lit(left)))
         if (m := last.count()) == n:

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.operators.ctl import Graph
+from tidegraph.operators.ctl import Graph, laid
 from tidegraph.scratch import materialize
 
 
@@ -35,7 +35,7 @@ def _trimmed(edges: DataFrame) -> DataFrame:
 def _colours(edges: DataFrame) -> DataFrame:
     """(key, colour) of the states of trimmed edges: the least key that reaches the state, itself included."""
     state = edges.select(F.col("pre").alias("key")).distinct().select("key", F.col("key").alias("colour"), F.lit(True).alias("moved"))
-    state = materialize(state, "colours")
+    state, edges = materialize(state, "colours"), laid(edges, "pre")
     while True:
         sent = edges.join(state.where("moved").select(F.col("key").alias("pre"), "colour"), "pre").groupBy(F.col("post").alias("key")).agg(F.min("colour").alias("m"))
         less = F.coalesce(F.col("m") < F.col("colour"), F.lit(False))
@@ -46,6 +46,7 @@ def _colours(edges: DataFrame) -> DataFrame:
 
 def _confirmed(inside: DataFrame) -> DataFrame:
     """inside(pre, post, colour), edges within colours, to (key, colour) of the states that reach the one of their colour's name."""
+    inside = laid(inside, "post")
     last = materialize(inside.where("pre = colour").select(F.col("pre").alias("key"), "colour").distinct(), "confirmed")
     held = [last]
     while True:

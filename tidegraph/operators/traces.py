@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tidegraph.functions.exprs import Scope, same
 from tidegraph.model import Model
+from tidegraph.operators.ctl import laid
 from tidegraph.operators.explore import Explorer, Graph
 from tidegraph.scratch import materialize
 
@@ -42,7 +43,7 @@ def root_paths(parents: DataFrame, targets: DataFrame) -> DataFrame:
 def forest(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(key, depth, parent) of all states that start(key) reaches over edges(pre, post): fewest steps, and of the states one
     step nearer the least. One round a layer, each written to the shared folder."""
-    kind = edges.schema["pre"].dataType
+    kind, edges = edges.schema["pre"].dataType, laid(edges.select("pre", "post"), "pre")
     held = [materialize(start.select("key").distinct().select("key", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")), "layer")]
     while True:
         last, seen = held[-1], reduce(DataFrame.unionByName, held)
