@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidegraph.functions import abstraction, inference, validation
 from tidegraph.functions.keys import state_key
@@ -15,7 +16,7 @@ from tidegraph.operators.explore import Limits, explore
 from tidegraph.operators.steps import Steps
 from tidegraph.operators.traces import compare_steps, walk_metrics
 from tidegraph.scratch import materialize, new_path
-from tidegraph.sources import observed
+from tidegraph.sources import artifact_format, observed
 from tidegraph.sources.rows import outcomes, row_model, value, with_state
 from tidegraph.streaming import monitor, stateful
 
@@ -316,6 +317,24 @@ def expr_records(spark, sf_dir):
     return s.select("o_orderkey", value(m, is_p).alias("is_tag"), F.when(value(m, is_p), value(m, new).getField("n")).cast("int").alias("bumped"), F.concat(value(m, read("o", "kind")), F.lit("!")).alias("mark"))
 
 
+# -- artifacts
+
+@query("""WITH k AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k,
+row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS n FROM events)
+SELECT event_type AS transition, count(*) AS steps, count(DISTINCT user_id || '|' || day) AS traces, CAST(sum(k) AS BIGINT) AS k, CAST(0 AS BIGINT) AS problems FROM k WHERE n > 1 GROUP BY event_type""")
+def trace_artifacts(spark, sf_dir):
+    """Users' days written as trace documents and read back, with what the steps' states hold."""
+    rows = observed.user_days(table(spark, sf_dir, "events"))
+    state = F.struct(F.col("event_type").alias("type"), F.from_json("props", "k long").getField("k").alias("k"))
+    w = Window.partitionBy("user_id", "day").orderBy("ts", "event_id")
+    steps = rows.select("user_id", "day", "ts", "event_id", F.col("event_type").alias("transition_id"), F.lag(state).over(w).alias("pre"), state.alias("post")).where("pre is not null")
+    path = new_path(spark, "traces")
+    artifact_format.write_traces(steps, ["user_id", "day"], ["ts", "event_id"], path)
+    found = artifact_format.read_artifacts(spark, path, "trace", range=1 << 20)
+    k = F.get_json_object("body", "$.post.k").cast("long")
+    return found.groupBy(F.col("id").alias("transition")).agg(F.count("item").alias("steps"), F.count_distinct("path", "at").alias("traces"), F.sum(k).alias("k"), F.count("problem").alias("problems"))
+
+
 # -- validation and inference
 
 PLACED = {"kind": "record", "fields": {"status": {"kind": "enum", "values": ["F", "O"]}, "priority": {"kind": "enum", "values": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]}, "customer": {"kind": "boundedInt", "min": 10, "max": 1000}, "tags": {"kind": "boundedList", "inner": {"kind": "enum", "values": ["1", "2", "3"]}, "maxLen": 2}}}
