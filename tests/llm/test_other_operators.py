@@ -242,3 +242,48 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     none = docs.where("false")
     for _, stage in p.STAGES:
         assert stage(spark, none, sf).count() == 0
+
+
+def test_pipeline_carries_maps_arrays_and_structs(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows, labels = toxic_rows(120)
+    docs = [(d, t, f"s{d % 2}", {"a": str(d)} if d % 3 else None, [(d, None)], ({"k": d}, "x"), 0.5) for d, t, _ in rows]
+    docs += [docs[1], docs[1], (*docs[1][:3], {"b": "other"}, *docs[1][4:]), (None, None, None, {}, [], None, None)]
+    schema = "doc_id long, text string, source string, `meta data` map<string,string>, features array<struct<x:long,probability:double>>, row struct<m:map<string,long>,score:string>, score double"
+    spark.createDataFrame(docs, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema]
+        count = out.groupBy("doc_id").count().where("doc_id = 1").collect()
+        assert count[0]["count"] == (1 if stage is p.drop_near_duplicates else 4) or stage is p.mix_sources
+    assert p.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_toxicity_keeps_columns_of_any_name(spark):
+    rows, labels = toxic_rows(200)
+    docs = spark.createDataFrame([(i, t, [i], "f", i * 0.5, {"a": i}, "old") for i, t, _ in rows], "doc_id long, text string, x array<int>, features string, probability double, prediction map<string,int>, score string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = toxicity.fit(docs, marks, F.lit(True))(docs)
+    assert out.columns == ["doc_id", "x", "features", "probability", "prediction", "score"] and out.schema["score"].dataType.typeName() == "double"
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(got[i].x == [i] and got[i].prediction == {"a": i} and got[i].probability == i * 0.5 for i, *_ in rows)
+    truth = {d: y for d, _, y in labels}
+    assert sum((r.score >= 0.5) == bool(truth[d]) for d, r in got.items()) >= 0.97 * len(got) and len({r.score for r in got.values()}) >= 2
+    # Fewer than two labels of a kind: nothing to tell apart.
+    few = spark.createDataFrame([(0, 1, 1), (1, 1, 0), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.score for r in toxicity.fit(docs, few, F.lit(True))(docs).collect()} == {0.25}
+    assert {r.score for r in toxicity.fit(docs, few.limit(0), F.lit(True))(docs).collect()} == {0.0}
+    # Two labels of a kind are fitted on like any other number.
+    two = spark.createDataFrame([(i, 1, int(truth[i])) for i in [*[d for d in truth if truth[d]][:2], *[d for d in truth if not truth[d]][:9]]], "doc_id long, quality int, toxic int")
+    assert all(0 <= r.score <= 1 for r in toxicity.fit(docs, two, F.lit(True))(docs).collect())
+
+
+def test_toxicity_of_very_long_and_equal_texts(spark):
+    rows, labels = toxic_rows(200)
+    long = " ".join(["fool you idiot"] * 100_000)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, long), (901, long), (902, "a" * 2_000_000)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True))(docs).collect()}
+    assert len(got) == 203 and got[900] == got[901] and all(0 <= s <= 1 for s in got.values())

@@ -3,29 +3,39 @@
 Features of a whole text: densities of a lexicon's words and stems (plain, and after undoing look-alike characters),
 their nearness to second-person words and their densest stretch, capitals, punctuation and obfuscation rates. The
 lexicon has a short fixed part and a part learnt from labelled rows: words and word beginnings that toxic texts have
-much oftener. Trees and calibration are fitted on rows that the lexicon was not learnt from.
+much oftener.
+
+Everything is cross-fitted, alike at every size. Labelled rows are dealt to FOLDS. A row's features come from a lexicon of
+the other folds, so trees meet lexicons as they meet them on new texts. Trees of the other folds score each row, and one
+isotonic curve is fitted on all these scores. The trees that score documents are fitted on all rows, and their lexicon is
+learnt from all.
 
 The only bound: at most SAMPLE labelled rows are fitted on, those with the smallest hashes of their ids; that bounds the
-lexicon too. Every document is scored. The lexicon, the trees and the curve are fitted on rows of their own, dealt out
-alike at every size.
+lexicon too. Every document is scored, whole, however long.
 
 Nulls: a null text is empty, and empty texts get a score like any other; labels other than 0 and 1 are left out. Of
-repeated labels the highest counts; repeated documents are scored each. An empty table gives no rows. With fewer than
-three labelled documents of either kind nothing is learnt and every score is 0.
+repeated labels the highest counts; repeated documents are scored each, and equal texts get equal scores. An empty table
+gives no rows. With fewer than two labelled documents of either kind there is nothing to tell apart, and every score is the
+share of toxic ones, 0 without any. Columns besides the text come back as they were, whatever they are called; one called
+score gives way to the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.classification import GBTClassifier
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tidegraph.llm.wordtable import slices
@@ -33,8 +43,8 @@ from tidegraph.scratch import materialize
 
 #: Labelled rows to fit on; words that a worker remembers its look at.
 SAMPLE, MEMORY = 20_000, 500_000
-#: The labelled rows of each kind are dealt to PARTS parts by the hash of their ids; what each part is fitted on.
-PARTS, ROLES = 5, {"lexicon": (0, 3), "trees": (1, 4), "curve": (2,)}
+#: The labelled rows of each kind are dealt to so many folds by the hash of their ids.
+FOLDS = 5
 #: Insults, second-person words, look-alike characters.
 INSULTS = frozenset("bastard clown creep cretin degenerate disgusting dumb failure filth fool garbage idiot idiotic imbecile jerk loser lunatic moron moronic pathetic pig psycho rat scum stupid trash vermin worthless".split())
 YOU = frozenset("you your yours yourself yourselves youre u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos ti tuyo usted ustedes vosotros os vuestro".split())
@@ -132,30 +142,44 @@ def with_features(rows: DataFrame, lexicon: frozenset[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, len(part)) for c in keep), lists], [*keep, "x"])
                 at += len(part)
 
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, schema + ", x array<double>")
+    return rows.mapInArrow(run, StructType([*(rows.schema[c] for c in keep), StructField("x", ArrayType(DoubleType()))]))
 
 
-def learn_lexicon(rows: DataFrame, toxic: int, clean: int, odds: float = 12.0, least: int = 3) -> frozenset[str]:
-    """Terms of rows(text, label) that least toxic rows have, and whose document frequency among toxic rows is `odds` times
-    that among clean ones."""
+def learn_lexicons(rows: DataFrame, odds: float = 12.0, least: int = 3) -> list[frozenset[str]]:
+    """Of rows(text, label, fold) the lexicon without each fold, and last the one of all: terms that least toxic rows have,
+    and whose document frequency among toxic rows is `odds` times that among clean ones."""
+    sums = {f: [0, 0] for f in range(FOLDS)}
+    for r in rows.groupBy("fold", "label").count().collect():
+        sums[r.fold][int(r.label)] += r["count"]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: dict[str, list[int]] = {}
+
+        def sent() -> pa.RecordBatch:
+            out = pa.record_batch({"term": pa.array(count, pa.string()), "n": pa.array(list(count.values()), pa.list_(pa.int64()))})
+            count.clear()
+            return out
+
         for b in batches:
-            for t, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
+            for t, y, f in zip(*(b.column(c).to_pylist() for c in ("text", "label", "fold")), strict=True):
                 cores = {w.strip(STRIP).lower() for w in (t or "").split()}
                 for term in {x for c in cores if len(c) > 1 for x in terms_of(c)}:
-                    count.setdefault(term, [0, 0])[int(y)] += 1
+                    count.setdefault(term, [0] * (2 * FOLDS))[2 * f + int(y)] += 1
             if len(count) > 500_000:
-                yield pa.record_batch({"term": pa.array(count), "c": pa.array([v[0] for v in count.values()], pa.int64()), "t": pa.array([v[1] for v in count.values()], pa.int64())})
-                count = {}
+                yield sent()
         if count:
-            yield pa.record_batch({"term": pa.array(count), "c": pa.array([v[0] for v in count.values()], pa.int64()), "t": pa.array([v[1] for v in count.values()], pa.int64())})
+            yield sent()
 
-    found = rows.mapInArrow(partial, "term string, c long, t long").groupBy("term").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-    ratio = (F.col("t") + 0.5) / F.lit(toxic + 1.0) / ((F.col("c") + 0.5) / F.lit(clean + 1.0))
-    return frozenset(r.term for r in found.where((F.col("t") >= least) & (ratio >= odds)).select("term").collect())
+    counted = rows.select("text", "label", "fold").mapInArrow(partial, "term string, n array<long>")
+    found = counted.groupBy("term").agg(*(F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(2 * FOLDS)))
+    chosen = []
+    for left_out in [*range(FOLDS), None]:
+        folds = [f for f in range(FOLDS) if f != left_out]
+        clean, toxic = (sum((F.col(f"n{2 * f + y}") for f in folds), F.lit(0)) for y in (0, 1))
+        ratio = (toxic + 0.5) / (sum(sums[f][1] for f in folds) + 1.0) / ((clean + 0.5) / (sum(sums[f][0] for f in folds) + 1.0))
+        chosen.append((toxic >= least) & (ratio >= odds))
+    terms = found.select("term", F.array(*chosen).alias("in")).where(F.exists("in", lambda x: x)).collect()  # of at most SAMPLE texts
+    return [frozenset(r.term for r in terms if r["in"][i]) for i in range(FOLDS + 1)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = SAMPLE):
@@ -164,25 +188,33 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = SAMPLE
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "labelled")  # `sample` rows of 16 bytes at most
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    parts = rows.select("doc_id", "label").distinct().withColumn("part", F.row_number().over(order) % PARTS)
-    rows = materialize(rows.join(F.broadcast(parts), ["doc_id", "label"]), "labelled")  # as many rows at most
-    counts = {(r.part, r.label): r["count"] for r in rows.groupBy("part", "label").count().collect()}
-    count = lambda role, y: sum(counts.get((p, y), 0) for p in ROLES[role])
-    if not all(count(role, y) for role in ROLES for y in (0.0, 1.0)):
-        return lambda texts: texts.drop("text").withColumn("score", F.lit(0.0))
-    of = lambda df, role: df.where(F.col("part").isin(*ROLES[role]))
-    lexicon = learn_lexicon(of(rows, "lexicon").select("text", "label"), count("lexicon", 1.0), count("lexicon", 0.0))
-    data = materialize(with_features(rows.select("part", "label", "text"), lexicon).coalesce(4), "features").withColumn("features", array_to_vector("x"))
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=16, maxDepth=4, stepSize=0.2, seed=7, cacheNodeIds=False).fit(of(data, "trees").coalesce(4))
-
-    def raw_score(x: DataFrame) -> DataFrame:
+    folds = rows.select("doc_id", "label").distinct().withColumn("fold", F.row_number().over(order) % FOLDS)
+    rows = materialize(rows.join(F.broadcast(folds), ["doc_id", "label"]), "labelled")  # as many rows at most
+    known = {r.label: r["n"] for r in rows.groupBy("label").agg(F.count_distinct("doc_id").alias("n")).collect()}
+    if min(known.get(y, 0) for y in (0.0, 1.0)) < 2:
+        share = known.get(1.0, 0) / max(1, sum(known.values()))
+        return lambda texts: texts.select(*(c for c in texts.columns if c not in ("text", "score")), F.lit(float(share)).alias("score"))
+    *without, lexicon = learn_lexicons(rows)
+    of_fold = [with_features(rows.where(F.col("fold") == f).select("fold", "label", "text"), without[f]) for f in range(FOLDS)]
+    data = materialize(reduce(DataFrame.unionByName, of_fold).coalesce(4), "features").withColumn("features", array_to_vector("x"))
+    grow = GBTClassifier(featuresCol="features", labelCol="label", maxIter=16, maxDepth=4, stepSize=0.2, seed=7, cacheNodeIds=False).fit
+
+    def probability(trees: GBTClassificationModel, x: DataFrame) -> DataFrame:
         return trees.transform(x).withColumn("p", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
-    curve = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="score").fit(raw_score(of(data, "curve")).select("label", "p").coalesce(1))
+    def unseen(f: int) -> DataFrame:
+        return probability(grow(data.where(F.col("fold") != f).coalesce(4)), data.where(F.col("fold") == f)).select("label", "p")
+
+    with ThreadPool(FOLDS + 1) as pool:
+        whole = pool.apply_async(inheritable_thread_target(rows.sparkSession)(lambda: grow(data.coalesce(4))))
+        scored = pool.map(inheritable_thread_target(rows.sparkSession)(unseen), range(FOLDS))
+        trees = whole.get()
+    curve = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="score").fit(reduce(DataFrame.unionByName, scored).coalesce(1))
 
     def apply(texts: DataFrame) -> DataFrame:
-        x = with_features(texts, lexicon).withColumn("features", array_to_vector("x"))
-        out = curve.transform(raw_score(x)).drop("features", "x", "p")
-        return out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")))
+        kept = F.struct(*(F.col(f"`{c}`") for c in texts.columns if c not in ("text", "score")), F.lit(None).cast("string").alias("_")).alias("row")
+        x = with_features(texts.select(kept, "text"), lexicon).withColumn("features", array_to_vector("x"))
+        out = curve.transform(probability(trees, x)).select("row.*", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
+        return out.drop("_")
 
     return apply
