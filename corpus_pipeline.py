@@ -30,14 +30,15 @@ def _key() -> Column:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: one with the smallest id, null ids last. Rows are compared by their
-    texts, so different texts under one id are judged each. Of rows with one id and text one stays, the least. Texts
-    without words are no near-duplicates of anything: one row for each id stays."""
+    texts, so different texts under one id are judged each. Of rows with one id and text one stays, the
+    least as JSON text, so columns of any type may come along, maps too. Texts without words are no
+    near-duplicates of anything: one row for each id stays."""
     found = neardup.near_duplicates(docs.select("doc_id", "text", _key().alias("key")), neardup.Spec(words=5, percent=80), carry=("key",))
     firsts = found.where("first")
     kept = firsts.where("component is not null").groupBy("component").agg(F.min("key").alias("key")).select("key")
     kept = kept.unionByName(firsts.where("component is null").select("key").distinct())
     rows = docs.select(F.struct("*").alias("row"), _key().alias("key")).join(kept, "key", "left_semi")
-    return rows.groupBy("key").agg(F.min("row").alias("row")).select("row.*")
+    return rows.groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
