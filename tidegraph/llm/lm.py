@@ -7,12 +7,14 @@ log10((n + STRENGTH * p) / (c + STRENGTH)) and the failure arc log10(STRENGTH /
 words' probabilities after each history add up to 1. The root has an arc for every word, log10((n + 1) / (N + V + 1)).
 Every pair and triple of the training rows is an arc, however rare; there is no cut-off and no limit.
 
-A text is traversed once from left to right, all texts of a chunk side by side. What a chunk needs of the automaton, the
-counts of its own words, pairs and triples, it gets by two exchanges: it asks for each once at the bucket of its hash,
-where all chunks' counts are added up. Nothing is broadcast, and a pair that is everywhere is asked for once a chunk.
+Texts are traversed once from left to right, many side by side: each carries its state, takes the arc of its next word if
+the state has one, and else adds the failure arc's weight and tries again in the shorter history's state. The part of the
+automaton that some texts can meet, the states and arcs of their own words, pairs and triples, is compiled from counts that
+their chunk gets by two exchanges: it asks for each once at the bucket of its hash, where all chunks' counts are added up.
+Nothing is broadcast, and a pair that is everywhere is asked for once a chunk. A very long text is one traversal, as many
+steps as it has words.
 
-Words are told apart by their bytes. Pairs and triples are known by hashes of SPARE bits more than number all tokens (64
-at most), so about one in 2 ** SPARE shares the counts of another.
+Words are told apart by their bytes, pairs and triples by hashes of 64 bits at every size of the corpus.
 
 Nulls: a null text is empty and has one token, its end; a null in trains trains. Null ids and repeated rows keep their
 rows, and repeated rows count each time. An empty table gives no rows; without training rows every token is unknown
@@ -34,9 +36,9 @@ from tidegraph.scratch import materialize
 
 #: The token at the end of every text; no word holds a line break.
 EOS = b"\n"
-STRENGTH, SPARE = 4.0, 24
-TOGETHER = 1 << 18  # tokens that are weighed at a time
-CHUNK = 18 << 20  # bytes of text in a chunk: the larger, the fewer pairs are asked for again
+STRENGTH = 4.0
+TOGETHER = 1 << 20  # tokens whose texts are traversed side by side; a longer text is traversed alone
+CHUNK = 16 << 20  # bytes of text in a chunk: the larger, the fewer pairs are asked for again
 PAIR, TRIPLE = 2, 3
 OUT = "doc_id long, trains boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -58,8 +60,9 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Chunk:
-    """The texts of a chunk as tokens: word numbers (0 is before the first), training counts, and where texts start."""
+    """The texts of a chunk as tokens: numbers in the chunk, in the corpus (0 is before the first), and training counts."""
 
+    codes: np.ndarray
     ids: np.ndarray
     count: np.ndarray
     sizes: np.ndarray
@@ -75,13 +78,13 @@ class Chunk:
                 got = from_planes(r["body"], "<u8").reshape(2, -1)
                 here = places[at : at + got.shape[1]]
                 word[here], count[here], at = got[0] + np.uint64(1 + (r["bucket"] << 32)), got[1], at + len(here)
-        return cls(word[codes], count[codes], np.array(row["sizes"], np.int64), [r for r in answers if r["kind"] != 1])
+        return cls(codes, word[codes], count[codes], np.array(row["sizes"], np.int64), [r for r in answers if r["kind"] != 1])
 
     @property
     def starts(self) -> np.ndarray:
         return np.cumsum(self.sizes) - self.sizes
 
-    def keys(self, kind: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
         """The places of tokens that end a pair or triple, and the keys of those."""
         before = np.empty_like(self.ids)
         before[1:] = self.ids[:-1]
@@ -91,11 +94,11 @@ class Chunk:
         if kind == TRIPLE:
             inner[self.starts] = False
         at = np.flatnonzero(inner)
-        return at, (pairs if kind == PAIR else joined(pairs[at - 1], self.ids[at])) >> np.uint64(64 - bits)
+        return at, pairs if kind == PAIR else joined(pairs[at - 1], self.ids[at])
 
-    def counts(self, kind: int, bits: int) -> np.ndarray:
+    def counts(self, kind: int) -> np.ndarray:
         """The training count of the pair or triple that each token ends."""
-        at, key = self.keys(kind, bits)
+        at, key = self.keys(kind)
         out = np.zeros(len(self.ids), np.int64)
         if len(at):
             by, new = ordered(key)
@@ -113,20 +116,76 @@ def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by, new
 
 
-def traverse(count: np.ndarray, pairs: np.ndarray, triples: np.ndarray, starts: np.ndarray, tokens: int, words: int, texts: int, strength: float) -> tuple[np.ndarray, np.ndarray]:
-    """The root's weight of each token of some whole texts, and the weight along the arcs taken. count, pairs, triples: of
-    the word, the pair and the triple that each token ends, in a model of so many training tokens, distinct words, texts."""
-    word_seen, pair_seen = np.empty(len(count), np.int64), np.empty(len(count), np.int64)  # occurrences of the histories
-    word_seen[1:], pair_seen[1:] = count[:-1], pairs[:-1]
-    word_seen[starts], pair_seen[starts] = texts, 0
-    p = (count + 1) / (tokens + words + 1)
-    root = np.log10(p)
-    weight = root
-    for n, seen in ((pairs, word_seen), (triples, pair_seen)):  # the states of a word, then those of a pair
-        p = (n + strength * p) / (seen + strength)
-        fails = np.log10(strength / (seen + strength)) + weight
-        weight = np.where(seen == 0, weight, np.where(n > 0, np.log10(p), fails))
-    return root, weight
+@dataclass
+class Automaton:
+    """States (0 is the root): the state of the shorter history and the weight of the failure arc to it. Arcs, ascending by
+    state and word: weight and the state that they lead to; begin is the state before a text."""
+
+    fail: np.ndarray
+    fail_weight: np.ndarray
+    arcs: np.ndarray
+    weight: np.ndarray
+    to: np.ndarray
+    words: int
+    begin: int
+
+    @classmethod
+    def of(cls, cur: np.ndarray, count: np.ndarray, pairs: np.ndarray, triples: np.ndarray, starts: np.ndarray, words: int, tokens: int, vocabulary: int, texts: int, strength: float) -> Automaton:
+        """The states and arcs that some whole texts can meet. cur: their words' numbers, from 1 to words - 1; count, pairs,
+        triples: training counts of the word, pair and triple that each token ends."""
+        prev = np.empty_like(cur)
+        prev[1:] = cur[:-1]
+        prev[starts] = 0
+        seen, at = np.unique(cur, return_index=True)
+        total = np.zeros(words, np.int64)  # of words as histories; 0 is the history before a text
+        total[seen], total[0] = count[at], texts
+        p1 = np.zeros(words)
+        p1[seen] = (count[at] + 1) / (tokens + vocabulary + 1)
+        state = np.where(total > 0, np.arange(words) + 1, 0)
+        some = np.flatnonzero(pairs > 0)
+        pair, at = np.unique(prev[some] * words + cur[some], return_index=True)
+        n2, a, b = pairs[some[at]], pair // words, pair % words
+        p2 = (n2 + strength * p1[b]) / (total[a] + strength)
+        some = np.flatnonzero(triples > 0)
+        here = np.searchsorted(pair, prev[some] * words + cur[some])
+        source = words + 1 + np.searchsorted(pair, prev[some - 1] * words + prev[some])
+        triple, at = np.unique(source * words + cur[some], return_index=True)
+        n3, here, source = triples[some[at]], here[at], source[at]
+        p3 = (n3 + strength * p2[here]) / (n2[source - words - 1] + strength)
+        totals = np.concatenate([[0], total, n2])
+        return cls(
+            np.concatenate([np.zeros(words + 1, np.int64), state[b]]),
+            np.log10(strength / (totals + strength)),
+            np.concatenate([seen, (a + 1) * words + b, triple, [np.iinfo(np.int64).max]]),
+            np.log10(np.concatenate([p1[seen], p2, p3])),
+            np.concatenate([state[seen], words + 1 + np.arange(len(pair)), words + 1 + here]),
+            words,
+            int(state[0]),
+        )
+
+    def run(self, cur: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The weight along each text's arcs."""
+        by = np.argsort(-sizes, kind="stable")
+        first, long = starts[by], sizes[by]
+        state, out = np.full(len(by), self.begin, np.int64), np.zeros(len(by))
+        active = np.searchsorted(-long, -np.arange(int(long[0]) if len(long) else 0), side="left")
+        for step, k in enumerate(active.tolist()):
+            word, here = cur[first[:k] + step], state[:k]
+            key = here * self.words + word
+            arc = np.searchsorted(self.arcs, key)
+            missed = np.flatnonzero(self.arcs[arc] != key)
+            while len(missed):  # the root has an arc for every word
+                out[missed] += self.fail_weight[here[missed]]
+                here[missed] = self.fail[here[missed]]
+                key = here[missed] * self.words + word[missed]
+                found = np.searchsorted(self.arcs, key)
+                arc[missed] = found
+                missed = missed[self.arcs[found] != key]
+            out[:k] += self.weight[arc]
+            state[:k] = self.to[arc]
+        weight = np.empty(len(by))
+        weight[by] = out
+        return weight
 
 
 def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", strength: float = STRENGTH) -> DataFrame:
@@ -152,23 +211,25 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     asked = to_buckets(table.select("chunk", F.inline("requests")), buckets, "chunk")
     words = materialize(asked.mapInArrow(count_words, "chunk long, kind int, bucket int, body binary, tokens long, words long"), "words")
     seen = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    size = table.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)), F.sum(F.size(F.filter("trains", lambda x: x)))).first()
-    tokens, distinct, texts = seen[0], seen[1], size[1] or 0
-    bits = min(64, (size[0] or 0).bit_length() + SPARE)
-    edges = np.array([(i << bits) // buckets for i in range(1, buckets)], np.uint64)  # of the buckets of keys
+    size = table.agg(F.sum(F.size(F.filter("trains", lambda x: x)))).first()
+    tokens, distinct, texts = seen[0], seen[1], size[0] or 0
+
+    def edges() -> np.ndarray:
+        """Where the buckets of keys begin, but for the first."""
+        return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             number, chunk = row["chunk"], Chunk.of(row)
             learnt = np.repeat(np.array(row["trains"], bool), chunk.sizes).astype(np.int64)
             for kind in (PAIR, TRIPLE):
-                at, key = chunk.keys(kind, bits)
+                at, key = chunk.keys(kind)
                 if not len(at):
                     continue
                 by, new = ordered(key)
                 first = np.flatnonzero(new)
                 key, n = key[by[first]], np.add.reduceat(learnt[at[by]], first).astype("<u4")
-                cuts = [0, *np.searchsorted(key, edges).tolist(), len(key)]
+                cuts = [0, *np.searchsorted(key, edges()).tolist(), len(key)]
                 some = [(b, s, e) for b, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if s < e]
                 cols = ([b for b, *_ in some], [e - s for _, s, e in some], [planes(np.diff(key[s:e], prepend=np.uint64(0))) for _, s, e in some], [planes(n[s:e]) for _, s, e in some])
                 k = len(some)
@@ -189,14 +250,18 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             chunk = Chunk.of(row)
-            pairs, triples = chunk.counts(PAIR, bits), chunk.counts(TRIPLE, bits)
+            pairs, triples = chunk.counts(PAIR), chunk.counts(TRIPLE)
+            chunk.answers.clear()
             ends = np.cumsum(chunk.sizes)
             cuts = np.unique([0, *np.searchsorted(ends, np.arange(TOGETHER, ends[-1], TOGETHER)).tolist(), len(ends)]).tolist()
             for a, b in zip(cuts, cuts[1:], strict=False):
                 sizes = chunk.sizes[a:b]
                 own, starts = slice(ends[a] - sizes[0], ends[b - 1]), np.cumsum(sizes) - sizes
-                root, weight = traverse(chunk.count[own], pairs[own], triples[own], starts, tokens, distinct, texts, strength)
-                sums = [np.add.reduceat(v, starts) for v in ((chunk.count[own] > 0).astype(np.int64), root, weight)]
+                table, cur = np.unique(chunk.codes[own], return_inverse=True)
+                cur = cur.astype(np.int64) + 1
+                model = Automaton.of(cur, chunk.count[own], pairs[own], triples[own], starts, len(table) + 1, tokens, distinct, texts, strength)
+                base = np.log10((chunk.count[own] + 1) / (tokens + distinct + 1))
+                sums = [*(np.add.reduceat(v, starts) for v in ((chunk.count[own] > 0).astype(np.int64), base)), model.run(cur, starts, sizes)]
                 yield pa.record_batch({"doc_id": pa.array(row["doc_id"][a:b], pa.int64()), "trains": pa.array(row["trains"][a:b], pa.bool_()), "n_tokens": pa.array(sizes), "n_known": pa.array(sums[0]), "train_tokens": pa.array(np.full(len(sizes), tokens)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
 
     asked = with_answers(table, words, buckets).mapInArrow(ask, "bucket int, kind int, chunk long, n int, keys binary, counts binary")
