@@ -189,7 +189,7 @@ def _stretches(docs: DataFrame, spec: Spec, shards: int, parts: int, spread: np.
                 start, place, doc = w.start[ok], w.at[ok], w.doc[ok]
                 anchor = w.phrases[place].view(np.int64)
                 alone, wide = np.isin(anchor, split), np.isin(anchor, spread)
-                new = np.concatenate([[True], (place[1:] != place[:-1]) | alone[1:]])[: len(place)]
+                new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1) | alone[1:]])[: len(place)]
                 lo = np.flatnonzero(new)
                 hi = np.concatenate([lo[1:], [len(place)]])[: len(lo)]
                 whole = rolled(w.hashes, n).view(np.int64) if len(lo) else place
@@ -325,10 +325,12 @@ def remove_repeats(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     marked = materialize(reps.select("z", "doc_id", "d", "raw").join(given, "d").select("z", "doc_id", "d", "raw", "anchors"), "marked")
     place = F.struct("z", "doc_id", "d", "start")
     known = _windows(marked, spec).groupBy("anchor", "hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    known = materialize(known, "windows")
-    counts = anchors.where(F.col("all") > limit).select("anchor").distinct().join(known.select("anchor", "hash"), "anchor", "left").groupBy("anchor").agg(F.count("hash").alias("k")).collect()
-    spread, split = (np.array([r.anchor for r in counts if (r.k <= FEW) == few], np.int64) for few in (True, False))
-    busy = frozenset(r[0] for r in known.where(F.col("n") > limit).select("hash").collect())
+    # Of anchors and windows only the very frequent ones are looked at again.
+    frequent = [r[0] for r in anchors.where(F.col("all") > limit).select("anchor").distinct().collect()]
+    known = materialize(known.select(F.when(F.col("anchor").isin(frequent), F.col("anchor")).alias("anchor"), F.when(F.col("n") > limit, F.col("hash")).alias("hash"), "first"), "windows")
+    few = {r.anchor: r["count"] <= FEW for r in known.where("anchor is not null").groupBy("anchor").count().collect()}
+    spread, split = (np.array([k for k in frequent if few.get(k, True) == x], np.int64) for x in (True, False))
+    busy = frozenset(r[0] for r in known.where("hash is not null").select("hash").collect())
     shards = max(parts, known.count() // SHARD)
 
     firsts = known.groupBy("first.z", "first.doc_id", "first.d").agg(F.collect_list("first.start").alias("firsts"))
