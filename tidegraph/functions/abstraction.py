@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.functions import domains as dom
@@ -74,3 +74,18 @@ def reduction(name: str, domain: dict) -> dict | None:
 def refined(domain: dict, assigned: Sequence[str]) -> dict:
     """A token domain of which only literals are ever assigned becomes their enumeration."""
     return {"kind": "enum", "values": sorted(set(assigned))} if domain["kind"] == "tokens" and assigned else domain
+
+
+def witnesses(rows: DataFrame, classes: dict[str, Column], order: Sequence[str]) -> DataFrame:
+    """(classes..., n, witness): for each combination of abstract classes that rows show, how many rows it has and one of
+    them, the first by the columns order. One shuffle, after each task has kept its own first rows."""
+    kept = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    found = rows.select(kept.alias("row"), *(c.alias(k) for k, c in classes.items()))
+    first = F.min_by("row", F.struct(*(F.col(f"row.`{c}`") for c in order)))
+    return found.groupBy(*classes).agg(F.count("*").alias("n"), first.alias("witness"))
+
+
+def unfaithful(found: DataFrame, classes: dict[str, Column]) -> DataFrame:
+    """The rows of witnesses() whose witness is not of the class that it stands for."""
+    again = found.select(F.struct(*classes).alias("of"), "witness").select("of", "witness.*").select("of", *(c.alias(k) for k, c in classes.items()))
+    return again.where(~F.struct(*classes).eqNullSafe(F.col("of")))

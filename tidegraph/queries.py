@@ -16,7 +16,7 @@ from tidegraph.operators.explore import Limits, explore
 from tidegraph.operators.steps import Steps
 from tidegraph.operators.traces import compare_steps, walk_metrics
 from tidegraph.scratch import materialize, new_path
-from tidegraph.sources import artifact_format, observed
+from tidegraph.sources import artifact_format, digests, observed
 from tidegraph.sources.rows import outcomes, row_model, value, with_state
 from tidegraph.streaming import monitor, stateful
 
@@ -514,6 +514,31 @@ def abstract_interval(spark, sf_dir):
     return li.groupBy(abstraction.interval(F.col("l_quantity"), [10, 25, 40]).alias("band"), F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT CASE WHEN {QTY} >= 40 THEN 3 WHEN {QTY} >= 25 THEN 2 WHEN {QTY} >= 10 THEN 1 ELSE 0 END AS band, {FLAG} AS flag, count(*) AS n, CAST(min(l_orderkey) AS BIGINT) AS order_key, CAST(arg_min(l_linenumber, l_orderkey * 100 + l_linenumber) AS INTEGER) AS line, arg_min({QTY}, l_orderkey * 100 + l_linenumber) AS quantity, true AS faithful FROM lineitem GROUP BY ALL")
+def abstract_witnesses(spark, sf_dir):
+    """One line for each abstract class, and whether it is of that class."""
+    classes = {"band": abstraction.interval(F.col("l_quantity"), [10, 25, 40]), "flag": F.col("l_returnflag")}
+    found = abstraction.witnesses(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), classes, ["l_orderkey", "l_linenumber"])
+    bad = abstraction.unfaithful(found, classes).select("of.*", F.lit(False).alias("ok"))
+    w = F.col("witness")
+    return found.join(bad, list(classes), "left").select("band", "flag", "n", w.l_orderkey.cast("long").alias("order_key"), w.l_linenumber.cast("int").alias("line"), w.l_quantity.cast("long").alias("quantity"), F.coalesce("ok", F.lit(True)).alias("faithful"))
+
+
+def digest_sql(name: str, columns: str) -> str:
+    """The digest of text and whole-number columns."""
+    text = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in sorted(columns.split(",")))
+    return f"SELECT '{name}' AS name, count(*) AS rows, md5('{','.join(sorted(columns.split(',')))}|' || count(*) || '|' || coalesce(sum(h), 0) || '|' || coalesce(bit_xor(h), 0)) AS digest FROM (SELECT CAST('0x' || md5({text})[1:15] AS BIGINT) AS h FROM {name})"
+
+
+DIGESTED = {"orders": "o_orderkey,o_custkey,o_orderstatus,o_orderpriority", "events": "event_id,user_id,event_type,props", "nation": "n_nationkey,n_name,n_regionkey"}
+
+
+@query(" UNION ALL ".join(digest_sql(k, c) for k, c in DIGESTED.items()))
+def table_digests(spark, sf_dir):
+    """What a manifest of inputs holds: digests that neither order nor partitions change."""
+    return reduce(DataFrame.unionByName, (digests.digest(table(spark, sf_dir, k).repartition(5), k, c.split(",")) for k, c in DIGESTED.items()))
+
+
 @query("WITH c AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id) SELECT least(n, 13) AS errors, count(*) AS users FROM c GROUP BY ALL")
 def abstract_saturation(spark, sf_dir):
     c = table(spark, sf_dir, "events").where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("n"))
