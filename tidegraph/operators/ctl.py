@@ -42,6 +42,14 @@ class Graph:
         g.nodes, g.edges = materialize(g.nodes, "nodes"), materialize(g.edges, "edges")
         return g
 
+    @classmethod
+    def of_edges(cls, edges: DataFrame) -> Graph:
+        """A graph of the states that edges show: edges are worked out and written once, and the states read from them."""
+        stored = materialize(edges.select("pre", "post").distinct(), "edges")
+        g = cls(stored.select(F.explode(F.array("pre", "post")).alias("key")), stored)
+        g.nodes, g.edges = materialize(g.nodes, "nodes"), stored
+        return g
+
     # -- boolean connectives
     def without(self, a: DataFrame) -> DataFrame:
         return self.nodes.join(a, "key", "left_anti")

@@ -62,7 +62,7 @@ p AS (SELECT key FROM nodes WHERE key LIKE '%|purchase'), ne AS (SELECT key FROM
 
 
 def event_graph(spark: SparkSession, sf_dir: str) -> ctl.Graph:
-    return ctl.Graph.stored(*observed.event_graph(table(spark, sf_dir, "events")))
+    return ctl.Graph.of_edges(observed.event_graph(table(spark, sf_dir, "events"))[1])
 
 
 def kind_is(g: ctl.Graph, kind: str) -> DataFrame:
@@ -194,7 +194,7 @@ edges AS (SELECT DISTINCT pre, post FROM os WHERE pre IS NOT NULL AND pre <> pos
 SELECT key, scc, size FROM (SELECT key, scc, count(*) OVER (PARTITION BY scc) AS size FROM c) WHERE size > 1""")
 def scc_cyclic(spark, sf_dir):
     """Order states that a customer can come back to within a year."""
-    return scc.non_trivial(ctl.Graph.stored(*observed.status_graph(table(spark, sf_dir, "orders"))))
+    return scc.non_trivial(ctl.Graph.of_edges(observed.status_graph(table(spark, sf_dir, "orders"))[1]))
 
 
 ORDER_GRAPH = """ok AS (SELECT o_custkey, strftime(o_orderdate, '%Y') AS y, o_orderdate, o_orderkey, o_custkey || '|' || strftime(o_orderdate, '%Y') || '|' || o_orderstatus || '|' || o_orderpriority AS post FROM orders),
