@@ -116,6 +116,30 @@ def test_hot_keys_are_spread(spark, monkeypatch):
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, big.join(small, "k", how).collect()), key=repr)
 
 
+def test_roots_of_a_forest(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT", 10)
+    way = [(i, i - 1) for i in range(1, 101)] + [(i, 1000) for i in range(1001, 1200)] + [(2000, 1199)]
+    got = components.roots(spark.createDataFrame(way, "a long, b long"))
+    assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(101)} | {(i, 1000) for i in [*range(1000, 1200), 2000]}
+    assert components.roots(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_near_duplicates_of_two_large_chained_groups(spark):
+    """Two groups with a common passage, each a chain of edits whose ends are far apart, in tiles of the size they have in
+    use; texts that share the passage alone stay apart."""
+    page = [f"p{i}" for i in range(40)]
+    docs = []
+    for g in range(2):
+        words = page + [f"g{g}w{i}" for i in range(60)]
+        for step in range(330):
+            words = words[:]
+            words[40 + step % 60] = f"g{g}s{step}"
+            docs.append((1000 * g + step, " ".join(words)))
+    docs += [(5000 + i, " ".join(page[:20] + [f"o{i}x{j}" for j in range(20)])) for i in range(50)]
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), neardup.Spec(words=3, percent=85)))
+    assert {d: r.component_id for d, r in got.items()} == {d: 0 if d < 1000 else 1000 if d < 5000 else d for d, _ in docs}
+
+
 @pytest.mark.parametrize("words, percent", [(3, 85), (5, 80)])
 def test_no_link_of_the_fixture_is_missed(spark, words, percent):
     """All pairs at and above the threshold, found by brute force, are in one component each."""

@@ -1,4 +1,5 @@
-"""Connected components of a table of links by alternating large-star and small-star rounds, and joins on hot keys."""
+"""Connected components of a table of links by alternating large-star and small-star rounds, roots of forests by pointer
+doubling, and joins on hot keys."""
 
 from __future__ import annotations
 
@@ -45,7 +46,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, "links")
     mark = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-    while True:
+    while mark.n:
+        edges = edges.coalesce(1) if mark.n <= HOT else edges  # so few links need no shuffle
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = with_least(both, 2 * mark.n).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
         large = materialize(large, "large") if mark.n > HOT else large
@@ -57,3 +59,19 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
     stars = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """components() of links(a, b) where each a has one link, to a smaller b, by pointer doubling: in each round a node takes
+    over its target's target. The rounds grow with the logarithm of the longest way; each is written to the shared folder."""
+    at, n = links.select("a", "b"), links.count()
+    while n:
+        hot = hot_keys(at.groupBy("b").agg(F.count("*").alias("n")), "b", n)
+        ups = at.select(F.col("a").alias("b"), F.col("b").alias("up"))
+        at = join_spread(at, ups, "b", "a", hot, "left").select("a", F.coalesce("up", "b").alias("b"), F.col("up").isNotNull().alias("moved"))
+        at = materialize(at, "roots")
+        if at.where("moved").isEmpty():
+            break
+        at = at.drop("moved")
+    stars = at.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -7,10 +7,11 @@
    once in a million.
 3. In each bucket every class is a candidate with the bucket's smallest class. The best of a class's candidates by
    sketch is checked on the full sets.
-4. Buckets whose classes are not in one component by then are clustered. In a cluster, classes outside the largest
-   component are compared with all classes of the cluster in tiles of bounded size: sketches first, then full sets of
-   plausible pairs that are not connected yet. So no pair that shares a bucket and passes the threshold stays apart,
-   and no task sees a whole group.
+4. In a bucket whose classes are not in one component by then, classes outside the bucket's largest component are compared
+   with all of its classes in tiles of bounded size. Tiles of sketches tell which classes have a plausible partner in
+   another component; only these come again, with their full sets, and are compared until connected. So no pair that
+   shares a bucket and passes the threshold stays apart, and no task sees a whole group. Of buckets that hold the same
+   classes (by 128 bits) one is looked at.
 
 A class is known by its smallest id and its set together, so texts of one id are classes of their own. The rows of a node
 with very many links, and of a set with very many copies, are spread over all tasks.
@@ -23,7 +24,7 @@ Rows with one id and different texts are compared each. An empty table gives no
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.components import components, hot_keys, join_spread
+from tidegraph.llm.components import components, hot_keys, join_spread, roots
 from tidegraph.llm.wordtable import slices, split_blanks
 from tidegraph.scratch import materialize
 
@@ -239,18 +240,72 @@ def _checked(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
-def _tiles(rows: DataFrame, spec: Spec, parts: int) -> DataFrame:
-    """rows(slot, cluster, mb, rb, rest, rep, comp, sketch, shingles) to links(a, b) between components, tile by tile."""
+def _by_tile(rows: DataFrame, look: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """look() at each tile of rows(key, mb, rb, ...), a task's tiles one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            table = table.combine_chunks()
+            at = [table.column(c).to_numpy() for c in ("key", "mb", "rb")]
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1
+            for i, j in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False):
+                yield look(table.slice(i, j - i))
+            held = table.slice(int(cuts[-1])) if len(cuts) else table
+        if held is not None and len(held):
+            yield look(held)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: list[pa.RecordBatch] = []
+        for b in run(batches):
+            if len(b):
+                some.append(b)
+            if len(some) == 64:
+                yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+                some = []
+        if some:
+            yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key", "mb", "rb").sortWithinPartitions("key", "mb", "rb").mapInArrow(joined, schema)
+
+
+def _near(tile: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a tile the places of its rest and of its members, their components as numbers, and the flips of each such pair;
+    flips of pairs within a component, or of too many flips, are -1."""
+    rest = tile.column("rest").to_numpy()
+    r, m = np.flatnonzero(rest), np.flatnonzero(~rest)
+    comp = tile.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+    sketch = tile.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(tile), -1)
+    flips = np.zeros((len(r), len(m)), np.int64)
+    for i in range(sketch.shape[1]):
+        flips += np.bitwise_count(sketch[r, i][:, None] ^ sketch[m, i][None, :])
+    flips[(flips > most) | (comp[r][:, None] == comp[m][None, :])] = -1
+    return r, m, comp[r], comp[m], flips
+
+
+def _plausible(rows: DataFrame, spec: Spec) -> DataFrame:
+    """The rows(key, mb, rb, rest, rep, comp, sketch) that have a plausible partner in another component within their tile."""
+    most = spec.most_flips
+
+    def look(tile: pa.Table) -> pa.RecordBatch:
+        r, m, _, _, flips = _near(tile, most)
+        near = flips >= 0
+        at = np.sort(np.concatenate([r[near.any(axis=1)], m[near.any(axis=0)]]))
+        return pa.RecordBatch.from_arrays([c.combine_chunks().take(pa.array(at)) for c in tile.columns], schema=tile.schema)
+
+    return _by_tile(rows, look, "key long, mb int, rb int, rest boolean, rep binary, comp binary, sketch array<long>")
+
+
+def _links(rows: DataFrame, spec: Spec) -> DataFrame:
+    """The same rows with shingles, the full sets, to the links(a, b) between components, each confirmed on two full sets."""
     most, percent = spec.most_flips, spec.percent
 
-    def links(tile: list[dict]) -> tuple[list[bytes], list[bytes]]:
-        rest, all_ = [r for r in tile if r["rest"]], [r for r in tile if not r["rest"]]
-        if not rest or not all_:
-            return [], []
-        sketch = np.array([r["sketch"] for r in all_], np.int64).view(np.uint64)
-        number: dict[bytes, int] = {}
-        of = lambda key: number.setdefault(key, len(number))
-        comp, rep = np.array([of(r["comp"]) for r in all_]), np.array([of(r["rep"]) for r in all_])
+    def look(tile: pa.Table) -> pa.RecordBatch:
+        r, m, rc, mc, flips = _near(tile, most)
+        comp, sets = tile.column("comp"), tile.column("shingles")
+        full = [np.frombuffer(s.as_buffer(), np.uint64) for s in sets]
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -259,31 +314,17 @@ def _tiles(rows: DataFrame, spec: Spec, parts: int) -> DataFrame:
             return x
 
         a, b = [], []
-        for r in rest:
-            flips = np.bitwise_count(sketch ^ np.array(r["sketch"], np.int64).view(np.uint64)[None, :]).sum(axis=1)
-            near = np.flatnonzero((flips <= most) & (comp != of(r["comp"])) & (rep != of(r["rep"])))
-            own = np.frombuffer(r["shingles"], np.uint64)
-            for i in near[np.argsort(flips[near], kind="stable")].tolist():
-                u, v = find(of(r["comp"])), find(int(comp[i]))
-                if u != v and similar(own, np.frombuffer(all_[i]["shingles"], np.uint64), percent):
+        for i in range(len(r)):
+            near = np.flatnonzero(flips[i] >= 0)
+            for j in near[np.argsort(flips[i][near], kind="stable")].tolist():
+                u, v = find(int(rc[i])), find(int(mc[j]))
+                if u != v and similar(full[r[i]], full[m[j]], percent):
                     root[u] = v
-                    a.append(r["rep"])
-                    b.append(all_[i]["rep"])
-        return a, b
+                    a.append(comp[int(r[i])].as_py())
+                    b.append(comp[int(m[j])].as_py())
+        return pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tile = None, []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if (here := (r["cluster"], r["mb"], r["rb"])) != at:
-                    a, b = links(tile)
-                    yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-                    at, tile = here, []
-                tile.append(r)
-        a, b = links(tile)
-        yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return rows.repartition(parts, "cluster", "mb", "rb").sortWithinPartitions("cluster", "mb", "rb").mapInArrow(run, "a binary, b binary")
+    return _by_tile(rows, look, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -299,9 +340,12 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id"
     classes = materialize(classes.select("set_id", rep_column(F.col("doc_id"), F.col("set_id")).alias("rep"), "m.bands", "m.sketch"), "classes")
 
     buckets = classes.select("rep", F.explode("bands").alias("key"))
-    leaders = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last")
-    stars = materialize(buckets.join(leaders.select("key", "leader"), "key").select("key", "rep", "leader"), "stars")
-    sets = materialize(candidate_sets(raw, stars.select("rep").distinct(), spec).groupBy("rep").agg(F.first("shingles").alias("shingles")), "sets")
+    leaders = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count("*").alias("n")).where("leader <> last")
+    leaders = materialize(leaders.select("key", "leader", "n"), "leaders")
+    hot = hot_keys(leaders, "key", classes.count() * spec.bands)
+    stars = materialize(join_spread(buckets, leaders.drop("n"), "key", "rep", hot).select("key", "rep", "leader"), "stars")
+    shared = materialize(stars.select("rep").distinct(), "shared")
+    sets = materialize(candidate_sets(raw, shared, spec).groupBy("rep").agg(F.first("shingles").alias("shingles")), "sets")
 
     sketches = classes.select("rep", "sketch")
     pairs = materialize(stars.where("rep <> leader").select("rep", "leader").distinct(), "pairs")
@@ -312,29 +356,31 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id"
     best = best.groupBy("rep").agg(F.min_by("leader", F.struct("flips", "leader")).alias("leader"))
     first = materialize(_checked(best.select(F.col("rep").alias("a"), F.col("leader").alias("b")), sets, spec), "links")
 
-    found = components(first)
-    placed = stars.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    placed = materialize(placed.select("key", "rep", "leader", "comp"), "placed")
-    apart = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    open_ = materialize(placed.join(apart, "key", "left_semi").select("rep", "leader", "comp").distinct(), "open")
-    clusters = components(open_.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-    member = open_.select("rep", "comp").distinct().join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
-    member = materialize(member, "members")
-    sizes = member.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("cluster").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("main"))
-    sizes = sizes.select("cluster", "all", F.ceil(F.col("all") / TILE).cast("int").alias("mbs"), F.ceil((F.col("all") - F.col("main.n")) / TILE).cast("int").alias("rbs"), F.col("main.comp").alias("main"))
+    found = roots(first)
+    placed = stars.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = materialize(placed, "placed")
+    names = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), *names)
+    sizes = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("main"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
+    sizes = sizes.where(F.col("all") > F.col("main.n")).groupBy("all", "x0", "x1").agg(F.min(F.struct("key", "main")).alias("one"))  # buckets of the same classes
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    sizes = sizes.select("one.key", "all", F.col("one.main.comp").alias("main"), tiles(F.col("all")).alias("mbs"), tiles(F.col("all") - F.col("one.main.n")).alias("rbs"))
     sizes = materialize(sizes, "sizes")
-    hot = hot_keys(sizes.select("cluster", F.col("all").alias("n")), "cluster", member.count())
-    rows = join_spread(member, sizes.drop("all"), "cluster", "rep", hot).join(sketches, "rep").join(sets, "rep")
+    hot = hot_keys(sizes.select("key", F.col("all").alias("n")), "key", placed.count())
+    rows = join_spread(placed, sizes.drop("all"), "key", "rep", hot).join(sketches, "rep")
     spread = F.xxhash64("rep")
     as_member = rows.withColumns({"mb": F.pmod(spread, F.col("mbs")).cast("int"), "rb": F.explode(F.sequence(F.lit(0), F.col("rbs") - 1)), "rest": F.lit(False)})
     as_rest = rows.where("comp <> main").withColumns({"rb": F.pmod(spread, F.col("rbs")).cast("int"), "mb": F.explode(F.sequence(F.lit(0), F.col("mbs") - 1)), "rest": F.lit(True)})
-    columns = ["cluster", "mb", "rb", "rest", "rep", "comp", "sketch", "shingles"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    second = materialize(_tiles(as_member.select(columns).unionByName(as_rest.select(columns)), spec, parts), "links")
-
-    final = components(first.unionByName(second)).select(F.col("node").alias("rep"), "component")
-    of_class = classes.select("set_id", "rep").join(final, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
+    columns = ["key", "mb", "rb", "rest", "rep", "comp", "sketch"]
+    plausible = materialize(_plausible(as_member.select(columns).unionByName(as_rest.select(columns)), spec), "plausible")
+    second = materialize(_links(plausible.join(sets, "rep").select(*columns, "shingles"), spec), "links")
+
+    of_class = classes.select("set_id", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
+    if not second.isEmpty():
+        of_class = materialize(of_class, "of_class")
+        merged = components(second).select(F.col("node").alias("component"), F.col("component").alias("all"))
+        hot = hot_keys(of_class.groupBy("component").agg(F.count("*").alias("n")), "component", of_class.count())
+        of_class = join_spread(of_class, merged, "component", "set_id", hot, "left").select("set_id", F.coalesce("all", "component").alias("component"))
     copies = signed.groupBy("set_id").agg(F.count("*").alias("n"))
     out = signed.select("doc_id", *carry, "n_shingles", "set_id")
     out = join_spread(out.withColumn("spread", F.monotonically_increasing_id()), of_class, "set_id", "spread", hot_keys(copies, "set_id", signed.count()), "left")
