@@ -10,14 +10,14 @@ the other folds, so trees meet lexicons as they meet them on new texts. Trees of
 isotonic curve is fitted on all these scores. The trees that score documents are fitted on all rows, and their lexicon is
 learnt from all.
 
-The only bound: at most SAMPLE labelled rows are fitted on, those with the smallest hashes of their ids; that bounds the
-lexicon too. Every document is scored, whole, however long.
+The only bound: at most SAMPLE labelled documents are fitted on, those with the smallest hashes of their ids, one text
+of each; that bounds the lexicon too. Every document is scored, whole, however long.
 
 Nulls: a null text is empty, and empty texts get a score like any other; labels other than 0 and 1 are left out. Of
-repeated labels the highest counts; repeated documents are scored each, and equal texts get equal scores. An empty table
-gives no rows. With fewer than two labelled documents of either kind there is nothing to tell apart, and every score is the
-share of toxic ones, 0 without any. Columns besides the text come back as they were, whatever they are called; one called
-score gives way to the result.
+repeated labels the highest counts, of different texts under one id one is learnt from. Repeated documents are scored each,
+and equal texts get equal scores. An empty table gives no rows. With fewer than two labelled documents of either kind there
+is nothing to tell apart, and every score is the share of toxic ones, 0 without any. Columns besides the text come back as
+they were, whatever they are called; one called score gives way to the result.
 """
 
 from __future__ import annotations
@@ -43,8 +43,9 @@ from tidegraph.scratch import materialize
 
 #: Labelled rows to fit on; words that a worker remembers its look at.
 SAMPLE, MEMORY = 20_000, 500_000
-#: The labelled rows of each kind are dealt to so many folds by the hash of their ids.
-FOLDS = 5
+#: The labelled rows of each kind are dealt to so many folds by the hash of their ids; so many fits run at once, as each
+#: job leaves the driver some 8 MB of broadcast blocks to collect.
+FOLDS, AT_ONCE = 5, 2
 #: Insults, second-person words, look-alike characters.
 INSULTS = frozenset("bastard clown creep cretin degenerate disgusting dumb failure filth fool garbage idiot idiotic imbecile jerk loser lunatic moron moronic pathetic pig psycho rat scum stupid trash vermin worthless".split())
 YOU = frozenset("you your yours yourself yourselves youre u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos ti tuyo usted ustedes vosotros os vuestro".split())
@@ -186,7 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = SAMPLE
     """A function from rows(..., text) to rows(..., score). learns: which labelled rows, by doc_id, may be learnt from."""
     picked = labels.where(learns & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "labelled")  # `sample` rows of 16 bytes at most
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")  # `sample` rows of 16 bytes at most
+    rows = materialize(rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), "labelled")
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     folds = rows.select("doc_id", "label").distinct().withColumn("fold", F.row_number().over(order) % FOLDS)
     rows = materialize(rows.join(F.broadcast(folds), ["doc_id", "label"]), "labelled")  # as many rows at most
@@ -205,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = SAMPLE
     def unseen(f: int) -> DataFrame:
         return probability(grow(data.where(F.col("fold") != f).coalesce(4)), data.where(F.col("fold") == f)).select("label", "p")
 
-    with ThreadPool(FOLDS + 1) as pool:
+    with ThreadPool(AT_ONCE) as pool:
         whole = pool.apply_async(inheritable_thread_target(rows.sparkSession)(lambda: grow(data.coalesce(4))))
         scored = pool.map(inheritable_thread_target(rows.sparkSession)(unseen), range(FOLDS))
         trees = whole.get()
