@@ -172,6 +172,8 @@ def test_bpe_equals_the_library(docs, empty, monkeypatch, chunk, share, together
     monkeypatch.setattr(wordtable, "CHUNK", chunk)
     monkeypatch.setattr(wordtable, "SHARE", share)
     monkeypatch.setattr(bpe, "TOGETHER_WORDS", together)
+    if chunk < 16 << 20:
+        monkeypatch.setattr(wordtable, "LONG", 4)  # most words are asked for by their marks
     path = vocabulary("byte_bpe_50k.json")
     tok = bpe.tokenizer(path)
     encoded = bpe.encode_documents(docs.unionByName(docs.limit(20)), path)
@@ -182,6 +184,27 @@ def test_bpe_equals_the_library(docs, empty, monkeypatch, chunk, share, together
         assert np.frombuffer(out[d].ids, "<u4").tolist() == ids
         assert out[d].text == tok.decode(ids, skip_special_tokens=False)
     assert bpe.encode_documents(empty, path).count() == 0
+    blank = bpe.encode_documents(docs.select("doc_id", F.when(F.col("doc_id") > 9, "").alias("text")), path)  # no chunk has a word
+    assert (blank.count(), blank.where(F.octet_length("ids") > 0).count()) == (docs.count(), 0)
+
+
+def test_a_long_word_of_every_chunk_reaches_its_bucket_once(spark, monkeypatch):
+    monkeypatch.setattr(wordtable, "CHUNK", 60_000)
+    monkeypatch.setattr(wordtable, "SHARE", 30_000)
+    path = vocabulary("byte_bpe_50k.json")
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40_000))
+    texts = [f"text {i} {long} and {long} again" for i in range(12)] + [long, "", "plain words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
+    table = wordtable.chunk_table(rows, bpe.words_of, 20, brings=True)
+    asked = wordtable.requests(table)
+    assert asked.agg(F.max(F.octet_length("words"))).first()[0] > 10_000
+    assert asked.where(F.octet_length("words") > 10_000).groupBy("bucket").count().agg(F.max("count")).first()[0] <= 2  # with and without a blank
+    assert asked.where("chunk >= 0").agg(F.max(F.octet_length("words"))).first()[0] < 1000
+    tok = bpe.tokenizer(path)
+    for r in bpe.encode_documents(docs, path).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == tok.encode(texts[r.doc_id], add_special_tokens=False).ids
 
 
 def test_fingerprints_of_edited_texts(docs, empty, spark):
@@ -253,6 +276,20 @@ def test_many_secrets_in_one_text(spark):
     assert got == sorted((m.start(), k, m.end()) for k, (p, g, least) in enumerate(PYTHON_RULES) for m in p.finditer(text) if len(m.group(g)) >= least)
 
 
+def test_redaction_of_many_overlapping_spans(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdeé\U0001f600 ") for _ in range(20_000))
+    tables = [[], [(0, 0, 20_000)], sorted((a := rng.randrange(19_900), 0, a + rng.randint(1, 40)) for _ in range(1300)), [(5, 0, 15_000), *((i, 1, i + 2) for i in range(10, 19_000, 30))], [(i, 0, i + 1) for i in range(700)]]
+    df = spark.createDataFrame([(i, text, t) for i, t in enumerate(tables)], f"i int, text string, spans {secrets.SPANS}")
+    for r in df.select("i", secrets.redact(F.col("text"), F.col("spans")).alias("t")).collect():
+        want, at = "", 0
+        for start, _, end in tables[r.i]:
+            if start >= at:
+                want += text[at:start] + "[REDACTED]"
+            at = max(at, end)
+        assert r.t == want + text[at:]
+
+
 def test_token_store_round_trip(docs, empty, spark):
     path, store = vocabulary("word_bpe_49k.json"), new_path(spark, "store")
     tok = bpe.tokenizer(path)
@@ -321,6 +358,8 @@ def test_lm_equals_dictionaries(docs, empty, spark, monkeypatch, chunk, share):
     monkeypatch.setattr(lm, "CHUNK", chunk)
     monkeypatch.setattr(lm, "TOGETHER", chunk // 20)
     monkeypatch.setattr(wordtable, "SHARE", share)
+    if chunk < 16 << 20:
+        monkeypatch.setattr(wordtable, "LONG", 4)
     more = docs.unionByName(docs.where("doc_id = 60")).unionByName(spark.createDataFrame([(None, "one two two", "", "", 0)] * 2, SCHEMA))
     out = by_id(lm.score(more, remainder(F.col("doc_id"), 7) != 2))
     toks = {d: WORD.findall((t or "").translate(LOWER)) + ["\n"] for d, t, *_ in [*rows(), (None, "one two two")]}

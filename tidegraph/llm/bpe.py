@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.wordtable import Words, asked_words, bucket_count, chunk_table, from_planes, gather, numbered, planes, rows_of, runs, slices, to_buckets, with_answers
+from tidegraph.llm.wordtable import Words, asked_words, bucket_count, chunk_table, from_planes, gather, numbered, planes, requests, rows_of, runs, slices, to_buckets, with_answers, without_long
 
 #: Where a text may be cut: at a single space between two characters that are no white space (for Python, whose white
 #: space includes the tokenizer's).
@@ -176,12 +176,13 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
     buckets = bucket_count(rows)
-    table = chunk_table(rows, words_of, buckets)
+    table = chunk_table(rows, words_of, buckets, brings=True)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket,), asked in runs(batches, "bucket"):
+        for (bucket,), held in runs(batches, "bucket"):
+            asked, long = without_long(held)
             distinct, number, ends = asked_words(asked)
-            made = _Flat(encode_words(distinct.to_pylist(), path), "<u4")
+            made = _Flat(encode_words([long.get(w, w) for w in distinct.to_pylist()], path), "<u4")
             for r, a, b in zip(asked, [0, *ends], ends, strict=False):
                 own = number[a:b]
                 size = made.size[own]
@@ -211,7 +212,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 ids = [raw[4 * s : 4 * e] for s, e in zip(words.tolist(), words[1:].tolist(), strict=False)]
                 yield pa.record_batch({"doc_id": pa.array(head["doc_id"][a:b], pa.int64()), "ids": pa.array(ids, pa.binary())})
 
-    asked = to_buckets(table.select("chunk", F.inline("requests")), buckets, "chunk")
+    asked = to_buckets(requests(table), buckets, "chunk")
     answers = asked.mapInArrow(encode, "chunk long, kind int, bucket int, body binary")
     return with_answers(table, answers, buckets).mapInArrow(put, "doc_id long, ids binary")
 

@@ -128,14 +128,25 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES
 
 
 def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
-    """text with every stretch that spans cover replaced by mark; overlapping spans make one stretch."""
+    """text with every stretch that spans, by start, cover replaced by mark; overlapping spans make one stretch.
 
-    def step(at: Column, x: Column) -> Column:
-        gap = F.substring(text, at.pos + 1, x.start - at.pos)
-        return F.struct(F.greatest(at.pos, x.end).alias("pos"), F.when(x.start < at.pos, at.out).otherwise(F.concat(at.out, gap, F.lit(mark))).alias("out"))
+    The text is cut before every BLOCK spans, so that what a span is looked for in stays short. A block begins where the
+    spans before it end."""
+    last = lambda xs: F.array_max(F.transform(xs, lambda x: x.end))
+    own = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")),
+        lambda n: F.struct(F.slice(spans, n * BLOCK + 1, F.lit(BLOCK)).alias("own"), F.coalesce(last(F.slice(spans, F.lit(1), n * BLOCK)), F.lit(0)).alias("at")),
+    )
+    cut = F.transform(own, lambda b: F.struct(b.own.alias("own"), b["at"].alias("at"), F.substring(text, b["at"] + 1, F.greatest(last(b.own) - b["at"], F.lit(0))).alias("part")))
+
+    def folded(b: Column) -> Column:
+        def step(at: Column, x: Column) -> Column:
+            gap = F.substring(b.part, at.pos - b["at"] + 1, x.start - at.pos)
+            return F.struct(F.greatest(at.pos, x.end).alias("pos"), F.when(x.start < at.pos, at.out).otherwise(F.concat(at.out, gap, F.lit(mark))).alias("out"))
+
+        return F.aggregate(b.own, F.struct(b["at"].alias("pos"), F.lit("").alias("out")), step, lambda at: at.out)
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step)
-    whole = F.concat(done.out, F.substring(text, done.pos + 1, F.length(text)))
+    whole = F.concat(F.array_join(F.transform(cut, folded), ""), F.substring(text, last(spans) + 1, F.length(text)))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 

@@ -3,8 +3,10 @@
 Each task cuts its rows into chunks of bounded size and splits the texts of a chunk once: into the distinct words and a
 number for each occurrence. A chunk asks for each of its distinct words at the bucket of the word's hash. A bucket meets
 every distinct word once, however many chunks ask for it, works out what is wanted and answers each chunk in the order of
-its questions; the answers go back to the chunk. So a word is never hot: a chunk asks for it once. Nothing goes to the
-driver or to all tasks, a task holds one chunk or one bucket, and the number of buckets follows the size of the corpus.
+its questions; the answers go back to the chunk. So a word is never hot: a chunk asks for it once. A word over LONG bytes is
+asked for by a mark, 128 bits of hash, and its bytes reach the bucket once, whatever the number of chunks that hold it.
+Nothing goes to the driver or to all tasks, a task holds one chunk or one bucket, and the number of buckets follows the size
+of the corpus.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from tidegraph.scratch import MOST_BUCKETS, in_buckets
 
 #: Bytes of text in a chunk, and for each bucket.
 CHUNK, SHARE = 16 << 20, 16 << 20
+#: Bytes of a word that may be sent by every chunk that holds it.
+LONG = 256
 LEVEL = 3  # of the compression of what is shuffled
 SLICE = 8 << 20  # bytes of text that are split at a time; a longer text is split alone
 
@@ -118,6 +122,11 @@ def unpack(blob: bytes, n: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[4 * n :])])
 
 
+def mark(word: bytes) -> bytes:
+    """What stands for a long word; no UTF-8 text holds it."""
+    return b"\xff" + xxhash.xxh3_128_digest(word)
+
+
 # -- chunks and buckets
 
 
@@ -127,16 +136,16 @@ def bucket_count(rows: DataFrame, column: str = "raw") -> int:
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
 
 
-def chunk_table(rows: DataFrame, split: Callable[[pa.Array], tuple[np.ndarray | None, Words]], buckets: int, weigh: str | None = None, most: int | None = None) -> DataFrame:
+def chunk_table(rows: DataFrame, split: Callable[[pa.Array], tuple[np.ndarray | None, Words]], buckets: int, weigh: str | None = None, most: int | None = None, brings: bool = False) -> DataFrame:
     """rows(..., raw binary without nulls) to one written row for each chunk of texts:
 
     chunk, an array of each other column of rows, sizes (words of each text), codes (number of each word), places (number
-    of each word asked for, in the order of the questions), requests(bucket, n, words, counts).
+    of each word asked for, in the order of the questions), requests(bucket, n, words, counts), long(bucket, mark, words).
 
     split gives the words of some texts, and the order in which it has put the texts if it isn't theirs. weigh: a boolean
     column; counts then has how often each word occurs in the chunk's rows where it is true. most: bytes of text in a
-    chunk; a longer text is a chunk of its own."""
-    most = most or CHUNK
+    chunk; a longer text is a chunk of its own. brings: whether long has the long words; else only their marks are known."""
+    most, longest = most or CHUNK, LONG
     keep = [c for c in rows.columns if c != "raw"]
     types = {c: rows.schema[c].dataType.simpleString() for c in keep}
 
@@ -157,16 +166,19 @@ def chunk_table(rows: DataFrame, split: Callable[[pa.Array], tuple[np.ndarray |
             by = np.argsort(-np.bincount(w.codes, minlength=n), kind="stable")  # small numbers for frequent words
             rank = np.empty(n, np.int64)
             rank[by] = np.arange(n)
-            bucket = (np.fromiter(map(xxhash.xxh3_64_intdigest, w.table), np.uint64, n) % np.uint64(buckets)).astype(np.int32)
-            asked = pc.sort_indices(pa.table({"b": bucket, "w": pa.array(w.table, pa.binary())}), sort_keys=[("b", "ascending"), ("w", "ascending")]).to_numpy().astype(np.int64)
+            marks = [x if len(x) <= longest else mark(x) for x in w.table]
+            bucket = (np.fromiter(map(xxhash.xxh3_64_intdigest, marks), np.uint64, n) % np.uint64(buckets)).astype(np.int32)
+            long = [{"bucket": int(bucket[i]), "mark": marks[i], "words": pack([x])} for i, x in enumerate(w.table) if brings and len(x) > longest]
+            asked = pc.sort_indices(pa.table({"b": bucket, "w": pa.array(marks, pa.binary())}), sort_keys=[("b", "ascending"), ("w", "ascending")]).to_numpy().astype(np.int64)
             own, first = np.unique(bucket[asked], return_index=True)
-            requests = [{"bucket": b, "n": e - a, "words": pack([w.table[i] for i in asked[a:e].tolist()]), "counts": planes(counts[asked[a:e]]) if weigh else b""} for b, a, e in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), n], strict=True)]
+            requests = [{"bucket": b, "n": e - a, "words": pack([marks[i] for i in asked[a:e].tolist()]), "counts": planes(counts[asked[a:e]]) if weigh else b""} for b, a, e in zip(own.tolist(), first.tolist(), np.append(first[1:], n)[: len(own)].tolist(), strict=True)]
             out = {"chunk": pa.array([part << 32 | seq], pa.int64())}
             out |= {c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for c, v in cols.items()}
             out["sizes"] = pa.array([w.sizes], pa.list_(pa.int64()))
             out["codes"] = pa.array([planes(rank[w.codes].astype("<u4"))], pa.binary())
             out["places"] = pa.array([planes(rank[asked].astype("<u4"))], pa.binary())
             out["requests"] = pa.array([requests], pa.list_(pa.struct([("bucket", pa.int32()), ("n", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])))
+            out["long"] = pa.array([long], pa.list_(pa.struct([("bucket", pa.int32()), ("mark", pa.binary()), ("words", pa.binary())])))
             return pa.record_batch(out)
 
         for b in batches:
@@ -183,7 +195,7 @@ def chunk_table(rows: DataFrame, split: Callable[[pa.Array], tuple[np.ndarray |
         if held:
             yield made()
 
-    schema = "chunk long, " + "".join(f"`{c}` array<{types[c]}>, " for c in keep) + "sizes array<long>, codes binary, places binary, requests array<struct<bucket:int,n:int,words:binary,counts:binary>>"
+    schema = "chunk long, " + "".join(f"`{c}` array<{types[c]}>, " for c in keep) + "sizes array<long>, codes binary, places binary, requests array<struct<bucket:int,n:int,words:binary,counts:binary>>, long array<struct<bucket:int,mark:binary,words:binary>>"
     return in_buckets(rows.select(*keep, "raw").mapInArrow(cut, schema), "chunk", buckets, "chunks")
 
 
@@ -208,17 +220,31 @@ def to_buckets(rows: DataFrame, buckets: int, *order: str) -> DataFrame:
     return rows.repartitionById(parts, (F.col("bucket") % parts).cast("int")).sortWithinPartitions("bucket", *order)
 
 
+def requests(table: DataFrame) -> DataFrame:
+    """(chunk, bucket, n, words, counts) of each request. Those of chunk -1 ask for nothing: they bring a long word each."""
+    asked = table.select("chunk", F.inline("requests"))
+    long = table.select(F.inline("long")).groupBy("bucket", "mark").agg(F.first("words").alias("words"))
+    brought = long.select(F.lit(-1).cast("long").alias("chunk"), "bucket", F.lit(1).alias("n"), "words", F.lit(b"").alias("counts"))
+    return asked.unionByName(brought)
+
+
+def without_long(rows: list[dict]) -> tuple[list[dict], dict[bytes, bytes]]:
+    """The requests of one bucket that ask, and the long words by their marks."""
+    brought = [unpack(r["words"], 1)[0].as_py() for r in rows if r["chunk"] < 0]
+    return [r for r in rows if r["chunk"] >= 0], {mark(w): w for w in brought}
+
+
 def asked_words(rows: list[dict]) -> tuple[pa.Array, np.ndarray, list[int]]:
-    """Of the requests of one bucket: the distinct words, the number of each word asked for, where each request ends."""
-    words = pa.concat_arrays([unpack(r["words"], r["n"]) for r in rows]).dictionary_encode()
+    """Of the requests of one bucket: the distinct words or marks, the number of each one asked for, where each request ends."""
+    words = pa.concat_arrays([unpack(r["words"], r["n"]).cast(pa.large_binary()) for r in rows]).dictionary_encode()
     return words.dictionary, words.indices.to_numpy(), np.cumsum([r["n"] for r in rows]).tolist()
 
 
 def with_answers(table: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
-    """The rows of chunk_table() without their requests, each with answers: an array of the (kind, bucket, body) that
+    """The rows of chunk_table() without what they ask, each with answers: an array of the (kind, bucket, body) that
     answers(chunk, kind, bucket, body) has for it, by kind and bucket. Only the answers travel, once, to the buckets in which the table lies."""
     per_chunk = answers.repartition(min(buckets, MOST_BUCKETS), "chunk").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("kind", "bucket", "body"))).alias("answers"))
-    return table.drop("requests").join(per_chunk.hint("shuffle_hash"), "chunk", "left")
+    return table.drop("requests", "long").join(per_chunk.hint("shuffle_hash"), "chunk", "left")
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
