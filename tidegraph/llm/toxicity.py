@@ -16,7 +16,8 @@ of each; that bounds the lexicon too. Every document is scored, whole, however l
 Nulls: a null text is empty, and empty texts get a score like any other; labels other than 0 and 1 are left out. Of
 repeated labels the highest counts, of different texts under one id one is learnt from. Repeated documents are scored each,
 and equal texts get equal scores. An empty table gives no rows. With fewer than two labelled documents of either kind there
-is nothing to tell apart, and every score is the share of toxic ones, 0 without any. Columns besides the text come back as
+is nothing to tell apart: every score is the share of toxic ones, or 0 where that is a half or more, so that no document is
+rejected unseen. Columns besides the text come back as
 they were, whatever they are called; one called score gives way to the result.
 """
 
@@ -195,7 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = SAMPLE
     known = {r.label: r["n"] for r in rows.groupBy("label").agg(F.count_distinct("doc_id").alias("n")).collect()}
     if min(known.get(y, 0) for y in (0.0, 1.0)) < 2:
         share = known.get(1.0, 0) / max(1, sum(known.values()))
-        return lambda texts: texts.select(*(c for c in texts.columns if c not in ("text", "score")), F.lit(float(share)).alias("score"))
+        alike = F.lit(share if share < 0.5 else 0.0)
+        return lambda texts: texts.select(*(F.col(f"`{c}`") for c in texts.columns if c not in ("text", "score")), alike.alias("score"))
     *without, lexicon = learn_lexicons(rows)
     of_fold = [with_features(rows.where(F.col("fold") == f).select("fold", "label", "text"), without[f]) for f in range(FOLDS)]
     data = materialize(reduce(DataFrame.unionByName, of_fold).coalesce(4), "features").withColumn("features", array_to_vector("x"))
