@@ -44,8 +44,8 @@ from tidegraph.scratch import materialize
 
 #: Labelled rows to fit on; words that a worker remembers its look at.
 SAMPLE, MEMORY = 20_000, 500_000
-#: The labelled rows of each kind are dealt to so many folds by the hash of their ids; so many fits run at once, as each
-#: job leaves the driver some 8 MB of broadcast blocks to collect.
+#: The labelled rows of each kind are dealt to so many folds by the hash of their ids; so many fits run at once, as the
+#: driver's heap grew with their number.
 FOLDS, AT_ONCE = 5, 2
 #: Insults, second-person words, look-alike characters.
 INSULTS = frozenset("bastard clown creep cretin degenerate disgusting dumb failure filth fool garbage idiot idiotic imbecile jerk loser lunatic moron moronic pathetic pig psycho rat scum stupid trash vermin worthless".split())
