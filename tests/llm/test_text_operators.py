@@ -188,6 +188,15 @@ def test_bpe_equals_the_library(docs, empty, monkeypatch, chunk, share, together
     assert (blank.count(), blank.where(F.octet_length("ids") > 0).count()) == (docs.count(), 0)
 
 
+def test_bpe_decodes_in_the_task_that_puts_the_ids_together(docs):
+    """Two Python steps one after the other make two workers a task, which an executor's memory has to hold at once."""
+    path = vocabulary("byte_bpe_50k.json")
+    both = bpe.encode_documents(docs, path, decoded=True)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"MapInArrow", plan.split("Initial Plan")[0])) == 2  # buckets encode; chunks put together and decode
+    assert by_id(both) == by_id(bpe.decode_documents(bpe.encode_documents(docs, path), path))
+
+
 def test_a_long_word_of_every_chunk_reaches_its_bucket_once(spark, monkeypatch):
     monkeypatch.setattr(wordtable, "CHUNK", 60_000)
     monkeypatch.setattr(wordtable, "SHARE", 30_000)

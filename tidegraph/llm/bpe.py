@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.wordtable import Words, asked_words, bucket_count, chunk_table, from_planes, gather, numbered, planes, requests, rows_of, runs, slices, to_buckets, with_answers, without_long
+from tidegraph.llm.wordtable import Words, asked_words, bucket_count, chunk_table, from_planes, gather, give_back, numbered, planes, requests, rows_of, runs, slices, to_buckets, with_answers, without_long
 
 #: Where a text may be cut: at a single space between two characters that are no white space (for Python, whose white
 #: space includes the tokenizer's).
@@ -167,8 +167,18 @@ def pieces(path: str) -> list[bytes]:
     return _loaded["pieces:" + path]
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, ids binary (little-endian unsigned 32-bit integers).
+def texts_of(ids: Iterable[bytes], path: str) -> pa.Array:
+    """The text of each string of ids, joining each id with its piece; invalid UTF-8 becomes U+FFFD."""
+    table, out = pieces(path), []
+    for raw in ids:
+        own = np.frombuffer(raw, "<u4")
+        out.append(gather(table.flat, table.start[own], table.size[own]).tobytes().decode("utf-8", "replace"))
+    return pa.array(out, pa.string())
+
+
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, ids binary (little-endian unsigned 32-bit integers). decoded: adds text, as
+    decode_documents() makes it, in the task that has put the ids together. A task then needs one Python worker, not two.
 
     1. Each chunk of texts is split once and asks for the ids of its distinct words.
     2. Each bucket encodes its distinct words, once each, and answers.
@@ -188,6 +198,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 size = made.size[own]
                 body = planes(np.concatenate([[b - a], size, gather(made.flat, made.start[own], size)]).astype("<u4"))
                 yield pa.record_batch({"chunk": [r["chunk"]], "kind": pa.array([1], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "body": pa.array([body], pa.binary())})
+            give_back()
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for head in rows_of(batches):
@@ -210,26 +221,24 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 raw = gather(flat, start[own], size[own]).tobytes()
                 words = np.concatenate([[0], np.cumsum(size[own])])[ends[a : b + 1] - ends[a]]
                 ids = [raw[4 * s : 4 * e] for s, e in zip(words.tolist(), words[1:].tolist(), strict=False)]
-                yield pa.record_batch({"doc_id": pa.array(head["doc_id"][a:b], pa.int64()), "ids": pa.array(ids, pa.binary())})
+                out = {"doc_id": pa.array(head["doc_id"][a:b], pa.int64()), "ids": pa.array(ids, pa.binary())}
+                yield pa.record_batch(out | ({"text": texts_of(ids, path)} if decoded else {}))
+            del codes, places, size, flat, start
+            give_back()
 
     asked = to_buckets(requests(table), buckets, "chunk")
     answers = asked.mapInArrow(encode, "chunk long, kind int, bucket int, body binary")
-    return with_answers(table, answers, buckets).mapInArrow(put, "doc_id long, ids binary")
+    return with_answers(table, answers, buckets).mapInArrow(put, "doc_id long, ids binary" + ", text string" * decoded)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """encoded(doc_id, ids binary, ...): adds text, joining each id with its piece; invalid UTF-8 becomes U+FFFD."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(path)
         for b in batches:
             at = 0
             for part in slices(b.column("ids"), TOGETHER_BYTES):
-                out = []
-                for raw in part:
-                    ids = np.frombuffer(raw.as_py(), "<u4")
-                    out.append(gather(table.flat, table.start[ids], table.size[ids]).tobytes().decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([*b.slice(at, len(part)).columns, pa.array(out, pa.string())], [*b.schema.names, "text"])
+                yield pa.RecordBatch.from_arrays([*b.slice(at, len(part)).columns, texts_of((x.as_py() for x in part), path)], [*b.schema.names, "text"])
                 at += len(part)
 
     return encoded.mapInArrow(join, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", text string")

@@ -11,6 +11,8 @@ of the corpus.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -87,6 +89,13 @@ def split_blanks(texts: pa.Array, lower: bool = True) -> Words:
     return numbered(words, sizes)
 
 
+def give_back() -> None:
+    """Returns to the system what a worker has freed: executors count what their idle workers hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # -- numbers and words as bytes
 
 
@@ -191,9 +200,10 @@ def chunk_table(rows: DataFrame, split: Callable[[pa.Array], tuple[np.ndarray |
                 if size >= most:
                     yield made()
                     size, seq = 0, seq + 1
-                    pa.default_memory_pool().release_unused()
+                    give_back()
         if held:
             yield made()
+        give_back()
 
     schema = "chunk long, " + "".join(f"`{c}` array<{types[c]}>, " for c in keep) + "sizes array<long>, codes binary, places binary, requests array<struct<bucket:int,n:int,words:binary,counts:binary>>, long array<struct<bucket:int,mark:binary,words:binary>>"
     return in_buckets(rows.select(*keep, "raw").mapInArrow(cut, schema), "chunk", buckets, "chunks")
