@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -386,6 +387,24 @@ def test_lm_equals_dictionaries(docs, empty, spark, monkeypatch, chunk, share):
     assert (none.n_known, none.train_tokens, none.base_score, none.score) == (0, 0, 0.0, 0.0)
 
 
+def test_lm_scores_a_chunk_in_little_memory():
+    """At 100 bytes a token, a chunk of two million tokens takes 200 MB of a worker."""
+    rng = np.random.default_rng(5)
+    sizes, words = np.full(4000, 300), 60_000
+    codes = rng.zipf(1.3, sizes.sum()) % words
+    row = lambda answers: {"doc_id": list(range(len(sizes))), "trains": [True] * len(sizes), "sizes": sizes.tolist(), "codes": wordtable.planes(codes.astype("<u4")), "places": wordtable.planes(np.arange(words, dtype="<u4")), "answers": answers}
+    answers = [{"kind": 1, "bucket": 0, "body": wordtable.planes(np.concatenate([np.arange(words), np.bincount(codes, minlength=words)]).astype("<u8"))}]
+    asked = [(kind, b, n) for kind in (lm.PAIR, lm.TRIPLE) for b, _, n in lm.Chunk.of(row(answers)).questions(kind, 3, np.ones(len(sizes), bool))]
+    given = answers + [{"kind": kind, "bucket": b, "body": wordtable.planes(n.astype("<u8"))} for kind, b, n in asked]
+    assert sum(int(n.sum()) for kind, _, n in asked if kind == lm.PAIR) == len(codes)
+    tracemalloc.start()
+    n = sum(len(b) for b in lm.weighed(row(given), 3, len(codes), words, len(sizes), lm.STRENGTH))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(sizes)
+    assert peak < 100 * len(codes)
+
+
 def test_lm_probabilities_add_up():
     model = BackOff([["a", "b", "\n"], ["a", "c", "a", "b", "\n"]], lm.STRENGTH)
     words = [k[0] for k in model.n if len(k) == 1]

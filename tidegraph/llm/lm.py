@@ -31,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.wordtable import Words, asked_words, bucket_count, chunk_table, from_planes, planes, rows_of, runs, split_blanks, to_buckets, with_answers
+from tidegraph.llm.wordtable import Words, asked_words, bucket_count, chunk_table, from_planes, give_back, planes, rows_of, runs, split_blanks, to_buckets, with_answers
 from tidegraph.scratch import materialize
 
 #: The token at the end of every text; no word holds a line break.
 EOS = b"\n"
 STRENGTH = 4.0
-TOGETHER = 1 << 20  # tokens whose texts are traversed side by side; a longer text is traversed alone
+TOGETHER = 1 << 18  # tokens whose texts are traversed side by side; a longer text is traversed alone
+STRETCH, PARTS = 1 << 17, 8  # tokens whose keys are made at a time, parts in which a chunk's keys are put in order
 CHUNK = 16 << 20  # bytes of text in a chunk: the larger, the fewer pairs are asked for again
 PAIR, TRIPLE = 2, 3
 OUT = "doc_id long, trains boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -60,10 +61,11 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Chunk:
-    """The texts of a chunk as tokens: numbers in the chunk, in the corpus (0 is before the first), and training counts."""
+    """The texts of a chunk as tokens, by their numbers in the chunk, and of each number the word's number in the corpus (0 is
+    before the first) and its training count."""
 
     codes: np.ndarray
-    ids: np.ndarray
+    word: np.ndarray
     count: np.ndarray
     sizes: np.ndarray
     answers: list[dict]
@@ -78,33 +80,55 @@ class Chunk:
                 got = from_planes(r["body"], "<u8").reshape(2, -1)
                 here = places[at : at + got.shape[1]]
                 word[here], count[here], at = got[0] + np.uint64(1 + (r["bucket"] << 32)), got[1], at + len(here)
-        return cls(codes, word[codes], count[codes], np.array(row["sizes"], np.int64), [r for r in answers if r["kind"] != 1])
-
-    @property
-    def starts(self) -> np.ndarray:
-        return np.cumsum(self.sizes) - self.sizes
+        return cls(codes, word, count, np.array(row["sizes"], np.int64), [r for r in answers if r["kind"] != 1])
 
     def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        """The places of tokens that end a pair or triple, and the keys of those."""
-        before = np.empty_like(self.ids)
-        before[1:] = self.ids[:-1]
-        before[self.starts] = 0
-        pairs = joined(before, self.ids)
-        inner = np.ones(len(pairs), bool)
-        if kind == TRIPLE:
-            inner[self.starts] = False
-        at = np.flatnonzero(inner)
-        return at, pairs if kind == PAIR else joined(pairs[at - 1], self.ids[at])
-
-    def counts(self, kind: int) -> np.ndarray:
+        """For each token the key of the pair or triple that it ends, and whether it ends one. Made by stretches."""
+        first = np.zeros(len(self.codes), bool)
+        first[np.cumsum(self.sizes) - self.sizes] = True
+        key = np.empty(len(first), np.uint64)
+        for a in range(0, len(first), STRETCH):
+            low, high = max(a - 2, 0), a + STRETCH
+            ids = self.word[self.codes[low:high]]
+            before = np.concatenate([np.zeros(1, np.uint64), ids[:-1]])
+            before[first[low:high]] = 0
+            made = joined(before, ids)
+            if kind == TRIPLE:
+                made[1:] = joined(made[:-1], ids[1:])
+            key[a:high] = made[a - low :]
+        return key, np.ones_like(first) if kind == PAIR else ~first
+
+    def parts(self, kind: int, buckets: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """The pairs or triples by ranges of buckets of their keys, so that only a part is put in order at a time: the first
+        bucket, the one after the last, the places of the tokens that end them, the keys, ascending, and which are new."""
+        key, inner = self.keys(kind)
+        begins = [(i << 64) // buckets for i in range(buckets)]
+        cuts = sorted({buckets * i // PARTS for i in range(PARTS + 1)})
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            mine = inner & (key >= np.uint64(begins[low]))
+            if high < buckets:
+                mine &= key < np.uint64(begins[high])
+            at = np.flatnonzero(mine)
+            if len(at):
+                own = key[at]
+                by, new = ordered(own)
+                yield low, high, at[by], own[by], new
+
+    def questions(self, kind: int, buckets: int, learns: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each bucket that the chunk asks for pairs or triples, with their keys and how often they occur in texts that learn."""
+        learns = np.repeat(learns, self.sizes)
+        for low, high, at, key, new in self.parts(kind, buckets):
+            first = np.flatnonzero(new)
+            n, key = np.add.reduceat(learns[at], first, dtype="<u4"), key[first]
+            cuts = [0, *np.searchsorted(key, np.array([(i << 64) // buckets for i in range(low + 1, high)], np.uint64)).tolist(), len(key)]
+            yield from ((b, key[s:e], n[s:e]) for b, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False), low) if s < e)
+
+    def counts(self, kind: int, buckets: int) -> np.ndarray:
         """The training count of the pair or triple that each token ends."""
-        at, key = self.keys(kind)
-        out = np.zeros(len(self.ids), np.int64)
-        if len(at):
-            by, new = ordered(key)
-            del key
-            found = np.concatenate([from_planes(r["body"], "<u8") for r in self.answers if r["kind"] == kind])
-            out[at[by]] = found[np.cumsum(new) - 1]
+        out = np.zeros(len(self.codes), np.int64)
+        for low, high, at, _, new in self.parts(kind, buckets):
+            found = np.concatenate([from_planes(r["body"], "<u8") for r in self.answers if r["kind"] == kind and low <= r["bucket"] < high])
+            out[at] = found[np.cumsum(new) - 1]
         return out
 
 
@@ -116,6 +140,24 @@ def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by, new
 
 
+def weighed(row: dict, buckets: int, tokens: int, distinct: int, texts: int, strength: float) -> Iterator[pa.RecordBatch]:
+    """The scores of a chunk's texts. Automata are compiled for TOGETHER tokens at a time, as they take many times the memory of the tokens."""
+    chunk = Chunk.of(row)
+    pairs, triples = chunk.counts(PAIR, buckets), chunk.counts(TRIPLE, buckets)
+    chunk.answers.clear()
+    ends = np.cumsum(chunk.sizes)
+    cuts = np.unique([0, *np.searchsorted(ends, np.arange(TOGETHER, ends[-1], TOGETHER)).tolist(), len(ends)]).tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        sizes = chunk.sizes[a:b]
+        own, starts = slice(ends[a] - sizes[0], ends[b - 1]), np.cumsum(sizes) - sizes
+        table, cur = np.unique(chunk.codes[own], return_inverse=True)
+        cur, count = cur.astype(np.int64) + 1, chunk.count[chunk.codes[own]]
+        model = Automaton.of(cur, count, pairs[own], triples[own], starts, len(table) + 1, tokens, distinct, texts, strength)
+        base = np.log10((count + 1) / (tokens + distinct + 1))
+        sums = [*(np.add.reduceat(v, starts) for v in ((count > 0).astype(np.int64), base)), model.run(cur, starts, sizes)]
+        yield pa.record_batch({"doc_id": pa.array(row["doc_id"][a:b], pa.int64()), "trains": pa.array(row["trains"][a:b], pa.bool_()), "n_tokens": pa.array(sizes), "n_known": pa.array(sums[0]), "train_tokens": pa.array(np.full(len(sizes), tokens)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
+
+
 @dataclass
 class Automaton:
     """States (0 is the root): the state of the shorter history and the weight of the failure arc to it. Arcs, ascending by
@@ -214,26 +256,16 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     size = table.agg(F.sum(F.size(F.filter("trains", lambda x: x)))).first()
     tokens, distinct, texts = seen[0], seen[1], size[0] or 0
 
-    def edges() -> np.ndarray:
-        """Where the buckets of keys begin, but for the first."""
-        return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            number, chunk = row["chunk"], Chunk.of(row)
-            learnt = np.repeat(np.array(row["trains"], bool), chunk.sizes).astype(np.int64)
+            number, learns, chunk = row["chunk"], np.array(row["trains"], bool), Chunk.of(row)
             for kind in (PAIR, TRIPLE):
-                at, key = chunk.keys(kind)
-                if not len(at):
-                    continue
-                by, new = ordered(key)
-                first = np.flatnonzero(new)
-                key, n = key[by[first]], np.add.reduceat(learnt[at[by]], first).astype("<u4")
-                cuts = [0, *np.searchsorted(key, edges()).tolist(), len(key)]
-                some = [(b, s, e) for b, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if s < e]
-                cols = ([b for b, *_ in some], [e - s for _, s, e in some], [planes(np.diff(key[s:e], prepend=np.uint64(0))) for _, s, e in some], [planes(n[s:e]) for _, s, e in some])
-                k = len(some)
-                yield pa.record_batch({"bucket": pa.array(cols[0], pa.int32()), "kind": pa.array([kind] * k, pa.int32()), "chunk": pa.array([number] * k, pa.int64()), "n": pa.array(cols[1], pa.int32()), "keys": pa.array(cols[2], pa.binary()), "counts": pa.array(cols[3], pa.binary())})
+                some = [(b, len(key), planes(np.diff(key, prepend=np.uint64(0))), planes(n)) for b, key, n in chunk.questions(kind, buckets, learns)]
+                if some:
+                    own, n, keys, counts = zip(*some, strict=True)
+                    yield pa.record_batch({"bucket": pa.array(own, pa.int32()), "kind": pa.array([kind] * len(own), pa.int32()), "chunk": pa.array([number] * len(own), pa.int64()), "n": pa.array(n, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
+            del chunk
+            give_back()
 
     def count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket, kind), held in runs(batches, "bucket", "kind"):
@@ -245,24 +277,14 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
             total = np.empty(len(key), "<u8")
             total[by] = np.add.reduceat(n[by], np.flatnonzero(new))[np.cumsum(new) - 1]
             bodies = [planes(total[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+            del by, new, key, n, total
             yield pa.record_batch({"chunk": pa.array(of, pa.int64()), "kind": pa.array([kind] * len(of), pa.int32()), "bucket": pa.array([bucket] * len(of), pa.int32()), "body": pa.array(bodies, pa.binary())})
+            give_back()
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            chunk = Chunk.of(row)
-            pairs, triples = chunk.counts(PAIR), chunk.counts(TRIPLE)
-            chunk.answers.clear()
-            ends = np.cumsum(chunk.sizes)
-            cuts = np.unique([0, *np.searchsorted(ends, np.arange(TOGETHER, ends[-1], TOGETHER)).tolist(), len(ends)]).tolist()
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                sizes = chunk.sizes[a:b]
-                own, starts = slice(ends[a] - sizes[0], ends[b - 1]), np.cumsum(sizes) - sizes
-                table, cur = np.unique(chunk.codes[own], return_inverse=True)
-                cur = cur.astype(np.int64) + 1
-                model = Automaton.of(cur, chunk.count[own], pairs[own], triples[own], starts, len(table) + 1, tokens, distinct, texts, strength)
-                base = np.log10((chunk.count[own] + 1) / (tokens + distinct + 1))
-                sums = [*(np.add.reduceat(v, starts) for v in ((chunk.count[own] > 0).astype(np.int64), base)), model.run(cur, starts, sizes)]
-                yield pa.record_batch({"doc_id": pa.array(row["doc_id"][a:b], pa.int64()), "trains": pa.array(row["trains"][a:b], pa.bool_()), "n_tokens": pa.array(sizes), "n_known": pa.array(sums[0]), "train_tokens": pa.array(np.full(len(sizes), tokens)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
+            yield from weighed(row, buckets, tokens, distinct, texts, strength)
+            give_back()
 
     asked = with_answers(table, words, buckets).mapInArrow(ask, "bucket int, kind int, chunk long, n int, keys binary, counts binary")
     counted = to_buckets(asked, buckets, "kind", "chunk").mapInArrow(count_keys, "chunk long, kind int, bucket int, body binary")
