@@ -46,6 +46,7 @@ class BoundedResponse(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         waiting, goals = [], []
         for frame in rows:
+            frame = frame[frame["at"].notna()]
             waiting += frame.loc[frame["trigger"], ["at", "id"]].itertuples(index=False, name=None)
             goals += [(int(t),) for t in frame.loc[frame["goal"], "at"]]
         if waiting:
@@ -136,7 +137,8 @@ def millis(ts: Column) -> Column:
 def response_stream(rows: DataFrame, within: int, delay: str) -> DataFrame:
     """rows(entity, ts, id, trigger, goal), a stream, to RESPONSE. Start the query inside state_store()."""
     timed = rows.withColumn("ts", instant(F.col("ts"))).withWatermark("ts", delay).select(F.col("entity").cast("string").alias("entity"), "ts", F.unix_millis("ts").alias("at"), "id", F.coalesce("trigger", F.lit(False)).alias("trigger"), F.coalesce("goal", F.lit(False)).alias("goal"))
-    wanted = timed.where("trigger or goal")
+    # Asking for the time too keeps this filter above the watermark, which all rows move.
+    wanted = timed.where("trigger or goal or ts is null")
     return wanted.groupBy("entity").transformWithStateInPandas(BoundedResponse(within), RESPONSE, "append", "EventTime")
 
 
