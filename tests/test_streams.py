@@ -61,3 +61,17 @@ def test_streams_equal_batches(spark, tmp_path):
         want += [(e, t, i, pre[2], k) for pre, (t, i, k) in zip(own, own[1:], strict=False)]
     assert got == sorted(want)
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_state_is_set_for_many_rows_at_a_time(spark, tmp_path):
+    """Timers and pieces of state are few beside rows: time for each row is what made the stream slow."""
+    rows = spark.range(20_000).withColumn("entity", (F.col("id") % 2500).cast("string"))
+    rows.select("entity", F.timestamp_seconds(1_700_000_000 + F.hash("id") % 5000).alias("ts"), "id", F.lit("t").alias("state")).write.parquet(f"{tmp_path}/rows/0")
+    stream, out = spark.readStream.schema(DAY).parquet(f"{tmp_path}/rows/*"), f"{tmp_path}/out"
+    with stateful.state_store(spark):
+        q = stateful.step_stream(stream, "45 seconds").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/mark").trigger(availableNow=True).start()
+    q.awaitTermination()
+    first, *_, end = [p.stateOperators[0] for p in q.recentProgress]
+    assert 500 < first.customMetrics["numRegisteredTimers"] <= stateful.PARTS
+    assert end.numRowsTotal <= 2 * stateful.PARTS and end.customMetrics["numExpiredTimers"] <= stateful.PARTS
+    assert spark.read.schema(stateful.STEP).parquet(f"{out}/rows").count() > 15_000
